@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import sharding, url_rules
+from isoframe.llm import decontam, sharding, url_rules
 
 #: Fixed values of the URL contract: host, path, verdict.
 URL_RULES = [
@@ -48,5 +48,41 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_url_rules": op1_url_rules, "op3_sharding": op3_sharding}
-SQL = {"op1_url_rules": OP1_SQL}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.window_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(hits).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+v AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS t
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM v),
+x AS (
+  SELECT k, s, n, array_to_string(w[s : s + n - 1], ' ') AS t
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(s)),
+h AS (SELECT x.k, x.s, x.n, v.item_id FROM x JOIN v ON x.t = v.t AND x.n = v.n),
+c AS (SELECT k, count(DISTINCT p) AS n_hit FROM h, unnest(range(s, s + n)) AS u(p) GROUP BY k),
+g AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN g USING (k)
+"""
+
+
+QUERIES = {"op1_url_rules": op1_url_rules, "op3_sharding": op3_sharding, "op5_decontamination": op5_decontamination}
+SQL = {"op1_url_rules": OP1_SQL, "op5_decontamination": OP5_SQL}
