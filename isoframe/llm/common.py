@@ -131,3 +131,29 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(_GOLDEN) + words[k : k + n] + np.uint64(k + 1))
     return out
+
+
+COUNTS = "part int, counts binary"
+
+
+def count_rows(counts: np.ndarray, parts: int = 16) -> pa.RecordBatch:
+    """A fixed-size count vector as ``parts`` rows of the schema COUNTS."""
+    blobs = [x.astype(np.int64).tobytes() for x in np.array_split(counts, parts)]
+    return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+
+def summed_counts(rows: DataFrame, parts: int = 16) -> np.ndarray:
+    """The sum of count vectors, of which every task gave one. Its length is fixed by a parameter, not by the data."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(blob, np.int64)
+                total[part] = total[part] + x if part in total else x
+        if total:
+            blobs = [x.tobytes() for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+    found = rows.repartition(parts, "part").mapInArrow(add, COUNTS).collect()
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(found, key=lambda r: r.part)] or [np.zeros(0, np.int64)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, sharding, url_rules
+from isoframe.llm import decontam, quality_model, quality_rules, sharding, url_rules
 
 #: Fixed values of the URL contract: host, path, verdict.
 URL_RULES = [
@@ -84,5 +84,26 @@ FROM d LEFT JOIN c USING (k) LEFT JOIN g USING (k)
 """
 
 
-QUERIES = {"op1_url_rules": op1_url_rules, "op3_sharding": op3_sharding, "op5_decontamination": op5_decontamination}
+#: Mean log ratio below which a document is unlike the trusted ones.
+LLR_THRESHOLD = -0.25
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(docs, quality_rules.fit(docs, trusted), LLR_THRESHOLD)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    "op1_url_rules": op1_url_rules,
+    "op3_sharding": op3_sharding,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+}
 SQL = {"op1_url_rules": OP1_SQL, "op5_decontamination": OP5_SQL}
