@@ -85,7 +85,7 @@ FROM d LEFT JOIN c USING (k) LEFT JOIN g USING (k)
 
 
 #: Mean log ratio below which a document is unlike the trusted ones.
-LLR_THRESHOLD = -0.25
+LLR_THRESHOLD = -0.12
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
