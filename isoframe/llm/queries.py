@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, quality_model, quality_rules, sharding, url_rules
+from isoframe.llm import decontam, packing, quality_model, quality_rules, sharding, url_rules
 
 #: Fixed values of the URL contract: host, path, verdict.
 URL_RULES = [
@@ -99,11 +99,19 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_packing": op9_packing,
 }
 SQL = {"op1_url_rules": OP1_SQL, "op5_decontamination": OP5_SQL}
