@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, packing, quality_model, quality_rules, sharding, url_rules
+from isoframe.llm import decontam, packing, quality_model, quality_rules, sharding, url_rules, warc
+from isoframe.llm.common import scratch_dir, written
 
 #: Fixed values of the URL contract: host, path, verdict.
 URL_RULES = [
@@ -94,6 +97,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, trusted), LLR_THRESHOLD)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    rows = warc.with_revisits(_table(spark, sf_dir, "pages"))
+    index = written(warc.write_archives(rows, folder), "warc-index")
+    return warc.read_archives(index, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
@@ -111,6 +121,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
 }
