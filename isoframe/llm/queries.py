@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, packing, quality_model, quality_rules, sharding, url_rules, warc
+from isoframe.llm import decontam, html_main, packing, quality_model, quality_rules, sharding, url_rules, warc
 from isoframe.llm.common import scratch_dir, written
 
 #: Fixed values of the URL contract: host, path, verdict.
@@ -51,6 +51,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.window_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontam.contamination(hits).select(
@@ -119,6 +123,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op3_sharding": op3_sharding,
+    "op4_main_text": op4_main_text,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
