@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, html_main, packing, quality_model, quality_rules, sharding, url_rules, warc
+from isoframe.llm import decontam, html_main, ngram_join, packing, quality_model, quality_rules, sharding, url_rules, warc
 from isoframe.llm.common import scratch_dir, written
 
 #: Fixed values of the URL contract: host, path, verdict.
@@ -45,6 +45,10 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -122,6 +126,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_rules": op1_url_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op4_main_text": op4_main_text,
     "op5_decontamination": op5_decontamination,
