@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each holds at most ``limit`` bytes, or one row."""
     for batch in batches:
@@ -60,12 +67,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column laid end to end, and the offsets of its rows; null is empty."""
+    """UTF-8 bytes of a string (or binary) column laid end to end, and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if len(column) == 0 or column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, html_main, ngram_join, packing, quality_model, quality_rules, sharding, url_rules, warc
+from isoframe.llm import decontam, html_main, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup, url_rules, warc
 from isoframe.llm.common import scratch_dir, written
 
 #: Fixed values of the URL contract: host, path, verdict.
@@ -124,6 +124,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "row.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -134,5 +142,6 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {"op1_url_rules": OP1_SQL, "op5_decontamination": OP5_SQL}
