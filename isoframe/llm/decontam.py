@@ -51,12 +51,12 @@ def window_hits(
     docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """One row for each document row: doc_id, n_words, and ``hits``, an array of (start, size, items).
+    """One row for each document row: doc_id, row (all its columns), n_words, and ``hits``, an array of (start, size, items).
 
     Every occurrence of every window is in ``hits``; ``start`` counts words from 0. Null
     and wordless texts have 0 words and no hits; items without words have no windows;
     an empty benchmark gives no hits. Repeated rows are judged one by one, rows with a
-    null id as well. Other columns of either table are not read.
+    null id as well. Other columns of either table play no part.
 
     The benchmark's words and windows are broadcast while they have at most
     ``broadcast_rows`` windows (counted first); beyond that they are joined by shuffle,
@@ -67,7 +67,8 @@ def window_hits(
     words_of = windows.select("window_id", F.posexplode("words").alias("offset", "word"))
     joined_by = "broadcast" if windows.count() <= broadcast_rows else "merge"
 
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), row, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
     spread = keyed.select("_key", F.posexplode(_split(F.col("_text"))).alias("_pos", "_raw"))
     spread = spread.select("_key", "_pos", lowered(F.col("_raw")).alias("word"))
 
@@ -95,7 +96,7 @@ def window_hits(
         lambda c: F.transform(F.slice("_words", c["_at"] + 1, F.size(c["words"])), lowered) == c["words"],
     )
     return judged.select(
-        "doc_id",
+        "doc_id", "row",
         F.size(F.filter("_words", lambda w: w != "")).alias("n_words"),
         F.transform(there, lambda c: F.struct(
             (c["_at"] - blank).alias("start"), F.size(c["words"]).alias("size"), c["items"].alias("items")
@@ -104,7 +105,7 @@ def window_hits(
 
 
 def contamination(hits: DataFrame, share: int = 20) -> DataFrame:
-    """Per document: n_words, n_hit (words inside any hit), item_ids, and contaminated.
+    """Per document: doc_id, row, n_words, n_hit (words inside any hit), item_ids, and contaminated.
 
     A document is contaminated if it has a hit word and ``share`` times its hit words
     reach its words.
@@ -112,6 +113,6 @@ def contamination(hits: DataFrame, share: int = 20) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     n_hit = F.when(F.size("hits") > 0, F.size(covered)).otherwise(0).cast("long")
     return hits.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        "doc_id", "row", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("item_ids"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

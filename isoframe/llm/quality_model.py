@@ -120,6 +120,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     return boost(x, y, **options)
 
 
+def scored_rows(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
+    """(row, score): every row of ``docs`` as a struct of all its columns, and its text's score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            p = held.value.scores(Slice(*text_bytes(batch.column("text"))).features())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p)], ["row", "score"])
+
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"row struct<{fields}>, score double")
+
+
 def score(docs: DataFrame, model: Trees, folds: int = 3, fold: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``.
 

@@ -194,9 +194,12 @@ def repeated_spans(texts: DataFrame, length: int = 200, block: int = 12) -> Data
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with n_bytes, spans (merged, removed), and kept (the remaining bytes).
 
+    ``row`` is a struct of all columns but the text. With ``as_text`` kept is a string,
+    without the bytes of characters that were removed in part.
+
     A byte is removed if it lies in a string of ``length`` bytes that starts anywhere
     else too, in the same text or another row's; strings are judged on the input. Null
     texts count as empty. Texts shorter than ``length`` are kept whole; copies of longer
@@ -224,10 +227,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     rest.append(raw[at:start])
                     at = end
                 merged.append([{"start": a, "end": b} for a, b in out])
-                kept.append(b"".join([*rest, raw[at:]]))
+                whole = b"".join([*rest, raw[at:]])
+                kept.append(whole.decode("utf-8", "ignore") if as_text else whole)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.diff(offsets)), pa.array(merged, kind), pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"]
+                [batch.column("row"), pa.array(np.diff(offsets)), pa.array(merged, kind), pa.array(kept, pa.string() if as_text else pa.binary())], ["row", "n_bytes", "spans", "kept"]
             )
 
     fields = [f for f in docs.schema if f.name != text_col]
@@ -235,4 +239,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
     keyed = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     joined = keyed.join(spans.hint("merge"), "text_key", "left").select("row", "text", "spans")
-    return joined.mapInArrow(cut, f"row struct<{kind}>, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+    return joined.mapInArrow(cut, f"row struct<{kind}>, n_bytes long, spans array<struct<start: int, end: int>>, kept {'string' if as_text else 'binary'}")
