@@ -45,6 +45,31 @@ SELECT l_partkey AS variant, p_type AS drug, s_nationkey AS site_id,
   CASE l_returnflag WHEN 'R' THEN 'resistant' WHEN 'A' THEN 'susceptible' ELSE 'indeterminate' END AS call,
   CASE s_suppkey % 3 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' END AS version
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
+    "vcf": """
+SELECT CAST(o_custkey AS VARCHAR(9)) AS file, l_partkey % 200 + 1 AS pos, l_linenumber % 3 AS kind,
+  CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'CAG' ELSE 'g' END AS ref, CASE l_linenumber % 3 WHEN 0 THEN 'T,<DEL>' WHEN 1 THEN 'CAT,CTG' ELSE 'c' END AS alt,
+  CASE WHEN l_tax = 0.01 THEN 'LowQual' ELSE 'PASS' END AS filter,
+  CASE WHEN l_discount = 0.05 THEN './.' WHEN l_returnflag = 'R' THEN '1/1' WHEN l_returnflag = 'A' THEN '0|2' ELSE '0/0' END AS gt
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "coordinates": """
+SELECT DISTINCT p_partkey % 60 + 1 + CASE p_partkey % 60 % 3 WHEN 1 THEN 2 ELSE 0 END AS pos, CASE p_partkey % 60 % 3 WHEN 0 THEN 'A' ELSE 'G' END AS ref,
+  CASE p_partkey % 60 % 3 WHEN 2 THEN 'C' ELSE 'T' END AS alt, CONCAT('m', CAST(p_partkey % 60 AS VARCHAR(9))) AS label FROM part""",
+    "required": "SELECT DISTINCT p_type AS drug, p_brand AS locus FROM part WHERE p_partkey < 30",
+    "evidence": """
+SELECT o_custkey AS isolate_id, p_type AS drug, CASE WHEN l_returnflag = 'R' THEN 'resistant' WHEN l_returnflag = 'A' THEN 'susceptible' WHEN l_linenumber % 2 = 0 THEN 'indeterminate' ELSE 'no_call' END AS call,
+  CASE WHEN l_linenumber = 1 THEN 'phenotypic' ELSE 'catalogued' END AS tier, CASE WHEN l_quantity > 25 THEN 'isolate' ELSE 'variant' END AS scope, l_discount > 0.05 AS asserts_coverage
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_partkey % 4 = 0""",
+    "blocks": """
+SELECT CAST(l_partkey % 5 AS VARCHAR(9)) AS chrom, l_orderkey AS block_id, l_partkey * 10 AS start, l_partkey * 10 + CAST(FLOOR(l_quantity) AS BIGINT) * 7 AS stop, l_linenumber * 5 AS depth FROM lineitem WHERE l_linenumber <= 2""",
+    "spans": "SELECT CAST(p_partkey % 5 AS VARCHAR(9)) AS chrom, p_partkey AS locus, p_partkey * 10 AS start, p_partkey * 10 + p_size * 20 AS stop FROM part",
+    "determinants": "SELECT DISTINCT o_orderpriority AS drug, CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 50 < 2 AND o_orderpriority < '3'",
+    "wide": """
+SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CONCAT('R', CAST(c_custkey AS VARCHAR(9))) END AS run,
+  CASE c_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 's' WHEN 2 THEN '' ELSE 'I' END AS rif_phenotype, CASE c_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS rif_quality, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '0.5' END AS rif_mic,
+  CASE c_nationkey % 3 WHEN 0 THEN 'S' WHEN 1 THEN ' R ' END AS inh_phenotype, 'high' AS inh_quality, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE '>8' END AS inh_mic FROM customer""",
+    "stream_rows": """
+SELECT CAST(event_id % 7 AS VARCHAR(9)) AS cohort_id, event_type AS drug, CASE user_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'L1' ELSE 'L2' END AS lineage,
+  CASE WHEN value < 30 THEN 'resistant' WHEN value < 70 THEN 'Susceptible' ELSE 'not_assessed' END AS predicted, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'R' ELSE 's' END AS phenotype FROM events""",
 }
 
 

@@ -76,6 +76,25 @@ sh AS (SELECT sz.drug AS drug, sz.site_id AS site_id, n_a, n_b, coalesce(n_pairs
 sf AS (SELECT drug, site_id, n_a, n_b, n_pairs, n_decisive, refused, CASE WHEN refused IS NULL THEN round(CAST(net AS DOUBLE) / n_decisive, 6) + 0.0 END AS delta FROM sh)
 """
 
+_ALLELES = """, st AS (SELECT *, CASE WHEN filter = 'LowQual' OR gt = './.' THEN 'filtered' WHEN gt = '0|2' AND kind = 2 THEN 'error' ELSE 'ok' END AS status FROM vcf),
+al AS (SELECT file, status, gt, pos AS p, 'A' AS r, 'T' AS a, 1 AS i FROM st WHERE kind = 0 UNION ALL SELECT file, status, gt, pos + 2, 'G', 'T', 1 FROM st WHERE kind = 1
+  UNION ALL SELECT file, status, gt, pos + 1, 'A', 'T', 2 FROM st WHERE kind = 1 UNION ALL SELECT file, status, gt, pos, 'G', 'C', 1 FROM st WHERE kind = 2),
+ac AS (SELECT *, gt = '1/1' AND i = 1 OR gt = '0|2' AND i = 2 AS carried FROM al),
+gm AS (SELECT file, label, max(carried) AS carried FROM ac JOIN coordinates AS c ON ac.p = c.pos AND ac.r = c.ref AND ac.a = c.alt WHERE status = 'ok' GROUP BY file, label)
+"""
+_GATE = """, gt AS (SELECT i.isolate_id AS isolate_id, r.drug AS drug, r.locus AS locus, coalesce(callable_fraction >= 0.75, false) AND coalesce(mean_depth >= 10, true) AS ok
+  FROM isolates AS i CROSS JOIN required AS r LEFT JOIN coverage AS c ON c.isolate_id = i.isolate_id AND c.locus = r.locus),
+gate AS (SELECT isolate_id, drug, bool_and(ok) AS adequate, COUNT(*) AS n_required, coalesce(string_agg(CASE WHEN NOT ok THEN locus END, ',' ORDER BY locus), '') AS missing FROM gt GROUP BY isolate_id, drug)
+"""
+_RECONCILED = _GATE + """, fx AS (SELECT isolate_id, drug, COUNT(*) AS n,
+  bool_or(tier <> 'phenotypic' AND call = 'resistant') AS r, bool_or(tier <> 'phenotypic' AND call = 'indeterminate') AS i, bool_or(tier <> 'phenotypic' AND call = 'no_call') AS x,
+  bool_or(tier <> 'phenotypic' AND call = 'susceptible' AND scope = 'isolate') AS w, bool_or(tier <> 'phenotypic' AND call = 'susceptible' AND scope = 'isolate' AND asserts_coverage) AS s,
+  MIN(CASE WHEN tier = 'phenotypic' THEN call END) AS lo, MAX(CASE WHEN tier = 'phenotypic' THEN call END) AS hi FROM evidence GROUP BY isolate_id, drug),
+gc AS (SELECT gate.isolate_id AS isolate_id, gate.drug AS drug, coalesce(n, 0) AS n, CASE WHEN r AND w THEN 'indeterminate' WHEN r THEN 'resistant' WHEN i THEN 'indeterminate' WHEN x THEN 'no_call' WHEN s THEN 'susceptible' WHEN NOT adequate THEN 'not_assessed' ELSE 'indeterminate' END AS g,
+  CASE WHEN lo = hi THEN lo WHEN lo IS NOT NULL THEN 'indeterminate' END AS m FROM gate LEFT JOIN fx ON fx.isolate_id = gate.isolate_id AND fx.drug = gate.drug),
+rc AS (SELECT isolate_id, drug, g AS genomic_call, m AS phenotypic_call, CASE WHEN m IS NULL THEN g WHEN m NOT IN ('resistant', 'susceptible') THEN 'indeterminate' WHEN g IN ('resistant', 'susceptible') AND g <> m THEN 'indeterminate' ELSE m END AS call, n AS n_evidence FROM gc)
+"""
+
 SQL = {
     "accuracy_by_lineage": with_bindings("calls", _EVALUABLE + f""", k AS (SELECT drug, CASE WHEN GROUPING(l) = 1 THEN 'all' ELSE l END AS lineage, {_COUNTS} FROM e GROUP BY GROUPING SETS ((drug), (drug, l)))
 SELECT k.*, {', '.join(f'round({_rate(n)}, 6) + 0.0 AS {n}' for n in _RATES)}, {', '.join(_wilson(n) for n in ('sensitivity', 'specificity', 'vme_rate', 'me_rate', 'call_rate'))} FROM k"""),
@@ -148,4 +167,39 @@ SELECT reason, COUNT(*) AS n, MIN(seq) AS first_seq FROM (SELECT seq, CASE WHEN
     "ticket_replay": """SELECT user_id, event_id, action, previous, CASE previous WHEN 'start' THEN action IN ('signup', 'view') WHEN 'signup' THEN action IN ('view', 'click') WHEN 'view' THEN action IN ('click', 'purchase', 'view')
   WHEN 'click' THEN action IN ('purchase', 'view') WHEN 'purchase' THEN action = 'view' WHEN 'error' THEN action = 'view' ELSE false END AS allowed
 FROM (SELECT user_id, event_id, event_type AS action, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), 'start') AS previous FROM events)""",
+    "genotype_match": with_bindings("vcf coordinates", _ALLELES + "SELECT * FROM gm"),
+    "carriers_per_variant": with_bindings("vcf coordinates", _ALLELES + "SELECT label, COUNT(DISTINCT file) AS n_carriers FROM gm WHERE carried GROUP BY label"),
+    "scan_status": with_bindings("vcf coordinates", _ALLELES + "SELECT status, COUNT(*) AS n_alleles, COUNT(CASE WHEN carried THEN 1 END) AS n_carried FROM ac GROUP BY status"),
+    "trimmed_alleles": with_bindings("vcf", """ SELECT DISTINCT pos, ref, 'CAT' AS alt, pos + 2 AS new_pos, 'G' AS new_ref, 'T' AS new_alt FROM vcf WHERE kind = 1
+UNION ALL SELECT DISTINCT pos, ref, 'CTG', pos + 1, 'A', 'T' FROM vcf WHERE kind = 1"""),
+    "gvcf_coverage": with_bindings("blocks spans", """, ov AS (SELECT s.chrom AS chrom, s.locus AS locus, least(b.stop, s.stop) - greatest(b.start, s.start) AS o, depth FROM blocks AS b JOIN spans AS s ON b.chrom = s.chrom AND b.start < s.stop AND s.start < b.stop),
+os AS (SELECT chrom, locus, SUM(CASE WHEN depth >= 10 THEN o END) AS ok, SUM(depth * o) AS d, SUM(o) AS c FROM ov GROUP BY chrom, locus)
+SELECT s.chrom AS chrom, s.locus AS locus, round(least(1.0, coalesce(ok, 0) / CAST(s.stop - s.start AS DOUBLE)), 6) + 0.0 AS callable_fraction, round(d / CAST(c AS DOUBLE), 6) + 0.0 AS mean_depth
+FROM spans AS s LEFT JOIN os ON os.chrom = s.chrom AND os.locus = s.locus"""),
+    "coverage_merge": with_bindings("coverage", """, tw AS (SELECT isolate_id, locus, CASE WHEN mean_depth % 3 > 0 THEN CAST(callable_fraction AS DOUBLE) END AS f FROM coverage)
+SELECT isolate_id, locus, round(greatest(coalesce(f, 0.0), 0.9), 6) + 0.0 AS callable_fraction, CASE WHEN f >= CAST(0.9 AS DOUBLE) THEN 'a' ELSE 'b' END AS source FROM tw"""),
+    "required_loci_gate": with_bindings("isolates required coverage", _GATE + "SELECT * FROM gate"),
+    "locus_callability": with_bindings("coverage", " SELECT locus, COUNT(callable_fraction) AS n_known, COUNT(CASE WHEN callable_fraction >= 0.8 THEN 1 END) AS n_callable, round(COUNT(CASE WHEN callable_fraction >= 0.8 THEN 1 END) / CAST(COUNT(callable_fraction) AS DOUBLE), 6) + 0.0 AS share FROM coverage GROUP BY locus"),
+    "reconciled_calls": with_bindings("isolates required coverage evidence", _RECONCILED + "SELECT * FROM rc"),
+    "regimen_eligibility": with_bindings("isolates required coverage evidence", _RECONCILED + """, mb AS (SELECT DISTINCT drug, 'all' AS regimen, 2 AS min_required FROM required UNION ALL SELECT DISTINCT drug, 'first', 1 FROM required WHERE drug < 'M')
+SELECT isolate_id, regimen, min_required, COUNT(CASE WHEN call = 'susceptible' THEN 1 END) AS n_usable, coalesce(string_agg(CASE WHEN call = 'resistant' THEN rc.drug END, ',' ORDER BY rc.drug), '') AS resistant,
+  coalesce(string_agg(CASE WHEN call NOT IN ('susceptible', 'resistant') THEN rc.drug END, ',' ORDER BY rc.drug), '') AS unestablished, greatest(0, min_required - COUNT(CASE WHEN call = 'susceptible' THEN 1 END)) AS shortfall,
+  COUNT(CASE WHEN call = 'susceptible' THEN 1 END) >= min_required AS eligible FROM rc JOIN mb ON rc.drug = mb.drug GROUP BY isolate_id, regimen, min_required"""),
+    "strata_carriers": with_bindings("isolates carriage determinants", """, bg AS (SELECT c.isolate_id AS isolate_id, d.drug AS drug, string_agg(DISTINCT c.label, '+' ORDER BY c.label) AS b FROM carriage AS c JOIN determinants AS d ON c.label = d.label GROUP BY c.isolate_id, d.drug),
+pl AS (SELECT i.*, d.drug AS drug, coalesce(b, '') AS background FROM isolates AS i CROSS JOIN (SELECT DISTINCT drug FROM determinants) AS d LEFT JOIN bg ON bg.isolate_id = i.isolate_id AND bg.drug = d.drug),
+sz AS (SELECT drug, background, lineage, site_id, COUNT(*) AS n FROM pl GROUP BY drug, background, lineage, site_id),
+hd AS (SELECT label, drug, background, lineage, site_id, COUNT(*) AS k FROM pl JOIN carriage AS c ON c.isolate_id = pl.isolate_id WHERE label LIKE 'g7%' GROUP BY label, drug, background, lineage, site_id)
+SELECT label, hd.drug AS drug, hd.background AS background, hd.lineage AS lineage, hd.site_id AS site_id, k AS n_carriers, n - k AS n_others FROM hd JOIN sz ON hd.drug = sz.drug AND hd.background = sz.background AND hd.lineage IS NOT DISTINCT FROM sz.lineage AND hd.site_id = sz.site_id"""),
+    "determinant_cooccurrence": with_bindings("carriage determinants", """, mi AS (SELECT isolate_id, label FROM carriage WHERE label LIKE 'g7%'), tt AS (SELECT label, COUNT(*) AS n FROM mi GROUP BY label)
+SELECT mi.label AS candidate, c.label AS label, COUNT(*) AS n_both, round(COUNT(*) / CAST(max(n) AS DOUBLE), 6) + 0.0 AS fraction FROM mi JOIN carriage AS c ON c.isolate_id = mi.isolate_id JOIN tt ON tt.label = mi.label
+WHERE c.label IN (SELECT label FROM determinants) AND c.label <> mi.label GROUP BY mi.label, c.label"""),
+    "phenotypes_long": with_bindings("wide", """, ln AS (SELECT sample_id, run, 'rifampicin' AS drug, nullif(trim(rif_phenotype), '') AS phenotype, nullif(trim(rif_quality), '') AS quality, nullif(trim(rif_mic), '') AS mic FROM wide
+UNION ALL SELECT sample_id, run, 'isoniazid', nullif(trim(inh_phenotype), ''), nullif(trim(inh_quality), ''), nullif(trim(inh_mic), '') FROM wide),
+rs AS (SELECT *, CASE WHEN phenotype IS NULL THEN 'no phenotype' WHEN upper(phenotype) NOT IN ('R', 'S') THEN 'not R or S' WHEN coalesce(upper(quality), '') <> 'HIGH' THEN 'quality' END AS reason
+  FROM ln WHERE run <> 'NONE' AND sample_id % 10 <> 3 AND (phenotype IS NOT NULL OR mic IS NOT NULL))
+SELECT *, reason IS NULL AS evaluable FROM rs"""),
+    "monitoring_totals": with_bindings("stream_rows", """, ev AS (SELECT drug, coalesce(nullif(trim(lineage), ''), 'unknown') AS lineage, lower(predicted) AS c, upper(phenotype) AS p FROM stream_rows WHERE phenotype IS NOT NULL)
+SELECT drug, lineage, COUNT(CASE WHEN c = 'resistant' AND p = 'R' THEN 1 END) AS tp, COUNT(CASE WHEN c = 'resistant' AND p = 'S' THEN 1 END) AS fp, COUNT(CASE WHEN c = 'susceptible' AND p = 'S' THEN 1 END) AS tn,
+  COUNT(CASE WHEN c = 'susceptible' AND p = 'R' THEN 1 END) AS fn, COUNT(CASE WHEN c = 'not_assessed' THEN 1 END) AS abstained FROM ev GROUP BY drug, lineage"""),
+    "event_trend": """SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS start, COUNT(value) AS n, round(AVG(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2""",
 }

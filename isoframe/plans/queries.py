@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.operators import accuracy, censored, federated, ledger, selective, testing
-from isoframe.plans.bindings import bound
+from isoframe.functions import alleles
+from isoframe.operators import accuracy, censored, coverage, evidence, federated, ledger, selective, strata, testing
+from isoframe.plans.bindings import BINDINGS, bound
+from isoframe.sources import phenotypes, vcf
+from isoframe.sources.scratch import shared_path
+from isoframe.streaming import monitoring
 
 #: Targets of the bound drugs: sensitivity, specificity, call rate, evaluable rows. One drug has none.
 TARGET_ROWS = [
@@ -179,9 +183,97 @@ def ticket_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replay(events, allowed, "user_id", "event_id", "action")
 
 
+def _vcf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bound(spark, sf_dir, "vcf")
+    line = F.concat_ws("\t", F.lit("chr"), F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), "filter", F.lit("."), F.lit("GT:DP"), F.concat("gt", F.lit(":10")))
+    return rows.select("file", line.alias("value"))
+
+
+def genotype_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = bound(spark, sf_dir, "coordinates")
+    return vcf.matched(vcf.alleles(vcf.candidates(_vcf_text(spark, sf_dir), catalogue)), catalogue)
+
+
+def carriers_per_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genotype_match(spark, sf_dir).where("carried").groupBy("label").agg(F.count_distinct("file").alias("n_carriers"))
+
+
+def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.alleles(vcf.sites(_vcf_text(spark, sf_dir))).groupBy("status").agg(F.count("*").alias("n_alleles"), F.count(F.when(F.col("carried"), 1)).alias("n_carried"))
+
+
+def trimmed_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bound(spark, sf_dir, "vcf").where("kind = 1").select("pos", "ref", F.explode(F.split("alt", ",")).alias("alt")).distinct()
+    return rows.withColumn("t", alleles.trimmed(F.col("pos"), F.col("ref"), F.col("alt"))).select("pos", "ref", "alt", F.col("t.pos").alias("new_pos"), F.col("t.ref").alias("new_ref"), F.col("t.alt").alias("new_alt"))
+
+
+def gvcf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = bound(spark, sf_dir, "blocks").withColumnRenamed("stop", "end")
+    return _rounded(coverage.from_blocks(blocks, bound(spark, sf_dir, "spans").withColumnRenamed("stop", "end"), ["chrom"], floor=10))
+
+
+def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bound(spark, sf_dir, "coverage")
+    two = rows.withColumn("source", F.lit("a")).withColumn("callable_fraction", F.when(F.col("mean_depth") % 3 > 0, F.col("callable_fraction").cast("double")))
+    two = two.unionByName(rows.withColumn("source", F.lit("b")).withColumn("callable_fraction", F.lit(0.9)))
+    return _rounded(coverage.best_source(two.select("isolate_id", "locus", "callable_fraction", "source"), ["isolate_id", "locus"]))
+
+
+def required_loci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.required_loci(bound(spark, sf_dir, "isolates"), bound(spark, sf_dir, "required"), bound(spark, sf_dir, "coverage"), min_fraction=0.75)
+
+
+def locus_callability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(coverage.locus_callability(bound(spark, sf_dir, "coverage"), 0.8))
+
+
+def reconciled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = required_loci_gate(spark, sf_dir)
+    return evidence.reconcile(bound(spark, sf_dir, "evidence"), gate.select("isolate_id", "drug"), gate)
+
+
+def regimen_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = bound(spark, sf_dir, "required").select("drug").distinct().select(F.explode(F.array(F.lit("all"), F.when(F.col("drug") < "M", "first"))).alias("regimen"), "drug").where("regimen IS NOT NULL")
+    members = members.withColumn("min_required", F.when(F.col("regimen") == "all", 2).otherwise(1))
+    return evidence.regimens(reconciled_calls(spark, sf_dir), members)
+
+
+def strata_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    carriage, determinants = bound(spark, sf_dir, "carriage"), bound(spark, sf_dir, "determinants")
+    placed = strata.background(bound(spark, sf_dir, "isolates"), carriage, determinants)
+    return strata.carriers(placed, carriage, carriage.where("label LIKE 'g7%'").select("label").distinct())
+
+
+def determinant_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    carriage = bound(spark, sf_dir, "carriage")
+    return _rounded(strata.cooccurrence(carriage, carriage.where("label LIKE 'g7%'").select("label").distinct(), bound(spark, sf_dir, "determinants")))
+
+
+def phenotypes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = bound(spark, sf_dir, "wide")
+    return phenotypes.phenotypes_long(wide, {"rif": "rifampicin", "inh": "isoniazid"}, wide.where("sample_id % 10 = 3").select("sample_id"))
+
+
+def monitoring_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, ingested twice: the second time changes nothing."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    table = shared_path(spark, "monitoring")
+    for _ in range(2):
+        spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").createOrReplaceTempView("events")
+        monitoring.ingest(spark.sql(BINDINGS["stream_rows"]), table, shared_path(spark, "stream")).awaitTermination()
+    return monitoring.totals(spark.read.parquet(table))
+
+
+def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitoring.trend(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "6 hours")
+    return _rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_lineage, accuracy_verdicts, verdict_counts, engine_concordance, aligned_concordance, engine_agreement, species_control, call_distribution,
     call_matrix, risk_coverage_curve, risk_coverage_area, matched_coverage, mic_parsed, censoring_profile, censored_median, censored_shift, pooled_shift,
     holm_adjusted, discoveries, federated_associations, disclosure_check, small_cell_suppression, study_dependence, cohort_summary, site_discordance,
-    latest_call, drift_state, calibration_error, ledger_links, ticket_replay,
+    latest_call, drift_state, calibration_error, ledger_links, ticket_replay, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
+    required_loci_gate, locus_callability, reconciled_calls, regimen_eligibility, strata_carriers, determinant_cooccurrence, phenotypes_long,
+    monitoring_totals, event_trend,
 )}
