@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from isoframe.llm.common import mix, prefix_hash, release, slices, span_hash, text_bytes, written
 
 GRAM = 33
+#: Bytes of text handled at once; a task needs about a hundred times as much memory.
+SLICE = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -62,7 +64,7 @@ def _starts(docs: DataFrame, length: int) -> DataFrame:
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column("text"))
             row, p, s0, s1, sums = anchors(data, offsets, length)
             base, top = offsets[row], offsets[row + 1]
@@ -101,7 +103,7 @@ def _contexts(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column("text"))
             found = batch.column("places")
             row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
@@ -125,7 +127,7 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
     """Blocks of ``block`` starts of each context: bucket by the bytes common to their strings, extent by all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "context"):
+        for batch in slices(batches, "context", SLICE):
             data, offsets = text_bytes(batch.column("context"))
             sums = prefix_hash(data)
             at, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in ("at", "low", "high"))
@@ -149,7 +151,7 @@ def _strings(contexts: DataFrame, left: DataFrame, length: int) -> DataFrame:
     """Every single string of the blocks in ``left``: text_key, start s, weight and bucket (its hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "context"):
+        for batch in slices(batches, "context", SLICE):
             data, offsets = text_bytes(batch.column("context"))
             sums = prefix_hash(data)
             found = batch.column("blocks")
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", a
     spans = repeated_spans(texts, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column("text"))
             merged, kept = [], []
             for k, found in enumerate(batch.column("spans").to_pylist()):
