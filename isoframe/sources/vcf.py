@@ -73,6 +73,8 @@ def matched(rows: DataFrame, catalogue: DataFrame, broadcast_rows: int = 2_000_0
     hint = "broadcast" if catalogue.count() <= broadcast_rows else "merge"
     keys = catalogue.select(F.col("pos").alias("_p"), F.upper("ref").alias("_r"), F.upper("alt").alias("_a"), "label").distinct().hint(hint)
     ok = rows.where("status = 'ok'").withColumn("_raw", F.struct(F.col("pos").cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt")))
-    spelled = ok.withColumn("_key", F.explode(F.array_distinct(F.array("_raw", trimmed(F.col("pos"), F.col("ref"), F.col("alt"))))))
+    several = (F.length("ref") > 1) & (F.length("alt") > 1)
+    spellings = F.when(several, F.array("_raw", trimmed(F.col("pos"), F.col("ref"), F.col("alt")))).otherwise(F.array("_raw"))
+    spelled = ok.withColumn("_key", F.explode(spellings))
     joined = spelled.join(keys, (F.col("_key.pos") == F.col("_p")) & (F.col("_key.ref") == F.col("_r")) & (F.col("_key.alt") == F.col("_a")))
     return joined.groupBy("file", "label").agg(F.max("carried").alias("carried"))
