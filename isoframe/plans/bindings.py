@@ -70,6 +70,10 @@ SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CON
     "stream_rows": """
 SELECT CAST(event_id % 7 AS VARCHAR(9)) AS cohort_id, event_type AS drug, CASE user_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'L1' ELSE 'L2' END AS lineage,
   CASE WHEN value < 30 THEN 'resistant' WHEN value < 70 THEN 'Susceptible' ELSE 'not_assessed' END AS predicted, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'R' ELSE 's' END AS phenotype FROM events""",
+    "master": """
+SELECT DISTINCT CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CASE WHEN l_partkey % 97 = 5 THEN ' ' ELSE CONCAT('c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS change, o_orderpriority AS drug,
+  CASE (l_partkey + o_custkey % 3) % 7 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '2) Assoc w R - Interim ' WHEN 2 THEN '3) Uncertain significance' WHEN 3 THEN '4) Not assoc w R - Interim' WHEN 4 THEN '5) not assoc w r' WHEN 5 THEN '3) uncertain significance' ELSE 'other' END AS grade
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
 }
 
 

@@ -202,4 +202,19 @@ SELECT *, reason IS NULL AS evaluable FROM rs"""),
 SELECT drug, lineage, COUNT(CASE WHEN c = 'resistant' AND p = 'R' THEN 1 END) AS tp, COUNT(CASE WHEN c = 'resistant' AND p = 'S' THEN 1 END) AS fp, COUNT(CASE WHEN c = 'susceptible' AND p = 'S' THEN 1 END) AS tn,
   COUNT(CASE WHEN c = 'susceptible' AND p = 'R' THEN 1 END) AS fn, COUNT(CASE WHEN c = 'not_assessed' THEN 1 END) AS abstained FROM ev GROUP BY drug, lineage"""),
     "event_trend": """SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS start, COUNT(value) AS n, round(AVG(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2""",
+    "catalogue_entries": with_bindings("master", """, gr AS (SELECT gene, change, drug, CASE lower(trim(grade)) WHEN '1) assoc w r' THEN 3 WHEN '2) assoc w r - interim' THEN 3 WHEN '3) uncertain significance' THEN 2 WHEN '4) not assoc w r - interim' THEN 1 WHEN '5) not assoc w r' THEN 1 END AS g FROM master WHERE trim(change) <> '')
+SELECT gene, change, string_agg(DISTINCT drug, ',' ORDER BY drug) AS drugs, CASE max(g) WHEN 3 THEN 'resistant' WHEN 2 THEN 'uncertain' ELSE 'not_associated' END AS call, gene || '_' || change AS label FROM gr WHERE g IS NOT NULL GROUP BY gene, change"""),
+    "catalogue_skipped": with_bindings("master", " SELECT CASE WHEN trim(change) = '' THEN 'incomplete' ELSE 'unknown grade' END AS skip_reason, COUNT(*) AS n FROM master WHERE trim(change) = '' OR grade = 'other' GROUP BY 1"),
+    "generalizability": with_bindings("calls", " SELECT drug, COUNT(DISTINCT lineage) AS n_lineages, string_agg(DISTINCT lineage, ',' ORDER BY lineage) AS lineages, COUNT(DISTINCT lineage) >= 2 AS generalizable FROM calls GROUP BY drug"),
+    "population_prevalence": with_bindings("calls", """ SELECT drug, lineage, site, COUNT(CASE WHEN phenotype IN ('R', 'S') THEN 1 END) AS n_tested, COUNT(CASE WHEN phenotype = 'R' THEN 1 END) AS n_resistant, CAST(GROUPING(drug, lineage, site) AS INTEGER) AS level,
+  CASE WHEN COUNT(CASE WHEN phenotype IN ('R', 'S') THEN 1 END) > 0 THEN round(COUNT(CASE WHEN phenotype = 'R' THEN 1 END) / CAST(COUNT(CASE WHEN phenotype IN ('R', 'S') THEN 1 END) AS DOUBLE), 6) + 0.0 END AS rate FROM (SELECT *, CAST(site_id AS VARCHAR) AS site FROM calls) GROUP BY ROLLUP (drug, lineage, site)"""),
+    "tier_composition": with_bindings("evidence", " SELECT drug, tier, COUNT(*) AS n, round(COUNT(*) / CAST(SUM(COUNT(*)) OVER (PARTITION BY drug) AS DOUBLE), 6) + 0.0 AS share FROM evidence GROUP BY drug, tier"),
+    "isolate_sample": with_bindings("isolates", " SELECT isolate_id, site_id, lineage FROM isolates ORDER BY md5('7:' || CAST(isolate_id AS VARCHAR)), isolate_id LIMIT 40"),
+    "validation_queue": with_bindings("pvalues", """, rb AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM (SELECT CAST(p AS DOUBLE) AS p FROM pvalues WHERE p IS NOT NULL)),
+tb AS (SELECT max(p) AS t FROM rb WHERE p <= CAST(0.9 AS DOUBLE) * k / m),
+sc AS (SELECT pair_id, coalesce(CAST(p AS DOUBLE) <= (SELECT t FROM tb), false) AS survives, round((pair_id * 13 % 200 - 100) / CAST(100 AS DOUBLE), 6) + 0.0 AS delta FROM pvalues)
+SELECT * FROM sc ORDER BY survives DESC, abs(delta) DESC, pair_id LIMIT 50"""),
+    "predictions_with_truth": with_bindings("calls", """ SELECT p.sample_id AS sample_id, p.drug AS drug, p.call_a AS call_a, t.phenotype AS truth, CASE WHEN t.phenotype IS NULL THEN 'no truth' END AS dropped
+FROM calls AS p LEFT JOIN (SELECT * FROM calls WHERE phenotype IS NOT NULL AND sample_id % 3 > 0) AS t ON p.sample_id = t.sample_id AND p.drug = t.drug"""),
+    "cohort_fingerprint": with_bindings("cohort", " SELECT COUNT(*) AS n, CAST(SUM(CAST('0x' || substr(md5(concat_ws('|', CAST(sample_id AS VARCHAR), project, tier, organism, CAST(bases AS VARCHAR))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM cohort"),
 }

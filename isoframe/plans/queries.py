@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.functions import alleles
-from isoframe.operators import accuracy, censored, coverage, evidence, federated, ledger, selective, strata, testing
+from isoframe.operators import accuracy, catalogue, censored, coverage, evidence, federated, ledger, selective, strata, testing, views
 from isoframe.plans.bindings import BINDINGS, bound
 from isoframe.sources import phenotypes, vcf
 from isoframe.sources.scratch import shared_path
@@ -269,11 +269,53 @@ def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
 
 
+def catalogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.ingest(bound(spark, sf_dir, "master"))
+
+
+def catalogue_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.skipped(bound(spark, sf_dir, "master"))
+
+
+def generalizability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.generalizability(bound(spark, sf_dir, "calls"))
+
+
+def population_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = bound(spark, sf_dir, "calls").withColumn("site", F.col("site_id").cast("string"))
+    return _rounded(views.prevalence(calls, ["drug", "lineage", "site"]))
+
+
+def tier_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(views.composition(bound(spark, sf_dir, "evidence"), "drug", "tier"))
+
+
+def isolate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.seeded_sample(bound(spark, sf_dir, "isolates"), "isolate_id", 40, 7)
+
+
+def validation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = bound(spark, sf_dir, "pvalues").withColumn("p", F.col("p").cast("double"))
+    scan = testing.benjamini_hochberg(p, alpha=0.9).withColumn("delta", (F.col("pair_id") * 13 % 200 - 100) / 100.0)
+    return _rounded(views.validation_queue(scan.select("pair_id", "survives", "delta")))
+
+
+def predictions_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = bound(spark, sf_dir, "calls")
+    truths = calls.where("phenotype IS NOT NULL AND sample_id % 3 > 0").select("sample_id", "drug", F.col("phenotype").alias("truth"))
+    return views.with_truth(calls.select("sample_id", "drug", "call_a"), truths, ["sample_id", "drug"])
+
+
+def cohort_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.fingerprint(bound(spark, sf_dir, "cohort"), ["sample_id", "project", "tier", "organism", "bases"])
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_lineage, accuracy_verdicts, verdict_counts, engine_concordance, aligned_concordance, engine_agreement, species_control, call_distribution,
     call_matrix, risk_coverage_curve, risk_coverage_area, matched_coverage, mic_parsed, censoring_profile, censored_median, censored_shift, pooled_shift,
     holm_adjusted, discoveries, federated_associations, disclosure_check, small_cell_suppression, study_dependence, cohort_summary, site_discordance,
     latest_call, drift_state, calibration_error, ledger_links, ticket_replay, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
     required_loci_gate, locus_callability, reconciled_calls, regimen_eligibility, strata_carriers, determinant_cooccurrence, phenotypes_long,
-    monitoring_totals, event_trend,
+    monitoring_totals, event_trend, catalogue_entries, catalogue_skipped, generalizability, population_prevalence, tier_composition, isolate_sample,
+    validation_queue, predictions_with_truth, cohort_fingerprint,
 )}
