@@ -6,8 +6,10 @@ prefixes and two of their longer prefixes. Light (small) sets are listed under e
 pair of shingles of the longer prefix, heavy sets under each shingle of the prefix.
 The boundary is where enumerating pairs costs more than scanning the lists.
 
-Links are only sought while they can still join two components: first between
-neighbours of each list, then between members of different components.
+Links are only sought while they can still join two components: first of each list's
+members with their neighbours and with the one that has most to share, then between
+members of different components. Prefix shingles that no other prefix holds bound what
+a set can share, which rules out most of the rest.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import COUNTS, LOWER, WHITE, count_rows, mix, shingle_hashes, slices, summed_counts, text_bytes, word_hashes, written
+from isoframe.llm.common import COUNTS, LOWER, WHITE, count_rows, mix, release, shingle_hashes, slices, summed_counts, text_bytes, word_hashes, written
 from isoframe.llm.components import connected
 
 WIDTH = 5
-_INDEX = "key long, id long, n int, pos int"
+_INDEX = "key long, id long, n int, pos int, stop int"
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +97,8 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int, width: int, text_col: str) -> DataFrame:
     """List entries (columns of _INDEX) of every set; id is the set's digest.
 
+    ``stop`` is the count at which the set's prefix ends in the order of rarity.
+
     Sets of up to ``light`` shingles are listed under pairs; those large enough to link
     with a larger set also under single shingles. Keys of pairs and of single shingles
     are told apart by their last bit.
@@ -114,12 +118,15 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int,
                     fresh[k] = True
             keep = fresh[rows]
             rows, hashes = rows[keep], hashes[keep]
-            order = np.lexsort((hashes, held.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)], rows))
-            rows, hashes = rows[order], hashes[order]
+            count = held.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+            order = np.lexsort((hashes, count, rows))
+            rows, hashes, count = rows[order], hashes[order], count[order]
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
             pos = np.arange(len(rows)) - at[rows]
             n = size[rows]
             prefix = n - _needed(n, percent) + 1
+            last = at[:-1] + np.minimum(size - _needed(size, percent), np.maximum(size - 1, 0))
+            stop = count[np.minimum(last, max(len(count) - 1, 0))] if len(count) else np.zeros(len(size))
             single = (pos < prefix) & (n >= _needed(np.int64(light + 1), percent))
             keys, owner, place = [hashes[single] & ~np.uint64(1)], [rows[single]], [pos[single]]
             longest = int(light - _needed(np.int64(light), percent) + 2) if light else 0
@@ -131,17 +138,26 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int,
                     place.append(np.full(len(first), i))
             owner = np.concatenate(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(digest[owner]), pa.array(size[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))],
-                ["key", "id", "n", "pos"],
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(digest[owner]), pa.array(size[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(stop[owner].astype(np.int32))],
+                ["key", "id", "n", "pos", "stop"],
             )
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, _INDEX)
 
 
-def _may_link(n: str, pos: str, m: str, other: str, percent: int) -> Column:
-    """Size bound, and the overlap that is still possible at a shared shingle (sizes n <= m)."""
-    most = f"least({pos}, {other}) + 1 + least({n} - {pos}, {m} - {other}) - 1"
-    return F.expr(f"100 * {n} >= {percent} * {m} AND ((key & 1) = 1 OR ({100 + percent}) * ({most}) >= {percent} * ({n} + {m}))")
+def _may_link(x: str, y: str, percent: int, light: int) -> Column:
+    """Whether sizes, the most that they can share, and the place of the shared shingle allow a link.
+
+    ``x`` and ``y`` name structs of n, id, pos, stop and most, with x's set not larger; one
+    of two sets that share a single shingle must be heavy. A set whose prefix stops first
+    shares no more than its ``most`` with the other, as all its prefix shingles that the
+    other holds are in the other's prefix too.
+    """
+    need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+    bound = f"CASE WHEN {x}.stop < {y}.stop THEN {x}.most WHEN {y}.stop < {x}.stop THEN {y}.most ELSE greatest({x}.most, {y}.most) END"
+    whole = f"{100 + percent} * ({bound}) >= {percent} * ({x}.n + {y}.n)"
+    place = f"{x}.pos <= {x}.n - {need} AND {y}.pos <= {y}.n - {need}"
+    return F.expr(f"{x}.id <> {y}.id AND 100 * {x}.n >= {percent} * {y}.n AND {whole} AND {place} AND ((key & 1) = 1 OR {y}.n > {light})")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -177,6 +193,7 @@ def components(
 
     Sets are compared by 64-bit hashes of shingles, sets by 64-bit digests.
     """
+    spark = docs.sparkSession
     sets = written(document_sets(docs, width, id_col, text_col), "sets")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.count("*").alias("_rows"))
     classes = written(classes, "classes")
@@ -186,19 +203,33 @@ def components(
     counts = shingle_counts(docs, width, sketch_bits, text_col)
     index = prefix_index(docs, counts, light, percent, width, text_col)
 
+    # Lists of more than one set; entries of lists of one are counted by what is missing.
     order = Window.partitionBy("key").orderBy("n", "id")
-    nearby = index.withColumn("_next", F.lead(F.struct("id", "n", "pos")).over(order)).withColumn("_before", F.lag("id").over(order))
-    lists = nearby.where("_next.id <> id OR _before <> id").select(
-        "key", "id", "n", "pos", F.col("_next.id").alias("next"), F.col("_next.n").alias("next_n"), F.col("_next.pos").alias("next_pos")
+    nearby = index.withColumn("_next", F.lead("id").over(order)).withColumn("_before", F.lag("id").over(order))
+    lists = written(nearby.where("_next <> id OR _before <> id").select(*index.columns), "lists")
+    release(spark)
+
+    # A shingle that stands in no other prefix bounds what a set can share with those that have longer prefixes.
+    shared = lists.where("(key & 1) = 0").groupBy("id").agg(F.count_distinct("key").alias("_m"))
+    prefix = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    most = F.when(F.col("n") >= int(_needed(np.int64(light + 1), percent)), F.col("n") - prefix + F.coalesce("_m", F.lit(0))).otherwise(F.col("n"))
+    able = lists.distinct().join(shared.hint("merge"), "id", "left").withColumn("most", F.least("n", most).cast("int"))
+    able = written(able.select("key", F.struct("n", "id", "pos", "stop", "most").alias("s")), "able")
+    release(spark)
+
+    # First links: to the next of each list in order of size, and to the set of the list that has most to share.
+    of_key = Window.partitionBy("key")
+    tops = able.withColumn("_next", F.lead("s").over(of_key.orderBy("s"))).withColumn(
+        "_hub", F.max(F.struct((F.col("s.most") / F.col("s.n")).alias("share"), F.col("s"))).over(of_key)
     )
-    lists = written(lists, "lists")
 
-    def ordered(a: str, b: str) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
 
-    heavy = f"((key & 1) = 1 OR {{}} > {light})"
-    near = lists.where("next <> id").where(heavy.format("next_n")).where(_may_link("n", "pos", "next_n", "next_pos", percent))
-    near = written(near.select(*ordered("id", "next")).distinct(), "pairs")
+    tried = tops.select("key", "s", F.explode(F.array("_next", "_hub.s")).alias("o"))
+    tried = tried.select("key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
+    near = written(tried.where(_may_link("x", "y", percent, light)).select(*ordered("x", "y")).distinct(), "pairs")
+    release(spark)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -208,18 +239,19 @@ def components(
 
     links = written(verified(near, texts_of(near), percent, width), "links")
     roots = written(connected(links), "roots")
+    release(spark)
 
-    placed = lists.select("key", "id", "n", "pos").distinct().join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "id"))
-    of_key = Window.partitionBy("key")
+    # Then all pairs of a list that are still in different components and may link.
+    placed = able.join(roots.select(F.col("node").alias("_id"), "root").hint("merge"), F.col("s.id") == F.col("_id"), "left")
+    placed = placed.select("key", "s", F.coalesce("root", "s.id").alias("root"))
     mixed = placed.withColumn("_low", F.min("root").over(of_key)).withColumn("_high", F.max("root").over(of_key)).where("_low <> _high")
     mixed = written(mixed.drop("_low", "_high"), "mixed")
-    other = mixed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    cross = mixed.join(other.hint("merge"), "key").where("root <> root2 AND (n < n2 OR n = n2 AND id < id2)")
-    cross = cross.where(heavy.format("n2")).where(_may_link("n", "pos", "n2", "pos2", percent))
-    cross = written(cross.select(*ordered("id", "id2")).distinct().join(near.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    x, y = mixed.select("key", F.col("s").alias("x"), F.col("root").alias("root_x")), mixed.select("key", F.col("s").alias("y"), F.col("root").alias("root_y"))
+    cross = x.join(y.hint("merge"), "key").where("root_x <> root_y AND x < y").where(_may_link("x", "y", percent, light))
+    cross = written(cross.select(*ordered("x", "y")).distinct().join(near.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     more = verified(cross, texts_of(cross), percent, width)
     roots = written(connected(written(links.unionByName(more), "links")), "roots")
+    release(spark)
 
     named = classes.join(roots.select(F.col("node").alias("digest"), "root").hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
