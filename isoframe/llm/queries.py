@@ -132,6 +132,50 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT k, md5(array_to_string(w[s : s + 4], ' ')) AS x
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(s) WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM sh AS a JOIN sh AS b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.k = a JOIN n AS y ON y.k = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(k, j) AS (SELECT k, k FROM w UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.j)
+SELECT w.doc_id AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.k = w.k JOIN r ON r.k = w.k JOIN w AS o ON o.k = r.j GROUP BY w.k, w.doc_id
+"""
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS top FROM p GROUP BY d)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + (CAST('0x' || substr(p.d, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM p JOIN g ON p.d = g.d
+"""
+
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT k, s, md5(substr(h, 2 * s + 1, 400)) AS x FROM d, unnest(range(0, n - 199)) AS u(s)),
+t AS (SELECT x FROM s GROUP BY x HAVING count(*) > 1),
+v AS (SELECT k, s FROM s JOIN t ON s.x = t.x),
+i AS (SELECT k, s, CASE WHEN s > lag(s) OVER (PARTITION BY k ORDER BY s) + 200 OR lag(s) OVER (PARTITION BY k ORDER BY s) IS NULL THEN 1 ELSE 0 END AS f FROM v),
+m AS (SELECT k, min(s) AS a, max(s) + 200 AS b FROM (SELECT k, s, sum(f) OVER (PARTITION BY k ORDER BY s) AS g FROM i) GROUP BY k, g),
+c AS (SELECT k, b AS a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY b), 1000000000) AS b FROM (SELECT k, a, b FROM m UNION ALL SELECT k, 0, 0 FROM d)),
+j AS (SELECT c.k AS k, string_agg(substr(h, CAST(2 * c.a + 1 AS BIGINT), CAST(2 * (least(c.b, n) - c.a) AS BIGINT)), '' ORDER BY c.a) AS kept FROM c JOIN d ON d.k = c.k WHERE c.a < n AND c.b > c.a GROUP BY c.k),
+z AS (SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed FROM m GROUP BY k)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN z ON z.k = d.k LEFT JOIN j ON j.k = d.k
+"""
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -144,4 +188,10 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL = {"op1_url_rules": OP1_SQL, "op5_decontamination": OP5_SQL}
+SQL = {
+    "op1_url_rules": OP1_SQL,
+    "op2_ngram_join": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op7_warc": OP7_SQL,
+    "op10_suffix_dedup": OP10_SQL,
+}
