@@ -74,6 +74,9 @@ SELECT CAST(event_id % 7 AS VARCHAR(9)) AS cohort_id, event_type AS drug, CASE u
 SELECT DISTINCT CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CASE WHEN l_partkey % 97 = 5 THEN ' ' ELSE CONCAT('c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS change, o_orderpriority AS drug,
   CASE (l_partkey + o_custkey % 3) % 7 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '2) Assoc w R - Interim ' WHEN 2 THEN '3) Uncertain significance' WHEN 3 THEN '4) Not assoc w R - Interim' WHEN 4 THEN '5) not assoc w r' WHEN 5 THEN '3) uncertain significance' ELSE 'other' END AS grade
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+    "paired": """
+SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS baseline_minutes, l_quantity - l_linenumber AS intervention_minutes,
+  l_extendedprice AS baseline_cost, CASE WHEN l_tax = 0.02 THEN NULL ELSE ROUND(l_extendedprice * (1 - l_discount), 2) END AS intervention_cost, CASE l_returnflag WHEN 'R' THEN 'USD' WHEN 'A' THEN 'EUR' END AS currency FROM lineitem""",
 }
 
 

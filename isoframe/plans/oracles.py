@@ -217,4 +217,20 @@ SELECT * FROM sc ORDER BY survives DESC, abs(delta) DESC, pair_id LIMIT 50"""),
     "predictions_with_truth": with_bindings("calls", """ SELECT p.sample_id AS sample_id, p.drug AS drug, p.call_a AS call_a, t.phenotype AS truth, CASE WHEN t.phenotype IS NULL THEN 'no truth' END AS dropped
 FROM calls AS p LEFT JOIN (SELECT * FROM calls WHERE phenotype IS NOT NULL AND sample_id % 3 > 0) AS t ON p.sample_id = t.sample_id AND p.drug = t.drug"""),
     "cohort_fingerprint": with_bindings("cohort", " SELECT COUNT(*) AS n, CAST(SUM(CAST('0x' || substr(md5(concat_ws('|', CAST(sample_id AS VARCHAR), project, tier, organism, CAST(bases AS VARCHAR))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM cohort"),
+    "concentration_calls": with_bindings("raw_mic", _MIC + """, cc AS (SELECT isolate_id, drug, mic, censoring, mic_value AS v, CASE WHEN drug < '3' THEN 1.0 ELSE 4.0 END AS c, isolate_id % 3 AS i FROM pd WHERE mic_value IS NOT NULL)
+SELECT isolate_id, drug, mic, CASE WHEN censoring = 'left' THEN CASE WHEN v < c OR v = c AND i = 0 THEN 'susceptible' END WHEN censoring = 'right' THEN CASE WHEN v >= c THEN 'resistant' END
+  WHEN v > c OR v = c AND i = 1 THEN 'resistant' WHEN v < c OR v = c AND i = 0 THEN 'susceptible' END AS call FROM cc"""),
+    "minority_posteriors": """WITH pi AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-60.0 * (l_discount - 0.05))) AS s, l_tax AS f, CASE WHEN l_linenumber < 7 THEN l_linenumber * 3 END AS n, CASE WHEN l_orderkey % 11 > 0 THEN (l_orderkey % 11 - 1) / CAST(8 AS DOUBLE) END AS q FROM lineitem),
+po AS (SELECT *, CASE WHEN n IS NOT NULL AND q BETWEEN 0 AND 1 AND s * q + f * (1 - q) > 0 THEN least(1.0, greatest(0.0, s * q / (s * q + f * (1 - q)))) END AS p, CASE WHEN n < 5 THEN 0.5 ELSE greatest(0.03, 1 / sqrt(n)) END AS w FROM pi)
+SELECT l_orderkey, l_linenumber, round(p, 4) + 0.0 AS probability, CASE WHEN p IS NOT NULL THEN round(greatest(0.0, p - w), 4) + 0.0 END AS low, CASE WHEN p IS NOT NULL THEN round(least(1.0, p + w), 4) + 0.0 END AS high FROM po""",
+    "paired_change": with_bindings("paired", """, ch AS (SELECT 'minutes' AS measure, 'native_unit' AS unit, CAST(intervention_minutes - baseline_minutes AS DOUBLE) AS c FROM paired
+UNION ALL SELECT 'cost', coalesce(currency, ''), CAST(intervention_cost - baseline_cost AS DOUBLE) FROM paired)
+SELECT measure, unit, COUNT(*) AS n_pairs, round(AVG(c), 4) + 0.0 AS mean_change, round(quantile_cont(c, 0.5), 4) + 0.0 AS median_change FROM ch WHERE c IS NOT NULL GROUP BY measure, unit"""),
+    "submission_checks": """WITH su AS (SELECT event_id AS submission_id, event_id * 7 % 1500 AS nonce, ts, CASE WHEN event_id % 40 - 3 > 24 THEN 'stale' WHEN event_id % 40 - 3 < -1 THEN 'future' END AS late FROM events),
+pr AS (SELECT *, coalesce(sum(CASE WHEN late IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY nonce ORDER BY ts, submission_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM su)
+SELECT submission_id, nonce, CASE WHEN e > 0 THEN 'replayed' ELSE late END AS reject_reason FROM pr""",
+    "scan_finalised": with_bindings("pvalues", """, rp AS (SELECT pair_id, CAST(p AS DOUBLE) / 100 AS p, CASE WHEN pair_id % 3 = 0 THEN 'evidence-of-effect' ELSE 'no-evidence' END AS v FROM pvalues),
+rh AS (SELECT pair_id, p, rank() OVER (ORDER BY p) - 1 AS less, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM rp WHERE p IS NOT NULL),
+hh AS (SELECT pair_id, max(least(1.0, p * (m - less))) OVER (ORDER BY p) AS holm, (SELECT max(p) FROM rh AS z WHERE z.p <= CAST(0.1 AS DOUBLE) * z.k / z.m) AS t FROM rh)
+SELECT verdict, survives, COUNT(*) AS n FROM (SELECT CASE WHEN v = 'evidence-of-effect' AND holm > CAST(0.1 AS DOUBLE) THEN 'no-evidence' ELSE v END AS verdict, coalesce(p <= t, false) AS survives FROM rp LEFT JOIN hh ON rp.pair_id = hh.pair_id) GROUP BY verdict, survives"""),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.functions import alleles
-from isoframe.operators import accuracy, catalogue, censored, coverage, evidence, federated, ledger, selective, strata, testing, views
+from isoframe.functions import alleles, measures
+from isoframe.operators import accuracy, catalogue, censored, coverage, evidence, federated, ledger, selective, strata, testing, views, workflow
 from isoframe.plans.bindings import BINDINGS, bound
 from isoframe.sources import phenotypes, vcf
 from isoframe.sources.scratch import shared_path
@@ -310,6 +310,37 @@ def cohort_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fingerprint(bound(spark, sf_dir, "cohort"), ["sample_id", "project", "tier", "organism", "bases"])
 
 
+def concentration_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mic = censored.parsed(bound(spark, sf_dir, "raw_mic")).where("mic_value IS NOT NULL")
+    inclusive = F.when(F.col("isolate_id") % 3 == 0, True).when(F.col("isolate_id") % 3 == 1, False)
+    critical = F.when(F.col("drug") < "3", 1.0).otherwise(4.0)
+    return mic.select("isolate_id", "drug", "mic", measures.concentration_call(F.col("mic_value"), F.col("censoring"), critical, inclusive).alias("call"))
+
+
+def minority_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("vaf"), F.col("l_tax").alias("false_rate"), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") * 3).alias("n"))
+    prior = F.when(F.col("l_orderkey") % 11 > 0, (F.col("l_orderkey") % 11 - 1) / 8.0)
+    p = measures.posterior(measures.detection_probability(F.col("vaf"), F.lit(0.05), F.lit(60.0)), prior, F.col("false_rate"), F.col("n"))
+    return _rounded(rows.select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.probability", "p.low", "p.high"))
+
+
+def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = workflow.paired_change(bound(spark, sf_dir, "paired"), ["minutes", "cost"], {"cost": "currency"})
+    return df.select("measure", "unit", "n_pairs", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean_change", "median_change")])
+
+
+def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = F.col("ts") - F.make_interval(hours=F.col("event_id") % 40 - 3)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("submission_id"), (F.col("event_id") * 7 % 1500).alias("nonce"), F.col("ts").alias("received"), sent.alias("sent"))
+    return workflow.checked_submissions(events).select("submission_id", "nonce", "reject_reason")
+
+
+def scan_finalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = bound(spark, sf_dir, "pvalues").withColumn("p", F.col("p").cast("double") / 100)
+    verdict = F.when(F.col("pair_id") % 3 == 0, "evidence-of-effect").otherwise("no-evidence")
+    return workflow.finalised(p.withColumn("verdict", verdict), 0.1).groupBy("verdict", "survives").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     accuracy_by_lineage, accuracy_verdicts, verdict_counts, engine_concordance, aligned_concordance, engine_agreement, species_control, call_distribution,
     call_matrix, risk_coverage_curve, risk_coverage_area, matched_coverage, mic_parsed, censoring_profile, censored_median, censored_shift, pooled_shift,
@@ -317,5 +348,6 @@ QUERIES = {f.__name__: f for f in (
     latest_call, drift_state, calibration_error, ledger_links, ticket_replay, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
     required_loci_gate, locus_callability, reconciled_calls, regimen_eligibility, strata_carriers, determinant_cooccurrence, phenotypes_long,
     monitoring_totals, event_trend, catalogue_entries, catalogue_skipped, generalizability, population_prevalence, tier_composition, isolate_sample,
-    validation_queue, predictions_with_truth, cohort_fingerprint,
+    validation_queue, predictions_with_truth, cohort_fingerprint, concentration_calls, minority_posteriors, paired_change, submission_checks,
+    scan_finalised,
 )}
