@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import slices, text_bytes
+from isoframe.llm.common import field, slices, text_bytes
 from isoframe.llm.textstats import Slice
 
 
@@ -124,13 +124,15 @@ def scored_rows(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFr
     """(row, score): every row of ``docs`` as a struct of all its columns, and its text's score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    column = f"row.{text_col}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            p = held.value.scores(Slice(*text_bytes(batch.column("text"))).features())
+        for batch in slices(batches, column):
+            p = held.value.scores(Slice(*text_bytes(field(batch, column))).features())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p)], ["row", "score"])
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, f"row struct<{fields}>, score double")
 
 
