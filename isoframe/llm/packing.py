@@ -22,7 +22,7 @@ from isoframe.llm.common import prefix_hash, slices, span_hash, text_bytes, writ
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 #: Fixed: white space outside ASCII, which a byte-wise cut at spaces must not touch.
-_WIDE_SPACE = re.compile("[\u0085   -     　]")
+_WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bytes between which a single space parts two pre-tokens: all but control characters and white space.
 _SOLID = np.ones(256, bool)
 _SOLID[:0x21] = False
@@ -37,7 +37,7 @@ class ChunkEncoder:
     the ids of its chunks in order. Texts with white space outside ASCII are one chunk.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
