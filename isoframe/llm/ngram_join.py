@@ -151,13 +151,15 @@ def _may_link(x: str, y: str, percent: int, light: int) -> Column:
     ``x`` and ``y`` name structs of n, id, pos, stop and most, with x's set not larger; one
     of two sets that share a single shingle must be heavy. A set whose prefix stops first
     shares no more than its ``most`` with the other, as all its prefix shingles that the
-    other holds are in the other's prefix too.
+    other holds are in the other's prefix too. That holds where both sets are listed under
+    single shingles; a smaller x is not, so its pairs pass on size and place alone.
     """
+    listed = int(_needed(np.int64(light + 1), percent))
     need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
     bound = f"CASE WHEN {x}.stop < {y}.stop THEN {x}.most WHEN {y}.stop < {x}.stop THEN {y}.most ELSE greatest({x}.most, {y}.most) END"
     whole = f"{100 + percent} * ({bound}) >= {percent} * ({x}.n + {y}.n)"
     place = f"{x}.pos <= {x}.n - {need} AND {y}.pos <= {y}.n - {need}"
-    return F.expr(f"{x}.id <> {y}.id AND 100 * {x}.n >= {percent} * {y}.n AND {whole} AND {place} AND ((key & 1) = 1 OR {y}.n > {light})")
+    return F.expr(f"{x}.id <> {y}.id AND 100 * {x}.n >= {percent} * {y}.n AND ({x}.n < {listed} OR {whole}) AND {place} AND ((key & 1) = 1 OR {y}.n > {light})")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:

@@ -117,6 +117,36 @@ def test_join_equals_brute_force(spark):
     assert ngram_join.components(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "light", "bits"), [(1, 14, 20), (1, 14, 6), (2, 24, 20)])
+def test_join_keeps_links_across_the_single_shingle_boundary(spark, copies, light, bits):
+    """Sets too small for single-shingle lists link with larger light sets, at exact and at noisy counts."""
+    listed, rows = -(-80 * (light + 1) // 100), []
+    for k in range(24):
+        n = listed - 1 - k % 3
+        words = [f"g{k}w{j}" for j in range(n + 4)]
+        rows.append(" ".join(words))
+        rows.append(" ".join(words + [f"g{k}e{j}" for j in range(n // 4)]))
+        rows.append(" ".join(words[1:] + [f"g{k}f{j}" for j in range(80)]))  # leaves one shingle of the others rare
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows * copies)], "doc_id long, text string")
+
+    def shingles(text):
+        words = text.split()
+        return frozenset(zip(*[words[j:] for j in range(5)]))
+
+    sets = [shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {k: root(k % len(rows)) for k in range(len(rows) * copies)}
+    assert {x.doc_id: x.component_id for x in ngram_join.components(df, sketch_bits=bits).collect()} == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 95), (95, 100)] + [(200, k) for k in range(201, 240)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
