@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,18 +17,42 @@ def background(isolates: DataFrame, carriage: DataFrame, determinants: DataFrame
     return everyone.join(carried, ["isolate_id", "drug"], "left").withColumn("background", F.coalesce("background", F.lit("")))
 
 
-def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame) -> DataFrame:
+def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, determinants: DataFrame, unassessed: DataFrame | None = None) -> DataFrame:
     """Carriers and others of each candidate in each stratum that holds a carrier.
 
-    Strata are counted once; candidates touch only their carriers, so the cost follows
-    carriage and not candidates times isolates.
+    A candidate that is a determinant of the drug does not count in its carriers'
+    background. Isolates that ``unassessed`` (isolate_id, label) names for a candidate
+    are none of its others, unless they carry it; without it all isolates are assessed.
+
+    Strata are counted once; candidates touch only their carriers and the not-assessed,
+    so the cost follows those and not candidates times isolates.
     """
     keys = ["drug", "background", "lineage", "site_id"]
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
-    held = placed.join(carriage.join(candidates, "label", "left_semi"), "isolate_id").groupBy("label", *keys).agg(F.count("*").alias("n_carriers"))
-    same = [held[k].eqNullSafe(sizes[k]) for k in keys]
-    out = held.join(sizes, same).select("label", *[held[k] for k in keys], "n_carriers", (F.col("n") - F.col("n_carriers")).alias("n_others"))
-    return out
+    candidates = candidates.select("label").distinct()
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    carried = carriage.join(candidates, "label", "left_semi").select("isolate_id", "label").distinct()
+    own = determinants.select("drug", "label").distinct()
+    rest = carriage.join(own, "label").select("isolate_id", "drug", F.col("label").alias("_other"))
+    themselves = carried.join(own, "label").join(rest, ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("_other") != F.col("label"), F.col("_other")))), "+").alias("_without")
+    )
+    held = placed.join(carried, "isolate_id").join(themselves, ["isolate_id", "drug", "label"], "left")
+    held = held.withColumn("_own", F.col("_without").isNotNull()).withColumn("background", F.coalesce("_without", "background"))
+    held = held.groupBy("label", *keys).agg(F.count("*").alias("n_carriers"), F.bool_or("_own").alias("_own"))
+
+    def same(other: DataFrame, *more: str) -> list[Column]:
+        return [held[k].eqNullSafe(other[k]) for k in (*more, *keys)]
+
+    # Carriers of a determinant are not in the stratum of the key without it.
+    others = F.coalesce("_n", F.lit(0)) - F.when(F.col("_own"), 0).otherwise(F.col("n_carriers"))
+    out = held.join(sizes, same(sizes), "left").select("label", *[held[k] for k in keys], "n_carriers", others.alias("n_others"))
+    if unassessed is None:
+        return out
+    held = out
+    missing = unassessed.select("isolate_id", "label").distinct().join(carried, ["isolate_id", "label"], "left_anti").join(candidates, "label", "left_semi")
+    missing = placed.join(missing, "isolate_id").groupBy("label", *keys).agg(F.count("*").alias("_missing"))
+    left = (F.col("n_others") - F.coalesce("_missing", F.lit(0))).alias("n_others")
+    return held.join(missing, same(missing, "label"), "left").select(held["label"], *[held[k] for k in keys], "n_carriers", left)
 
 
 def cooccurrence(carriage: DataFrame, candidates: DataFrame, determinants: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def regimen_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strata_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     carriage, determinants = bound(spark, sf_dir, "carriage"), bound(spark, sf_dir, "determinants")
     placed = strata.background(bound(spark, sf_dir, "isolates"), carriage, determinants)
-    return strata.carriers(placed, carriage, carriage.where("label LIKE 'g7%'").select("label").distinct())
+    return strata.carriers(placed, carriage, carriage.where("label LIKE 'g7%'").select("label").distinct(), determinants)
 
 
 def determinant_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:

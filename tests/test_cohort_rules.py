@@ -1,10 +1,11 @@
 """Rules of the cohort operators on hand-made rows, refusals included."""
 
+import collections
 import math
 
 from pyspark.sql import functions as F
 
-from isoframe.operators import accuracy, censored, federated, ledger, testing
+from isoframe.operators import accuracy, censored, federated, ledger, strata, testing
 
 
 def test_abstention_is_not_a_negative(spark):
@@ -86,3 +87,33 @@ def test_partitioning_does_not_matter(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 37 % 101 / 200).alias("p"))
     one, many = (sorted((r.k, r.holm) for r in testing.holm(df.repartition(n)).collect()) for n in (1, 13))
     assert one == many
+
+
+def test_strata_leave_out_the_candidate_and_the_not_assessed(spark):
+    isolates = [(k, k % 2, None if k % 3 == 0 else "L1") for k in range(60)]
+    carriage = [(k, label) for k in range(60) for j, label in enumerate(("d1", "d2", "e1", "c1")) if (k * 7 + j * 5) % (j + 3) == 0]
+    determinants = [("A", "d1"), ("A", "d2"), ("B", "e1")]
+    unassessed = [(k, label) for k in range(60) for j, label in enumerate(("d1", "c1", "zz")) if (k + j) % 5 < 2]
+    labels, drugs = ["d1", "e1", "c1"], ["A", "B"]
+    held, gaps = set(carriage), set(unassessed)
+
+    def brute(gaps):
+        want = {}
+        for label in labels:
+            for drug in drugs:
+                key = lambda k: "+".join(sorted(x for d, x in determinants if d == drug and x != label and (k, x) in held))
+                groups = collections.defaultdict(lambda: [0, 0])
+                for k, site, lineage in isolates:
+                    if (k, label) in held:
+                        groups[key(k), lineage, site][0] += 1
+                    elif (k, label) not in gaps:
+                        groups[key(k), lineage, site][1] += 1
+                want |= {(label, drug, *g): tuple(n) for g, n in groups.items() if n[0]}
+        return want
+
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    people, has, known = made(isolates, "isolate_id long, site_id int, lineage string"), made(carriage, "isolate_id long, label string"), made(determinants, "drug string, label string")
+    placed, candidates = strata.background(people, has, known), made([(x,) for x in labels], "label string")
+    for missing, want in ((None, brute(set())), (made(unassessed, "isolate_id long, label string"), brute(gaps))):
+        got = strata.carriers(placed, has, candidates, known, missing).collect()
+        assert {(r.label, r.drug, r.background, r.lineage, r.site_id): (r.n_carriers, r.n_others) for r in got} == want and len(got) == len(want)
