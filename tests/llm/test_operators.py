@@ -167,7 +167,68 @@ def test_main_text(spark):
     assert html_main.main_text(pages.where("page_id > 99")).count() == 0
 
 
+def test_lines_of_broken_markup():
+    cases = {
+        '<article><p>Intro</p><p class="notice">Cookies<p>Body one</p><p>Body two</p></article>': ["Intro", "Body one", "Body two"],
+        '<article><ul><li>x<li class="share">Share<li>fact</ul><p>Body after</p></article>': ["x", "fact", "Body after"],
+        '<article><div id="widget-theory">A</div><div class="search-algorithms">B</div><p class="comment-policy">C</p><ol class="comment-list">no</ol></article>': ["A", "B", "C"],
+        '<article>T</article><div class="comments"><article><p>Reader</p></article></div><section id=comments><p>no</section>': ["T"],
+        '<body><div class="ad">Ad<article><p>T</article></body>': ["T"],
+        '<article><div class="page-header"><h1>H</h1></div><table><tr><td>1<td class="ad">2<td>3<tr><td>4</table><footer>f</footer></div></article>': ["H", "1", "3", "4"],
+        "": [], "<p": [], "<!-- open": [], "a <b>b": ["a b"],
+    }
+    for page, lines in cases.items():
+        assert html_main.text_lines(page)[0] == lines, page
+    deep = "<div>" * 5000 + "x" + "<p>y" * 5000
+    assert len(html_main.text_lines(deep)[0]) == 5001
+
+
+def test_text_equals_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows, near, least = [], 3, 2
+    for k in range(140):
+        host, path = f"h{min(k % 7, 3)}.org", f"/{'abc'[r.integers(3)]}/{r.integers(30)}"
+        lines = [f"menu {path[:2]}", "menu all", *[f"line {r.integers(60)}" for _ in range(r.integers(0, 5))], "end"]
+        body = "".join(f"<p>{x}" for x in lines)
+        rows.append((k, f"http://{host}{path}?q={k}", f"<article>{body}</article><div>out</div>" if k % 5 == 0 else f"<nav>n</nav>{body}"))
+    rows += [(900, rows[3][1], rows[3][2]), (None, rows[3][1], rows[3][2]), (901, "http://h2.org/z", rows[3][2]), (902, "http://alone.org/", "<p>one<p>two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("gone", F.lit("clash")).withColumn("host", F.lit(1))
+
+    def longest(a, b):
+        return html_main.shared_lines(a, b)
+
+    sites: dict = {}
+    parsed = []
+    for i, url, page in rows:
+        found, inside = html_main.text_lines(page)
+        kept = tuple(x for x, y in zip(found, inside) if y or not any(inside))
+        host, path = re.match(r"http://([^/]*)([^?]*)", url).groups()
+        parsed.append((i, host, kept, any(inside)))
+        at = (path, -1 if i is None else i)
+        seen = sites.setdefault((host, any(inside)), {})
+        seen[kept] = min(seen.get(kept, at), at)
+    want = {}
+    for i, host, kept, protected in parsed:
+        order = sorted(sites[host, protected].items(), key=lambda x: x[1])
+        here = next(k for k, x in enumerate(order) if x[0] == kept)
+        path = order[here][1][0]
+        prefix = lambda p: next((k for k in range(min(len(p), len(path))) if p[k] != path[k]), min(len(p), len(path)))
+        others = sorted((-prefix(order[k][1][0]), abs(k - here), k < here, order[k][0]) for k in range(len(order)) if k != here and abs(k - here) <= near)
+        found = [list(x[3]) for x in others[:near]]
+        needed = near if protected else min(least, len(found))
+        times = collections.Counter(j for x in found for j in longest(list(kept), x))
+        gone = {j for j, n in times.items() if n >= needed} if len(found) >= needed and found else set()
+        want[i] = "\n".join(x for j, x in enumerate(kept) if j not in gone)
+    for block_rows in (1000, 5):
+        table = pages.repartition(5)
+        parsed_rows = html_main.main_text(table, near=near, least=least, block_rows=block_rows, broadcast_rows=0 if block_rows == 5 else 100)
+        assert {x.page_id: x.text for x in parsed_rows.collect()} == want
+    assert sum(bool(want[i]) and "menu" not in want[i] for i in want) > 50 and want[902] == "one\ntwo"
+
+
 def test_longest_common_lines():
+    long = np.random.default_rng(1).integers(0, 2, (2, 6000)).tolist()
+    assert len(html_main.shared_lines(*long)) > 4000
     for seed in range(60):
         r = np.random.default_rng(seed)
         a, b = r.integers(0, 5, r.integers(0, 12)).tolist(), r.integers(0, 5, r.integers(0, 12)).tolist()
