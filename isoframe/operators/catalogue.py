@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed: grades (in lower case) and the calls they stand for.
 GRADES = {
-    "1) assoc w r": "resistant", "2) assoc w r - interim": "resistant", "3) uncertain significance": "uncertain",
+    "1) assoc w r": "resistant", "2) assoc w r - interim": "resistant", "3) uncertain significance": "indeterminate",
     "4) not assoc w r - interim": "not_associated", "5) not assoc w r": "not_associated",
 }
 
@@ -24,10 +24,10 @@ def graded(master: DataFrame) -> DataFrame:
 
 
 def ingest(master: DataFrame) -> DataFrame:
-    """One row per (gene, change): its drugs, and the call that any drug makes resistant, else uncertain, else not associated."""
+    """One row per (gene, change): its drugs, and the call that any drug makes resistant, else indeterminate, else not associated."""
     rows = graded(master).where("skip_reason IS NULL")
     has = lambda call: F.max(F.when(F.col("call") == call, 1).otherwise(0)) == 1
-    call = F.when(has("resistant"), "resistant").when(has("uncertain"), "uncertain").otherwise("not_associated")
+    call = F.when(has("resistant"), "resistant").when(has("indeterminate"), "indeterminate").otherwise("not_associated")
     return rows.groupBy("gene", "change").agg(F.array_join(F.sort_array(F.collect_set("drug")), ",").alias("drugs"), call.alias("call")).withColumn(
         "label", F.concat("gene", F.lit("_"), "change")
     )

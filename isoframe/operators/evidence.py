@@ -7,40 +7,67 @@ from pyspark.sql import functions as F
 
 #: Fixed: call states in order of precedence after conflicts.
 ORDER = ("resistant", "indeterminate", "no_call")
+#: Fixed: the basis of a call and its rank.
+TIERS = {"phenotypic": 4, "catalogued": 3, "inferred": 2, "predicted": 1, "none": 0}
 
 
-def reconcile(evidence: DataFrame, universe: DataFrame, gate: DataFrame) -> DataFrame:
-    """One call per (isolate, drug) of the universe.
+def permits(scopes: DataFrame, contexts: DataFrame, qc: DataFrame, required: tuple[str, ...] = ("species_confirmation", "contamination")) -> DataFrame:
+    """(isolate_id, drug, engine) that a validated scope allows: organism as reviewed and every required check passed.
 
-    ``evidence`` has isolate_id, drug, call, tier (phenotypic or other), scope (isolate or
-    variant), asserts_coverage. A resistant and an isolate-wide susceptible genomic call
-    conflict; else resistant, indeterminate, no call, then an engine's susceptibility with
-    its own coverage, then loci that are not callable; without an established scope the
-    rest stays indeterminate. One established phenotype decides, several that differ do
-    not, and one that contradicts the genomic call leaves the pair indeterminate.
+    A check that is missing has not passed; one that was made twice must pass both times.
     """
+    passed = qc.where(F.col("qc_check").isin(*required)).groupBy("isolate_id", "qc_check").agg(F.bool_and(F.col("status").eqNullSafe("pass")).alias("_ok"))
+    sound = passed.where("_ok").groupBy("isolate_id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(required)).select("isolate_id")
+    hint = "broadcast" if scopes.count() <= 100_000 else "merge"
+    return contexts.join(sound.hint("merge"), "isolate_id").join(scopes.distinct().hint(hint), "organism").select("isolate_id", "drug", "engine").distinct()
+
+
+def reconcile(evidence: DataFrame, gate: DataFrame, allowed: DataFrame, catalogue_engine: str = "catalogue") -> DataFrame:
+    """One call per (isolate, drug) of ``gate``, with tier and reason.
+
+    ``evidence`` has isolate_id, drug, call, tier, scope (isolate or variant),
+    asserts_coverage and engine; ``gate`` says whether the loci are adequate, ``allowed``
+    names what validated scopes permit (see ``permits``). Resistant and isolate-wide
+    susceptible evidence conflict; else resistant, indeterminate, no call, then an
+    engine's own susceptibility if a scope permits it, then loci that are not callable,
+    then the catalogue's silence if a scope permits that. One established phenotype
+    decides, several that differ do not; any conflict leaves the pair indeterminate.
+    """
+    rank = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])[F.col("tier")]
     genomic = F.col("tier") != "phenotypic"
-    has = lambda c: F.max(F.when(c, 1).otherwise(0)) == 1
     wide = (F.col("call") == "susceptible") & (F.col("scope") == "isolate")
-    facts = evidence.groupBy("isolate_id", "drug").agg(
-        *[has(genomic & (F.col("call") == c)).alias(f"_{c}") for c in ORDER],
-        has(genomic & wide).alias("_wide"), has(genomic & wide & F.col("asserts_coverage")).alias("_asserted"),
+    asserted = genomic & wide & F.col("asserts_coverage")
+    best = lambda c: F.max(F.when(c, rank))
+    known = evidence.join(allowed.withColumn("_permitted", F.lit(True)).hint("merge"), ["isolate_id", "drug", "engine"], "left")
+    facts = known.groupBy("isolate_id", "drug").agg(
+        *[best(genomic & (F.col("call") == c)).alias(f"_{c}") for c in ORDER], best(genomic).alias("_all"), best(genomic & wide).alias("_wide"),
+        best(F.col("call") == "resistant").alias("_any_resistant"), best(wide).alias("_any_wide"),
+        best(asserted).alias("_asserted"), best(asserted & F.col("_permitted")).alias("_permitted"),
         F.min(F.when(~genomic, F.col("call"))).alias("_first"), F.max(F.when(~genomic, F.col("call"))).alias("_last"), F.count("*").alias("n_evidence"),
     )
-    joined = universe.join(facts, ["isolate_id", "drug"], "left").join(gate.select("isolate_id", "drug", "adequate"), ["isolate_id", "drug"], "left")
-    no = F.lit(False)
-    flag = lambda c: F.coalesce(F.col(c), no)
-    conflict = flag("_resistant") & flag("_wide")
-    call = F.when(conflict, "indeterminate")
-    for c in ORDER:
-        call = call.when(flag(f"_{c}"), c)
-    call = call.when(flag("_asserted"), "susceptible").when(~flag("adequate"), "not_assessed").otherwise("indeterminate")
-    out = joined.withColumn("genomic_call", call)
+    catalogued = allowed.where(F.col("engine") == catalogue_engine).select("isolate_id", "drug", F.lit(True).alias("_catalogued"))
+    joined = gate.select("isolate_id", "drug", "adequate").join(facts.hint("merge"), ["isolate_id", "drug"], "left").join(catalogued.hint("merge"), ["isolate_id", "drug"], "left")
+    rules = [(F.col("_resistant").isNotNull() & F.col("_wide").isNotNull(), "indeterminate", F.col("_all"), "conflict")]
+    rules += [(F.col(f"_{c}").isNotNull(), c, F.col(f"_{c}"), "evidence") for c in ORDER]
+    rules += [
+        (F.col("_permitted").isNotNull(), "susceptible", F.col("_permitted"), "asserted"), (~F.col("adequate") & F.col("_asserted").isNull(), "not_assessed", F.lit(0), "loci"),
+        (F.col("adequate") & F.col("_catalogued"), "susceptible", F.lit(TIERS["catalogued"]), "catalogue"),
+    ]
+    found = F.struct(F.lit("indeterminate").alias("call"), F.lit(0).alias("tier"), F.lit("no scope").alias("reason"))
+    for condition, call, tier, reason in reversed(rules):
+        found = F.when(condition, F.struct(F.lit(call).alias("call"), tier.alias("tier"), F.lit(reason).alias("reason"))).otherwise(found)
     measured = F.when(F.col("_first") == F.col("_last"), F.col("_first")).when(F.col("_first").isNotNull(), "indeterminate")
-    settled = measured.isin("resistant", "susceptible")
-    against = settled & F.col("genomic_call").isin("resistant", "susceptible") & (measured != F.col("genomic_call"))
-    final = F.when(F.coalesce(against, no), "indeterminate").when(F.coalesce(settled, no), measured).when(F.col("_first").isNotNull(), "indeterminate").otherwise(F.col("genomic_call"))
-    return out.select("isolate_id", "drug", "genomic_call", measured.alias("phenotypic_call"), final.alias("call"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+    settled = F.coalesce(measured.isin("resistant", "susceptible"), F.lit(False))
+    clash = F.col("_any_resistant").isNotNull() & F.col("_any_wide").isNotNull()
+    out = joined.withColumn("_g", found).withColumn("_m", measured)
+    call = F.when(clash | (F.col("_m").isNotNull() & ~settled), "indeterminate").when(settled, F.col("_m")).otherwise(F.col("_g.call"))
+    reason = F.when(clash, "conflict").when(settled, "phenotype").when(F.col("_m").isNotNull(), "phenotypes").otherwise(F.col("_g.reason"))
+    tier = F.when(settled, TIERS["phenotypic"]).otherwise(F.col("_g.tier"))
+    names = F.element_at(F.create_map(*[F.lit(x) for k, v in TIERS.items() for x in (v, k)]), tier)
+    return out.select(
+        "isolate_id", "drug", F.col("_g.call").alias("genomic_call"), F.col("_m").alias("phenotypic_call"), call.alias("call"), names.alias("tier"), reason.alias("reason"),
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+    )
 
 
 def regimens(results: DataFrame, members: DataFrame) -> DataFrame:

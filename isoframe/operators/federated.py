@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, keys: list[str], arrival: str, latest: bool = False) -> DataFrame:
-    """One row per key: the first by the arrival column (or the last)."""
-    order = F.col(arrival).desc() if latest else F.col(arrival).asc()
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
+    """One row per key: the first by the arrival column (or the last); ties are broken by the other columns in order of name."""
+    order = [F.col(arrival).desc() if latest else F.col(arrival).asc(), *[F.col(c) for c in sorted(df.columns) if c not in (*keys, arrival)]]
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
 def associations(obs: DataFrame) -> DataFrame:
     """Per (variant, drug): isolates counted once (first arrival wins), R and S, sites, lineages, cohort totals.
 
-    ``obs`` is long: one row per (arrival, isolate, drug, variant).
+    ``obs`` is long: one row per (arrival, isolate, drug, variant), with a null variant
+    where an isolate has none. Cohort totals count every isolate with a phenotype for
+    the drug, those without a variant too; untyped lineages are one lineage, unknown.
     """
-    known = obs.where(F.col("phenotype").isin("R", "S") & F.col("variant").isNotNull())
-    one = known.groupBy("variant", "drug", "isolate_id").agg(F.min_by(F.struct("phenotype", "site_id", "lineage"), F.struct("arrival", "phenotype")).alias("_o"))
+    known = obs.where(F.col("phenotype").isin("R", "S")).withColumn("lineage", F.coalesce("lineage", F.lit("unknown")))
+    one = known.where("variant IS NOT NULL").groupBy("variant", "drug", "isolate_id").agg(F.min_by(F.struct("phenotype", "site_id", "lineage"), F.struct("arrival", "phenotype")).alias("_o"))
     counts = one.groupBy("variant", "drug").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("_o.phenotype") == "R", 1)).alias("n_r"), F.count(F.when(F.col("_o.phenotype") == "S", 1)).alias("n_s"),
         F.count_distinct("_o.site_id").alias("n_sites"), F.count_distinct("_o.lineage").alias("n_lineages"),

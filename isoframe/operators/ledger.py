@@ -1,33 +1,80 @@
-"""Hash-chained ledgers: building and verifying."""
+"""Hash-chained ledgers: building, verifying and replaying."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed: what the first entry of a chain points to.
+GENESIS = "0" * 64
+
+
+def _body(seq: Column, payload: Column, before: Column) -> Column:
+    return F.sha2(F.concat_ws("|", seq.cast("string"), F.coalesce(payload, F.lit("")), before), 256)
+
+
+def append_entries(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
+    """Ledger entries (chain, seq, payload, prev_hash, entry_hash) of each chain's rows in order, from seq 0.
+
+    A chain is one array, so it is for chains of bounded length.
+    """
+    listed = rows.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("_rows"))
+    start = F.array().cast("array<struct<seq: bigint, payload: string, prev_hash: string, entry_hash: string>>")
+
+    def add(done: Column, row: Column) -> Column:
+        seq = F.size(done).cast("long")
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(GENESIS))
+        entry = F.struct(seq.alias("seq"), row["p"].alias("payload"), before.alias("prev_hash"), _body(seq, row["p"], before).alias("entry_hash"))
+        return F.concat(done, F.array(entry))
 
-def verify(entries: DataFrame, chain: list[str] | None = None, hashed: tuple[str, ...] = ("seq", "payload", "prev_hash")) -> DataFrame:
+    return listed.select(chain, F.explode(F.aggregate("_rows", start, add)).alias("_e")).select(chain, "_e.*")
+
+
+def verify(entries: DataFrame, chain: list[str] | None = None, genesis: str = GENESIS) -> DataFrame:
     """Entries that break their chain, with the first reason that applies.
 
     ``entries`` has seq, payload, prev_hash and entry_hash; seq counts from 0 within each
-    chain. The neighbours of an entry are looked up by seq, so a chain of any length is
-    checked without sorting it in one task.
+    chain, and a seq that occurs twice is a break. The neighbours of an entry are looked
+    up by seq, so a chain of any length is checked without sorting it in one task.
     """
     keys = chain or []
-    before = entries.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before"))
-    joined = entries.join(before, [*keys, "seq"], "left")
-    expected = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in hashed]), 256)
+    places = entries.groupBy(*keys, "seq").agg(F.count("*").alias("_times"), F.max("entry_hash").alias("_hash"))
+    before = places.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("_hash").alias("_before"))
+    joined = entries.join(places.select(*keys, "seq", "_times"), [*keys, "seq"]).join(before, [*keys, "seq"], "left")
+    expected = _body(F.col("seq"), F.col("payload"), F.coalesce("prev_hash", F.lit("")))
     reason = (
-        F.when((F.col("seq") > 0) & F.col("_before").isNull(), "gap").when(F.coalesce("prev_hash", F.lit("")) != F.coalesce("_before", F.lit("")), "broken link")
-        .when(F.col("entry_hash") != expected, "altered entry")
+        F.when(F.col("_times") > 1, "repeated").when((F.col("seq") > 0) & F.col("_before").isNull(), "gap")
+        .when(~F.col("prev_hash").eqNullSafe(F.coalesce("_before", F.lit(genesis))), "broken link").when(~F.col("entry_hash").eqNullSafe(expected), "altered entry")
     )
     return joined.withColumn("reason", reason).where("reason IS NOT NULL").select(*keys, "seq", "reason")
 
 
-def replay(events: DataFrame, allowed: dict[str, list[str]], key: str, order: str, action: str) -> DataFrame:
-    """Events of each key in order, and whether each may follow the one before it (None starts)."""
-    last = F.coalesce(F.lag(action).over(Window.partitionBy(key).orderBy(order)), F.lit("start"))
-    fits = F.lit(False)
-    for state, following in allowed.items():
-        fits = F.when(last == state, F.col(action).isin(*following)).otherwise(fits)
-    return events.withColumns({"previous": last, "allowed": fits})
+def replay(events: DataFrame, allowed: dict[str, list[str]], key: str, order: str, action: str, required: tuple[str, ...] = (), start: str = "start") -> DataFrame:
+    """Events of each key in order, the state before each, and whether it was allowed.
+
+    A refused event (not among those that may follow the state, or with a blank in the
+    ``required`` columns, such as reviewer or rationale) leaves the state as it was. The
+    events of a key are one array, so it is for keys with a bounded number of events.
+    """
+    filled = F.lit(True)
+    for c in required:
+        filled = filled & (F.coalesce(F.trim(c), F.lit("")) != "")
+    row = F.struct(F.col(order).alias("o"), F.col(action).alias("a"), filled.alias("f"))
+    moves = F.from_json(F.lit(json.dumps(allowed)), "map<string, array<string>>")
+    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.first(moves).alias("_moves"))
+    begun = F.struct(F.lit(start).alias("state"), F.array().cast("array<struct<o: bigint, a: string, previous: string, allowed: boolean>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = x["f"] & F.coalesce(F.array_contains(F.try_element_at(F.col("_moves"), acc["state"]), x["a"]), F.lit(False))
+        made = F.struct(x["o"].cast("long").alias("o"), x["a"].alias("a"), acc["state"].alias("previous"), fits.alias("allowed"))
+        return F.struct(F.when(fits, x["a"]).otherwise(acc["state"]).alias("state"), F.concat(acc["done"], F.array(made)).alias("done"))
+
+    told = listed.select(key, F.explode(F.aggregate("_rows", begun, step)["done"]).alias("_e"))
+    return told.select(key, F.col("_e.o").alias(order), F.col("_e.a").alias(action), "_e.previous", "_e.allowed")
+
+
+def states(replayed: DataFrame, key: str, order: str, action: str) -> DataFrame:
+    """The state of each key after its last allowed event, and how many events were refused."""
+    return replayed.groupBy(key).agg(F.max_by(action, F.when(F.col("allowed"), F.col(order))).alias("state"), F.count(F.when(~F.col("allowed"), 1)).alias("n_refused"))

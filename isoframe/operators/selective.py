@@ -43,9 +43,12 @@ def area(points: DataFrame) -> DataFrame:
 
 
 def against_baseline(points: DataFrame, baselines: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Each drug's point of least coverage that still reaches the baseline's, and which does better."""
-    usable: Column = (F.col("coverage") >= F.col("base_coverage")) & F.col("risk").isNotNull()
+    """Each drug's point of least coverage that still reaches the baseline's, and which does better.
+
+    A point with too few answers for a risk leaves the comparison underpowered.
+    """
+    usable: Column = F.col("coverage") >= F.col("base_coverage")
     joined = baselines.join(points, "drug", "left")
     out = joined.groupBy("drug", "base_coverage", "base_risk").agg(F.min_by("risk", F.when(usable, F.col("coverage"))).alias("risk"), F.min(F.when(usable, F.col("coverage"))).alias("coverage"))
-    verdict = F.when(F.col("coverage").isNull(), "cannot-match-coverage").when(F.col("risk") + margin < F.col("base_risk"), "beats-baseline")
+    verdict = F.when(F.col("coverage").isNull(), "cannot-match-coverage").when(F.col("risk").isNull(), "underpowered").when(F.col("risk") + margin < F.col("base_risk"), "beats-baseline")
     return out.withColumn("risk", F.when(F.col("coverage").isNotNull(), F.col("risk"))).withColumn("verdict", verdict.otherwise("no-better-than-baseline"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoframe.operators.joins import null_safe
+
 
 def background(isolates: DataFrame, carriage: DataFrame, determinants: DataFrame) -> DataFrame:
     """Background key of each (isolate, drug): the sorted determinants it carries, empty if none.
@@ -12,9 +14,11 @@ def background(isolates: DataFrame, carriage: DataFrame, determinants: DataFrame
     ``determinants`` (drug, label) is the catalogue's resistant part.
     """
     carried = carriage.join(determinants, "label").groupBy("isolate_id", "drug").agg(F.array_join(F.sort_array(F.collect_set("label")), "+").alias("background"))
-    drugs = [r.drug for r in determinants.select("drug").distinct().collect()]
+    drugs = [r.drug for r in determinants.select("drug").distinct().limit(10_001).collect()]
+    if len(drugs) > 10_000:
+        raise ValueError("determinants of more than 10,000 drugs are not expected")
     everyone = isolates.withColumn("drug", F.explode(F.lit(drugs)))
-    return everyone.join(carried, ["isolate_id", "drug"], "left").withColumn("background", F.coalesce("background", F.lit("")))
+    return everyone.join(carried.hint("merge"), ["isolate_id", "drug"], "left").withColumn("background", F.coalesce("background", F.lit("")))
 
 
 def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, determinants: DataFrame, unassessed: DataFrame | None = None) -> DataFrame:
@@ -36,23 +40,19 @@ def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, dete
     themselves = carried.join(own, "label").join(rest, ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("_other") != F.col("label"), F.col("_other")))), "+").alias("_without")
     )
-    held = placed.join(carried, "isolate_id").join(themselves, ["isolate_id", "drug", "label"], "left")
+    held = placed.join(carried.hint("merge"), "isolate_id").join(themselves.hint("merge"), ["isolate_id", "drug", "label"], "left")
     held = held.withColumn("_own", F.col("_without").isNotNull()).withColumn("background", F.coalesce("_without", "background"))
     held = held.groupBy("label", *keys).agg(F.count("*").alias("n_carriers"), F.bool_or("_own").alias("_own"))
 
-    def same(other: DataFrame, *more: str) -> list[Column]:
-        return [held[k].eqNullSafe(other[k]) for k in (*more, *keys)]
-
     # Carriers of a determinant are not in the stratum of the key without it.
     others = F.coalesce("_n", F.lit(0)) - F.when(F.col("_own"), 0).otherwise(F.col("n_carriers"))
-    out = held.join(sizes, same(sizes), "left").select("label", *[held[k] for k in keys], "n_carriers", others.alias("n_others"))
+    out = null_safe(held, sizes, keys).select("label", *keys, "n_carriers", others.alias("n_others"))
     if unassessed is None:
         return out
-    held = out
     missing = unassessed.select("isolate_id", "label").distinct().join(carried, ["isolate_id", "label"], "left_anti").join(candidates, "label", "left_semi")
     missing = placed.join(missing, "isolate_id").groupBy("label", *keys).agg(F.count("*").alias("_missing"))
     left = (F.col("n_others") - F.coalesce("_missing", F.lit(0))).alias("n_others")
-    return held.join(missing, same(missing, "label"), "left").select(held["label"], *[held[k] for k in keys], "n_carriers", left)
+    return null_safe(out, missing, ["label", *keys]).select("label", *keys, "n_carriers", left)
 
 
 def cooccurrence(carriage: DataFrame, candidates: DataFrame, determinants: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def validation_queue(scan: DataFrame, n: int = 50) -> DataFrame:
-    """The n strongest findings: discoveries first, then by size of the effect, then by name."""
-    return scan.orderBy(F.col("survives").desc(), F.abs("delta").desc_nulls_last(), "pair_id").limit(n)
+    """The n strongest findings that were tested: discoveries first, then by size of the effect, then by name."""
+    tested = scan.where(F.col("verdict").isin("evidence-of-effect", "no-evidence") & F.col("delta").isNotNull())
+    return tested.orderBy(F.col("survives").desc(), F.abs("delta").desc_nulls_last(), "pair_id").limit(n)
 
 
 def with_truth(predictions: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:

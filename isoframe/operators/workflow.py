@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.operators.resampling import quantiles
 from isoframe.operators.testing import benjamini_hochberg, holm
 
 
@@ -18,7 +19,8 @@ def paired_change(df: DataFrame, measures: list[str], split: dict[str, str] | No
     unit = lambda m: F.coalesce(F.col(split[m]), F.lit("")) if m in split else F.lit("native_unit")
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), unit(m).alias("unit"), (F.col(f"intervention_{m}") - F.col(f"baseline_{m}")).cast("double").alias("change")) for m in measures])
     long = df.select(F.explode(cells).alias("c")).select("c.*").where("change IS NOT NULL")
-    return long.groupBy("measure", "unit").agg(F.count("*").alias("n_pairs"), F.avg("change").alias("mean_change"), F.percentile("change", 0.5).alias("median_change"))
+    means = long.groupBy("measure", "unit").agg(F.count("*").alias("n_pairs"), F.avg("change").alias("mean_change"))
+    return means.join(quantiles(long, ["measure", "unit"], "change", 0.5).withColumnRenamed("quantile", "median_change").drop("n"), ["measure", "unit"])
 
 
 def checked_submissions(df: DataFrame, max_age_hours: int = 24, future_hours: int = 1) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -33,7 +35,7 @@ SELECT o_custkey AS isolate_id, p_brand AS locus, CAST(FLOOR(SUM(l_quantity)) AS
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, p_brand""",
     "observations": """
 SELECT o_orderkey AS arrival, o_custkey AS isolate_id, n_regionkey AS site_id, o_orderpriority AS drug,
-  CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'S' END AS phenotype, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage, l_partkey AS variant
+  CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'S' END AS phenotype, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage, CASE WHEN o_orderkey % 5 > 0 THEN l_partkey END AS variant
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "cohort": """
 SELECT o_orderkey AS sample_id, CONCAT('P', CAST(o_custkey % 9 % 5 AS VARCHAR(9))) AS project, o_orderpriority AS tier,
@@ -54,15 +56,26 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "coordinates": """
 SELECT DISTINCT p_partkey % 60 + 1 + CASE p_partkey % 60 % 3 WHEN 1 THEN 2 ELSE 0 END AS pos, CASE p_partkey % 60 % 3 WHEN 0 THEN 'A' ELSE 'G' END AS ref,
   CASE p_partkey % 60 % 3 WHEN 2 THEN 'C' ELSE 'T' END AS alt, CONCAT('m', CAST(p_partkey % 60 AS VARCHAR(9))) AS label FROM part""",
-    "required": "SELECT DISTINCT p_type AS drug, p_brand AS locus FROM part WHERE p_partkey < 30",
+    "profile": "SELECT DISTINCT p_type AS drug, CASE WHEN p_type NOT LIKE 'PROMO%' THEN p_brand END AS locus FROM part",
+    "scopes": """
+SELECT DISTINCT p_type AS drug, CASE p_size % 3 WHEN 0 THEN 'e0' WHEN 1 THEN 'e1' ELSE 'catalogue' END AS engine,
+  CASE p_size % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS organism FROM part""",
+    "contexts": "SELECT c_custkey AS isolate_id, c_mktsegment AS organism FROM customer",
+    "qc": """
+SELECT c_custkey AS isolate_id, 'species_confirmation' AS qc_check, CASE WHEN c_custkey % 6 = 0 THEN 'warn' ELSE 'pass' END AS status FROM customer
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'duplication' ELSE 'contamination' END, CASE WHEN c_acctbal < 0 THEN 'fail' ELSE 'pass' END FROM customer""",
     "evidence": """
 SELECT o_custkey AS isolate_id, p_type AS drug, CASE WHEN l_returnflag = 'R' THEN 'resistant' WHEN l_returnflag = 'A' THEN 'susceptible' WHEN l_linenumber % 2 = 0 THEN 'indeterminate' ELSE 'no_call' END AS call,
-  CASE WHEN l_linenumber = 1 THEN 'phenotypic' ELSE 'catalogued' END AS tier, CASE WHEN l_quantity > 25 THEN 'isolate' ELSE 'variant' END AS scope, l_discount > 0.05 AS asserts_coverage
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_partkey % 4 = 0""",
+  CASE WHEN l_linenumber = 1 THEN 'phenotypic' ELSE 'catalogued' END AS tier, CASE WHEN l_quantity > 25 THEN 'isolate' ELSE 'variant' END AS scope, l_discount > 0.05 AS asserts_coverage,
+  CONCAT('e', CAST(l_linenumber % 3 AS VARCHAR(9))) AS engine
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""",
     "blocks": """
-SELECT CAST(l_partkey % 5 AS VARCHAR(9)) AS chrom, l_orderkey AS block_id, l_partkey * 10 AS start, l_partkey * 10 + CAST(FLOOR(l_quantity) AS BIGINT) * 7 AS stop, l_linenumber * 5 AS depth FROM lineitem WHERE l_linenumber <= 2""",
+SELECT CAST(l_partkey % 5 AS VARCHAR(9)) AS chrom, l_orderkey AS block_id, l_partkey * 10 AS start, l_partkey * 10 + CAST(FLOOR(l_quantity) AS BIGINT) * 7 AS stop, l_linenumber * 5 AS depth FROM lineitem""",
     "spans": "SELECT CAST(p_partkey % 5 AS VARCHAR(9)) AS chrom, p_partkey AS locus, p_partkey * 10 AS start, p_partkey * 10 + p_size * 20 AS stop FROM part",
     "determinants": "SELECT DISTINCT o_orderpriority AS drug, CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 50 < 2 AND o_orderpriority < '3'",
+    "graded": """
+SELECT DISTINCT CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label, o_orderpriority AS drug,
+  CASE WHEN l_partkey % 50 < 2 THEN 'resistant' WHEN l_partkey % 50 % 3 = 0 THEN 'not_associated' ELSE 'indeterminate' END AS call FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "wide": """
 SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CONCAT('R', CAST(c_custkey AS VARCHAR(9))) END AS run,
   CASE c_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 's' WHEN 2 THEN '' ELSE 'I' END AS rif_phenotype, CASE c_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS rif_quality, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '0.5' END AS rif_mic,
@@ -73,7 +86,7 @@ SELECT CAST(event_id % 7 AS VARCHAR(9)) AS cohort_id, event_type AS drug, CASE u
     "master": """
 SELECT DISTINCT CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CASE WHEN l_partkey % 97 = 5 THEN ' ' ELSE CONCAT('c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS change, o_orderpriority AS drug,
   CASE (l_partkey + o_custkey % 3) % 7 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '2) Assoc w R - Interim ' WHEN 2 THEN '3) Uncertain significance' WHEN 3 THEN '4) Not assoc w R - Interim' WHEN 4 THEN '5) not assoc w r' WHEN 5 THEN '3) uncertain significance' ELSE 'other' END AS grade
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "paired": """
 SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS baseline_minutes, l_quantity - l_linenumber AS intervention_minutes,
   l_extendedprice AS baseline_cost, CASE WHEN l_tax = 0.02 THEN NULL ELSE ROUND(l_extendedprice * (1 - l_discount), 2) END AS intervention_cost, CASE l_returnflag WHEN 'R' THEN 'USD' WHEN 'A' THEN 'EUR' END AS currency FROM lineitem""",
@@ -83,10 +96,16 @@ SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table over the tables of ``sf_dir``."""
     for table in TABLES:
-        spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).createOrReplaceTempView(table)
+        if re.search(rf"\b{table}\b", BINDINGS[name]):
+            spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).createOrReplaceTempView(table)
     return spark.sql(BINDINGS[name])
 
 
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places, without negative zero."""
+    return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def with_bindings(names: str, query: str) -> str:
     """The query with its domain tables as common table expressions."""
     return "WITH " + ",\n".join(f"{n} AS ({BINDINGS[n]})" for n in names.split()) + query

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.functions import alleles, measures
-from isoframe.operators import accuracy, catalogue, censored, coverage, evidence, federated, ledger, selective, strata, testing, views, workflow
-from isoframe.plans.bindings import BINDINGS, bound
+from isoframe.operators import accuracy, catalogue, censored, coverage, effects, evidence, federated, ledger, selective, strata, testing, views, workflow
+from isoframe.plans import effect_scan
+from isoframe.plans.bindings import BINDINGS, bound, rounded
 from isoframe.sources import phenotypes, vcf
 from isoframe.sources.scratch import shared_path
 from isoframe.streaming import monitoring
@@ -19,14 +20,9 @@ TARGET_ROWS = [
 DRUGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, without negative zero."""
-    return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def accuracy_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = accuracy.confusion_by_lineage(bound(spark, sf_dir, "calls"))
-    return _rounded(accuracy.with_intervals(accuracy.with_rates(counts)))
+    return rounded(accuracy.with_intervals(accuracy.with_rates(counts)))
 
 
 def accuracy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,14 +35,14 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(accuracy.concordance(bound(spark, sf_dir, "calls")))
+    return rounded(accuracy.concordance(bound(spark, sf_dir, "calls")))
 
 
 def aligned_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = bound(spark, sf_dir, "calls")
-    a = calls.where("sample_id % 7 <> 0").select("sample_id", "drug", F.col("call_a").alias("call"))
-    b = calls.where("sample_id % 5 <> 0").select("sample_id", "drug", F.col("call_b").alias("call"))
-    return _rounded(accuracy.concordance(accuracy.aligned(a, b)))
+    a = calls.where("call_a <> 'not_assessed'").select("sample_id", "drug", F.col("call_a").alias("call"))
+    b = calls.where("call_b IS NOT NULL").select("sample_id", "drug", F.col("call_b").alias("call"))
+    return rounded(accuracy.concordance(accuracy.aligned(a, b)))
 
 
 def engine_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +56,7 @@ def species_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(accuracy.call_distribution(bound(spark, sf_dir, "calls")))
+    return rounded(accuracy.call_distribution(bound(spark, sf_dir, "calls")))
 
 
 def call_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,20 +72,20 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selective.curve(_predictions(spark, sf_dir)))
+    return rounded(selective.curve(_predictions(spark, sf_dir)))
 
 
 def risk_coverage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selective.area(selective.curve(_predictions(spark, sf_dir))))
+    return rounded(selective.area(selective.curve(_predictions(spark, sf_dir))))
 
 
 def matched_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.createDataFrame([(d, 0.1 + 0.2 * k, 0.5) for k, d in enumerate(DRUGS)], "drug string, base_coverage double, base_risk double")
-    return _rounded(selective.against_baseline(selective.curve(_predictions(spark, sf_dir)), base))
+    return rounded(selective.against_baseline(selective.curve(_predictions(spark, sf_dir)), base))
 
 
 def mic_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(censored.parsed(bound(spark, sf_dir, "raw_mic")))
+    return rounded(censored.parsed(bound(spark, sf_dir, "raw_mic")))
 
 
 def _mic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,27 +93,32 @@ def _mic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def censoring_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(censored.profile(_mic(spark, sf_dir), ["drug"]).drop("reason"))
+    return rounded(censored.profile(_mic(spark, sf_dir), ["drug"]).drop("reason"))
 
 
 def censored_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(censored.median(_mic(spark, sf_dir), ["drug"]).select("drug", "n", "median_log2", "reason"))
+    return rounded(censored.median(_mic(spark, sf_dir), ["drug"]).select("drug", "n", "median_log2", "reason"))
+
+
+def _shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carriers against others of every label per drug and site, the background left aside."""
+    placed = _mic(spark, sf_dir).join(bound(spark, sf_dir, "isolates"), "isolate_id").select("isolate_id", "drug", F.lit("").alias("background"), F.lit("").alias("lineage"), "site_id")
+    carriage = bound(spark, sf_dir, "carriage")
+    pairs = carriage.select("label").distinct().crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in DRUGS], "drug string")))
+    bins = effects.stratum_bins(placed, _mic(spark, sf_dir).select("isolate_id", "drug", "log2_bound", "censoring"), carriage, pairs)
+    return effects.stratum_shifts(bins).drop("background", "lineage")
 
 
 def censored_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mic = _mic(spark, sf_dir).join(bound(spark, sf_dir, "isolates"), "isolate_id")
-    carriers = bound(spark, sf_dir, "carriage").where("label = 'g7_v7'").select("isolate_id")
-    a = mic.join(carriers, "isolate_id", "left_semi")
-    b = mic.join(carriers, "isolate_id", "left_anti")
-    return _rounded(censored.shift(a, b, ["drug", "site_id"]))
+    return rounded(_shifts(spark, sf_dir))
 
 
 def pooled_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(censored.pooled(censored_shift(spark, sf_dir), ["drug"]))
+    return rounded(censored.pooled(_shifts(spark, sf_dir), ["label", "drug"]))
 
 
 def holm_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(testing.holm(bound(spark, sf_dir, "pvalues").withColumn("p", F.col("p").cast("double"))))
+    return rounded(testing.holm(bound(spark, sf_dir, "pvalues").withColumn("p", F.col("p").cast("double"))))
 
 
 def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,7 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def federated_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(federated.gates(federated.associations(bound(spark, sf_dir, "observations")), min_n=5, min_fraction=0.4, min_lineages=3))
+    return rounded(federated.gates(federated.associations(bound(spark, sf_dir, "observations")), min_n=5, min_fraction=0.4, min_lineages=3))
 
 
 def disclosure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,7 @@ def small_cell_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def study_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(federated.dependence(bound(spark, sf_dir, "cohort"), "project", ["tier"]))
+    return rounded(federated.dependence(bound(spark, sf_dir, "cohort"), "project", ["tier"]))
 
 
 def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,31 +157,45 @@ def latest_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     for_drift = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    return _rounded(federated.drift(for_drift, ["event_type", "day"], baseline=50.0, tolerance=1.0, min_points=60))
+    return rounded(federated.drift(for_drift, ["event_type", "day"], baseline=50.0, tolerance=1.0, min_points=60))
 
 
 def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _predictions(spark, sf_dir).select("drug", F.col("confidence").alias("p"), (F.col("truth") == "resistant").alias("truth"))
-    return _rounded(federated.calibration_error(p, ["drug"]))
+    return rounded(federated.calibration_error(p, ["drug"]))
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.concat("event_type", F.lit(":"), "props").alias("payload"))
-    own = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "payload"), 256)
-    before = events.select((F.col("seq") + 1).alias("seq"), own.alias("_before"))
-    prev = F.when(F.col("seq") % 1499 == 7, "x").otherwise(F.coalesce("_before", F.lit("")))
-    stored = F.when(F.col("seq") % 997 == 5, F.sha2("payload", 256)).otherwise(own)
-    return events.join(before, "seq", "left").where("seq % 2003 <> 11").select("seq", "payload", prev.alias("prev_hash"), stored.alias("entry_hash"))
+    """A chain of entries for each user, in which some entries are altered, cut out, repeated or linked wrongly."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.concat("event_type", F.lit(":"), "props").alias("payload"))
+    entries = ledger.append_entries(events, "user_id", "event_id", "payload")
+    place = F.col("user_id") * 31 + F.col("seq")
+    spoiled = entries.withColumn("entry_hash", F.when(place % 17 == 3, F.sha2("payload", 256)).otherwise(F.col("entry_hash"))).withColumn("prev_hash", F.when(place % 23 == 7, "x").otherwise(F.col("prev_hash")))
+    times = F.when(place % 29 == 11, F.array()).when(place % 37 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return spoiled.withColumn("_t", F.explode(times.cast("array<int>"))).drop("_t")
+
+
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
+    return ledger.append_entries(events, "user_id", "event_id", "event_type")
 
 
 def ledger_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.verify(_ledger(spark, sf_dir), hashed=("seq", "payload")).groupBy("reason").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    return ledger.verify(_ledger(spark, sf_dir), ["user_id"])
 
 
-def ticket_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("event_type").alias("action"))
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("event_type").alias("action"), F.when(F.col("value") > 5, "r").alias("reviewer"))
     allowed = {"start": ["signup", "view"], "signup": ["view", "click"], "view": ["click", "purchase", "view"], "click": ["purchase", "view"], "purchase": ["view"], "error": ["view"]}
-    return ledger.replay(events, allowed, "user_id", "event_id", "action")
+    return ledger.replay(events, allowed, "user_id", "event_id", "action", ("reviewer",))
+
+
+def ticket_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)
+
+
+def ticket_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.states(_replayed(spark, sf_dir), "user_id", "event_id", "action")
 
 
 def _vcf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,31 +224,34 @@ def trimmed_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gvcf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = bound(spark, sf_dir, "blocks").withColumnRenamed("stop", "end")
-    return _rounded(coverage.from_blocks(blocks, bound(spark, sf_dir, "spans").withColumnRenamed("stop", "end"), ["chrom"], floor=10))
+    return rounded(coverage.from_blocks(blocks, bound(spark, sf_dir, "spans").withColumnRenamed("stop", "end"), ["chrom"], floor=10))
 
 
 def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bound(spark, sf_dir, "coverage")
     two = rows.withColumn("source", F.lit("a")).withColumn("callable_fraction", F.when(F.col("mean_depth") % 3 > 0, F.col("callable_fraction").cast("double")))
     two = two.unionByName(rows.withColumn("source", F.lit("b")).withColumn("callable_fraction", F.lit(0.9)))
-    return _rounded(coverage.best_source(two.select("isolate_id", "locus", "callable_fraction", "source"), ["isolate_id", "locus"]))
+    return rounded(coverage.best_source(two.select("isolate_id", "locus", "callable_fraction", "source"), ["isolate_id", "locus"]))
 
 
 def required_loci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.required_loci(bound(spark, sf_dir, "isolates"), bound(spark, sf_dir, "required"), bound(spark, sf_dir, "coverage"), min_fraction=0.75)
+    return coverage.required_loci(bound(spark, sf_dir, "isolates"), bound(spark, sf_dir, "profile"), bound(spark, sf_dir, "coverage"), min_fraction=0.75)
 
 
 def locus_callability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(coverage.locus_callability(bound(spark, sf_dir, "coverage"), 0.8))
+    return rounded(coverage.locus_callability(bound(spark, sf_dir, "coverage"), 0.8))
 
 
 def reconciled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = required_loci_gate(spark, sf_dir)
-    return evidence.reconcile(bound(spark, sf_dir, "evidence"), gate.select("isolate_id", "drug"), gate)
+    return evidence.reconcile(bound(spark, sf_dir, "evidence"), required_loci_gate(spark, sf_dir), scope_permits(spark, sf_dir))
+
+
+def scope_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.permits(bound(spark, sf_dir, "scopes"), bound(spark, sf_dir, "contexts"), bound(spark, sf_dir, "qc"))
 
 
 def regimen_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = bound(spark, sf_dir, "required").select("drug").distinct().select(F.explode(F.array(F.lit("all"), F.when(F.col("drug") < "M", "first"))).alias("regimen"), "drug").where("regimen IS NOT NULL")
+    members = bound(spark, sf_dir, "profile").select("drug").distinct().select(F.explode(F.array(F.lit("all"), F.when(F.col("drug") < "M", "first"))).alias("regimen"), "drug").where("regimen IS NOT NULL")
     members = members.withColumn("min_required", F.when(F.col("regimen") == "all", 2).otherwise(1))
     return evidence.regimens(reconciled_calls(spark, sf_dir), members)
 
@@ -241,32 +259,32 @@ def regimen_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strata_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     carriage, determinants = bound(spark, sf_dir, "carriage"), bound(spark, sf_dir, "determinants")
     placed = strata.background(bound(spark, sf_dir, "isolates"), carriage, determinants)
-    return strata.carriers(placed, carriage, carriage.where("label LIKE 'g7%'").select("label").distinct(), determinants)
+    return strata.carriers(placed, carriage, carriage.join(bound(spark, sf_dir, "determinants").select("label").distinct(), "label", "left_anti").select("label").distinct(), determinants)
 
 
 def determinant_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     carriage = bound(spark, sf_dir, "carriage")
-    return _rounded(strata.cooccurrence(carriage, carriage.where("label LIKE 'g7%'").select("label").distinct(), bound(spark, sf_dir, "determinants")))
+    return rounded(strata.cooccurrence(carriage, carriage.join(bound(spark, sf_dir, "determinants").select("label").distinct(), "label", "left_anti").select("label").distinct(), bound(spark, sf_dir, "determinants")))
 
 
 def phenotypes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = bound(spark, sf_dir, "wide")
-    return phenotypes.phenotypes_long(wide, {"rif": "rifampicin", "inh": "isoniazid"}, wide.where("sample_id % 10 = 3").select("sample_id"))
+    return phenotypes.phenotypes_long(wide, {"rif": "rifampicin", "inh": "isoniazid"}, bound(spark, sf_dir, "isolates").where("lineage IS NULL").select(F.col("isolate_id").alias("sample_id")))
 
 
 def monitoring_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, ingested twice: the second time changes nothing."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     table = shared_path(spark, "monitoring")
-    for _ in range(2):
+    for delivery in ("first", "again"):
         spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").createOrReplaceTempView("events")
-        monitoring.ingest(spark.sql(BINDINGS["stream_rows"]), table, shared_path(spark, "stream")).awaitTermination()
+        monitoring.ingest(spark.sql(BINDINGS["stream_rows"]), table, shared_path(spark, "stream"), delivery).awaitTermination()
     return monitoring.totals(spark.read.parquet(table))
 
 
 def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = monitoring.trend(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "6 hours")
-    return _rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+    return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
 
 
 def catalogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,11 +301,11 @@ def generalizability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def population_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = bound(spark, sf_dir, "calls").withColumn("site", F.col("site_id").cast("string"))
-    return _rounded(views.prevalence(calls, ["drug", "lineage", "site"]))
+    return rounded(views.prevalence(calls, ["drug", "lineage", "site"]))
 
 
 def tier_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(views.composition(bound(spark, sf_dir, "evidence"), "drug", "tier"))
+    return rounded(views.composition(bound(spark, sf_dir, "evidence"), "drug", "tier"))
 
 
 def isolate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,13 +314,14 @@ def isolate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bound(spark, sf_dir, "pvalues").withColumn("p", F.col("p").cast("double"))
-    scan = testing.benjamini_hochberg(p, alpha=0.9).withColumn("delta", (F.col("pair_id") * 13 % 200 - 100) / 100.0)
-    return _rounded(views.validation_queue(scan.select("pair_id", "survives", "delta")))
+    verdict = F.when(F.col("pair_id") % 3 == 0, "evidence-of-effect").when(F.col("pair_id") % 3 == 1, "no-evidence").otherwise("confounded")
+    scan = testing.benjamini_hochberg(p, alpha=0.9).withColumns({"delta": (F.col("pair_id") * 13 % 200 - 100) / 100.0, "verdict": verdict})
+    return rounded(views.validation_queue(scan.select("pair_id", "survives", "delta", "verdict")))
 
 
 def predictions_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = bound(spark, sf_dir, "calls")
-    truths = calls.where("phenotype IS NOT NULL AND sample_id % 3 > 0").select("sample_id", "drug", F.col("phenotype").alias("truth"))
+    truths = calls.where("phenotype IS NOT NULL").select("sample_id", "drug", F.col("phenotype").alias("truth"))
     return views.with_truth(calls.select("sample_id", "drug", "call_a"), truths, ["sample_id", "drug"])
 
 
@@ -321,7 +340,7 @@ def minority_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("vaf"), F.col("l_tax").alias("false_rate"), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") * 3).alias("n"))
     prior = F.when(F.col("l_orderkey") % 11 > 0, (F.col("l_orderkey") % 11 - 1) / 8.0)
     p = measures.posterior(measures.detection_probability(F.col("vaf"), F.lit(0.05), F.lit(60.0)), prior, F.col("false_rate"), F.col("n"))
-    return _rounded(rows.select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.probability", "p.low", "p.high"))
+    return rounded(rows.select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.probability", "p.low", "p.high"))
 
 
 def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,9 +364,9 @@ QUERIES = {f.__name__: f for f in (
     accuracy_by_lineage, accuracy_verdicts, verdict_counts, engine_concordance, aligned_concordance, engine_agreement, species_control, call_distribution,
     call_matrix, risk_coverage_curve, risk_coverage_area, matched_coverage, mic_parsed, censoring_profile, censored_median, censored_shift, pooled_shift,
     holm_adjusted, discoveries, federated_associations, disclosure_check, small_cell_suppression, study_dependence, cohort_summary, site_discordance,
-    latest_call, drift_state, calibration_error, ledger_links, ticket_replay, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
+    latest_call, drift_state, calibration_error, ledger_entries, ledger_links, ticket_replay, ticket_states, scope_permits, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
     required_loci_gate, locus_callability, reconciled_calls, regimen_eligibility, strata_carriers, determinant_cooccurrence, phenotypes_long,
     monitoring_totals, event_trend, catalogue_entries, catalogue_skipped, generalizability, population_prevalence, tier_composition, isolate_sample,
     validation_queue, predictions_with_truth, cohort_fingerprint, concentration_calls, minority_posteriors, paired_change, submission_checks,
     scan_finalised,
-)}
+)} | effect_scan.QUERIES

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a local one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/isoframe-{uuid.uuid4().hex}"
+    """A new path in the folder named by spark.checkpoint.dir. Where none is named a session on one machine gets a local one; a cluster must name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or f"file:///tmp/isoframe-{uuid.uuid4().hex}"
     return f"{folder.rstrip('/')}/isoframe/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: for tables that several later steps read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,19 +21,21 @@ def increments(rows: DataFrame) -> DataFrame:
     )
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append each new cohort's counts to a Parquet table; a cohort seen before changes nothing.
+def ingest(stream: DataFrame, table: str, checkpoint: str, delivery: str) -> StreamingQuery:
+    """Append the counts of cohorts that no other delivery has brought to a Parquet table.
 
-    A batch writes to a folder of its own number, so a batch that runs again after a
-    failure overwrites itself.
+    ``delivery`` names what is sent, so a cohort may span any number of micro-batches of
+    one delivery, and a cohort sent again changes nothing, whatever rows it has then. A
+    batch writes to a folder of its own, so one that runs again after a failure
+    overwrites itself.
     """
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = spark.read.schema(f"{COUNTS}, batch long").parquet(table).where(F.col("batch") != number).select("cohort_id").distinct()
-        increments(batch).join(seen, "cohort_id", "left_anti").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        seen = spark.read.schema(f"{COUNTS}, delivery string, batch long").parquet(table).where(F.col("delivery") != delivery).select("cohort_id").distinct()
+        increments(batch).join(seen, "cohort_id", "left_anti").write.mode("overwrite").parquet(f"{table}/delivery={delivery}/batch={number}")
 
     spark = stream.sparkSession
-    spark.createDataFrame([], COUNTS).write.mode("append").parquet(f"{table}/batch=-1")
+    spark.createDataFrame([], COUNTS).write.mode("append").parquet(f"{table}/delivery=none/batch=-1")
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
