@@ -47,11 +47,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     )
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> tuple[bytes, str]:
+def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, place: str) -> tuple[bytes, str]:
     digest = digest32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = f"{_ID}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest)}"
+    name = f"{_ID}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -65,6 +65,10 @@ def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 30, level: int = 4) -> DataFrame:
     """Write one record per row of (page_id, url, html, refers_to); returns the index.
 
+    A null url has no target line, an empty html an empty payload; a row without an id has
+    a record id made from its place, rows with one id share theirs. A record is held in
+    memory whole, so the longest html bounds that. An empty table writes no file.
+
     The returned table writes when it is evaluated: store it before reading. Every task
     attempt writes files of its own, so a lost or repeated task leaves at most files
     that no index row names.
@@ -86,7 +90,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
                         info = b"software: isoframe\r\nformat: WARC File Format 1.1\r\n"
                         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                         at = out.write(gzip.compress(head.encode() + info + b"\r\n\r\n", level, mtime=0))
-                    raw, digest = _record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date)
+                    raw, digest = _record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date, f"{name}:{at}")
                     member = gzip.compress(raw, level, mtime=0)
                     out.write(member)
                     index.append((row["page_id"], name, at, len(member), row["url"], digest))
@@ -111,11 +115,12 @@ def _page(name: str | None) -> int | None:
     return int(name[len(_ID) + 1 : -1]) if name and name.startswith("<" + _ID) else None
 
 
-def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, read_bytes: int = 8 << 20, span: int = 64 << 20, keep_payload: bool = True) -> DataFrame:
+def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, read_bytes: int = 8 << 20, span: int = 32 << 20, keep_payload: bool = True) -> DataFrame:
     """Records (columns of RECORDS) named by index rows, in any selection.
 
-    Tasks take spans of ``span`` bytes of a file in order of offset; ranges less than
-    ``gap`` apart are read at once, up to ``read_bytes``. Digest and size are those of
+    Tasks take spans of ``span`` bytes of a file in order of offset, about one span a
+    task; ranges less than ``gap`` apart are read at once, up to ``read_bytes`` or one
+    record. Index rows that repeat give their record again, an empty index gives none. Digest and size are those of
     the payload that was read; a revisit has no payload, so it carries those of its
     header lines. A stored digest that does not match is an error.
     """
@@ -153,4 +158,5 @@ def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, read_bytes:
                 at = end
 
     ranges = index.select("file", "offset", "length").withColumn("_span", F.expr(f"offset div {span}"))
-    return ranges.repartition("file", "_span").sortWithinPartitions("file", "offset").drop("_span").mapInArrow(fetch, RECORDS)
+    spans = ranges.select(F.count_distinct("file", "_span")).first()[0]
+    return ranges.repartition(max(1, min(spans, 100_000)), "file", "_span").sortWithinPartitions("file", "offset").drop("_span").mapInArrow(fetch, RECORDS)
