@@ -76,6 +76,30 @@ SELECT CAST(l_partkey % 5 AS VARCHAR(9)) AS chrom, l_orderkey AS block_id, l_par
     "graded": """
 SELECT DISTINCT CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label, o_orderpriority AS drug,
   CASE WHEN l_partkey % 50 < 2 THEN 'resistant' WHEN l_partkey % 50 % 3 = 0 THEN 'not_associated' ELSE 'indeterminate' END AS call FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "findings": """
+SELECT l_orderkey AS sample, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CONCAT('p.A', CAST(l_partkey % 700 AS VARCHAR(9)), 'B') AS change, LOWER(p_type) AS drug, l_discount AS freq, CAST(l_quantity AS BIGINT) AS depth,
+  l_linenumber AS k, CASE l_linenumber % 5 WHEN 0 THEN 'Assoc w R' WHEN 1 THEN 'Uncertain significance' WHEN 2 THEN 'Not assoc w R' WHEN 3 THEN 'mystery' END AS grade FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "hits": """
+SELECT p_partkey AS hit, CASE WHEN p_partkey % 11 = 4 THEN '' ELSE p_name END AS gene, CASE WHEN p_type = 'PROMO' THEN 'VIRULENCE' ELSE 'AMR' END AS element_type, CASE WHEN p_size % 2 = 0 THEN 'point' ELSE 'AMR' END AS element_subtype,
+  CASE WHEN p_size % 7 > 0 THEN p_brand END AS class, CASE p_size % 5 WHEN 0 THEN p_type WHEN 1 THEN ' ' END AS subclass, CASE WHEN p_size % 9 > 0 THEN 80.0 + p_size % 20 END AS identity, CASE WHEN p_size % 8 > 0 THEN 85.0 + p_size % 15 END AS coverage FROM part""",
+    "depths": """
+SELECT l_orderkey * 10 + l_linenumber AS id, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS locus, CAST(l_quantity AS BIGINT) AS mean_depth, CASE l_linenumber % 3 WHEN 0 THEN l_discount * 11 END AS callable_fraction,
+  CASE WHEN l_linenumber % 3 < 2 THEN l_partkey % 120 END AS covered_bp, CASE WHEN l_linenumber % 2 = 0 THEN 100 END AS total_bp FROM lineitem""",
+    "regions": "SELECT l_partkey AS locus, l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) AS stop, CASE WHEN l_linenumber > 1 THEN l_linenumber * 7 END AS depth FROM lineitem",
+    "changes": """
+SELECT p_partkey AS id, CONCAT('g', CAST(p_size % 40 AS VARCHAR(9))) AS gene, CASE WHEN p_size % 4 > 0 THEN p_brand END AS chrom, CASE WHEN p_size % 3 > 0 THEN p_partkey * 3 END AS pos, CASE WHEN p_size % 6 > 0 THEN 'A' ELSE '' END AS ref, 'T' AS alt,
+  CASE p_partkey % 12 WHEN 0 THEN 'S315T' WHEN 1 THEN 'p.Ala5Ala' WHEN 2 THEN 'c.-15C>T' WHEN 3 THEN '-12G>A' WHEN 4 THEN 'p.Gly7fs' WHEN 5 THEN 'Q10*' WHEN 6 THEN 'c.100_101del' WHEN 7 THEN 'n.1401A>G' WHEN 8 THEN ' D94G ' WHEN 9 THEN 'A542A' WHEN 10 THEN 'LOF' ELSE '' END AS change,
+  CASE p_size % 5 WHEN 0 THEN 'promoter' WHEN 1 THEN 'rRNA' WHEN 2 THEN ' Intergenic' WHEN 3 THEN '' END AS region, CASE p_size % 7 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'Synonymous' WHEN 2 THEN 'weird' END AS effect FROM part""",
+    "sheet": """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'no run' END AS errors, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'Pending review' ELSE 'S1' END AS study, CASE WHEN c_custkey % 5 > 0 THEN n_name END AS place,
+  CASE WHEN c_custkey % 6 > 0 THEN (c_custkey % 40) / CAST(20 AS DOUBLE) END AS share, CASE WHEN c_custkey % 3 > 0 THEN CONCAT('site.', CAST(c_custkey % 25 AS VARCHAR(9)), '.x') ELSE CAST(c_custkey AS VARCHAR(9)) END AS dotted,
+  CASE c_custkey % 3 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '4) Not assoc w R - Interim' ELSE 'other' END AS grade FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "truths": """
+SELECT o_custkey AS isolate_id, o_orderpriority AS drug, CASE WHEN MIN(o_orderstatus) = 'F' THEN 'R' ELSE 'S' END AS truth, NULLIF(MAX(c_mktsegment), 'HOUSEHOLD') AS lineage FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, o_orderpriority""",
+    "examined": """
+SELECT o_custkey AS isolate_id, CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS carried, MAX(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS assessed
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey % 50""",
+    "drugs": "SELECT DISTINCT o_orderpriority AS drug FROM orders UNION ALL SELECT DISTINCT p_type FROM part",
     "wide": """
 SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CONCAT('R', CAST(c_custkey AS VARCHAR(9))) END AS run,
   CASE c_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 's' WHEN 2 THEN '' ELSE 'I' END AS rif_phenotype, CASE c_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS rif_quality, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '0.5' END AS rif_mic,

@@ -131,7 +131,7 @@ SQL = {
     "effect_estimates": with_bindings(_NAMES, _STRATA + """SELECT label, drug, n_carriers, state, CASE WHEN state = 'estimable' THEN n_strata ELSE 0 END AS n_strata, CASE WHEN state = 'estimable' THEN round(delta, 6) + 0.0 END AS delta,
   CASE WHEN state = 'estimable' THEN n_decisive END AS n_decisive, CASE WHEN state = 'estimable' THEN round(diversity, 6) + 0.0 END AS lineage_diversity, top_determinant, round(f, 6) + 0.0 AS top_fraction FROM ee"""),
     "confounded_effects": with_bindings(_NAMES, _STRATA + "SELECT label, drug, n_carriers FROM ee WHERE state = 'confounded'"),
-    "value_quantiles": """SELECT l_linestatus, COUNT(*) AS n, q, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), q), 4) + 0.0 AS quantile FROM (SELECT l_linestatus, l_extendedprice, 0.0 AS q FROM lineitem) GROUP BY l_linestatus, q
+    "value_quantiles": """SELECT l_linestatus, COUNT(*) AS n, q, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), q), 4) + 0.0 AS quantile FROM (SELECT l_linestatus, l_extendedprice, CAST(0.0 AS DOUBLE) AS q FROM lineitem) GROUP BY l_linestatus, q
 UNION ALL SELECT l_linestatus, COUNT(*), 0.1, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) + 0.0 FROM lineitem GROUP BY l_linestatus
 UNION ALL SELECT l_linestatus, COUNT(*), 0.5, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) + 0.0 FROM lineitem GROUP BY l_linestatus
 UNION ALL SELECT l_linestatus, COUNT(*), 0.975, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.975), 4) + 0.0 FROM lineitem GROUP BY l_linestatus""".replace("quantile_cont(CAST(l_extendedprice AS DOUBLE), q)", "MIN(CAST(l_extendedprice AS DOUBLE))"),
