@@ -100,6 +100,28 @@ SELECT o_custkey AS isolate_id, o_orderpriority AS drug, CASE WHEN MIN(o_orderst
 SELECT o_custkey AS isolate_id, CONCAT('g', CAST(l_partkey % 50 % 10 AS VARCHAR(9)), '_v', CAST(l_partkey % 50 AS VARCHAR(9))) AS label, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS carried, MAX(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS assessed
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey % 50""",
     "drugs": "SELECT DISTINCT o_orderpriority AS drug FROM orders UNION ALL SELECT DISTINCT p_type FROM part",
+    "records": """
+SELECT l_orderkey AS file, l_linenumber % 7 AS kind, CONCAT('c', CAST(l_partkey % 3 AS VARCHAR(9))) AS chrom, l_partkey * 10 AS pos, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CONCAT('S', CAST(l_partkey % 300 AS VARCHAR(9)), 'T') AS change,
+  l_discount AS af, CAST(l_quantity AS BIGINT) AS depth, l_partkey % 30 AS ref_depth, l_suppkey % 12 AS alt_depth, CASE WHEN l_tax = 0.01 THEN 'LowQual' ELSE 'PASS' END AS filter FROM lineitem""",
+    "variants": """
+SELECT l_orderkey AS sample_id, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9)), '_c', CAST(l_partkey % 700 AS VARCHAR(9))) AS label,
+  CASE WHEN l_linenumber % 2 = 0 THEN CONCAT('k', CAST(l_partkey AS VARCHAR(9))) ELSE CONCAT('unresolved:g', CAST(l_partkey % 40 AS VARCHAR(9)), '_c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS variant_key,
+  CASE WHEN l_linenumber % 4 = 0 THEN 'promoter' ELSE 'coding' END AS region, CASE l_partkey % 5 WHEN 0 THEN 'synonymous' WHEN 1 THEN 'frameshift' ELSE 'missense' END AS consequence, CONCAT('c', CAST(l_partkey % 3 AS VARCHAR(9))) AS chrom, l_partkey * 10 AS pos,
+  CASE WHEN l_tax < 0.08 THEN l_discount * 10 END AS vaf, CAST(l_quantity AS BIGINT) AS depth, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey % 20 END AS alt_depth, CASE l_suppkey % 4 WHEN 0 THEN 'illumina' WHEN 1 THEN 'nanopore' WHEN 2 THEN 'other' END AS platform FROM lineitem""",
+    "entries": """
+SELECT DISTINCT CONCAT('g', CAST(p_partkey % 40 AS VARCHAR(9)), '_c', CAST(p_partkey % 700 AS VARCHAR(9))) AS label, CASE WHEN p_partkey % 3 = 0 THEN CONCAT('k', CAST(p_partkey AS VARCHAR(9))) END AS variant_key, p_type AS drug,
+  CASE p_partkey % 4 WHEN 0 THEN 'resistant' WHEN 1 THEN 'not_associated' ELSE 'indeterminate' END AS call FROM part""",
+    "regulators": "SELECT DISTINCT CONCAT('g', CAST(p_size % 6 AS VARCHAR(9))) AS gene, p_type AS drug FROM part",
+    "promoters": "SELECT DISTINCT CONCAT('g', CAST(p_size % 9 + 4 AS VARCHAR(9))) AS gene, p_type AS drug FROM part",
+    "drug_loci": "SELECT DISTINCT CONCAT('g', CAST(p_size % 15 AS VARCHAR(9))) AS gene, p_type AS drug FROM part",
+    "areas": """
+SELECT p_partkey AS area, CASE WHEN p_partkey % 3 = 0 THEN CONCAT('g', CAST(p_partkey % 40 AS VARCHAR(9)), '_c', CAST(p_partkey % 700 AS VARCHAR(9))) END AS label, CASE WHEN p_partkey % 3 = 1 THEN CONCAT('c', CAST(p_size % 3 AS VARCHAR(9))) END AS chrom,
+  CASE WHEN p_partkey % 3 = 1 THEN p_partkey * 9 END AS start, CASE WHEN p_partkey % 3 = 1 THEN p_partkey * 9 + p_size END AS stop, CASE WHEN p_partkey % 3 = 2 THEN CONCAT('g', CAST(p_size % 40 AS VARCHAR(9))) END AS gene FROM part""",
+    "escapes": """
+SELECT CONCAT('g', CAST(l_partkey % 20 AS VARCHAR(9))) AS gene, p_type AS drug, CONCAT('v', CAST(l_partkey AS VARCHAR(9))) AS variant, CASE WHEN l_partkey % 3 = 0 THEN 'frameshift' ELSE 'missense' END AS consequence, o_custkey AS isolate_id, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
+    "metadata": """
+SELECT c_custkey AS isolate_id, c_custkey * 7 % 113 AS cluster_id, c_custkey * 11 % 97 AS patient_id, c_nationkey AS site_id, CASE WHEN c_custkey * 7 % 113 % 9 = 0 AND c_acctbal < 0 THEN 'development' ELSE 'evaluation' END AS partition FROM customer""",
     "wide": """
 SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CONCAT('R', CAST(c_custkey AS VARCHAR(9))) END AS run,
   CASE c_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 's' WHEN 2 THEN '' ELSE 'I' END AS rif_phenotype, CASE c_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS rif_quality, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '0.5' END AS rif_mic,

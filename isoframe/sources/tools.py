@@ -38,13 +38,13 @@ _GRADED = (
     "drugs: array<struct<drug: string, confidence: string, who_confidence: string>>>>"
 )
 _COVERED = "array<struct<gene: string, fraction: double, median_depth: double>>"
-_GRADED_FILE = f"id string, sample_name string, main_lin string, sublin string, dr_variants {_GRADED}, drug_resistance_variants {_GRADED}, qc struct<gene_coverage: {_COVERED}, target_coverage: {_COVERED}>"
+_GRADED_FILE = f"_corrupt_record string, id string, sample_name string, main_lin string, sublin string, dr_variants {_GRADED}, drug_resistance_variants {_GRADED}, qc struct<gene_coverage: {_COVERED}, target_coverage: {_COVERED}>"
 
 
 def _graded_files(texts: DataFrame) -> DataFrame:
     parsed = texts.withColumn("_d", F.from_json("value", _GRADED_FILE))
     found = F.coalesce("_d.dr_variants", "_d.drug_resistance_variants")
-    error = F.when(F.col("_d").isNull(), "not JSON").when(found.isNull(), "no list of resistance variants")
+    error = F.when(F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull(), "not JSON").when(found.isNull(), "no list of resistance variants")
     return parsed.select("file", F.coalesce("_d.id", "_d.sample_name").alias("sample_id"), F.coalesce("_d.sublin", "_d.main_lin").alias("lineage"), found.alias("_found"), F.col("_d.qc").alias("_qc"), error.alias("error"))
 
 
