@@ -100,3 +100,40 @@ def calibration_error(df: DataFrame, by: list[str], bins: int = 5, min_n: int =
     s = F.col("n") - F.col("n_r")
     reason = F.when(F.col("n") < min_n, "too few rows").when(F.col("n_r") < min_class, "too few resistant").when(s < min_class, "too few susceptible")
     return out.withColumn("refused", reason).withColumn("ece", F.when(reason.isNull(), F.col("_gap") / F.col("n"))).drop("_gap")
+
+
+def promotion(obs: DataFrame, known: DataFrame, limits: dict[str, float], top: int = 5) -> DataFrame:
+    """Associations with every gate they fail: size, fraction, sites, susceptible cohort, controls, lineages, co-occurrence.
+
+    A lineage supports an association with ``min_lineage_n`` isolates at ``min_fraction``.
+    Of the ``top`` variants seen most often beside it (in the observation that counts),
+    a known determinant (``known``: variant) in ``max_cooccurrence`` of its resistant
+    isolates blocks it.
+    """
+    usable = obs.where(F.col("phenotype").isin("R", "S")).withColumn("lineage", F.coalesce("lineage", F.lit("unknown")))
+    one = usable.where("variant IS NOT NULL").groupBy("variant", "drug", "isolate_id").agg(F.min(F.struct("arrival", "phenotype", "site_id", "lineage")).alias("o")).select("variant", "drug", "isolate_id", "o.*")
+    per = one.groupBy("variant", "drug", "lineage").agg(F.count("*").alias("_n"), F.count(F.when(F.col("phenotype") == "R", 1)).alias("_r"))
+    holds = (F.col("_n") >= limits["min_lineage_n"]) & (F.col("_r") >= limits["min_fraction"] * F.col("_n"))
+    lineages = per.groupBy("variant", "drug").agg(F.count(F.when(holds, 1)).alias("n_lineages"))
+    sums = one.groupBy("variant", "drug").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("phenotype") == "R", 1)).alias("n_r"), F.count(F.when(F.col("phenotype") == "S", 1)).alias("n_s"), F.count_distinct("site_id").alias("n_sites")
+    )
+    isolates = usable.groupBy("drug", "isolate_id").agg(F.min(F.struct("arrival", "phenotype")).alias("o"))
+    cohort = isolates.groupBy("drug").agg(F.count("*").alias("_cohort"), F.count(F.when(F.col("o.phenotype") == "S", 1)).alias("cohort_s"))
+    beside = usable.where("variant IS NOT NULL").select("arrival", "isolate_id", "drug", F.col("variant").alias("other")).distinct()
+    pairs = one.select("variant", "drug", "isolate_id", "arrival").join(beside.hint("merge"), ["arrival", "isolate_id", "drug"]).where("variant <> other").groupBy("variant", "drug", "other").agg(F.count("*").alias("_c"))
+    most = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("variant", "drug").orderBy(F.col("_c").desc(), "other"))).where(F.col("_k") <= top)
+    marked = most.join(known.select(F.col("variant").alias("other")).distinct().hint("merge"), "other").join(sums.select("variant", "drug", "n_r").hint("merge"), ["variant", "drug"])
+    blocked = marked.where((F.col("n_r") > 0) & (F.col("_c") >= limits["max_cooccurrence"] * F.col("n_r"))).select("variant", "drug", F.lit(True).alias("_blocked")).distinct()
+    out = sums.join(lineages.hint("merge"), ["variant", "drug"]).join(cohort.hint("merge"), "drug").join(blocked.hint("merge"), ["variant", "drug"], "left").withColumn("r_fraction", F.col("n_r") / F.col("n"))
+    failed = F.array_compact(F.array(
+        F.when(F.col("n") < limits["min_n"], "isolates"), F.when(F.col("r_fraction") < limits["min_fraction"], "fraction"), F.when(F.col("n_sites") < limits["min_sites"], "sites"), F.when(F.col("cohort_s") < limits["min_s"], "susceptible cohort"),
+        F.when(F.col("_cohort") - F.col("n") <= 0, "controls"), F.when(F.col("n_lineages") < limits["min_lineages"], "lineages"), F.when(F.col("_blocked"), "co-occurrence"),
+    ))
+    return out.select("variant", "drug", "n", "n_r", "n_s", "n_sites", "n_lineages", "cohort_s", "r_fraction", (F.size(failed) == 0).alias("eligible"), F.array_join(failed, ",").alias("failed"))
+
+
+def provisional(candidates: DataFrame, approved: DataFrame) -> DataFrame:
+    """Catalogue rows of approved candidates (variant, drug); one that is not eligible gives none."""
+    taken = candidates.where("eligible").join(approved.distinct().hint("merge"), ["variant", "drug"], "left_semi")
+    return taken.select("variant", "drug", F.lit("resistant").alias("call"), F.round("r_fraction", 3).alias("confidence"), "n", "n_sites")

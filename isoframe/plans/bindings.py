@@ -122,6 +122,28 @@ SELECT CONCAT('g', CAST(l_partkey % 20 AS VARCHAR(9))) AS gene, p_type AS drug,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     "metadata": """
 SELECT c_custkey AS isolate_id, c_custkey * 7 % 113 AS cluster_id, c_custkey * 11 % 97 AS patient_id, c_nationkey AS site_id, CASE WHEN c_custkey * 7 % 113 % 9 = 0 AND c_acctbal < 0 THEN 'development' ELSE 'evaluation' END AS partition FROM customer""",
+    "runs": """
+SELECT o_orderkey AS run, o_custkey AS custkey, CASE o_custkey % 5 WHEN 0 THEN 'OXFORD' ELSE 'illumina' END AS platform, CASE o_custkey % 7 WHEN 0 THEN 'SINGLE' ELSE 'PAIRED' END AS layout, CASE WHEN o_custkey % 11 > 0 THEN CONCAT('B', CAST(o_orderkey % 997 AS VARCHAR(9))) END AS biosample,
+  o_orderpriority AS organism, CASE WHEN o_orderkey % 9 = 0 THEN 'species_mismatch_refused' WHEN o_orderkey % 9 = 1 THEN ' ' END AS outcome, CAST(FLOOR(o_totalprice) AS BIGINT) AS bases FROM orders""",
+    "labs": """
+SELECT o_orderkey AS observation_id, o_custkey AS isolate_id, o_orderpriority AS drug, CASE o_orderstatus WHEN 'F' THEN 'resistant' WHEN 'O' THEN 'susceptible' ELSE 'indeterminate' END AS result, CASE WHEN o_orderkey % 6 = 0 THEN 'fail' ELSE 'pass' END AS quality,
+  CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice / 60000 END AS mic FROM orders""",
+    "calibrations": """
+SELECT DISTINCT CASE o_orderkey % 2 WHEN 0 THEN 'illumina' ELSE 'nanopore' END AS platform, o_orderpriority AS drug, CASE WHEN o_orderkey % 3 = 0 THEN '*' ELSE CONCAT('L', CAST(o_orderkey % 3 AS VARCHAR(9))) END AS lineage, CAST(o_orderkey % 6 + 1 AS DOUBLE) / 100 AS lod50 FROM orders WHERE o_orderpriority < '4'""",
+    "pair_rules": "SELECT p_partkey AS rule, p_type AS drug, CONCAT('g', CAST(p_size % 40 AS VARCHAR(9))) AS primary, CASE WHEN p_partkey % 2 = 0 THEN CONCAT('g', CAST(p_partkey % 40 AS VARCHAR(9))) ELSE CONCAT('k', CAST(p_partkey AS VARCHAR(9))) END AS partner FROM part",
+    "results": """
+SELECT l_orderkey * 10 + l_linenumber AS sample_id, o_orderpriority AS drug, n_regionkey AS site_id, CASE l_returnflag WHEN 'R' THEN 'resistant' WHEN 'A' THEN 'susceptible' ELSE 'not_assessed' END AS genomic_call,
+  CASE o_orderstatus WHEN 'F' THEN 'resistant' WHEN 'O' THEN 'susceptible' END AS phenotypic_call, CASE WHEN o_orderstatus = 'F' THEN 'resistant' WHEN l_returnflag = 'A' THEN 'susceptible' ELSE 'not_assessed' END AS call
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "performance": """
+SELECT CONCAT('m', CAST(p_size % 10 AS VARCHAR(9))) AS model, p_brand AS drug, CAST(CASE WHEN COUNT(*) % 5 = 0 THEN 0.7 ELSE 0.8 END AS DOUBLE) AS call_rate, CAST(CASE COUNT(*) % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 WHEN 2 THEN 0.04 ELSE 0.03 END AS DOUBLE) AS error_rate, CAST(0.75 AS DOUBLE) AS base_coverage, CAST(0.05 AS DOUBLE) AS base_error FROM part GROUP BY p_size % 10, p_brand""",
+    "arms": """
+SELECT o_orderpriority AS drug, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage, n_regionkey AS site_id, CASE o_orderstatus WHEN 'F' THEN 'resistant' ELSE 'susceptible' END AS truth, CASE l_returnflag WHEN 'R' THEN 'resistant' WHEN 'A' THEN 'susceptible' ELSE 'no_call' END AS baseline_call,
+  CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'F' THEN 'resistant' ELSE 'susceptible' END AS intervention_call
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "signals": """
+SELECT p_brand AS drug, o_custkey AS isolate_id, n_regionkey AS site_id, l_returnflag = 'R' AS resistant, l_linenumber < 4 AS explained, CASE WHEN l_linenumber > 5 THEN CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) END AS gene
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey""",
     "wide": """
 SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 13 = 0 THEN 'NONE' ELSE CONCAT('R', CAST(c_custkey AS VARCHAR(9))) END AS run,
   CASE c_nationkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 's' WHEN 2 THEN '' ELSE 'I' END AS rif_phenotype, CASE c_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS rif_quality, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '0.5' END AS rif_mic,
