@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed byte sets of the word contracts: ASCII white space, and ASCII outside 0-9 a-z.
 WHITE = np.zeros(256, bool)
@@ -25,12 +26,14 @@ _powers = {"n": 0, "up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is set only where none is named."""
+    """The shared folder of this session. Where none is named a session on one machine gets a local one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             folder = f"file:///tmp/isoframe-{uuid.uuid4().hex}"
             spark.sparkContext.setCheckpointDir(folder)
@@ -160,8 +163,12 @@ def count_rows(counts: np.ndarray, parts: int = 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
 
-def summed_counts(rows: DataFrame, parts: int = 16) -> np.ndarray:
-    """The sum of count vectors, of which every task gave one. Its length is fixed by a parameter, not by the data."""
+def summed_counts(rows: DataFrame, parts: int = 16, fan: int = 64) -> np.ndarray:
+    """The sum of count vectors, of which every task gave one. Its length is fixed by a parameter, not by the data.
+
+    Vectors are added in two steps, the first in up to ``fan`` tasks for each part, so
+    that no task adds those of all tasks.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -173,5 +180,6 @@ def summed_counts(rows: DataFrame, parts: int = 16) -> np.ndarray:
             blobs = [x.tobytes() for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
-    found = rows.repartition(parts, "part").mapInArrow(add, COUNTS).collect()
+    few = rows.withColumn("_fan", F.spark_partition_id() % fan).repartition(parts * fan, "part", "_fan").drop("_fan").mapInArrow(add, COUNTS)
+    found = few.repartition(parts, "part").mapInArrow(add, COUNTS).collect()
     return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(found, key=lambda r: r.part)] or [np.zeros(0, np.int64)])

@@ -46,7 +46,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(_table(spark, sf_dir, "documents"))
+    return ngram_join.components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,11 @@ FROM d LEFT JOIN c USING (k) LEFT JOIN g USING (k)
 """
 
 
-#: Mean log ratio below which a document is unlike the trusted ones: at 0.1 GB labelled junk scores below -0.13, good text above -0.04 (counts of small corpora are noisier).
-LLR_THRESHOLD = -0.12
-
-
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.judge(docs, quality_rules.fit(docs, trusted), LLR_THRESHOLD)
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratio = quality_rules.fit(docs, labels.where("quality = 1").select("doc_id"))
+    rows = written(quality_rules.scored(docs, ratio), "scored")
+    return quality_rules.judged(rows, quality_rules.threshold(rows, labels))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

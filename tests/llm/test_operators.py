@@ -105,15 +105,17 @@ def test_join_equals_brute_force(spark):
         return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
     sets = [shingles(r.text) for r in rows]
-    group = list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                    group[i] = group[j] = min(group[i], group[j])
-    name = {g: min((rows[k].doc_id for k in range(len(rows)) if group[k] == g and rows[k].doc_id is not None), default=None) for g in group}
-    want = sorted(((r.doc_id, len(s), name[g] if s else r.doc_id) for r, s, g in zip(rows, sets, group)), key=str)
-    assert sorted((tuple(r) for r in ngram_join.components(df).collect()), key=str) == want
+    for percent in (80, 60, 45):
+        group = list(range(len(rows)))
+        for _ in rows:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if a and b and 100 * len(a & b) >= percent * len(a | b):
+                        group[i] = group[j] = min(group[i], group[j])
+        name = {g: min((rows[k].doc_id for k in range(len(rows)) if group[k] == g and rows[k].doc_id is not None), default=None) for g in group}
+        want = sorted(((r.doc_id, len(s), name[g] if s else r.doc_id) for r, s, g in zip(rows, sets, group)), key=str)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(df, percent).collect()), key=str) == want
+    assert ngram_join.boundary(1.0, 80) == 4 and ngram_join.boundary(2.0, 80) == 14 and ngram_join.boundary(9.0, 50) == 0
     assert ngram_join.components(empty(df)).count() == 0
 
 
@@ -144,7 +146,7 @@ def test_join_keeps_links_across_the_single_shingle_boundary(spark, copies, ligh
             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     want = {k: root(k % len(rows)) for k in range(len(rows) * copies)}
-    assert {x.doc_id: x.component_id for x in ngram_join.components(df, sketch_bits=bits).collect()} == want
+    assert {x.doc_id: x.component_id for x in ngram_join.components(df, sketch_bits=bits, light=light).collect()} == want
 
 
 def test_components(spark):
@@ -283,11 +285,59 @@ def test_statistics_equal_brute_force():
 
 def test_quality_rules(spark):
     df = frame(spark)
-    ratio = quality_rules.fit(df, df.where("doc_id > 8").select("doc_id"), bits=10)
-    assert ratio.shape == (1024,) and np.isfinite(ratio).all()
-    got = quality_rules.judge(df, ratio, -1.0).collect()
-    assert len(got) == df.count() and all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in got)
-    assert quality_rules.judge(empty(df), quality_rules.fit(empty(df), df.select("doc_id"), bits=10), 0.0).count() == 0
+    trusted = df.where("doc_id > 8").select("doc_id")
+    for limit in (1000, 0):
+        ratio = quality_rules.fit(df, trusted, bits=10, broadcast_rows=limit)
+        raw, target = np.ones(1024), np.ones(1024)
+        grams = {}
+        for k, (i, t) in enumerate(df.select("doc_id", "text").collect()):
+            s = Slice(*text_bytes(pa.array([t or ""])))
+            grams[k] = quality_rules._ngrams(s, 10)[1]
+            np.add.at(raw, grams[k], 1)
+            np.add.at(target, grams[k] if i is not None and i > 8 else [], 1)
+        want = np.log(target / target.sum()) - np.log(raw / raw.sum())
+        assert np.allclose(ratio, want)
+    rows = quality_rules.scored(df, ratio)
+    got = quality_rules.judged(rows, -1.0).collect()
+    assert np.allclose([r.score for r in got], [want[g].mean() if len(g) else 0 for g in grams.values()], atol=1e-5)
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and r.score >= -1.0) for r in got)
+    assert quality_rules.scored(empty(df), quality_rules.fit(empty(df), df.select("doc_id"))).count() == 0
+    assert quality_rules.bucket_bits(empty(df)) == 12 < quality_rules.bucket_bits(df.crossJoin(spark.range(300)))
+
+
+def test_quality_threshold(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, float(x), False) for k, x in enumerate(np.concatenate([r.normal(0, 1, 200), r.normal(9, 1, 300)]))] + [(900, -50.0, True), (None, 3.0, False)]
+    scored = spark.createDataFrame(rows, "doc_id long, score double, base_failed boolean")
+    labels = spark.createDataFrame([(k, int(k >= 200)) for k in range(500)] + [(0, None), (None, 1), (900, 1)], "doc_id long, quality int")
+    cut = quality_rules.threshold(scored, labels)
+    low, high = max(x for k, x, _ in rows[:200]), min(x for k, x, _ in rows[200:500])
+    assert abs(cut - (low + high) / 2) < 0.02
+    mixed = labels.withColumn("quality", F.when(F.col("doc_id") % 50 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert low < quality_rules.threshold(scored, mixed) < high
+    assert quality_rules.threshold(scored, labels.where("quality = 1")) == high and quality_rules.threshold(scored, labels.where("quality = 0")) == float("-inf")
+    assert quality_rules.threshold(scored, labels.where("false")) == float("-inf")
+
+
+def test_quality_base_columns_equal_sql(spark, tmp_path):
+    import duckdb
+
+    df = frame(spark).where("doc_id IS NOT NULL AND doc_id <> 7")
+    df.select("doc_id", "text").toPandas().to_parquet(tmp_path / "d.parquet")
+    sql = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM '{tmp_path}/d.parquet'),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+    g AS (SELECT doc_id, s, array_to_string(w[s : s + 2], ' ') AS x FROM d, unnest(range(1, len(w) - 1)) AS u(s)),
+    r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g), unnest(range(s, s + 3)) AS u(p) WHERE c > 1 GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+    FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id)"""
+    want = duckdb.sql(sql).fetchall()
+    got = quality_rules.scored(df, quality_rules.fit(df, df.select("doc_id"))).drop("score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_quality_model(spark):
