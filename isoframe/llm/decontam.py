@@ -24,6 +24,11 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later expressions and filters read instead of computing it again (a one-row explode keeps them apart)."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def raw_words(text: Column) -> Column:
     """Words of a text, letter case kept; null and wordless texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SEPARATORS), lambda w: w != "")
@@ -89,19 +94,15 @@ def window_hits(
         found.where("_at >= 0").join(windows.hint(joined_by), "window_id")
         .groupBy("_key").agg(F.collect_set(F.struct("_at", "words", "items")).alias("_found"))
     )
-    judged = keyed.join(candidates.hint("merge"), "_key", "left").withColumn("_words", _split(F.col("_text")))
+    judged = keyed.join(candidates.hint("merge"), "_key", "left")
+    judged = once(judged.select("doc_id", "row", "_text", "_found"), "_words", _split(F.col("_text"))).drop("_text")
     blank = F.when(F.get("_words", F.lit(0)) == "", 1).otherwise(0)
     there = F.filter(
         F.coalesce("_found", F.array()),
         lambda c: F.transform(F.slice("_words", c["_at"] + 1, F.size(c["words"])), lowered) == c["words"],
     )
-    return judged.select(
-        "doc_id", "row",
-        F.size(F.filter("_words", lambda w: w != "")).alias("n_words"),
-        F.transform(there, lambda c: F.struct(
-            (c["_at"] - blank).alias("start"), F.size(c["words"]).alias("size"), c["items"].alias("items")
-        )).alias("hits"),
-    )
+    hits = F.transform(there, lambda c: F.struct((c["_at"] - blank).alias("start"), F.size(c["words"]).alias("size"), c["items"].alias("items")))
+    return once(judged, "hits", hits).select("doc_id", "row", F.size(F.filter("_words", lambda w: w != "")).alias("n_words"), "hits")
 
 
 def contamination(hits: DataFrame, share: int = 20) -> DataFrame:
@@ -112,7 +113,7 @@ def contamination(hits: DataFrame, share: int = 20) -> DataFrame:
     """
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     n_hit = F.when(F.size("hits") > 0, F.size(covered)).otherwise(0).cast("long")
-    return hits.select(
-        "doc_id", "row", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+    return once(hits, "n_hit", n_hit).select(
+        "doc_id", "row", F.col("n_words").cast("long").alias("n_words"), "n_hit",
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("item_ids"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
