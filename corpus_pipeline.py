@@ -6,7 +6,7 @@ as the next one's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm import decontam, ngram_join, packing, quality_model, suffix_dedup
@@ -20,16 +20,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id.
+    """One row of each component: that of the smallest id, and of its rows that of the smallest text hash.
 
-    Rows of one id are one document; rows without an id are kept.
+    Rows with equal id and text are one document. Rows without words are no copies of
+    anything and all stay; a null id comes after the others.
     """
-    found = ngram_join.components(docs)
-    kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    one = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    found = written(ngram_join.components(docs), "components")
+    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    kept = best.select("best.doc_id", "best.text_key", F.lit(True).alias("one"))
+    alone = found.where("n_shingles = 0").select("doc_id", "text_key", F.lit(False).alias("one")).distinct()
+    kept = written(kept.unionByName(alone), "kept")
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    same = keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["key"] == kept["text_key"])
+    rows = keyed.join(kept.hint("merge"), same).select("row", "id", "key", "one")
+    first = rows.where("one").groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return first.unionByName(rows.where("NOT one").select("row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Equal sets are one class. Classes are joined by a size-aware heavy-light join: s
 are ordered by rarity, and two sets that link share at least one shingle of their
 prefixes and two of their longer prefixes. Light (small) sets are listed under each
 pair of shingles of the longer prefix, heavy sets under each shingle of the prefix.
-The boundary is where enumerating pairs costs more than scanning the lists.
+The boundary is where enumerating pairs costs more than scanning lists of the length
+that is measured on a sample of the shingles.
 
 Links are only sought while they can still join two components: first of each list's
 members with their neighbours and with the one that has most to share, then between
@@ -64,16 +65,54 @@ def _digests(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndar
     return size, mix(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the text), n (set size) and digest (equal for equal sets) of every row."""
+def document_sets(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", sample_bits: int = 10) -> DataFrame:
+    """doc_id, text_key (hash of the text), n (set size), digest (equal for equal sets) and sampled of every row.
+
+    ``sampled`` holds those shingles whose hash ends in ``sample_bits`` zeros.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            size, digest = _digests(*sets_of(batch.column("text"), width), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), pa.array(digest)], ["doc_id", "text_key", "n", "digest"])
+            rows, hashes = sets_of(batch.column("text"), width)
+            size, digest = _digests(rows, hashes, batch.num_rows)
+            few = (hashes & np.uint64((1 << sample_bits) - 1)) == 0
+            at = np.concatenate([[0], np.cumsum(np.bincount(rows[few], minlength=batch.num_rows))])
+            sampled = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes[few].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), pa.array(digest), sampled], ["doc_id", "text_key", "n", "digest", "sampled"]
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n int, digest long")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n int, digest long, sampled array<long>")
+
+
+def list_length(sets: DataFrame, percent: int) -> float:
+    """Mean length of the lists that a prefix entry stands in, over the sampled shingles.
+
+    Lists hold distinct sets. The rarest (100 - percent) per cent of all entries are
+    taken, as prefixes hold the rarest shingles of each set.
+    """
+    lists = sets.select("digest", F.explode("sampled").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("length"))
+    found = sorted((r.length, r.n) for r in lists.groupBy("length").agg(F.count("*").alias("n")).collect())
+    left = total = sum(length * n for length, n in found) * (100 - percent) / 100
+    weight = 0.0
+    for length, n in found:
+        taken = min(left, length * n)
+        weight += taken * length
+        left -= taken
+    return weight / total if total else 1.0
+
+
+def boundary(length: float, percent: int, longest: int = 12) -> int:
+    """Largest set size at which enumerating the prefix's pairs is no dearer than scanning its lists of mean ``length``.
+
+    A prefix of p entries has p * (p + 1) / 2 pairs; it scans p * length entries. Prefixes
+    of more than ``longest`` entries are never enumerated, which bounds what a set takes.
+    At 50 per cent or less sets may link by one shingle, so none are light.
+    """
+    most = min(longest, max(1, int(2 * length - 1)))
+    sizes = np.arange(1, 100 * longest)
+    return int(sizes[sizes - _needed(sizes, percent) + 1 <= most].max()) if percent > 50 else 0
 
 
 def shingle_counts(docs: DataFrame, width: int, bits: int, text_col: str) -> np.ndarray:
@@ -184,24 +223,29 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
 
 def components(
-    docs: DataFrame, percent: int = 80, width: int = WIDTH, sketch_bits: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 80, width: int = WIDTH, sketch_bits: int = 20, id_col: str = "doc_id", text_col: str = "text",
+    light: int | None = None,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, text_key, n_shingles, component_id and root of every row.
+
+    Sets of up to ``light`` shingles are listed under pairs (see ``boundary``).
+    ``text_key`` is the hash of the row's text, ``root`` a value that the rows of one
+    component share (null for a row without words).
 
     Two rows link when 100 * intersection >= percent * union of their sets; the
     component is named by its smallest id. Rows without words have no shingles and stay
     alone. Null ids take part in links but never name a component (a component of null
     ids only has a null name). Repeated rows, empty tables and other columns are fine.
 
+    A text of any length is taken whole (in about a hundred times its bytes of memory).
+
     Sets are compared by 64-bit hashes of shingles, sets by 64-bit digests.
     """
     spark = docs.sparkSession
     sets = written(document_sets(docs, width, id_col, text_col), "sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.count("*").alias("_rows"))
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.min("text_key").alias("text_key"), F.max("n").alias("n"))
     classes = written(classes, "classes")
-    small = classes.where("n <= 1000").agg((F.sum("_rows") / F.count("*")).alias("mean")).first()
-    # A set of n has prefix n - needed + 1; pairs of it cost about half its square, lists their mean length.
-    light = (5 * int(2 * (small.mean or 1.0)) + 4) if percent == 80 else 0
+    light = boundary(list_length(sets, percent), percent) if light is None else light
     counts = shingle_counts(docs, width, sketch_bits, text_col)
     index = prefix_index(docs, counts, light, percent, width, text_col)
 
@@ -255,9 +299,11 @@ def components(
     roots = written(connected(written(links.unionByName(more), "links")), "roots")
     release(spark)
 
+    # Tables that are joined are written first: a join of plain tables is one that Spark splits.
     named = classes.join(roots.select(F.col("node").alias("digest"), "root").hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_set = named.select("digest", "root").join(least.hint("merge"), "root").select("digest", "component_id")
+    named = written(named.select("digest", "root", "_least"), "named")
+    least = written(named.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
+    by_set = named.select("digest", "root").join(least.hint("merge"), "root").select("digest", "component_id", "root")
     return sets.join(by_set.hint("merge"), "digest", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root"
     )
