@@ -32,6 +32,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """
     width = length - GRAM + 1
     n = len(data)
+    if n > int(_PLACE):
+        raise ValueError("texts of more than 256 MiB are not supported")
     sums = prefix_hash(data)
     grams = np.full(-(-(n + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
     if n < length:
@@ -58,11 +60,22 @@ def _extent(sums: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarra
 
 
 def _starts(docs: DataFrame, length: int) -> DataFrame:
-    """Anchors of every text: text_key, gram, extent, place p and the starts s0..s1 that it stands for."""
+    """Anchors of every text: text_key, gram, extent, place p and the starts s0..s1 that it stands for.
+
+    Copies beyond the second of a task are left out: two tell that all their strings recur.
+    """
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in slices(batches, "text"):
+            wanted = []
+            for key in batch.column("text_key").to_pylist():
+                seen[key] = seen.get(key, 0) + 1
+                wanted.append(seen[key] <= 2)
+            batch = batch.filter(pa.array(wanted, pa.bool_()))
+            if batch.num_rows == 0:
+                continue
             data, offsets = text_bytes(batch.column("text"))
             row, p, s0, s1, sums = anchors(data, offsets, length)
             base, top = offsets[row], offsets[row + 1]
@@ -79,11 +92,11 @@ def _refined(rows: DataFrame, members: list[str]) -> tuple[DataFrame, DataFrame]
     """Members all of whose strings recur, and one member of each extent of the buckets that are still open.
 
     ``rows`` has bucket, extent, weight (occurrences a row stands for) and ``members``.
-    Counts are aggregated before they are joined, and the joins can be split by Spark,
-    so that a bucket of any size is dealt with.
+    Counts are aggregated before they are joined, and are written first: a join of plain
+    tables is one that Spark splits, so that a bucket of any size is dealt with.
     """
     spark = rows.sparkSession
-    sizes = rows.groupBy("bucket").agg(F.sum("weight").alias("_n")).where("_n >= 2").select("bucket")
+    sizes = written(rows.groupBy("bucket").agg(F.sum("weight").alias("_n")).where("_n >= 2").select("bucket"), "sizes")
     live = written(rows.join(sizes.hint("merge"), "bucket"), "live")
     release(spark)
     groups = live.groupBy("bucket", "extent").agg(F.sum("weight").alias("_c"), F.min(F.struct(*members)).alias("_one"))
@@ -91,7 +104,7 @@ def _refined(rows: DataFrame, members: list[str]) -> tuple[DataFrame, DataFrame]
     twice = groups.where("_c >= 2").select("bucket", "extent")
     recurring = live.join(twice.hint("merge"), ["bucket", "extent"]).select(*members)
     still = groups.groupBy("bucket").agg(F.count("*").alias("_k"), F.sum(F.when(F.col("_c") == 1, 1).otherwise(0)).alias("_alone"))
-    still = still.where("_k >= 2 AND _alone > 0").select("bucket")
+    still = written(still.where("_k >= 2 AND _alone > 0").select("bucket"), "still")
     left = groups.join(still.hint("merge"), "bucket").select("_one.*", F.least("_c", F.lit(2)).cast("int").alias("weight"))
     return recurring, left
 
@@ -202,37 +215,40 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", a
 
     A byte is removed if it lies in a string of ``length`` bytes that starts anywhere
     else too, in the same text or another row's; strings are judged on the input. Null
-    texts count as empty. Texts shorter than ``length`` are kept whole; copies of longer
+    texts count as empty, a text may have up to 256 MiB (more is an error) and ``length``
+    up to 4,096 bytes. Texts shorter than ``length`` are kept whole; copies of longer
     ones are removed whole. Null ids, empty tables and further columns (kept as they
     are, even named like the new ones of this table's inner steps) are fine.
 
     Strings are told apart by 64-bit hashes and texts by the 64-bit hash of the text.
     """
+    if not GRAM <= length <= 4096:
+        raise ValueError(f"length must be from {GRAM} to 4096")
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     spans = repeated_spans(texts, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
-            merged, kept = [], []
-            for k, found in enumerate(batch.column("spans").to_pylist()):
-                out: list[list[int]] = []
-                for start, end in sorted((x["start"], x["end"]) for x in found or []):
-                    if out and start <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], end)
-                    else:
-                        out.append([start, end])
-                raw, at, rest = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                for start, end in out:
-                    rest.append(raw[at:start])
-                    at = end
-                merged.append([{"start": a, "end": b} for a, b in out])
-                whole = b"".join([*rest, raw[at:]])
-                kept.append(whole.decode("utf-8", "ignore") if as_text else whole)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.diff(offsets)), pa.array(merged, kind), pa.array(kept, pa.string() if as_text else pa.binary())], ["row", "n_bytes", "spans", "kept"]
-            )
+            found = batch.column("spans")
+            count = np.where(found.is_valid().to_numpy(zero_copy_only=False), np.diff(found.offsets.to_numpy()), 0)
+            base = offsets[np.repeat(np.arange(batch.num_rows), count)]
+            flat = found.flatten()
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, flat.field("start").to_numpy() + base, 1)
+            np.add.at(change, flat.field("end").to_numpy() + base, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offsets] = True
+            first = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
+            last = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+            row = np.searchsorted(offsets, first, "right") - 1
+            runs = pa.StructArray.from_arrays([pa.array((x - offsets[row]).astype(np.int32)) for x in (first, last)], ["start", "end"])
+            merged = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets), pa.int32()), runs)
+            at = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+            rest = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[~gone])])
+            kept = pa.array([x.decode("utf-8", "ignore") for x in rest.to_pylist()], pa.string()) if as_text else rest
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), merged, kept], ["row", "n_bytes", "spans", "kept"])
 
     fields = [f for f in docs.schema if f.name != text_col]
     row = F.struct(*[F.col(f"`{f.name}`") for f in fields])
