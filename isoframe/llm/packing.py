@@ -206,7 +206,8 @@ def pack(pieces: DataFrame, window: int = 1024, block_rows: int = 20_000) -> Dat
 
     Pieces are dealt by hash to blocks of about ``block_rows`` and each block is packed
     by itself; with so many remainders a block leaves hardly any padding. The blocks
-    depend on the rows alone, so the result is the same on every run.
+    depend on the rows alone, so the result is the same on every run. Pieces that agree
+    in id, start and checksum more than ``block_rows`` times are spread over all blocks.
     """
     blocks = max(1, -(-pieces.count() // block_rows))
 
@@ -219,7 +220,14 @@ def pack(pieces: DataFrame, window: int = 1024, block_rows: int = 20_000) -> Dat
         at = table.schema.get_field_index("_block")
         return table.remove_column(at).append_column("sequence_id", pa.array((block << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
+    own = F.xxhash64("doc_id", "start", "ids_crc32")
+    dealt = pieces.withColumn("_own", own)
+    repeated = pieces.groupBy(own.alias("_own")).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).select("_own")
+    if blocks > 1 and not repeated.isEmpty():  # fewer than one in block_rows of all pieces
+        spread = dealt.join(repeated.withColumn("_spread", F.lit(True)).hint("merge"), "_own", "left")
+        salt = F.when(F.col("_spread"), F.monotonically_increasing_id()).otherwise(0)
+        dealt = spread.withColumn("_own", F.xxhash64("_own", salt)).drop("_spread")
+    dealt = dealt.withColumn("_block", F.pmod("_own", F.lit(blocks)).cast("int")).drop("_own").select(*pieces.columns, "_block")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("_block").applyInArrow(place, schema)
 

@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
 
     The rows taken are those of the smallest hash of their id, so the sample is the same
     on every run; its ids are broadcast (max_rows numbers) and only its statistics come
-    to the driver. Ids labelled more than once count with their largest label.
+    to the driver. Ids labelled more than once count with their largest label; where ids
+    repeat among the documents, at most ``max_rows`` rows are taken.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~in_hold_out(F.col("doc_id"), folds, fold))
@@ -113,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     if not ids:
         return boost(np.zeros((0, 1)), np.zeros(0), **options)
     sample = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
-    rows = statistics(docs.join(F.broadcast(sample), "doc_id", "left_semi")).toPandas()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
+    rows = statistics(chosen).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).toPandas()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = np.array(rows["x"].tolist(), np.float64)[order] if len(rows) else np.zeros((0, 1))
     y = np.array([ids[i] for i in rows["doc_id"].to_numpy()[order]], np.float64)

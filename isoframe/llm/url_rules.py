@@ -62,7 +62,7 @@ def match_rules(
 
     ``rules`` has host, path and verdict. A rule fits its host and all subdomains where
     the path starts with the rule's path; the longest rule (host and path together)
-    wins, then the longer host, then the smaller verdict. Without a rule the rule is
+    wins, then the longer host, then allow, then the larger verdict. Without a rule the rule is
     null and the verdict ``default``. Null urls and urls without :// have empty host
     and path. Rows with equal urls, null ids and empty tables are kept as they are;
     columns beside id and url are not read.
