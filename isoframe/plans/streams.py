@@ -102,8 +102,9 @@ def _table_text(spark: SparkSession, sf_dir: str) -> str:
     """Delimited files, each with a header, one of them with a comment; the header starts with a byte order mark."""
     path = shared_path(spark, "table")
     rows = bound(spark, sf_dir, "labs").select(F.col("observation_id").cast("string").alias("\ufeffobservation_id"), F.col("isolate_id").cast("string"), "drug", "result", "quality")
-    comment = spark.createDataFrame([("# a comment", "", "", "", "")], rows.schema)
-    rows.unionByName(comment).write.option("header", True).option("sep", "\t").csv(path)
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    more = spark.createDataFrame([("\t".join(rows.columns),), ("# a comment",), ("",)], "value string")
+    more.coalesce(1).write.mode("append").text(path)
     return path
 
 
