@@ -86,20 +86,23 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows as Parquet, one folder for each shard, rows in slot order."""
-    placed = assign_shards(docs, shards, key, id_col, text_col).select(
-        F.col("doc_id").alias(id_col), F.col("text_crc32").alias("_crc"), "shard", "slot"
-    )
-    ranked = Window.partitionBy(id_col, "_crc").orderBy("slot")
-    again = Window.partitionBy(id_col, "_crc").orderBy(F.lit(0))
-    placed = placed.withColumn("_k", F.row_number().over(ranked))
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 40, key: int = 20240229, id_col: str = "doc_id", text_col: str = "text", file_rows: int = 1_000_000
+) -> None:
+    """Write all rows with all their columns as Parquet, one folder for each shard, in files of ``file_rows`` slots in slot order.
+
+    Rows that agree in id and checksum may take each other's slots. Columns named shard
+    or slot are refused, as these are the ones that are added.
+    """
+    taken = {"shard", "slot"}.intersection(docs.columns)
+    if taken:
+        raise ValueError(f"the table already has columns {sorted(taken)}")
+    placed = assign_shards(docs, shards, key, id_col, text_col)
+    ranked = Window.partitionBy("doc_id", "text_crc32").orderBy("slot", "shard")
+    placed = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot", F.row_number().over(ranked).alias("_place"))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("_crc", crc).withColumn("_k", F.row_number().over(again))
-    same = keyed[id_col].eqNullSafe(placed[id_col]) & (keyed["_crc"] == placed["_crc"]) & (keyed["_k"] == placed["_k"])
-    (
-        keyed.join(placed.hint("merge"), same)
-        .select(*[keyed[c] for c in docs.columns], placed["shard"], placed["slot"])
-        .repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(path)
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), crc.alias("crc"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "crc").orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")) & (F.col("place") == F.col("_place"))
+    whole = rows.join(placed.hint("merge"), same).select("row.*", "shard", "slot").withColumn("_file", F.expr(f"slot div {file_rows}"))
+    whole.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.partitionBy("shard").parquet(path)

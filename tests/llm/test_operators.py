@@ -95,6 +95,19 @@ def test_sharding_is_a_permutation(spark):
     assert sharding.assign_shards(empty(df)).count() == 0
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    df = frame(spark)
+    sharding.write_shards(df, f"file://{tmp_path}/shards", shards=3, file_rows=4)
+    got = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    by = collections.defaultdict(list)
+    for r in got.collect():
+        by[r.shard].append(r.slot)
+    assert len(by) == 3 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    with pytest.raises(ValueError, match="already has"):
+        sharding.write_shards(df.withColumn("slot", F.lit(1)), f"file://{tmp_path}/other")
+
+
 def test_join_equals_brute_force(spark):
     df = frame(spark)
     rows = df.select("doc_id", "text").collect()
