@@ -105,18 +105,18 @@ def verdicts(rates: DataFrame, goals: DataFrame) -> DataFrame:
     """
     hint = "broadcast" if goals.count() <= 10_000 else "merge"
     joined = rates.join(goals.hint(hint), "drug", "left")
-    high, low = "above", "below"
-    checks = [("VME", "vme_rate", "max_vme", high), ("ME", "me_rate", "max_me", high), ("call rate", "call_rate", "min_call_rate", low)]
-    said = []
-    for name, rate, bound, side in checks:
-        breach = F.col(rate) > F.col(bound) if side == high else F.col(rate) < F.col(bound)
-        said.append(F.when(F.col(rate).isNull(), F.lit(f"{name} not estimable")).when(breach, F.lit(f"{name} {side} bound")))
-    listed = F.array_compact(F.array(*said))
-    failed = F.exists(listed, lambda x: ~x.endswith("not estimable"))
+    breaches = {
+        "VME above bound": F.col("vme_rate") > F.col("max_vme"), "ME above bound": F.col("me_rate") > F.col("max_me"), "call rate below bound": F.col("call_rate") < F.col("min_call_rate"),
+    }
+    unknown = {"VME not estimable": F.col("vme_rate").isNull(), "ME not estimable": F.col("me_rate").isNull(), "call rate not estimable": F.col("call_rate").isNull()}
+    failed = F.lit(False)
+    for breach in breaches.values():
+        failed = failed | F.coalesce(breach, F.lit(False))
     outcome = (
         F.when(F.col("min_evaluable").isNull(), "not-targeted").when(F.col("n_evaluable") < F.col("min_evaluable"), "underpowered")
         .when(failed, "fail").otherwise("pass")
     )
+    listed = F.array_compact(F.array(*[F.when(gap, F.lit(lacks)).when(breach, F.lit(says)) for (says, breach), (lacks, gap) in zip(breaches.items(), unknown.items(), strict=True)]))
     out = joined.withColumn("verdict", outcome)
     return out.withColumn("reasons", F.when(F.col("verdict").isin("pass", "fail"), F.array_join(listed, "; ")).otherwise(""))
 

@@ -41,10 +41,20 @@ def greedy(rows: DataFrame, order: list, caps: dict[str, int], store: Callable[[
         done = new if done is None else done.unionByName(new)
         open_ = judged.where("_said IS NULL").drop("_said")
         if open_.isEmpty():
-            return done.drop("_order")
+            return _with_reasons(done, caps).drop("_order")
     raise RuntimeError(f"selection did not end in {rounds} rounds")
 
 
+def _with_reasons(done: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """The key whose cap was full when it was the row's turn, in order of ``caps``."""
+    said = F.lit(None).cast("string")
+    for key, cap in reversed(caps.items()):
+        before = Window.partitionBy(key).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+        done = done.withColumn(f"_before_{key}", F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(before), F.lit(0)))
+        said = F.when(F.col(f"_before_{key}") >= cap, key).otherwise(said)
+    return done.withColumn("reason", F.when(F.col("reason").isNotNull(), said)).drop(*[f"_before_{key}" for key in caps])
+
+
 def _with_taken(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     named = taken.withColumnRenamed(key, "_key")
     return rows.join(named.hint("merge"), rows[key].eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_taken", F.coalesce("_taken", F.lit(0)))

@@ -78,8 +78,8 @@ def load_probes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     One sample a file; an unknown code fails the file. Only S asserts coverage.
     """
     parsed = texts.withColumn("_d", F.from_json("value", "map<string, struct<susceptibility: map<string, struct<predict: string, called_by: map<string, string>>>>>"))
-    sample = F.map_keys("_d")[0]
-    entries = F.map_values("_d")[0]["susceptibility"]
+    sample = F.get(F.map_keys("_d"), F.lit(0))
+    entries = F.get(F.map_values("_d"), F.lit(0))["susceptibility"]
     unknown = F.exists(F.map_values(entries), lambda e: _code(F.trim(F.coalesce(e["predict"], F.lit(""))), PROBE_CODES).isNull())
     error = F.when(F.col("_d").isNull(), "not JSON").when(F.size("_d") != 1, "not one sample").when(entries.isNull(), "no susceptibility").when(unknown, "unknown code")
     files, failed = _parted(parsed.select("file", sample.alias("sample_id"), entries.alias("_e"), error.alias("error")))
@@ -125,12 +125,12 @@ def load_species_profiles(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.col("_d.species.species")
     error = (
         F.when(F.col("_d.id").isNull(), "no id").when(F.col("_d.dr_variants").isNull() | F.col("_d.dr_genes").isNull() | F.col("_d.other_variants").isNull(), "missing list")
-        .when(F.coalesce(F.size(names), F.lit(0)) != 1, "species absent or mixed").when(~F.lower(names[0]["species"]).contains("abscessus"), "other species")
+        .when(F.coalesce(F.size(names), F.lit(0)) != 1, "species absent or mixed").when(~F.coalesce(F.lower(F.get(names, F.lit(0))["species"]).contains("abscessus"), F.lit(False)), "other species")
     )
     sub = F.filter("_d.barcode", lambda b: b["id"].startswith("subsp. ") & (b["frequency"] == 1))
     normal = F.exists("_d.dr_genes", lambda g: (g["gene_name"] == "erm(41)") & (F.lower(g["filter"]) == "pass") & (g["type"] == "functionally_normal"))
     files, failed = _parted(parsed.select(
-        "file", F.col("_d.id").alias("sample_id"), F.when(F.size(sub) == 1, F.regexp_replace(sub[0]["id"], "^subsp\\. ", "")).alias("subspecies"), F.when(normal, "functional").alias("erm41_status"),
+        "file", F.col("_d.id").alias("sample_id"), F.when(F.size(sub) == 1, F.regexp_replace(F.get(sub, F.lit(0))["id"], "^subsp\\. ", "")).alias("subspecies"), F.when(normal, "functional").alias("erm41_status"),
         F.concat("_d.dr_variants", "_d.other_variants").alias("_v"), error.alias("error"),
     ))
     rows = files.select("file", "sample_id", "subspecies", "erm41_status", F.explode("_v").alias("v"))

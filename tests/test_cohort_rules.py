@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from isoframe.operators import accuracy, censored, federated, ledger, strata, testing
+from isoframe.operators import accuracy, censored, evidence, federated, ledger, strata, testing
 
 
 def test_abstention_is_not_a_negative(spark):
@@ -67,13 +67,39 @@ def test_ledger_reasons(spark):
     import hashlib
 
     own = lambda seq, payload, prev: hashlib.sha256(f"{seq}|{payload}|{prev}".encode()).hexdigest()
-    a = own(0, "a", "")
+    a = own(0, "a", ledger.GENESIS)
     b = own(1, "b", a)
-    good = [(0, "a", "", a), (1, "b", a, b)]
+    good = [(0, "a", ledger.GENESIS, a), (1, "b", a, b)]
     schema = "seq long, payload string, prev_hash string, entry_hash string"
     assert ledger.verify(spark.createDataFrame(good, schema)).count() == 0
     bad = spark.createDataFrame([good[0], (1, "changed", a, b), (3, "d", b, own(3, "d", b))], schema)
     assert {(r.seq, r.reason) for r in ledger.verify(bad).collect()} == {(1, "altered entry"), (3, "gap")}
+    twice = ledger.verify(spark.createDataFrame([*good, good[1]], schema)).collect()
+    assert [(r.seq, r.reason) for r in twice] == [(1, "repeated")] * 2
+    made = ledger.append_entries(spark.createDataFrame([("c", 2, "b"), ("c", 1, "a"), ("d", 1, "a")], "chain string, o int, p string"), "chain", "o", "p")
+    assert {(r.chain, r.seq): r.entry_hash for r in made.collect()} == {("c", 0): a, ("c", 1): b, ("d", 0): a}
+
+
+def test_refused_events_leave_the_state(spark):
+    rows = [("k", 1, "open", "r"), ("k", 2, "close", "r"), ("k", 3, "review", " "), ("k", 4, "review", "r"), ("k", 5, "close", "r"), ("j", 1, "close", None)]
+    events = spark.createDataFrame(rows, "key string, n long, action string, reviewer string")
+    told = ledger.replay(events, {"start": ["open"], "open": ["review"], "review": ["close"]}, "key", "n", "action", ("reviewer",))
+    got = {(r.key, r.n): (r.previous, r.allowed) for r in told.collect()}
+    assert got == {("k", 1): ("start", True), ("k", 2): ("open", False), ("k", 3): ("open", False), ("k", 4): ("open", True), ("k", 5): ("review", True), ("j", 1): ("start", False)}
+    assert {r.key: (r.state, r.n_refused) for r in ledger.states(told, "key", "n", "action").collect()} == {"k": ("close", 2), "j": (None, 1)}
+
+
+def test_nothing_missing_becomes_a_negative(spark):
+    kind = "isolate_id long, drug string, call string, tier string, scope string, asserts_coverage boolean, engine string"
+    s = ("susceptible", "catalogued", "isolate", True)
+    rows = [(1, "d", *s, "e"), (2, "d", *s, "x"), (3, "d", "resistant", "inferred", "variant", False, "e"), (3, "d", *s, "e"), (4, "d", "susceptible", "catalogued", "variant", False, "e"), (6, "d", "susceptible", "phenotypic", "isolate", False, None), (7, "d", *s, "x")]
+    gate = spark.createDataFrame([(1, "d", False), (2, "d", True), (3, "d", True), (4, "d", False), (5, "d", True), (6, "d", False), (7, "d", False), (8, "d", True)], "isolate_id long, drug string, adequate boolean")
+    allowed = spark.createDataFrame([(1, "d", "e"), (3, "d", "e"), (5, "d", "catalogue")], "isolate_id long, drug string, engine string")
+    got = {r.isolate_id: (r.call, r.reason) for r in evidence.reconcile(spark.createDataFrame(rows, kind), gate, allowed).collect()}
+    assert got == {
+        1: ("susceptible", "asserted"), 2: ("indeterminate", "no scope"), 3: ("indeterminate", "conflict"), 4: ("not_assessed", "loci"), 5: ("susceptible", "catalogue"), 6: ("susceptible", "phenotype"),
+        7: ("indeterminate", "no scope"), 8: ("indeterminate", "no scope"),
+    }
 
 
 def test_suppression_drops_small_cells(spark):
