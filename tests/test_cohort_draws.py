@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoframe.operators import effects, resampling, selection, targets
+from isoframe.operators import effects, follow_up, resampling, selection, targets
 from isoframe.sources import annotated, tables, tools
 from isoframe.sources.scratch import shared_path, stored
 from isoframe.streaming import intake, monitoring
@@ -156,3 +156,16 @@ def test_delimited_tables(spark, tmp_path):
     folder = f"file://{tmp_path}/{uuid.uuid4().hex}"
     tables.write_results({"t": got}, folder, {"why": "test"})
     assert spark.read.schema("manifest map<string, string>").json(f"{folder}/manifest").first().manifest == {"why": "test", "n_t": "2"}
+
+
+def test_plans_keep_to_the_budget(spark):
+    rows = [(1, "f1", "d", 1, "a0"), (1, "f2", "d", 2, "a0"), (1, "f3", "e", 3, "a0"), (1, "f4", "e", 4, "a0"), (1, "f5", "d", 5, "a1"), (1, "f6", "d", 6, "a2"), (1, "f7", "d", 7, "zz"), (2, "f1", "d", 1, "a1")]
+    menu = [("o1", "a0", True, 5.0), ("o2", "a0", True, 3.0), ("o3", "a1", True, None), ("o4", "a2", False, 1.0)]
+    made = spark.createDataFrame(rows, "sample_id long, finding string, drug string, priority int, action string"), spark.createDataFrame(menu, "option string, action string, available boolean, cost double")
+    got = {(r.sample_id, r.finding): (r.status, r.option, r.charged) for r in follow_up.plans(*made, 4.0).collect()}
+    assert got == {
+        (1, "f1"): ("recommended", "o2", 3.0), (1, "f2"): ("recommended", "o2", 0.0), (1, "f3"): ("deferred_budget", None, None), (1, "f4"): ("deferred_budget", None, None), (1, "f5"): ("cost_unknown", None, None),
+        (1, "f6"): ("unavailable", None, None), (1, "f7"): ("availability_unknown", None, None), (2, "f1"): ("cost_unknown", None, None),
+    }
+    free = {(r.sample_id, r.finding): (r.option, r.charged) for r in follow_up.plans(*made).collect()}
+    assert free[2, "f1"] == ("o3", None) and free[1, "f3"] == ("o2", 3.0)
