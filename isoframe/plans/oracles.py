@@ -193,6 +193,9 @@ SELECT user_id, seq, reason FROM (SELECT user_id, seq, CASE WHEN times > 1 THEN
     "genotype_match": with_bindings("vcf coordinates", _ALLELES + "SELECT * FROM gm"),
     "carriers_per_variant": with_bindings("vcf coordinates", _ALLELES + "SELECT label, COUNT(DISTINCT file) AS n_carriers FROM gm WHERE carried GROUP BY label"),
     "scan_status": with_bindings("vcf coordinates", _ALLELES + "SELECT status, COUNT(*) AS n_alleles, COUNT(CASE WHEN carried THEN 1 END) AS n_carried FROM ac GROUP BY status"),
+    "load_summary": with_bindings("vcf coordinates", _ALLELES + """, cs AS (SELECT file, COUNT(*) AS n_alleles, COUNT(CASE WHEN status = 'ok' THEN 1 END) AS n_ok, COUNT(CASE WHEN status = 'filtered' THEN 1 END) AS n_filtered, COUNT(CASE WHEN status = 'error' THEN 1 END) AS n_error FROM ac GROUP BY file),
+lb AS (SELECT file, COUNT(*) AS n, COUNT(CASE WHEN carried THEN 1 END) AS c FROM gm GROUP BY file)
+SELECT cs.*, 'chr' AS contigs, coalesce(n, 0) AS n_assessed, coalesce(c, 0) AS n_carried, round(1 - n_ok / CAST(n_alleles AS DOUBLE), 6) + 0.0 AS lost_fraction FROM cs LEFT JOIN lb ON lb.file = cs.file WHERE CAST(cs.file AS BIGINT) % 7 <> 3"""),
     "trimmed_alleles": with_bindings("vcf", """ SELECT DISTINCT pos, ref, 'CAT' AS alt, pos + 2 AS new_pos, 'G' AS new_ref, 'T' AS new_alt FROM vcf WHERE kind = 1
 UNION ALL SELECT DISTINCT pos, ref, 'CTG', pos + 1, 'A', 'T' FROM vcf WHERE kind = 1"""),
     "gvcf_coverage": with_bindings("blocks spans", """, ov AS (SELECT s.chrom AS chrom, s.locus AS locus, least(b.stop, s.stop) - greatest(b.start, s.start) AS o, depth FROM blocks AS b JOIN spans AS s ON b.chrom = s.chrom AND b.start < s.stop AND s.start < b.stop),

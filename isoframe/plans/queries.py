@@ -217,6 +217,15 @@ def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcf.alleles(vcf.sites(_vcf_text(spark, sf_dir))).groupBy("status").agg(F.count("*").alias("n_alleles"), F.count(F.when(F.col("carried"), 1)).alias("n_carried"))
 
 
+def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one sample; the header of some names two."""
+    text, catalogue = _vcf_text(spark, sf_dir), bound(spark, sf_dir, "coordinates")
+    names = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta"), F.when(F.col("file").cast("long") % 7 == 3, "\tb").otherwise(""))
+    whole = vcf.single_sample(text.unionByName(text.select("file").distinct().select("file", names.alias("value"))))
+    found = vcf.matched(vcf.alleles(vcf.candidates(whole, catalogue)), catalogue)
+    return rounded(vcf.load_summary(vcf.alleles(vcf.sites(whole)), found))
+
+
 def trimmed_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bound(spark, sf_dir, "vcf").where("kind = 1").select("pos", "ref", F.explode(F.split("alt", ",")).alias("alt")).distinct()
     return rows.withColumn("t", alleles.trimmed(F.col("pos"), F.col("ref"), F.col("alt"))).select("pos", "ref", "alt", F.col("t.pos").alias("new_pos"), F.col("t.ref").alias("new_ref"), F.col("t.alt").alias("new_alt"))
@@ -364,7 +373,7 @@ QUERIES = {f.__name__: f for f in (
     accuracy_by_lineage, accuracy_verdicts, verdict_counts, engine_concordance, aligned_concordance, engine_agreement, species_control, call_distribution,
     call_matrix, risk_coverage_curve, risk_coverage_area, matched_coverage, mic_parsed, censoring_profile, censored_median, censored_shift, pooled_shift,
     holm_adjusted, discoveries, federated_associations, disclosure_check, small_cell_suppression, study_dependence, cohort_summary, site_discordance,
-    latest_call, drift_state, calibration_error, ledger_entries, ledger_links, ticket_replay, ticket_states, scope_permits, genotype_match, carriers_per_variant, scan_status, trimmed_alleles, gvcf_coverage, coverage_merge,
+    latest_call, drift_state, calibration_error, ledger_entries, ledger_links, ticket_replay, ticket_states, scope_permits, genotype_match, carriers_per_variant, scan_status, load_summary, trimmed_alleles, gvcf_coverage, coverage_merge,
     required_loci_gate, locus_callability, reconciled_calls, regimen_eligibility, strata_carriers, determinant_cooccurrence, phenotypes_long,
     monitoring_totals, event_trend, catalogue_entries, catalogue_skipped, generalizability, population_prevalence, tier_composition, isolate_sample,
     validation_queue, predictions_with_truth, cohort_fingerprint, concentration_calls, minority_posteriors, paired_change, submission_checks,

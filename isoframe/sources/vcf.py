@@ -83,3 +83,27 @@ def matched(rows: DataFrame, catalogue: DataFrame, broadcast_rows: int = 2_000_0
     spelled = ok.select("file", "carried", F.explode(spellings).alias("_key"))
     joined = spelled.join(keys, (F.col("_key.pos") == F.col("_p")) & (F.col("_key.ref") == F.col("_r")) & (F.col("_key.alt") == F.col("_a")))
     return joined.groupBy("file", "label").agg(F.max("carried").alias("carried"))
+
+
+def several_samples(text: DataFrame) -> DataFrame:
+    """Files whose header names more than one sample; they are refused as a whole."""
+    return text.where("startswith(value, '#CHROM')").where(F.size(F.split("value", "\t")) > 10).select("file").distinct()
+
+
+def single_sample(text: DataFrame) -> DataFrame:
+    """Lines of the files that are not refused."""
+    return text.join(several_samples(text).hint("merge"), "file", "left_anti")
+
+
+def load_summary(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Per file: alleles by status, contigs, labels assessed and carried, and the share of usable alleles that are filtered or in error.
+
+    ``rows`` are alleles, ``found`` their matches (see ``matched``).
+    """
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    counts = rows.groupBy("file").agg(
+        F.count("*").alias("n_alleles"), n("ok").alias("n_ok"), n("filtered").alias("n_filtered"), n("error").alias("n_error"), F.array_join(F.array_sort(F.collect_set("contig")), ",").alias("contigs")
+    )
+    labels = found.groupBy("file").agg(F.count("*").alias("n_assessed"), F.count(F.when(F.col("carried"), 1)).alias("n_carried"))
+    out = counts.join(labels.hint("merge"), "file", "left").na.fill(0, ["n_assessed", "n_carried"])
+    return out.withColumn("lost_fraction", 1 - F.col("n_ok") / F.col("n_alleles"))
