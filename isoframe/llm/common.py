@@ -20,8 +20,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _GOLDEN = 0x9E3779B97F4A7C15
-_BASE = 0xD6E8FEB86659FD93
-_BYTE_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+#: Hashes of spans are polynomials over the field of this Mersenne prime, at a base drawn once.
+_PRIME = np.uint64(2**61 - 1)
+_BASE = 0x16E8FEB86659FD93
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64(2**k - 1) for k in (29, 30, 31, 32))
+_BYTE_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**61 - 1, 256, dtype=np.uint64)
+_PLACE_BYTE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64 - 1, 64 * 256, dtype=np.uint64)
 _powers = {"n": 0, "up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
 
 
@@ -116,33 +120,124 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _product(x: np.ndarray, y: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Products modulo the prime of values below it; blocks keep what is in work in the processor's cache."""
+    out = np.empty(len(x), np.uint64)
+    for at in range(0, len(x), block):
+        a, b = x[at : at + block], y[at : at + block]
+        ah, bh = a >> np.uint64(31), b >> np.uint64(31)
+        al, bl = a & _LOW31, b & _LOW31
+        mid = al * bh
+        mid += ah * bl
+        al *= bl
+        ah *= bh
+        ah <<= np.uint64(1)
+        al += ah
+        al += mid >> np.uint64(30)
+        mid &= _LOW30
+        mid <<= np.uint64(31)
+        al += mid
+        top = al >> np.uint64(61)
+        al &= _PRIME
+        al += top
+        al -= np.where(al >= _PRIME, _PRIME, np.uint64(0))
+        out[at : at + block] = al
+    return out
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    at = 1
+    while at < n:  # each pass doubles what is filled
+        out[at : 2 * at] = _product(out[: min(at, n - at)], np.full(min(at, n - at), pow(base, at, int(_PRIME)), np.uint64))
+        at *= 2
+    return out
+
+
 def _grown(n: int) -> None:
     if _powers["n"] < n:
         size = max(n, 1 << 20)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _powers.update(n=size, up=np.cumprod(up), down=np.cumprod(down))
+        _powers.update(n=size, up=_powers_of(_BASE, size), down=_powers_of(pow(_BASE, -1, int(_PRIME)), size))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Sums S with which ``span_hash`` hashes any span of the bytes in constant time."""
     _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _powers["up"][: len(data)], out=sums[1:])
+    block, last = 1 << 13, np.uint64(0)
+    for at in range(0, len(data), block):
+        terms = _product(_BYTE_CODE[data[at : at + block]], _powers["up"][at : min(at + block, len(data))])
+        high = np.cumsum(terms >> np.uint64(32))  # halves of the terms, so that no sum leaves 64 bits
+        low = np.cumsum(terms & _LOW32)
+        # high * 2**32 modulo 2**61 - 1: its bits from the 29th on come round to the lowest.
+        whole = ((high & _LOW29) << np.uint64(32)) + (high >> np.uint64(29)) + low + last
+        sums[at + 1 : at + 1 + len(terms)] = _reduced(whole)
+        last = sums[at + len(terms)]
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans: equal bytes give equal values wherever they stand."""
-    raw = (sums[ends] - sums[starts]) * _powers["down"][starts]
+    """64-bit hashes of spans: equal bytes give equal values wherever they stand.
+
+    Different spans of n bytes agree for at most n of the 2**61 possible bases.
+    """
+    raw = _product(_reduced(sums[ends] + (_PRIME - sums[starts])), _powers["down"][starts])
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_GOLDEN))
 
 
+def gram_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of the ``width`` bytes from each place on."""
+    n = max(len(sums) - width, 0)
+    raw = _product(_reduced(sums[width:] + (_PRIME - sums[:n])), _powers["down"][:n])
+    raw += np.uint64(width * _GOLDEN % 2**64)
+    return mix(raw)
+
+
+def apart_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans that are not empty; cheaper than ``span_hash`` where spans do not overlap.
+
+    The sum of one random value for each place and byte, from a table up to place 64 and
+    mixed from it beyond.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64)
+    value = data[place + np.repeat(starts - at, size)].astype(np.int64)
+    place -= np.repeat(at, size)
+    value += (place & 63) << 8
+    terms = _PLACE_BYTE[value]
+    far = np.flatnonzero(place >= 64)
+    if len(far):
+        terms[far] = mix(terms[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(_GOLDEN))
+    return mix(np.add.reduceat(terms, at) + size.astype(np.uint64) * np.uint64(_GOLDEN))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether span k of ``data`` holds the same bytes as span k of ``others``."""
+    size = ends - starts
+    out = size == other_ends - other_starts
+    long = np.flatnonzero(out & (size > 0))
+    if len(long):
+        n = size[long]
+        at = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(at, n)
+        equal = data[np.repeat(starts[long], n) + step] == others[np.repeat(other_starts[long], n) + step]
+        out[long] = np.logical_and.reduceat(equal, at)
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the word offsets of the rows."""
     starts, ends, firsts = word_spans(data, offsets, separators)
-    return span_hash(prefix_hash(data), starts, ends), firsts
+    return apart_hash(data, starts, ends), firsts
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

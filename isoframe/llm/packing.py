@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import prefix_hash, slices, span_hash, text_bytes, written
+from isoframe.llm.common import apart_hash, same_bytes, slices, text_bytes, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 #: Fixed: white space outside ASCII, which a byte-wise cut at spaces must not touch.
@@ -35,6 +35,8 @@ class ChunkEncoder:
     A chunk runs from a single space between two other characters up to the next one.
     The pre-tokenizer never joins characters across such a space, so ids of a text are
     the ids of its chunks in order. Texts with white space outside ASCII are one chunk.
+    Chunks are looked up by hash and then compared byte for byte; one whose bytes differ
+    from those kept under its hash is encoded by itself.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -50,6 +52,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.keys, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.raw_at, self.raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks laid end to end, and how many each has."""
@@ -83,7 +86,7 @@ class ChunkEncoder:
         # A space at a row's edge is no inner one, and its neighbour belongs to another row.
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        keys = span_hash(prefix_hash(data), starts, ends)
+        keys = apart_hash(data, starts, ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > self.limit:
             self._clear()
@@ -98,27 +101,42 @@ class ChunkEncoder:
             spaced = (data[starts[chosen]] == 0x20) & ~np.isin(starts[chosen], edges)
             order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
             ids, counts = self._encode([raw[starts[c] : ends[c]] for c in chosen[spaced]])
-            parts, sizes = [ids], [counts]
-            lone = [raw[starts[c] : ends[c]].decode("utf-8") for c in chosen[~spaced]]
-            for e in self.tokenizer.encode_batch_fast(lone, add_special_tokens=False):
-                parts.append(np.array(e.ids, np.int32))
-                sizes.append(np.array([len(e.ids)]))
-            self._add(distinct[new][order], np.concatenate(parts), np.concatenate(sizes))
+            alone = self._each([raw[starts[c] : ends[c]] for c in chosen[~spaced]])
+            parts, sizes = [ids, *alone], np.concatenate([counts, [len(x) for x in alone]]).astype(np.int64)
+            of = chosen[order]
+            self._add(distinct[new][order], np.concatenate(parts), sizes, [raw[starts[c] : ends[c]] for c in of])
         place = np.searchsorted(self.keys, distinct)[inverse]
+        other = ~same_bytes(data, starts, ends, self.raw, self.raw_at[place], self.raw_at[place + 1])
         counts = self.at[place + 1] - self.at[place]
+        source, base = self.ids, self.at[place]
+        if other.any():  # different bytes under one hash
+            apart = self._each([data[a:b].tobytes() for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            counts[other] = [len(x) for x in apart]
+            base[other] = len(source) + np.cumsum(counts[other]) - counts[other]
+            source = np.concatenate([source, *apart])
         total = np.concatenate([[0], np.cumsum(counts)])
-        take = np.arange(total[-1]) + np.repeat(self.at[place] - total[:-1], counts)
-        return self.ids[take], total[np.searchsorted(starts, offsets)]
-
-    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        all_keys = np.concatenate([self.keys, keys])
-        starts = np.concatenate([self.at[:-1], len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])]).astype(np.int64)
-        sizes = np.concatenate([np.diff(self.at), counts])
-        all_ids = np.concatenate([self.ids, ids])
-        order = np.argsort(all_keys)
-        total = np.concatenate([[0], np.cumsum(sizes[order])])
-        take = np.arange(total[-1]) + np.repeat(starts[order] - total[:-1], sizes[order])
-        self.keys, self.at, self.ids = all_keys[order], total, all_ids[take]
+        take = np.arange(total[-1]) + np.repeat(base - total[:-1], counts)
+        return source[take], total[np.searchsorted(starts, offsets)]
+
+    def _each(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of every chunk, encoded by itself."""
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, chunks: list[bytes]) -> None:
+        order = np.argsort(np.concatenate([self.keys, keys]))
+        self.keys = np.concatenate([self.keys, keys])[order]
+        self.ids, self.at = _regrouped(np.concatenate([self.ids, ids]), np.concatenate([np.diff(self.at), counts]), order)
+        raw, sizes = np.frombuffer(b"".join(chunks), np.uint8), np.array([len(c) for c in chunks], np.int64)
+        self.raw, self.raw_at = _regrouped(np.concatenate([self.raw, raw]), np.concatenate([np.diff(self.raw_at), sizes]), order)
+
+
+def _regrouped(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of values laid end to end in another order, and their offsets."""
+    starts = np.cumsum(sizes) - sizes
+    total = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+    take = np.arange(total[-1]) + np.repeat(starts[order] - total[:-1], sizes[order])
+    return values[take], total
 
 
 @functools.lru_cache(2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from isoframe.llm.common import WHITE, mix, prefix_hash, shingle_hashes, span_hash, word_spans
+from isoframe.llm.common import WHITE, apart_hash, mix, same_bytes, shingle_hashes, word_spans
 
 #: Fixed: the symbols of the quality contract.
 SYMBOLS = np.zeros(256, bool)
@@ -24,9 +24,8 @@ class Slice:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self.sums = prefix_hash(data)
         self.starts, self.ends, self.firsts = word_spans(data, offsets, WHITE)
-        self.words = span_hash(self.sums, self.starts, self.ends)
+        self.words = apart_hash(data, self.starts, self.ends)
         self.n_words = np.diff(self.firsts)
         self.row = np.repeat(np.arange(self.n), self.n_words)
 
@@ -50,8 +49,8 @@ class Slice:
         at = np.flatnonzero(self.row[: len(hashes)] == self.row[width - 1 :]) if len(hashes) else np.zeros(0, np.int64)
         return at, hashes[at]
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and hash of each line (split at newlines only) that has a word."""
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and end of each line (split at newlines only) that has a word."""
         breaks = np.flatnonzero(self.data == 0x0A)
         starts = np.union1d(self.offsets[:-1][np.diff(self.offsets) > 0], breaks + 1)
         starts = starts[starts < len(self.data)]
@@ -59,16 +58,23 @@ class Slice:
         ends = ends - ((ends > starts) & (self.data[ends - 1] == 0x0A)) if len(starts) else ends
         has_word = np.searchsorted(self.starts, ends) > np.searchsorted(self.starts, starts)
         starts, ends = starts[has_word], ends[has_word]
-        return np.searchsorted(self.offsets, starts, "right") - 1, span_hash(self.sums, starts, ends)
+        return np.searchsorted(self.offsets, starts, "right") - 1, starts, ends
 
     def duplicate_lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines with a word, and those of them that equal an earlier line of the row."""
-        row, hashes = self.lines()
+        """Lines with a word, and those of them that equal an earlier line of the row, byte for byte."""
+        row, starts, ends = self.lines()
+        hashes = apart_hash(self.data, starts, ends)
         total = np.bincount(row, minlength=self.n)
         order = np.lexsort((hashes, row))
         r, h = row[order], hashes[order]
-        again = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
-        return total, np.bincount(r[1:][again], minlength=self.n)
+        again = np.flatnonzero((r[1:] == r[:-1]) & (h[1:] == h[:-1]))
+        x, y = order[again], order[again + 1]
+        same = same_bytes(self.data, starts[x], ends[x], self.data, starts[y], ends[y])
+        out = np.bincount(row[x[same]], minlength=self.n)
+        for k in np.unique(row[x[~same]]).tolist():  # different lines of one hash: count that row's lines themselves
+            here = [self.data[a:b].tobytes() for a, b in zip(starts[row == k].tolist(), ends[row == k].tolist(), strict=True)]
+            out[k] = len(here) - len(set(here))
+        return total, out
 
     def _repeated(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Which of the (row, hash) pairs occur twice or more."""
