@@ -18,39 +18,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import mix, prefix_hash, release, slices, span_hash, text_bytes, written
+from isoframe.llm.common import gram_hash, mix, prefix_hash, release, slices, span_hash, text_bytes, written
 
 GRAM = 33
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << 22) - 1)
+#: Starts that are handled at once: a longer text is cut, with what the strings at the cut reach over.
+_SEGMENT = 1 << 20
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings of ``length`` bytes: (row, position, first start, last start, sums).
+def _runs(data: np.ndarray, ends: np.ndarray, count: int, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the strings at the first ``count`` starts: (place, first start, last start).
 
-    The anchor of a string is the leftmost of its GRAM-byte grams with the smallest hash,
-    so equal strings have their anchors at the same place.
+    ``ends`` gives the end of each start's row. The anchor of a string is the leftmost of
+    its GRAM-byte grams with the smallest hash, so equal strings have theirs at one place.
     """
-    width = length - GRAM + 1
-    n = len(data)
-    if n > int(_PLACE):
-        raise ValueError("texts of more than 256 MiB are not supported")
-    sums = prefix_hash(data)
-    grams = np.full(-(-(n + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    width, n = length - GRAM + 1, len(data)
     if n < length:
-        return (*(np.zeros(0, np.int64) for _ in range(4)), sums)
-    at = np.arange(n - GRAM + 1)
-    grams[: len(at)] = (span_hash(sums, at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    grams = np.full(-(-(n + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    grams[: n - GRAM + 1] = (gram_hash(prefix_hash(data), GRAM) & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
     blocks = grams.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.flatnonzero(np.arange(n) + length <= np.repeat(offsets[1:], np.diff(offsets)))
+    starts = np.flatnonzero(np.arange(count) + length <= ends)
     place = (np.minimum(behind[starts], ahead[starts + width - 1]) & _PLACE).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    p = place[first]
-    return np.searchsorted(offsets, p, "right") - 1, p, starts[first], starts[last], sums
+    return place[first], starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else first
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, segment: int = _SEGMENT) -> tuple[np.ndarray, ...]:
+    """Anchors of all strings of ``length`` bytes: (row, place, first start, last start, gram, extent).
+
+    ``gram`` and ``extent`` are hashes of the anchor's gram and of all bytes that its
+    strings may touch. Long texts are handled ``segment`` starts at a time; the strings of
+    one anchor that a cut parts are put together again.
+    """
+    reach, n, parts = length - GRAM, len(data), []
+    for at in range(0, n, segment):
+        end = min(at + segment, n)
+        row = np.searchsorted(offsets, np.arange(at, end), "right") - 1
+        p, s0, s1 = (x + at for x in _runs(data[at : end + length - 1], offsets[row + 1] - at, end - at, length))
+        low = max(at - reach, 0)
+        sums = prefix_hash(data[low : end + 2 * length])
+        row = np.searchsorted(offsets, p, "right") - 1
+        around = _extent(sums, p - reach - low, p + length - low, offsets[row] - low, offsets[row + 1] - low)
+        parts.append((row, p, s0, s1, span_hash(sums, p - low, p - low + GRAM), around))
+    if not parts:
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    row, p, s0, s1, gram, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+    joins = (p[1:] == p[:-1]) & (s0[1:] == s1[:-1] + 1)
+    first, last = np.append(True, ~joins)[: len(p)], np.append(~joins, True)[: len(p)]
+    return row[first], p[first], s0[first], s1[last], gram[first], around[first]
 
 
 def _extent(sums: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -64,11 +84,12 @@ def _starts(docs: DataFrame, length: int) -> DataFrame:
 
     Copies beyond the second of a task are left out: two tell that all their strings recur.
     """
-    reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in slices(batches, "text"):
+            if len(seen) > 1_000_000:  # forgetting only means that more copies are looked at
+                seen.clear()
             wanted = []
             for key in batch.column("text_key").to_pylist():
                 seen[key] = seen.get(key, 0) + 1
@@ -77,12 +98,9 @@ def _starts(docs: DataFrame, length: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             data, offsets = text_bytes(batch.column("text"))
-            row, p, s0, s1, sums = anchors(data, offsets, length)
-            base, top = offsets[row], offsets[row + 1]
-            gram = span_hash(sums, p, p + GRAM)
-            around = _extent(sums, p - reach, p + length, base, top)
+            row, p, s0, s1, gram, around = anchors(data, offsets, length)
             keys = batch.column("text_key").take(pa.array(row))
-            places = [pa.array((x - base).astype(np.int32)) for x in (p, s0, s1)]
+            places = [pa.array((x - offsets[row]).astype(np.int32)) for x in (p, s0, s1)]
             yield pa.RecordBatch.from_arrays([keys, pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), *places], ["text_key", "bucket", "extent", "p", "s0", "s1"])
 
     return docs.select("text_key", "text").mapInArrow(run, "text_key long, bucket long, extent long, p int, s0 int, s1 int")
@@ -207,6 +225,24 @@ def repeated_spans(texts: DataFrame, length: int = 200, block: int = 12) -> Data
     return out
 
 
+def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of intervals, row by row; those of a row lie beyond those of the rows before."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return start[first], end[np.append(first[1:], len(start)) - 1] if len(start) else end
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes lie in the runs, which do not overlap."""
+    change = np.zeros(n + 1, np.int8)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with n_bytes, spans (merged, removed), and kept (the remaining bytes).
 
@@ -215,8 +251,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", a
 
     A byte is removed if it lies in a string of ``length`` bytes that starts anywhere
     else too, in the same text or another row's; strings are judged on the input. Null
-    texts count as empty, a text may have up to 256 MiB (more is an error) and ``length``
-    up to 4,096 bytes. Texts shorter than ``length`` are kept whole; copies of longer
+    texts count as empty, a text of any length is taken whole (long ones a segment at a
+    time), and ``length`` may be up to 4,096 bytes. Texts shorter than ``length`` are kept whole; copies of longer
     ones are removed whole. Null ids, empty tables and further columns (kept as they
     are, even named like the new ones of this table's inner steps) are fine.
 
@@ -232,20 +268,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", a
             data, offsets = text_bytes(batch.column("text"))
             found = batch.column("spans")
             count = np.where(found.is_valid().to_numpy(zero_copy_only=False), np.diff(found.offsets.to_numpy()), 0)
-            base = offsets[np.repeat(np.arange(batch.num_rows), count)]
+            row = np.repeat(np.arange(batch.num_rows), count)
             flat = found.flatten()
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, flat.field("start").to_numpy() + base, 1)
-            np.add.at(change, flat.field("end").to_numpy() + base, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            edge = np.zeros(len(data) + 1, bool)
-            edge[offsets] = True
-            first = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
-            last = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+            first, last = _merged(row, flat.field("start").to_numpy() + offsets[row], flat.field("end").to_numpy() + offsets[row])
+            gone = _covered(first, last, len(data))
             row = np.searchsorted(offsets, first, "right") - 1
             runs = pa.StructArray.from_arrays([pa.array((x - offsets[row]).astype(np.int32)) for x in (first, last)], ["start", "end"])
             merged = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets), pa.int32()), runs)
-            at = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+            removed = np.concatenate([[0], np.cumsum(last - first)])
+            at = offsets - removed[np.searchsorted(first, offsets)]
             rest = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[~gone])])
             kept = pa.array([x.decode("utf-8", "ignore") for x in rest.to_pylist()], pa.string()) if as_text else rest
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), merged, kept], ["row", "n_bytes", "spans", "kept"])
