@@ -26,7 +26,7 @@ from isoframe.llm.common import COUNTS, LOWER, WHITE, count_rows, mix, release,
 from isoframe.llm.components import connected
 
 WIDTH = 5
-_INDEX = "key long, id long, n int, pos int, stop int"
+_INDEX = "key long, id long, n int, pos int, stop long"
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +115,15 @@ def boundary(length: float, percent: int, longest: int = 12) -> int:
     return int(sizes[sizes - _needed(sizes, percent) + 1 <= most].max()) if percent > 50 else 0
 
 
+def order_bits(docs: DataFrame, text_col: str) -> int:
+    """Bits of the buckets by which shingles are ordered: they grow with the corpus, up to 16 million counters.
+
+    Any order gives the same links; a fuller table only makes lists longer.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(24, max(20, 4 + -(-int(size // 6).bit_length() // 2)))
+
+
 def shingle_counts(docs: DataFrame, width: int, bits: int, text_col: str) -> np.ndarray:
     """How many documents hold a shingle of each of 2**bits hash buckets: a rarity order of fixed size."""
 
@@ -143,7 +152,7 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int,
     are told apart by their last bit.
     """
     bits = len(counts).bit_length() - 1
-    held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+    held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are listed once
@@ -151,6 +160,8 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int,
             rows, hashes = sets_of(batch.column("text"), width)
             size, digest = _digests(rows, hashes, batch.num_rows)
             fresh = np.zeros(batch.num_rows, bool)
+            if len(seen) > 1_000_000:  # forgetting only lists some copies again
+                seen.clear()
             for k, d in enumerate(digest.tolist()):
                 if d not in seen:
                     seen.add(d)
@@ -177,7 +188,7 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, light: int, percent: int,
                     place.append(np.full(len(first), i))
             owner = np.concatenate(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(digest[owner]), pa.array(size[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(stop[owner].astype(np.int32))],
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(digest[owner]), pa.array(size[owner].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(stop[owner].astype(np.int64))],
                 ["key", "id", "n", "pos", "stop"],
             )
 
@@ -223,12 +234,13 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
 
 def components(
-    docs: DataFrame, percent: int = 80, width: int = WIDTH, sketch_bits: int = 20, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, percent: int = 80, width: int = WIDTH, sketch_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text",
     light: int | None = None,
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and root of every row.
 
-    Sets of up to ``light`` shingles are listed under pairs (see ``boundary``).
+    Sets of up to ``light`` shingles are listed under pairs (see ``boundary``). Shingles
+    are ordered by counts of 2**``sketch_bits`` buckets (see ``order_bits``).
     ``text_key`` is the hash of the row's text, ``root`` a value that the rows of one
     component share (null for a row without words).
 
@@ -246,7 +258,7 @@ def components(
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.min("text_key").alias("text_key"), F.max("n").alias("n"))
     classes = written(classes, "classes")
     light = boundary(list_length(sets, percent), percent) if light is None else light
-    counts = shingle_counts(docs, width, sketch_bits, text_col)
+    counts = shingle_counts(docs, width, sketch_bits or order_bits(docs, text_col), text_col)
     index = prefix_index(docs, counts, light, percent, width, text_col)
 
     # Lists of more than one set; entries of lists of one are counted by what is missing.
