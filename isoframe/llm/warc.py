@@ -31,39 +31,46 @@ def digest32(payload: bytes) -> str:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html and refers_to (null for a record that is stored whole).
+    """page_id, url, html, revisit and refers_to (the id of the record that is stored whole).
 
-    Of rows with equal payloads of at least ``min_bytes`` bytes the one with the largest
-    id is stored and the others refer to it. Ids that are null or repeat with the
-    largest id are stored as well. The largest id of a payload is aggregated before the
-    join, and adaptive execution splits the rows of a frequent payload.
+    Of rows with equal payloads of at least ``min_bytes`` bytes exactly one is stored: that
+    with the largest id, of several such that with the largest url, of equal rows any. A
+    null id comes after all others, so rows without ids refer to one that has one;
+    if none has, one is stored and the others refer to it without naming an id.
+
+    Equal rows are told apart by their place in the input, which must be the same when it
+    is read again, as that of stored tables is. The stored row of a payload is aggregated
+    before the join, and adaptive execution splits the rows of a frequent payload.
     """
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("_place")
     ).withColumn("_sha", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary"))))
-    largest = rows.where("_sha IS NOT NULL").groupBy("_sha").agg(F.max("page_id").alias("_largest"))
-    return rows.join(largest.hint("merge"), "_sha", "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id") < F.col("_largest"), F.col("_largest")).alias("refers_to")
+    stored = rows.where("_sha IS NOT NULL").groupBy("_sha").agg(F.max(F.struct("page_id", "url", "_place")).alias("_stored"))
+    revisit = F.coalesce(F.col("_place") != F.col("_stored._place"), F.lit(False))
+    return rows.join(stored.hint("merge"), "_sha", "left").select(
+        "page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_stored.page_id")).alias("refers_to")
     )
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, place: str) -> tuple[bytes, str]:
+def _record(page_id: int | None, url: str | None, payload: bytes, revisit: bool, refers_to: int | None, date: str, place: str) -> tuple[bytes, str]:
     digest = digest32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    block = http if revisit else http + payload
     name = f"{_ID}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if revisit:
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
+        head.append(f"WARC-Refers-To: <{_ID}{refers_to}>")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 30, level: int = 4) -> DataFrame:
-    """Write one record per row of (page_id, url, html, refers_to); returns the index.
+    """Write one record per row of (page_id, url, html, revisit, refers_to); returns the index.
 
     A null url has no target line, an empty html an empty payload; a row without an id has
     a record id made from its place, rows with one id share theirs. A record is held in
@@ -90,7 +97,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
                         info = b"software: isoframe\r\nformat: WARC File Format 1.1\r\n"
                         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                         at = out.write(gzip.compress(head.encode() + info + b"\r\n\r\n", level, mtime=0))
-                    raw, digest = _record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date, f"{name}:{at}")
+                    raw, digest = _record(row["page_id"], row["url"], row["html"].encode(), row["revisit"], row["refers_to"], date, f"{name}:{at}")
                     member = gzip.compress(raw, level, mtime=0)
                     out.write(member)
                     index.append((row["page_id"], name, at, len(member), row["url"], digest))
@@ -102,7 +109,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
             if out:
                 out.close()
 
-    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, INDEX)
+    return rows.select("page_id", "url", "html", "revisit", "refers_to").mapInArrow(write, INDEX)
 
 
 def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
