@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm import decontam, html_main, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup, url_rules, warc
+from isoframe.llm import clustering, decontam, filter_audit, html_main, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup, token_counts, url_rules, warc
 from isoframe.llm.common import scratch_dir, written
 
 #: Fixed values of the URL contract: host, path, verdict.
@@ -129,6 +129,75 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """One step of assignment and one of means for each round, over one row for each component."""
+    nearest = """a{k} AS MATERIALIZED (
+  SELECT i, c, d FROM (SELECT i, c, d, row_number() OVER (PARTITION BY i ORDER BY d, c) AS p
+    FROM (SELECT x.i, m.c, sum((x.v - m.v) * (x.v - m.v)) AS d FROM x JOIN m{k} AS m ON m.j = x.j GROUP BY x.i, m.c)) WHERE p = 1)"""
+    means = """m{n} AS MATERIALIZED (
+  SELECT m.c, m.j, coalesce(f.v, m.v) AS v FROM m{k} AS m LEFT JOIN (
+    SELECT a.c, x.j, CAST((sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+    FROM a{k} AS a JOIN x ON x.i = a.i GROUP BY a.c, x.j) AS f ON f.c = m.c AND f.j = m.j)"""
+    steps = [nearest.format(k=0)]
+    for k in range(rounds):
+        steps += [means.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda t: CAST(floor(1024 * t) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda t: t IS NULL OR NOT isfinite(t))) = 0),
+x AS MATERIALIZED (SELECT i, unnest(range(1, 65)) AS j, unnest(v) AS v FROM k),
+f AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM k QUALIFY c < {clusters}),
+m0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS j, unnest(v) AS v FROM f),
+{", ".join(steps)},
+h AS (SELECT c, sha256(string_agg(v, ',' ORDER BY j)) AS s FROM m{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS "cluster", CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+FROM a{rounds} AS a JOIN k ON k.i = a.i JOIN h ON h.c = a.c
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+b AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(s, '[^A-Z]', '', 'g')) > 3 * length(s),
+    regexp_matches(s, '[#$%&*|]'), coalesce(least < t.doc_id, false)] AS f, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM b GROUP BY part, f),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || u.x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(filter_order, u.x)),
+g AS (SELECT filter_order, k AS step, strpos('ABCDE', filter_order[k]) AS i, [strpos('ABCDE', filter_order[j]) FOR j IN range(1, k)] AS past
+  FROM o, unnest(range(1, 6)) AS u(k) WHERE length(filter_order) = 5),
+e AS (SELECT part, filter_order, step, i, n, good, bad, f, f[i] AS fails, len(list_filter(past, lambda j: f[j])) > 0 AS gone FROM c, g),
+r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, i,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (fails AND len(list_filter(f, lambda x: x)) = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM e GROUP BY part, filter_order, step, i)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS k, doc_id,
@@ -149,12 +218,12 @@ FROM w LEFT JOIN n ON n.k = w.k JOIN r ON r.k = w.k JOIN w AS o ON o.k = r.j GRO
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
-g AS (SELECT d, max(page_id) AS top FROM p GROUP BY d)
+g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top, row_number() OVER (PARTITION BY d ORDER BY page_id DESC NULLS LAST) AS k FROM p)
 SELECT page_id, strlen(h) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    CAST(1 + (CAST('0x' || substr(p.d, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 AS BIGINT), 1)), '') AS payload_digest,
-  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
-FROM p JOIN g ON p.d = g.d
+    CAST(1 + (CAST('0x' || substr(d, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM g
 """
 
 
@@ -184,6 +253,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 SQL = {
     "op1_url_rules": OP1_SQL,
@@ -191,4 +263,6 @@ SQL = {
     "op5_decontamination": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op11_centroid_clusters": _op11_sql(),
+    "op12_filter_audit": OP12_SQL,
 }
