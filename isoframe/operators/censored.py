@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoframe.operators.joins import null_safe
+from isoframe.operators.running import running_sums
+
 
 def parsed(df: DataFrame, raw: str = "mic") -> DataFrame:
     """Add mic_value and censoring (left, right, none) of a measured text.
@@ -66,29 +69,45 @@ def order_of(a: Column, side_a: Column, b: Column, side_b: Column) -> Column:
     return F.when(exact, F.signum(a - b).cast("int")).when(below, -1).when(above, 1)
 
 
-def shift(a: DataFrame, b: DataFrame, by: list[str], min_group: int = 5, min_decisive: float = 0.3) -> DataFrame:
-    """Cliff's delta of group a over b per key, over the pairs that can be ordered.
+def pair_sums(bins: DataFrame, keys: list[str], ranges: int = 64) -> DataFrame:
+    """Per key: n_pairs, n_decisive and net (above less below) over all pairs of a value of group a and one of group b.
 
-    Both sides are first counted per distinct (value, censoring), and only those few
-    bins are paired: exact, and linear in rows. Refused where a group is small or too
-    few pairs are decisive.
+    ``bins`` has log2_bound, censoring, n_a and n_b. No pair is formed: values are put in
+    order, and a value of a is above as many of b as running counts say stand below it
+    and can be ordered. A left-censored value is only below what is larger and not
+    left-censored, a right-censored one only above what is not larger and not
+    right-censored. So the work is a sort, however many distinct values there are.
     """
-
-    def bins(df: DataFrame, x: str) -> DataFrame:
-        return df.groupBy(*by, F.col("log2_bound").alias(f"_v{x}"), F.col("censoring").alias(f"_s{x}")).agg(F.count("*").alias(f"_n{x}"))
-
-    pairs = bins(a, "a").join(bins(b, "b"), by)
-    order = order_of(F.col("_va"), F.col("_sa"), F.col("_vb"), F.col("_sb"))
-    weight = F.col("_na") * F.col("_nb")
-    sums = pairs.groupBy(*by).agg(
-        F.sum(weight).alias("n_pairs"), F.coalesce(F.sum(F.when(order.isNotNull(), weight)), F.lit(0)).alias("n_decisive"), F.coalesce(F.sum(order * weight), F.lit(0)).alias("_net")
-    )
-    sizes = a.groupBy(*by).agg(F.count("*").alias("n_a")).join(b.groupBy(*by).agg(F.count("*").alias("n_b")), by, "outer")
-    out = sizes.join(sums, by, "left").na.fill(0, ["n_a", "n_b", "n_pairs", "n_decisive", "_net"])
+    count = lambda g, s: F.coalesce(F.sum(F.when(F.col("censoring") == s, F.col(f"n_{g}"))), F.lit(0)).alias(f"{g}_{s}")
+    values = bins.groupBy(*keys, "log2_bound").agg(*[count(g, s) for g in "ab" for s in ("none", "left", "right")])
+    run = running_sums(values, keys, "log2_bound", ["b_none", "b_left", "b_right"], ranges)
+    c = F.col
+    above = lambda s: c(f"b_{s}_total") - c(f"b_{s}_before") - c(f"b_{s}")
+    low = c("b_none_before") + c("b_left_before")
+    high = above("none") + above("right") + c("b_right")
+    up = c("a_none") * low + c("a_right") * (low + c("b_none") + c("b_left"))
+    down = (c("a_none") + c("a_left")) * high
+    out = run.groupBy(*keys).agg(F.sum(up).alias("_up"), F.sum(down).alias("_down"), F.sum(c("a_none") * c("b_none")).alias("_even"), *[F.sum(sum((c(f"{g}_{s}") for s in ("left", "right")), c(f"{g}_none"))).alias(f"_{g}") for g in "ab"])
+    return out.select(*keys, (c("_a") * c("_b")).alias("n_pairs"), (c("_up") + c("_down") + c("_even")).alias("n_decisive"), (c("_up") - c("_down")).alias("net"))
+
+
+def with_refusals(sums: DataFrame, min_group: int, min_decisive: float) -> DataFrame:
+    """Add refused (why there is no delta) and delta to rows of n_a, n_b, n_pairs, n_decisive and net."""
     reason = F.when((F.col("n_a") < min_group) | (F.col("n_b") < min_group), "too few observations").when(
         (F.col("n_decisive") == 0) | (F.col("n_decisive") < min_decisive * F.col("n_pairs")), "too few decisive pairs"
     )
-    return out.withColumn("refused", reason).withColumn("delta", F.when(reason.isNull(), F.col("_net") / F.col("n_decisive"))).drop("_net")
+    return sums.withColumn("refused", reason).withColumn("delta", F.when(reason.isNull(), F.col("net") / F.col("n_decisive"))).drop("net")
+
+
+def shift(a: DataFrame, b: DataFrame, by: list[str], min_group: int = 5, min_decisive: float = 0.3) -> DataFrame:
+    """Cliff's delta of group a over b per key, over the pairs that can be ordered (see ``pair_sums``).
+
+    Refused where a group is small or too few pairs are decisive; a key of one group only is refused too.
+    """
+    side = lambda df, n_a, n_b: df.select(*by, "log2_bound", "censoring", F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b"))
+    bins = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*by, "log2_bound", "censoring").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    sizes = bins.groupBy(*by).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    return with_refusals(null_safe(sizes, pair_sums(bins, by), by), min_group, min_decisive)
 
 
 def pooled(strata: DataFrame, by: list[str]) -> DataFrame:

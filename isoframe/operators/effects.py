@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.operators.censored import order_of
+from isoframe.operators.censored import pair_sums, with_refusals
 from isoframe.operators.joins import null_safe
 from isoframe.operators.resampling import SEED
 
@@ -45,21 +45,10 @@ def stratum_bins(placed: DataFrame, mic: DataFrame, carriage: DataFrame, pairs:
 
 
 def stratum_shifts(bins: DataFrame, min_group: int = MIN_PER_SIDE, min_decisive: float = MIN_DECISIVE) -> DataFrame:
-    """Per (label, drug, stratum): n_a, n_b, n_pairs, n_decisive, delta and why it is refused; bins are paired, never rows."""
+    """Per (label, drug, stratum): n_a, n_b, n_pairs, n_decisive, delta and why it is refused (see ``censored.pair_sums``)."""
     keys = ["label", "drug", *STRATUM]
     sizes = bins.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    a = bins.where("n_a > 0").select(*keys, F.col("log2_bound").alias("_va"), F.col("censoring").alias("_sa"), F.col("n_a").alias("_na"))
-    b = bins.where("n_b > 0").select(*keys, F.col("log2_bound").alias("_vb"), F.col("censoring").alias("_sb"), F.col("n_b").alias("_nb"))
-    order, weight = order_of(F.col("_va"), F.col("_sa"), F.col("_vb"), F.col("_sb")), F.col("_na") * F.col("_nb")
-    sums = null_safe(a, b, keys, "inner").groupBy(*keys).agg(
-        F.sum(weight).alias("n_pairs"), F.sum(F.when(order.isNotNull(), weight)).alias("n_decisive"), F.sum(order * weight).alias("_net")
-    )
-    out = null_safe(sizes, sums, keys)
-    out = out.select(*keys, "n_a", "n_b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_decisive")], "_net")
-    reason = F.when((F.col("n_a") < min_group) | (F.col("n_b") < min_group), "too few observations").when(
-        (F.col("n_decisive") == 0) | (F.col("n_decisive") < min_decisive * F.col("n_pairs")), "too few decisive pairs"
-    )
-    return out.withColumn("refused", reason).withColumn("delta", F.when(reason.isNull(), F.col("_net") / F.col("n_decisive"))).drop("_net")
+    return with_refusals(null_safe(sizes, pair_sums(bins, keys), keys), min_group, min_decisive)
 
 
 def lineage_diversity(strata: DataFrame) -> DataFrame:

@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoframe.operators.running import first_of_group, scan_states
+
 #: Fixed: what the first entry of a chain points to.
 GENESIS = "0" * 64
 
 
 def _body(seq: Column, payload: Column, before: Column) -> Column:
-    return F.sha2(F.concat_ws("|", seq.cast("string"), F.coalesce(payload, F.lit("")), before), 256)
+    """The hash of an entry; a payload is marked, so that a missing one is not an empty one."""
+    return F.sha2(F.concat_ws("|", seq.cast("string"), F.coalesce(F.concat(F.lit("="), payload), F.lit("")), before), 256)
 
 
 def append_entries(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
     """Ledger entries (chain, seq, payload, prev_hash, entry_hash) of each chain's rows in order, from seq 0.
 
-    A chain is one array, so it is for chains of bounded length.
+    Every hash needs the one before, so a chain is worked through in one task; that task
+    holds its last hash and a batch of rows, however long the chain is. Rows of equal order
+    are taken in order of payload.
     """
-    listed = rows.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("_rows"))
-    start = F.array().cast("array<struct<seq: bigint, payload: string, prev_hash: string, entry_hash: string>>")
-
-    def add(done: Column, row: Column) -> Column:
-        seq = F.size(done).cast("long")
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(GENESIS))
-        entry = F.struct(seq.alias("seq"), row["p"].alias("payload"), before.alias("prev_hash"), _body(seq, row["p"], before).alias("entry_hash"))
-        return F.concat(done, F.array(entry))
 
-    return listed.select(chain, F.explode(F.aggregate("_rows", start, add)).alias("_e")).select(chain, "_e.*")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seq, before = None, 0, GENESIS
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh, last = first_of_group(batch, [chain], last)
+            numbers, prev, own = [], [], []
+            for new, text in zip(fresh.tolist(), batch.column("_payload").to_pylist(), strict=True):
+                if new:
+                    seq, before = 0, GENESIS
+                numbers.append(seq)
+                prev.append(before)
+                before = hashlib.sha256(f"{seq}|{'' if text is None else '=' + text}|{before}".encode()).hexdigest()
+                own.append(before)
+                seq += 1
+            yield pa.RecordBatch.from_arrays([batch.column(chain), pa.array(numbers, pa.int64()), batch.column("_payload"), pa.array(prev), pa.array(own)], [chain, "seq", "payload", "prev_hash", "entry_hash"])
+
+    listed = rows.select(chain, F.col(order).alias("_order"), F.col(payload).cast("string").alias("_payload")).repartition(chain).sortWithinPartitions(chain, "_order", "_payload")
+    return listed.drop("_order").mapInArrow(link, f"`{chain}` {rows.schema[chain].dataType.simpleString()}, seq long, payload string, prev_hash string, entry_hash string")
 
 
 def verify(entries: DataFrame, chain: list[str] | None = None, genesis: str = GENESIS) -> DataFrame:
@@ -42,7 +60,7 @@ def verify(entries: DataFrame, chain: list[str] | None = None, genesis: str = GE
     keys = chain or []
     places = entries.groupBy(*keys, "seq").agg(F.count("*").alias("_times"), F.max("entry_hash").alias("_hash"))
     before = places.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("_hash").alias("_before"))
-    joined = entries.join(places.select(*keys, "seq", "_times"), [*keys, "seq"]).join(before, [*keys, "seq"], "left")
+    joined = entries.join(places.select(*keys, "seq", "_times").hint("merge"), [*keys, "seq"]).join(before.hint("merge"), [*keys, "seq"], "left")
     expected = _body(F.col("seq"), F.col("payload"), F.coalesce("prev_hash", F.lit("")))
     reason = (
         F.when(F.col("_times") > 1, "repeated").when((F.col("seq") > 0) & F.col("_before").isNull(), "gap")
@@ -51,28 +69,31 @@ def verify(entries: DataFrame, chain: list[str] | None = None, genesis: str = GE
     return joined.withColumn("reason", reason).where("reason IS NOT NULL").select(*keys, "seq", "reason")
 
 
-def replay(events: DataFrame, allowed: dict[str, list[str]], key: str, order: str, action: str, required: tuple[str, ...] = (), start: str = "start") -> DataFrame:
+def replay(events: DataFrame, allowed: dict[str, list[str]], key: str, order: str, action: str, required: tuple[str, ...] = (), start: str = "start", ranges: int = 64) -> DataFrame:
     """Events of each key in order, the state before each, and whether it was allowed.
 
     A refused event (not among those that may follow the state, or with a blank in the
-    ``required`` columns, such as reviewer or rationale) leaves the state as it was. The
-    events of a key are one array, so it is for keys with a bounded number of events.
+    ``required`` columns, such as reviewer or rationale) leaves the state as it was. Events
+    of equal order are taken in order of action, unfilled ones first. Every event is a
+    function on the few states; functions are composed in parallel, so the events of one
+    key are shared out over tasks (see ``running.scan_states``).
     """
     filled = F.lit(True)
     for c in required:
         filled = filled & (F.coalesce(F.trim(c), F.lit("")) != "")
-    row = F.struct(F.col(order).alias("o"), F.col(action).alias("a"), filled.alias("f"))
-    moves = F.from_json(F.lit(json.dumps(allowed)), "map<string, array<string>>")
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.first(moves).alias("_moves"))
-    begun = F.struct(F.lit(start).alias("state"), F.array().cast("array<struct<o: bigint, a: string, previous: string, allowed: boolean>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["f"] & F.coalesce(F.array_contains(F.try_element_at(F.col("_moves"), acc["state"]), x["a"]), F.lit(False))
-        made = F.struct(x["o"].cast("long").alias("o"), x["a"].alias("a"), acc["state"].alias("previous"), fits.alias("allowed"))
-        return F.struct(F.when(fits, x["a"]).otherwise(acc["state"]).alias("state"), F.concat(acc["done"], F.array(made)).alias("done"))
-
-    told = listed.select(key, F.explode(F.aggregate("_rows", begun, step)["done"]).alias("_e"))
-    return told.select(key, F.col("_e.o").alias(order), F.col("_e.a").alias(action), "_e.previous", "_e.allowed")
+    names = sorted({start, *allowed, *(a for after in allowed.values() for a in after)})
+    place = {name: k for k, name in enumerate(names)}
+    table = np.tile(np.arange(len(names)), (len(names) + 1, 1))  # the last row: refused whatever the state
+    for state, after in allowed.items():
+        for a in after:
+            table[place[a], place[state]] = place[a]
+    told = F.create_map(*[F.lit(x) for p in place.items() for x in p])
+    code = F.when(filled, F.coalesce(F.try_element_at(told, F.col(action)), F.lit(len(names)))).otherwise(len(names))
+    rows = events.select(key, F.col(order).cast("long").alias(order), F.col(action).alias(action), filled.alias("_filled"), code.cast("int").alias("code"))
+    moved = scan_states(rows, key, [order, action, "_filled"], table, place[start], ranges=ranges)
+    previous = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("before") + 1)
+    fits = F.col("_filled") & F.coalesce(F.array_contains(F.try_element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(a) for a in x]).cast("array<string>") for p in allowed.items() for x in p]), previous), F.col(action)), F.lit(False))
+    return moved.select(key, order, action, previous.alias("previous"), fits.alias("allowed"))
 
 
 def states(replayed: DataFrame, key: str, order: str, action: str) -> DataFrame:

@@ -63,15 +63,15 @@ pd AS (SELECT isolate_id, drug, mic, CASE WHEN t IN ('', 'NA') THEN NULL WHEN t
 lg AS (SELECT isolate_id, drug, censoring, log2(mic_value) AS b FROM pd WHERE mic_value > 0)
 """
 _SHIFT = _MIC + """, lm AS (SELECT lg.*, site_id FROM lg JOIN isolates ON lg.isolate_id = isolates.isolate_id),
-lc AS (SELECT l.label AS label, lm.*, c.isolate_id IS NOT NULL AS carrier FROM (SELECT DISTINCT label FROM carriage) AS l CROSS JOIN lm LEFT JOIN carriage AS c ON c.isolate_id = lm.isolate_id AND c.label = l.label),
-bn AS (SELECT label, drug, site_id, carrier, censoring, b, COUNT(*) AS n FROM lc GROUP BY label, drug, site_id, carrier, censoring, b),
+lc AS MATERIALIZED (SELECT l.label AS label, lm.*, c.isolate_id IS NOT NULL AS carrier FROM (SELECT DISTINCT label FROM carriage) AS l CROSS JOIN lm LEFT JOIN carriage AS c ON c.isolate_id = lm.isolate_id AND c.label = l.label),
+bn AS MATERIALIZED (SELECT label, drug, site_id, carrier, censoring, b, COUNT(*) AS n FROM lc GROUP BY label, drug, site_id, carrier, censoring, b),
 pp AS (SELECT a.label AS label, a.drug AS drug, a.site_id AS site_id, a.n * b.n AS w,
   CASE WHEN a.censoring = 'none' AND b.censoring = 'none' THEN sign(a.b - b.b)
     WHEN a.censoring = 'left' AND b.censoring = 'right' AND a.b <= b.b OR a.censoring = 'left' AND b.censoring = 'none' AND a.b < b.b OR a.censoring = 'none' AND b.censoring = 'right' AND a.b <= b.b THEN -1
     WHEN a.censoring = 'right' AND b.censoring = 'left' AND b.b <= a.b OR a.censoring = 'none' AND b.censoring = 'left' AND b.b < a.b OR a.censoring = 'right' AND b.censoring = 'none' AND b.b <= a.b THEN 1 END AS o
   FROM bn AS a JOIN bn AS b ON a.label = b.label AND a.drug = b.drug AND a.site_id = b.site_id WHERE a.carrier AND NOT b.carrier),
-sz AS (SELECT label, drug, site_id, COUNT(CASE WHEN carrier THEN 1 END) AS n_a, COUNT(CASE WHEN NOT carrier THEN 1 END) AS n_b FROM lc GROUP BY label, drug, site_id HAVING COUNT(CASE WHEN carrier THEN 1 END) > 0),
-sm AS (SELECT label, drug, site_id, CAST(SUM(w) AS BIGINT) AS n_pairs, CAST(SUM(CASE WHEN o IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS n_decisive, SUM(o * w) AS net FROM pp GROUP BY label, drug, site_id),
+sz AS MATERIALIZED (SELECT label, drug, site_id, COUNT(CASE WHEN carrier THEN 1 END) AS n_a, COUNT(CASE WHEN NOT carrier THEN 1 END) AS n_b FROM lc GROUP BY label, drug, site_id HAVING COUNT(CASE WHEN carrier THEN 1 END) > 0),
+sm AS MATERIALIZED (SELECT label, drug, site_id, CAST(SUM(w) AS BIGINT) AS n_pairs, CAST(SUM(CASE WHEN o IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS n_decisive, SUM(o * w) AS net FROM pp GROUP BY label, drug, site_id),
 sh AS (SELECT sz.*, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_decisive, 0) AS n_decisive, net,
   CASE WHEN n_a < 5 OR n_b < 5 THEN 'too few observations' WHEN coalesce(n_decisive, 0) = 0 OR n_decisive < 0.3 * n_pairs THEN 'too few decisive pairs' END AS refused
   FROM sz LEFT JOIN sm ON sz.label = sm.label AND sz.drug = sm.drug AND sz.site_id = sm.site_id),
@@ -107,8 +107,8 @@ rc AS (SELECT isolate_id, drug, gcall AS genomic_call, m AS phenotypic_call, CAS
   CASE WHEN clash THEN 'conflict' WHEN m IN ('resistant', 'susceptible') THEN 'phenotype' WHEN m IS NOT NULL THEN 'phenotypes' ELSE why END AS reason, n AS n_evidence FROM gk)
 """
 _LEDGER = """WITH RECURSIVE ev AS (SELECT user_id, {} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
-lc AS (SELECT user_id, seq, payload, repeat('0', 64) AS prev_hash, sha256('0|' || payload || '|' || repeat('0', 64)) AS entry_hash FROM ev WHERE seq = 0
-  UNION ALL SELECT ev.user_id, ev.seq, ev.payload, lc.entry_hash, sha256(CAST(ev.seq AS VARCHAR) || '|' || ev.payload || '|' || lc.entry_hash) FROM lc JOIN ev ON ev.user_id = lc.user_id AND ev.seq = lc.seq + 1)
+lc AS (SELECT user_id, seq, payload, repeat('0', 64) AS prev_hash, sha256('0|' || coalesce('=' || payload, '') || '|' || repeat('0', 64)) AS entry_hash FROM ev WHERE seq = 0
+  UNION ALL SELECT ev.user_id, ev.seq, ev.payload, lc.entry_hash, sha256(CAST(ev.seq AS VARCHAR) || '|' || coalesce('=' || ev.payload, '') || '|' || lc.entry_hash) FROM lc JOIN ev ON ev.user_id = lc.user_id AND ev.seq = lc.seq + 1)
 """
 _FITS = """coalesce(e.value > 5, false) AND CASE {0} WHEN 'start' THEN e.event_type IN ('signup', 'view') WHEN 'signup' THEN e.event_type IN ('view', 'click') WHEN 'view' THEN e.event_type IN ('click', 'purchase', 'view')
   WHEN 'click' THEN e.event_type IN ('purchase', 'view') WHEN 'purchase' THEN e.event_type = 'view' WHEN 'error' THEN e.event_type = 'view' ELSE false END"""
@@ -186,7 +186,7 @@ dp AS (SELECT * FROM sp UNION ALL SELECT * FROM sp WHERE (user_id * 31 + seq) %
 pt AS (SELECT user_id, seq, COUNT(*) AS times, MAX(entry_hash) AS h FROM dp GROUP BY user_id, seq),
 jn AS (SELECT d.*, p.times AS times, b.h AS before FROM dp AS d JOIN pt AS p ON p.user_id = d.user_id AND p.seq = d.seq LEFT JOIN pt AS b ON b.user_id = d.user_id AND b.seq + 1 = d.seq)
 SELECT user_id, seq, reason FROM (SELECT user_id, seq, CASE WHEN times > 1 THEN 'repeated' WHEN seq > 0 AND before IS NULL THEN 'gap' WHEN prev_hash <> coalesce(before, repeat('0', 64)) THEN 'broken link'
-  WHEN entry_hash <> sha256(CAST(seq AS VARCHAR) || '|' || payload || '|' || prev_hash) THEN 'altered entry' END AS reason FROM jn) WHERE reason IS NOT NULL""",
+  WHEN entry_hash <> sha256(CAST(seq AS VARCHAR) || '|' || coalesce('=' || payload, '') || '|' || prev_hash) THEN 'altered entry' END AS reason FROM jn) WHERE reason IS NOT NULL""",
     "ticket_replay": _REPLAY + "SELECT user_id, event_id, action, previous, allowed FROM rp",
     "ticket_states": _REPLAY + "SELECT user_id, arg_max(action, event_id) FILTER (WHERE allowed) AS state, COUNT(CASE WHEN NOT allowed THEN 1 END) AS n_refused FROM rp GROUP BY user_id",
     "scope_permits": with_bindings("scopes contexts qc", _PERMITS + "SELECT * FROM pm"),
