@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.operators.running import first_of_group
+
 ESTABLISHED = ("resistant", "susceptible")
 
 
@@ -123,22 +131,39 @@ def model_verdicts(performance: DataFrame) -> DataFrame:
 def frequency_groups(findings: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Groups of two or more variants of a sample whose fractions lie within ``tolerance`` of the group's first: sample_id, group, size, median_vaf.
 
-    The span of a group is bounded, so distant fractions do not chain. A sample's
-    findings are one array.
+    The span of a group is bounded, so distant fractions do not chain. Fractions count to
+    six places and equal ones are counted first, so a sample has at most a million and
+    one rows; they pass in order through one task, which holds a batch and the group's
+    first fraction.
     """
-    # Exact decimals keep the edge of a span out of the reach of binary rounding.
-    row = F.struct(F.col("vaf").cast("decimal(12,6)").alias("vaf"), F.col("variant_key").alias("k"))
-    listed = findings.where("vaf BETWEEN 0 AND 1").groupBy("sample_id").agg(F.array_sort(F.collect_set(row)).alias("_rows"))
-    begun = F.array().cast("array<struct<start: decimal(12,6), vaf: decimal(12,6)>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.try_element_at(acc, F.lit(-1))["start"]
-        own = F.when(start.isNull() | (x["vaf"] - start > F.lit(tolerance).cast("decimal(12,6)")), x["vaf"]).otherwise(start)
-        return F.concat(acc, F.array(F.struct(own.alias("start"), x["vaf"].alias("vaf"))))
-
-    placed = listed.select("sample_id", F.explode(F.aggregate("_rows", begun, step)).alias("g"))
-    out = placed.groupBy("sample_id", "g.start").agg(F.count("*").alias("size"), F.percentile(F.col("g.vaf").cast("double"), 0.5).alias("median_vaf"))
-    return out.where("size >= 2").select("sample_id", F.col("start").cast("double").alias("group"), "size", "median_vaf")
+    exact = findings.where("vaf BETWEEN 0 AND 1").select("sample_id", F.round(F.col("vaf").cast("decimal(12,6)") * 1_000_000).cast("long").alias("_v"), "variant_key").distinct()
+    counted = exact.groupBy("sample_id", "_v").agg(F.count("*").alias("_n"))
+    span = int(Decimal(str(tolerance)).scaleb(6).to_integral_value())
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh, last = first_of_group(batch, ["sample_id"], last)
+            values, out = batch.column("_v").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            edges = np.flatnonzero(fresh).tolist()
+            for a, b in itertools.pairwise(sorted({0, *edges, batch.num_rows})):
+                at = a
+                if fresh[a]:
+                    start = int(values[a])
+                while at < b:  # a sample has at most one group for each span
+                    end = at + int(np.searchsorted(values[at:b], start + span, "right"))
+                    out[at:end] = start
+                    at = end
+                    if at < b:
+                        start = int(values[at])
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), pa.array(out), batch.column("_v"), batch.column("_n")], ["sample_id", "_start", "_v", "_n"])
+
+    kind = findings.schema["sample_id"].dataType.simpleString()
+    placed = counted.repartition("sample_id").sortWithinPartitions("sample_id", "_v").mapInArrow(grouped, f"sample_id {kind}, _start long, _v long, _n long")
+    out = placed.groupBy("sample_id", "_start").agg(F.sum("_n").alias("size"), F.percentile(F.col("_v") / 1_000_000, 0.5, F.col("_n")).alias("median_vaf"))
+    return out.where("size >= 2").select("sample_id", (F.col("_start") / 1_000_000).alias("group"), "size", "median_vaf")
 
 
 def population_class(groups: DataFrame, hints: DataFrame) -> DataFrame:

@@ -1,48 +1,97 @@
-"""Selections that depend on what is already selected, made in rounds over the whole table."""
+"""Selections that depend on what is already selected: in rounds over the table, long chains component by component."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from isoframe.operators.components import connected
+from isoframe.operators.running import first_of_group
 
-def greedy(rows: DataFrame, order: list, caps: dict[str, int], store: Callable[[DataFrame, str], DataFrame], rounds: int = 1000) -> DataFrame:
+
+def greedy(rows: DataFrame, order: list, caps: dict[str, int], store: Callable[[DataFrame, str], DataFrame], rounds: int = 6) -> DataFrame:
     """Rows with ``reason`` (null: accepted; else the key whose cap was full), as if they were taken one by one in ``order``.
 
-    At most ``caps[key]`` rows of one value of each key are accepted, and a row that is
-    held back uses up nothing. Each round accepts the rows that rank within all their
-    caps among the rows still open, and holds back those whose cap is full; few rounds
-    decide a table, and each is written (``store``). ``order`` must not have ties.
+    At most ``caps[key]`` rows of one value of each key are accepted (null is a value), and
+    a row that is held back uses up nothing. Each of up to ``rounds`` rounds accepts the
+    rows that rank within all their caps among those still open, and holds back those whose cap is
+    full; that settles most tables. What is left hangs together in long chains, of which a
+    round would settle little more than one row: those are taken one by one, every connected
+    component by itself (see ``_one_by_one``). ``order`` must not have ties.
     """
-    rows = store(rows.withColumn("_order", F.struct(*order)), "open")
+    open_ = store(rows.withColumn("_order", F.struct(*order)), "open")
     keys = list(caps)
     done = None
-    open_ = rows
     for _ in range(rounds):
-        ranked = open_
+        ranked = _with_taken(open_, done, caps)
         for key in keys:
-            taken = None
-            if done is not None:
-                taken = done.where("reason IS NULL").groupBy(key).agg(F.count("*").alias("_taken"))
-            ranked = ranked.withColumn("_taken", F.lit(0)) if taken is None else _with_taken(ranked, taken, key)
             rank = F.row_number().over(Window.partitionBy(key).orderBy("_order"))
-            ranked = ranked.withColumn(f"_fits_{key}", rank + F.col("_taken") <= caps[key]).withColumn(f"_full_{key}", F.col("_taken") >= caps[key]).drop("_taken")
-        full = F.lit(None).cast("string")
-        for key in reversed(keys):
-            full = F.when(F.col(f"_full_{key}"), key).otherwise(full)
+            ranked = ranked.withColumn(f"_fits_{key}", rank + F.col(f"_taken_{key}") <= caps[key])
+        full = _first_full(caps, lambda key: F.col(f"_taken_{key}") >= caps[key])
         fits = F.lit(True)
         for key in keys:
             fits = fits & F.col(f"_fits_{key}")
-        settled = F.when(full.isNotNull(), full).when(fits, "").otherwise(None)
-        judged = store(ranked.withColumn("_said", settled).drop(*[c for c in ranked.columns if c.startswith(("_fits_", "_full_"))]), "judged")
-        new = judged.where("_said IS NOT NULL").withColumn("reason", F.nullif("_said", F.lit(""))).drop("_said")
-        done = new if done is None else done.unionByName(new)
+        judged = store(ranked.select("*", F.when(full.isNotNull(), full).when(fits, "").alias("_said")).select(*open_.columns, "_said"), "judged")
+        settled = judged.where("_said IS NOT NULL").withColumn("reason", F.nullif("_said", F.lit(""))).drop("_said")
+        done = store(settled if done is None else done.unionByName(settled), "done")
         open_ = judged.where("_said IS NULL").drop("_said")
         if open_.isEmpty():
             return _with_reasons(done, caps).drop("_order")
-    raise RuntimeError(f"selection did not end in {rounds} rounds")
+    rest = _one_by_one(_with_taken(open_, done, caps), caps, store)
+    return _with_reasons(store(done.unionByName(rest.select(*done.columns)), "done"), caps).drop("_order")
+
+
+def _first_full(caps: dict[str, int], full: Callable[[str], Column]) -> Column:
+    said = F.lit(None).cast("string")
+    for key in reversed(list(caps)):
+        said = F.when(full(key), key).otherwise(said)
+    return said
+
+
+def _node(key: str) -> Column:
+    """A value of a key as text; null is told from the empty text."""
+    return F.concat(F.lit(f"{key}:"), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+
+
+def _one_by_one(rows: DataFrame, caps: dict[str, int], store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows (with _taken_ counts) with their reason, taken in order within each component of rows that share values.
+
+    Rows of different components share no value, so components are independent. A task
+    reads its components' rows in order and holds counts of the current one's values.
+    """
+    keys = list(caps)
+    linked = rows.select(F.explode(F.array(*[F.struct(_node(keys[0]).alias("a"), _node(k).alias("b")) for k in keys[1:] or keys])).alias("e")).select("e.*")
+    roots = connected(store(linked, "links"), store)
+    placed = rows.withColumn("_node", _node(keys[0])).join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")).hint("merge"), "_node").drop("_node")
+    nodes = F.array(*[_node(k) for k in keys])
+    placed = placed.withColumn("_nodes", nodes).withColumn("_counts", F.array(*[F.col(f"_taken_{k}").cast("long") for k in keys]))
+    limits = list(caps.values())
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh, last = first_of_group(batch, ["_root"], last)
+            reasons = []
+            for new, names, counts in zip(fresh.tolist(), batch.column("_nodes").to_pylist(), batch.column("_counts").to_pylist(), strict=True):
+                if new:
+                    taken = {}
+                for name, count in zip(names, counts, strict=True):
+                    taken.setdefault(name, count)
+                full = next((k for k, name, limit in zip(keys, names, limits, strict=True) if taken[name] >= limit), None)
+                if full is None:
+                    for name in names:
+                        taken[name] += 1
+                reasons.append(full)
+            yield batch.append_column("reason", pa.array(reasons, pa.string()))
+
+    ordered = placed.repartition("_root").sortWithinPartitions("_root", "_order")
+    return ordered.mapInArrow(take, StructType([*ordered.schema, StructField("reason", StringType())]))
 
 
 def _with_reasons(done: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -55,9 +104,16 @@ def _with_reasons(done: DataFrame, caps: dict[str, int]) -> DataFrame:
     return done.withColumn("reason", F.when(F.col("reason").isNotNull(), said)).drop(*[f"_before_{key}" for key in caps])
 
 
-def _with_taken(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
-    named = taken.withColumnRenamed(key, "_key")
-    return rows.join(named.hint("merge"), rows[key].eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+def _with_taken(rows: DataFrame, done: DataFrame | None, caps: dict[str, int]) -> DataFrame:
+    """Add ``_taken_{key}``: accepted rows of the row's value of each key."""
+    for key in caps:
+        if done is None:
+            rows = rows.withColumn(f"_taken_{key}", F.lit(0).cast("long"))
+            continue
+        taken = done.where("reason IS NULL").groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(f"_taken_{key}"))
+        joined = rows.join(taken.hint("merge"), rows[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+        rows = joined.withColumn(f"_taken_{key}", F.coalesce(f"_taken_{key}", F.lit(0)))
+    return rows
 
 
 def shortlist(rows: DataFrame, caps: dict[str, int], total: int | None, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
