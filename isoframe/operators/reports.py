@@ -97,6 +97,23 @@ def external_benchmark(predictions: DataFrame, truths: DataFrame, baselines: Dat
     return out.withColumns({"coverage": F.try_divide(F.col("n_answered").cast("double"), F.col("n_joined")), "error_rate": F.when(F.col("n_answered") >= 10, F.col("n_errors") / F.col("n_answered"))})
 
 
+def registry_readiness(benchmark: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows of ``external_benchmark`` with ready, exclusion (why a registry may not have the scope) and the coverage and error it would be given.
+
+    ``rates`` has drug, sensitivity and specificity. Rates are those at the matched point,
+    where the verdict was decided; a scope is ready only with a risk there and with both
+    rates. A drug without rates counts as not estimable.
+    """
+    out = benchmark.join(rates.select("drug", "sensitivity", "specificity").hint("merge"), "drug", "left")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in ("sensitivity", "specificity")]))
+    reason = F.when(F.col("matched_risk").isNull(), F.concat(F.lit("no risk at the baseline's coverage: "), F.coalesce("verdict", F.lit("no baseline")))).when(F.size(missing) > 0, F.concat(F.array_join(missing, " and "), F.lit(" not estimable")))
+    matched = F.col("matched_risk").isNotNull()
+    return out.select(
+        "drug", "sensitivity", "specificity", F.when(matched, F.col("matched_coverage")).otherwise(F.col("coverage")).alias("call_rate"), F.when(matched, F.col("matched_risk")).otherwise(F.col("error_rate")).alias("error_rate"),
+        reason.alias("exclusion"), reason.isNull().alias("ready"),
+    )
+
+
 def prediction_errors(rows: DataFrame) -> DataFrame:
     """Rows of a prediction table that may not be loaded: missing keys, unknown values, confidence outside 0..1, repeated (isolate, drug)."""
     value = F.lower(F.trim(F.coalesce("predicted", F.lit(""))))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.operators.joins import null_safe
+from isoframe.operators.running import running_sums
 
-def curve(df: DataFrame, steps: int = 50, min_covered: int = 10) -> DataFrame:
+
+def curve(df: DataFrame, steps: int = 50, min_covered: int = 10, ranges: int = 64) -> DataFrame:
     """Per drug: a point for the lowest, each strided and the highest confidence level.
 
-    Rows are first counted per confidence level, so the windows run over levels, not rows.
+    Rows are first counted per confidence level, and the levels of a drug are cut into
+    ranges that are summed apart (see ``running.running_sums``).
     A row without a call or without a confidence is never answered but counts in the total.
     """
     answered = F.col("predicted").isNotNull() & F.col("confidence").isNotNull()
@@ -17,13 +21,10 @@ def curve(df: DataFrame, steps: int = 50, min_covered: int = 10) -> DataFrame:
     levels = df.withColumn("_level", F.when(answered, F.col("confidence"))).groupBy("drug", "_level").agg(
         F.count("*").alias("_n"), F.count(F.when(wrong, 1)).alias("_wrong")
     )
-    drug = Window.partitionBy("drug")
-    down = drug.orderBy(F.col("_level").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    totals = levels.withColumn("n_total", F.sum("_n").over(drug)).where("_level IS NOT NULL")
-    place = F.row_number().over(drug.orderBy("_level")) - 1
-    ranked = totals.withColumns({
-        "_place": place, "_levels": F.count("*").over(drug), "n_covered": F.sum("_n").over(down), "n_errors": F.sum("_wrong").over(down),
-    })
+    totals = levels.groupBy("drug").agg(F.sum("_n").alias("n_total"))
+    held = levels.where("_level IS NOT NULL").withColumn("_one", F.lit(1))
+    ranked = null_safe(running_sums(held, ["drug"], "_level", ["_n", "_wrong", "_one"], ranges), totals, ["drug"])
+    ranked = ranked.withColumns({"n_covered": F.col("_n_total") - F.col("_n_before"), "n_errors": F.col("_wrong_total") - F.col("_wrong_before"), "_place": F.col("_one_before"), "_levels": F.col("_one_total")})
     stride = F.greatest(F.lit(1), F.floor(F.col("_levels") / max(1, steps - 1)))
     kept = ranked.where((F.col("_place") % stride == 0) | (F.col("_place") == F.col("_levels") - 1))
     return kept.select(

@@ -1,4 +1,4 @@
-"""Cohort views: breadth over lineages, prevalence, composition, queues, samples, fingerprints."""
+"""Cohort views: breadth over lineages, prevalence, composition, queues, samples."""
 
 from __future__ import annotations
 
@@ -41,9 +41,3 @@ def with_truth(predictions: DataFrame, truths: DataFrame, keys: list[str]) -> Da
     """Predictions with their truth; those without one are kept with the reason."""
     joined = predictions.join(truths.select(*keys, "truth"), keys, "left")
     return joined.withColumn("dropped", F.when(F.col("truth").isNull(), "no truth"))
-
-
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows and an order-free sum of row hashes, the same however the table is split."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("fingerprint"))

@@ -155,6 +155,17 @@ SELECT CAST(event_id % 7 AS VARCHAR(9)) AS cohort_id, event_type AS drug, CASE u
 SELECT DISTINCT CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CASE WHEN l_partkey % 97 = 5 THEN ' ' ELSE CONCAT('c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS change, o_orderpriority AS drug,
   CASE (l_partkey + o_custkey % 3) % 7 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '2) Assoc w R - Interim ' WHEN 2 THEN '3) Uncertain significance' WHEN 3 THEN '4) Not assoc w R - Interim' WHEN 4 THEN '5) not assoc w r' WHEN 5 THEN '3) uncertain significance' ELSE 'other' END AS grade
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "master_rows": """
+SELECT l_orderkey * 10 + l_linenumber AS line, CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) AS gene, CASE WHEN l_partkey % 97 = 5 THEN ' ' ELSE CONCAT('c', CAST(l_partkey % 700 AS VARCHAR(9))) END AS change, p_type AS drug,
+  CONCAT('w', CAST(l_partkey % 700 AS VARCHAR(9)), '_', CAST(l_suppkey % 3 AS VARCHAR(9))) AS variant, CASE l_partkey % 5 WHEN 0 THEN '1' WHEN 1 THEN ' 2' WHEN 2 THEN '3' END AS tier,
+  CASE l_suppkey % 6 WHEN 0 THEN '1) Assoc w R' WHEN 1 THEN '3) Uncertain significance' WHEN 2 THEN '4) Not assoc w R - Interim' WHEN 3 THEN '5) Not assoc w R' WHEN 4 THEN '3) uncertain significance' ELSE 'other' END AS grade
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "spellings": """
+SELECT p_partkey AS line, CASE WHEN p_partkey % 31 = 4 THEN '' ELSE CONCAT('w', CAST(p_partkey % 700 AS VARCHAR(9)), '_', CAST(p_size % 3 AS VARCHAR(9))) END AS variant, CASE p_size % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'NC_1' END AS chromosome,
+  CASE WHEN p_partkey % 13 = 0 THEN 'x' ELSE CAST(p_partkey * 3 AS VARCHAR(9)) END AS position, CASE WHEN p_size % 6 = 0 THEN '' ELSE 'A' END AS ref, CASE WHEN p_size % 5 = 0 THEN 'TG' ELSE 'C' END AS alt FROM part""",
+    "dated_calls": """
+SELECT CAST(YEAR(o_orderdate) AS VARCHAR(9)) AS period, o_orderpriority AS drug, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage, CAST(n_regionkey AS VARCHAR(9)) AS site, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'S' END AS phenotype
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "paired": """
 SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS baseline_minutes, l_quantity - l_linenumber AS intervention_minutes,
   l_extendedprice AS baseline_cost, CASE WHEN l_tax = 0.02 THEN NULL ELSE ROUND(l_extendedprice * (1 - l_discount), 2) END AS intervention_cost, CASE l_returnflag WHEN 'R' THEN 'USD' WHEN 'A' THEN 'EUR' END AS currency FROM lineitem""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isoframe.plans import effect_scan, follow_ups, report_views, streams, tool_outputs, variant_lanes
+from isoframe.plans import effect_scan, follow_ups, loads, report_views, streams, tool_outputs, variant_lanes
 from isoframe.plans.bindings import with_bindings
 
 _COUNTS = """COUNT(*) AS n_evaluable,
@@ -242,7 +242,8 @@ sc AS (SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN 'evidence-of-effect' WHEN 1
 SELECT * FROM sc WHERE verdict <> 'confounded' ORDER BY survives DESC, abs(delta) DESC, pair_id LIMIT 50"""),
     "predictions_with_truth": with_bindings("calls", """ SELECT p.sample_id AS sample_id, p.drug AS drug, p.call_a AS call_a, t.phenotype AS truth, CASE WHEN t.phenotype IS NULL THEN 'no truth' END AS dropped
 FROM calls AS p LEFT JOIN (SELECT * FROM calls WHERE phenotype IS NOT NULL) AS t ON p.sample_id = t.sample_id AND p.drug = t.drug"""),
-    "cohort_fingerprint": with_bindings("cohort", " SELECT COUNT(*) AS n, CAST(SUM(CAST('0x' || substr(md5(concat_ws('|', CAST(sample_id AS VARCHAR), project, tier, organism, CAST(bases AS VARCHAR))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM cohort"),
+    "cohort_fingerprint": with_bindings("cohort", " SELECT COUNT(*) AS n, CAST(SUM(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_a, CAST(SUM(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS VARCHAR) AS sum_b FROM (SELECT sha256("
+      + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("sample_id", "project", "tier", "organism", "bases")) + ") AS d FROM cohort)"),
     "concentration_calls": with_bindings("raw_mic", _MIC + """, cc AS (SELECT isolate_id, drug, mic, censoring, mic_value AS v, CASE WHEN drug < '3' THEN 1.0 ELSE 4.0 END AS c, isolate_id % 3 AS i FROM pd WHERE mic_value IS NOT NULL)
 SELECT isolate_id, drug, mic, CASE WHEN censoring = 'left' THEN CASE WHEN v < c OR v = c AND i = 0 THEN 'susceptible' END WHEN censoring = 'right' THEN CASE WHEN v >= c THEN 'resistant' END
   WHEN v > c OR v = c AND i = 1 THEN 'resistant' WHEN v < c OR v = c AND i = 0 THEN 'susceptible' END AS call FROM cc"""),
@@ -259,4 +260,4 @@ SELECT submission_id, nonce, CASE WHEN e > 0 THEN 'replayed' ELSE late END AS re
 rh AS (SELECT pair_id, p, rank() OVER (ORDER BY p) - 1 AS less, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM rp WHERE p IS NOT NULL),
 hh AS (SELECT pair_id, max(least(1.0, p * (m - less))) OVER (ORDER BY p) AS holm, (SELECT max(p) FROM rh AS z WHERE z.p <= CAST(0.1 AS DOUBLE) * z.k / z.m) AS t FROM rh)
 SELECT verdict, survives, COUNT(*) AS n FROM (SELECT CASE WHEN v = 'evidence-of-effect' AND holm > CAST(0.1 AS DOUBLE) THEN 'no-evidence' ELSE v END AS verdict, coalesce(p <= t, false) AS survives FROM rp LEFT JOIN hh ON rp.pair_id = hh.pair_id) GROUP BY verdict, survives"""),
-} | effect_scan.SQL | tool_outputs.SQL | variant_lanes.SQL | report_views.SQL | streams.SQL | follow_ups.SQL
+} | effect_scan.SQL | tool_outputs.SQL | variant_lanes.SQL | report_views.SQL | streams.SQL | follow_ups.SQL | loads.sql(_ALLELES, report_views.SQL["external_benchmark"])

@@ -28,21 +28,23 @@ def _through(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions of 12 sites, of which 10 are known: most signed, some forged, some with observations of another site."""
     e = _events(spark, sf_dir)
-    sent = F.col("ts") - F.make_interval(hours=F.col("event_id") % 40 - 3)
-    return e.select(
-        F.col("event_id").alias("submission_id"), (F.col("event_id") * 7 % 500).alias("nonce"), (F.col("user_id") % 12).cast("string").alias("site_id"), F.col("ts").alias("received"), sent.alias("sent"), F.col("props").alias("payload"),
-        F.when(F.col("event_id") % 17 == 0, "forged").alias("signature"),
+    sent, site = F.col("ts") - F.make_interval(hours=F.col("event_id") % 40 - 3), (F.col("user_id") % 12).cast("string")
+    named = F.when(F.col("event_id") % 13 == 6, (F.col("user_id") % 12 + 1).cast("string")).otherwise(site)
+    rows = e.select(
+        F.col("event_id").alias("submission_id"), (F.col("event_id") * 7 % 500).alias("nonce"), site.alias("site_id"), F.col("ts").alias("received"), sent.alias("sent"),
+        F.to_json(F.array(F.struct(named.alias("site_id"), F.col("props").alias("said")))).alias("payload"),
     )
+    keyed = rows.join(intake.pads(spark, SECRETS).hint("broadcast"), F.col("site_id") == F.col("_site"), "left")
+    signature = F.when(F.col("submission_id") % 17 == 0, "forged").otherwise(intake.keyed_hash(F.col("payload")))
+    return keyed.withColumn("signature", signature).drop("_site", "_inner", "_outer")
 
 
 def submission_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted and rejected submissions of a stream, by reason; replays are what is accepted but for its nonce."""
-    rows = _submissions(spark, sf_dir)
-    made = rows.withColumn("signature", F.coalesce("signature", F.lit("unsigned")))
-    told = intake.checked(intake.signed(made, SECRETS).withColumn("valid", (F.col("signature") == "unsigned") & F.col("site_id").isin(*SECRETS)))
-    out = _through(spark, told.select("nonce", "received", "reject_reason"), "submissions")
-    return out.groupBy("reject_reason").agg(F.count("*").alias("n"))
+    """Every submission of a stream with the reason for which it is refused; replays are what is accepted but for its nonce."""
+    rows = intake.signed(_submissions(spark, sf_dir), SECRETS).withColumn("mismatch", intake.of_other_site(F.col("payload"), F.col("site_id")))
+    return _through(spark, intake.checked(rows).select("submission_id", "site_id", "nonce", "reject_reason"), "submissions")
 
 
 def accepted_nonces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +93,10 @@ def streamed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def appended_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of a streamed ledger, checked: no entry may break one."""
+    """Entries of a ledger that came as a stream, each with the first reason for which its chain breaks there (none)."""
     rows = _through(spark, _events(spark, sf_dir).select("user_id", "event_id", "event_type"), "ledger")
-    entries = ledger.append_entries(rows, "user_id", "event_id", "event_type")
-    broken = ledger.verify(entries, ["user_id"]).agg(F.count("*").alias("n_broken"))
-    return entries.agg(F.count("*").alias("n_entries"), F.max("seq").alias("last_seq")).crossJoin(F.broadcast(broken))
+    entries = stored(ledger.append_entries(rows, "user_id", "event_id", "event_type"), "entries")
+    return entries.join(ledger.verify(entries, ["user_id"]).hint("merge"), ["user_id", "seq"], "left").select("user_id", "seq", "payload", "entry_hash", "reason")
 
 
 def _table_text(spark: SparkSession, sf_dir: str) -> str:
@@ -109,8 +110,7 @@ def _table_text(spark: SparkSession, sf_dir: str) -> str:
 
 
 def delimited_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.read_table(spark, _table_text(spark, sf_dir), "\t", ("observation_id", "drug"))
-    return rows.groupBy("drug", "quality").agg(F.count("*").alias("n"), F.max(F.col("observation_id").cast("long")).alias("last_id"))
+    return tables.read_table(spark, _table_text(spark, sf_dir), "\t", ("observation_id", "drug"))
 
 
 def renamed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def loaded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loaded_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bound(spark, sf_dir, "performance").groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.upper("drug").alias("k"), F.struct(F.col("call_rate").cast("string").alias("coverage"), F.when(F.col("error_rate") > 0.04, "none").otherwise(F.col("error_rate").cast("string")).alias("error_rate")).alias("v"))))).alias("m"))
     texts = rows.select("model", F.when(F.col("model") < "m5", F.to_json(F.struct(F.col("m").alias("baselines")))).otherwise(F.to_json("m")).alias("value"))
-    return tables.baselines(texts).groupBy("drug", "base_coverage", "base_risk").agg(F.count("*").alias("n"))
+    return tables.baselines(texts)
 
 
 def json_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,15 +139,17 @@ def json_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = labs.groupBy(F.col("isolate_id").cast("string").alias("file")).agg(F.collect_list("o").alias("observations"))
     value = F.when(F.col("file").cast("long") % 9 == 2, "nothing").otherwise(F.to_json(F.struct("observations")))
     rows, failed = tables.json_rows(files.select("file", value.alias("value")), "observation_id: bigint, drug: string, result: string, mic: double", "observations")
-    return rows.groupBy("drug", "result").agg(F.count("*").alias("n")).unionByName(failed.groupBy("reason").agg(F.count("*").alias("n")).select(F.col("reason").alias("drug"), F.lit(None).cast("string").alias("result"), "n"))
+    return rows.withColumn("mic", F.floor(F.col("mic") * 1000)).withColumn("reason", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
 
 
 def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables written with a manifest and read back: what the manifest says of each."""
+    """Tables written with a manifest and read back: the rows of one, with what the manifest says of its size."""
     folder = shared_path(spark, "results")
     parts = {"calls": bound(spark, sf_dir, "results"), "labs": bound(spark, sf_dir, "labs")}
     tables.write_results(parts, folder, {"cohort": "c1"}, {"calls": "drug"})
-    return spark.read.schema("manifest map<string, string>").json(f"{folder}/manifest").select(F.explode("manifest").alias("fact", "value"))
+    facts = spark.read.schema("manifest map<string, string>").json(f"{folder}/manifest").select(F.col("manifest")["cohort"].alias("cohort"), F.col("manifest")["n_calls"].alias("n_calls"))
+    # The manifest is one row.
+    return spark.read.schema(parts["calls"].schema).parquet(f"{folder}/calls").select("sample_id", "drug", "site_id", "genomic_call", "phenotypic_call", "call").crossJoin(F.broadcast(facts))
 
 
 def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,21 +188,24 @@ QUERIES = {f.__name__: f for f in (
 )}
 #: Which rows are late depends on how a stream is cut, so late_rows has no SQL; a test streams a fixed sequence.
 SQL = {
-    "submission_intake": """SELECT CASE WHEN event_id % 17 = 0 OR user_id % 12 > 9 THEN 'signature' WHEN event_id % 40 - 3 > 24 THEN 'stale' WHEN event_id % 40 - 3 < -1 THEN 'future' END AS reject_reason, COUNT(*) AS n FROM events GROUP BY 1""",
+    "submission_intake": """SELECT event_id AS submission_id, CAST(user_id % 12 AS VARCHAR) AS site_id, event_id * 7 % 500 AS nonce, CASE WHEN event_id % 17 = 0 OR user_id % 12 > 9 THEN 'signature' WHEN event_id % 13 = 6 THEN 'site' WHEN event_id % 40 - 3 > 24 THEN 'stale' WHEN event_id % 40 - 3 < -1 THEN 'future' END AS reject_reason FROM events""",
     "accepted_nonces": "SELECT DISTINCT event_id * 7 % 500 AS nonce FROM events WHERE event_id % 40 - 3 BETWEEN -1 AND 24",
     "streamed_tickets": _REPLAYED + "SELECT CAST(user_id AS VARCHAR) AS ticket_id, event_id, action, previous, allowed FROM rp",
     "streamed_trend": "SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS start, COUNT(value) AS n, round(AVG(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2",
     "streamed_verdicts": """WITH rc AS (SELECT user_id % 20 AS variant, event_id, value < 60 AS r, user_id, event_id % 5 AS site, 'L' || CAST(event_id % 3 AS VARCHAR) AS lineage, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS i FROM events WHERE event_type <> 'error'),
 gone AS (SELECT DISTINCT user_id % 20 AS variant, event_id % 50 AS i FROM events WHERE event_type = 'error'), lf AS (SELECT rc.* FROM rc LEFT JOIN gone AS g ON g.variant = rc.variant AND g.i = rc.i WHERE g.i IS NULL)
 SELECT variant, 'd' AS drug, CASE WHEN COUNT(DISTINCT r) > 1 THEN 'indeterminate' WHEN bool_and(r) THEN 'resistant' ELSE 'susceptible' END AS call, COUNT(*) AS n_records, COUNT(DISTINCT user_id) AS n_isolates, COUNT(DISTINCT site) AS n_sites, string_agg(DISTINCT lineage, ',' ORDER BY lineage) AS lineages FROM lf GROUP BY variant""",
-    "appended_ledger": "SELECT CAST(SUM(n) AS BIGINT) AS n_entries, MAX(n) - 1 AS last_seq, CAST(0 AS BIGINT) AS n_broken FROM (SELECT COUNT(*) AS n FROM events GROUP BY user_id)",
-    "delimited_table": with_bindings("labs", " SELECT drug, quality, COUNT(*) AS n, MAX(observation_id) AS last_id FROM labs GROUP BY drug, quality"),
+    "appended_ledger": """WITH RECURSIVE ev AS (SELECT user_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+lc AS (SELECT user_id, seq, payload, sha256('0|' || coalesce('=' || payload, '') || '|' || repeat('0', 64)) AS entry_hash FROM ev WHERE seq = 0
+  UNION ALL SELECT ev.user_id, ev.seq, ev.payload, sha256(CAST(ev.seq AS VARCHAR) || '|' || coalesce('=' || ev.payload, '') || '|' || lc.entry_hash) FROM lc JOIN ev ON ev.user_id = lc.user_id AND ev.seq = lc.seq + 1)
+SELECT user_id, seq, payload, entry_hash, CAST(NULL AS VARCHAR) AS reason FROM lc""",
+    "delimited_table": with_bindings("labs", " SELECT CAST(observation_id AS VARCHAR) AS observation_id, CAST(isolate_id AS VARCHAR) AS isolate_id, drug, result, quality FROM labs"),
     "renamed_entries": with_bindings("entries", " SELECT label, drug, call FROM entries"),
     "loaded_truths": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS isolate_id, lower(drug) AS drug, arg_max(result, observation_id) AS truth FROM labs WHERE result <> 'indeterminate' AND quality = 'pass' GROUP BY isolate_id, drug"),
     "loaded_predictions": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS isolate_id, lower(drug) AS drug, CASE WHEN result <> 'indeterminate' THEN result END AS predicted, round(observation_id % 10 / CAST(10 AS DOUBLE), 6) + 0.0 AS confidence FROM labs"),
-    "loaded_baselines": with_bindings("performance", " SELECT lower(drug) AS drug, call_rate AS base_coverage, error_rate AS base_risk, COUNT(*) AS n FROM performance WHERE error_rate <= 0.04 GROUP BY 1, 2, 3"),
-    "json_observations": with_bindings("labs", " SELECT drug, result, COUNT(*) AS n FROM labs WHERE isolate_id % 9 <> 2 GROUP BY drug, result UNION ALL SELECT 'no JSON rows', NULL, COUNT(DISTINCT isolate_id) FROM labs WHERE isolate_id % 9 = 2"),
-    "stored_results": with_bindings("results labs", " SELECT 'cohort' AS fact, 'c1' AS value UNION ALL SELECT 'n_calls', CAST(COUNT(*) AS VARCHAR) FROM results UNION ALL SELECT 'n_labs', CAST(COUNT(*) AS VARCHAR) FROM labs"),
+    "loaded_baselines": with_bindings("performance", " SELECT lower(drug) AS drug, call_rate AS base_coverage, error_rate AS base_risk FROM performance WHERE error_rate <= 0.04"),
+    "json_observations": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS file, observation_id, drug, result, CAST(floor(mic * 1000) AS BIGINT) AS mic, NULL AS reason FROM labs WHERE isolate_id % 9 <> 2 UNION ALL SELECT CAST(isolate_id AS VARCHAR), NULL, NULL, NULL, NULL, 'no JSON rows' FROM labs WHERE isolate_id % 9 = 2 GROUP BY isolate_id"),
+    "stored_results": with_bindings("results", " SELECT *, 'c1' AS cohort, CAST((SELECT COUNT(*) FROM results) AS VARCHAR) AS n_calls FROM results"),
     "promotion_gates": with_bindings("observations", _PROMOTED + " SELECT variant, drug, n, n_r, n_s, n_sites, n_lineages, cohort_s, round(f, 6) + 0.0 AS r_fraction, failed = '' AS eligible, failed FROM pm"),
     "provisional_entries": with_bindings("observations", _PROMOTED + " SELECT variant, drug, 'resistant' AS call, round(round(f, 3), 6) + 0.0 AS confidence, n, n_sites FROM pm WHERE failed = '' AND variant % 2 = 0"),
 }

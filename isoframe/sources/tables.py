@@ -55,6 +55,23 @@ def truths(rows: DataFrame, order: str, accepted: tuple[str, ...] = ("HIGH",)) -
     return good.withColumn("_t", F.when(said == "R", "resistant").otherwise("susceptible")).groupBy(*key).agg(F.max_by("_t", F.struct(order, "_t")).alias("truth"))
 
 
+def wide_truths(rows: DataFrame, drugs: dict[str, str], order: str, accepted: tuple[str, ...] = ("HIGH",), run: str = "ENA_RUN", prefix: str = "cr_") -> DataFrame:
+    """Accepted truths (isolate_id, drug, truth) of a table with one row per run and three columns per drug.
+
+    ``drugs`` maps a column code to its drug: ``{code}_BINARY_PHENOTYPE`` must be R or S and
+    ``{code}_PHENOTYPE_QUALITY`` accepted; codes without both columns give no truths. The
+    isolate is the run behind ``prefix``; of runs that repeat the last by ``order`` counts.
+    """
+    said = lambda c: F.upper(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))))
+    there = {code: drug for code, drug in drugs.items() if {f"{code}_BINARY_PHENOTYPE", f"{code}_PHENOTYPE_QUALITY"} <= set(rows.columns)}
+    if run not in rows.columns or not there:
+        raise ValueError(f"expected {run} and columns of phenotype and quality; found {rows.columns}")
+    cells = F.array(*[F.struct(F.lit(drug).alias("drug"), said(f"{code}_BINARY_PHENOTYPE").alias("p"), said(f"{code}_PHENOTYPE_QUALITY").alias("q")) for code, drug in there.items()])
+    long = rows.select(F.concat(F.lit(prefix), F.coalesce(F.trim(F.col(run).cast("string")), F.lit(""))).alias("isolate_id"), F.col(order).alias("_o"), F.explode(cells).alias("c")).where(F.col("c.p").isin("R", "S") & F.col("c.q").isin(*accepted))
+    truth = F.when(F.col("c.p") == "R", "resistant").otherwise("susceptible")
+    return long.withColumn("_t", truth).groupBy("isolate_id", F.col("c.drug").alias("drug")).agg(F.max_by("_t", F.struct("_o", "_t")).alias("truth"))
+
+
 def baselines(texts: DataFrame) -> DataFrame:
     """(drug, base_coverage, base_risk) of texts that hold an object keyed by drug, alone or under ``baselines``; drugs without both numbers are left out."""
     kind = "map<string, struct<coverage: string, error_rate: string>>"
