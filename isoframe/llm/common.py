@@ -209,10 +209,15 @@ def apart_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, np.uint64)
     size = ends - starts
     at = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64)
-    value = data[place + np.repeat(starts - at, size)].astype(np.int64)
-    place -= np.repeat(at, size)
-    value += (place & 63) << 8
+    total = int(size.sum())
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(total, dtype=kind)
+    if total == ends[-1] - starts[0]:  # spans one after another
+        value = data[starts[0] : ends[-1]].astype(np.int32)
+    else:
+        value = data[place + np.repeat((starts - at).astype(kind), size)].astype(np.int32)
+    place -= np.repeat(at.astype(kind), size)
+    value += (place & 63).astype(np.int32) << 8
     terms = _PLACE_BYTE[value]
     far = np.flatnonzero(place >= 64)
     if len(far):
@@ -228,9 +233,15 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
     if len(long):
         n = size[long]
         at = np.cumsum(n) - n
-        step = np.arange(int(n.sum())) - np.repeat(at, n)
-        equal = data[np.repeat(starts[long], n) + step] == others[np.repeat(other_starts[long], n) + step]
-        out[long] = np.logical_and.reduceat(equal, at)
+        kind = np.int32 if max(len(data), len(others)) < 1 << 31 else np.int64
+        step = np.arange(int(n.sum()), dtype=kind)
+        if len(step) == ends[long[-1]] - starts[long[0]]:
+            here = data[starts[long[0]] : ends[long[-1]]]
+        else:
+            here = data[step + np.repeat((starts[long] - at).astype(kind), n)]
+        step += np.repeat((other_starts[long] - at).astype(kind), n)
+        differ = np.flatnonzero(here != others[step])
+        out[long[np.searchsorted(at, differ, "right") - 1]] = False
     return out
 
 

@@ -51,7 +51,9 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        """The cache: sorted keys, the slot of each, and by slot ids and bytes, which only grow."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.raw_at, self.raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +102,13 @@ class ChunkEncoder:
             chosen = first[new]
             spaced = (data[starts[chosen]] == 0x20) & ~np.isin(starts[chosen], edges)
             order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
-            ids, counts = self._encode([raw[starts[c] : ends[c]] for c in chosen[spaced]])
-            alone = self._each([raw[starts[c] : ends[c]] for c in chosen[~spaced]])
-            parts, sizes = [ids, *alone], np.concatenate([counts, [len(x) for x in alone]]).astype(np.int64)
             of = chosen[order]
-            self._add(distinct[new][order], np.concatenate(parts), sizes, [raw[starts[c] : ends[c]] for c in of])
-        place = np.searchsorted(self.keys, distinct)[inverse]
+            chunks = [raw[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]
+            many = int(spaced.sum())
+            ids, counts = self._encode(chunks[:many])
+            alone = self._each(chunks[many:])
+            self._add(distinct[new], order, np.concatenate([ids, *alone]), np.concatenate([counts, [len(x) for x in alone]]).astype(np.int64), chunks)
+        place = self.slots[np.searchsorted(self.keys, distinct)][inverse]
         other = ~same_bytes(data, starts, ends, self.raw, self.raw_at[place], self.raw_at[place + 1])
         counts = self.at[place + 1] - self.at[place]
         source, base = self.ids, self.at[place]
@@ -123,20 +126,16 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, chunks: list[bytes]) -> None:
-        order = np.argsort(np.concatenate([self.keys, keys]))
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.ids, self.at = _regrouped(np.concatenate([self.ids, ids]), np.concatenate([np.diff(self.at), counts]), order)
-        raw, sizes = np.frombuffer(b"".join(chunks), np.uint8), np.array([len(c) for c in chunks], np.int64)
-        self.raw, self.raw_at = _regrouped(np.concatenate([self.raw, raw]), np.concatenate([np.diff(self.raw_at), sizes]), order)
-
-
-def _regrouped(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of values laid end to end in another order, and their offsets."""
-    starts = np.cumsum(sizes) - sizes
-    total = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
-    take = np.arange(total[-1]) + np.repeat(starts[order] - total[:-1], sizes[order])
-    return values[take], total
+    def _add(self, keys: np.ndarray, order: np.ndarray, ids: np.ndarray, counts: np.ndarray, chunks: list[bytes]) -> None:
+        """Keep new chunks; ``keys`` are sorted, and chunk j is that of key ``order[j]``."""
+        slots = np.empty(len(order), np.int64)
+        slots[order] = len(self.keys) + np.arange(len(order))
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, where, keys), np.insert(self.slots, where, slots)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(c) for c in chunks])])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(chunks), np.uint8)])
 
 
 @functools.lru_cache(2)
