@@ -187,8 +187,8 @@ def records(piece: bytes, file: str, wanted: np.ndarray | None) -> pa.RecordBatc
     pos, good = _numbers(data, a + 1, b)
     if wanted is not None:
         k = np.searchsorted(wanted, pos)
-        near = np.append(wanted, np.iinfo(np.int64).max)[k]
-        good &= near - pos < d - c - 1
+        near = np.append(wanted, 0)[k]
+        good &= (k < len(wanted)) & (near - pos < d - c - 1)
     keep = np.flatnonzero(good)
     if not len(keep):
         return None
@@ -260,7 +260,7 @@ class VariantText(DataSource):
 def _loaded(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     spark.dataSource.register(VariantText)
     listed = [paths] if isinstance(paths, str) else paths
-    whole = [p if "://" in p else p if p.startswith("file:") else f"file://{p}" for p in listed]
+    whole = [p if "://" in p else f"file://{p.removeprefix('file:')}" for p in listed]
     return spark.read.format("varianttext").options(paths="\n".join(whole), **options).load()
 
 

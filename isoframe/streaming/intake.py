@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from isoframe.operators.linked import local_verdicts
 
@@ -61,33 +62,59 @@ def accepted(stream: DataFrame, lateness: str = "24 hours") -> DataFrame:
     return fresh.withWatermark("received", lateness).dropDuplicatesWithinWatermark(["nonce"]) if stream.isStreaming else fresh.dropDuplicates(["nonce"])
 
 
-def ticket_states(stream: DataFrame, allowed: dict[str, list[str]], start: str = "new") -> DataFrame:
+class TicketProcessor(StatefulProcessor):
+    """The state of a ticket as one typed value, which expires ``ttl_ms`` after it was last set."""
+
+    def __init__(self, allowed: dict[str, list[str]], start: str, ttl_ms: int | None):
+        self.allowed, self.start, self.ttl_ms = allowed, start, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "state string", self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.state.update((initialState["state"].iloc[0],))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows)).sort_values("event_id", kind="stable")
+        filled = np.logical_and.reduce([table[c].map(lambda x: isinstance(x, str) and bool(x.strip())).to_numpy(bool) for c in ("reviewer", "rationale")])
+        now = self.state.get()[0] if self.state.exists() else self.start
+        previous, fits = [], []
+        for action, whole in zip(table["action"].tolist(), filled.tolist(), strict=True):
+            previous.append(now)
+            fits.append(whole and action in self.allowed.get(now, ()))
+            now = action if fits[-1] else now
+        self.state.update((now,))
+        yield pd.DataFrame({"ticket_id": key[0], "event_id": table["event_id"].to_numpy(), "action": table["action"].to_numpy(), "previous": previous, "allowed": fits})
+
+    def close(self) -> None:
+        pass
+
+
+def ticket_states(stream: DataFrame, allowed: dict[str, list[str]], start: str = "new", ttl_hours: float | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Every ticket event with the state before it and whether it is allowed; state is kept per ticket_id.
 
     ``stream`` has ticket_id, event_id, action, reviewer and rationale. Events of a micro-batch
-    are taken in order of event_id; a refused one changes nothing.
+    are taken in order of event_id; a refused one changes nothing. A ticket begins in
+    ``start`` or, in a new stream, in its state in ``initial`` (ticket_id, state). With
+    ``ttl_hours`` a ticket without events for so long is forgotten and begins anew (see ``append``). State
+    is in the RocksDB store, which this sets for the session, and survives a restart from the checkpoint.
     """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = stream.select(F.col("ticket_id").cast("string").alias("ticket_id"), "event_id", "action", "reviewer", "rationale")
+    processor = TicketProcessor(allowed, start, None if ttl_hours is None else int(ttl_hours * 3_600_000))
+    begun = None if initial is None else initial.select(F.col("ticket_id").cast("string").alias("ticket_id"), "state").groupBy("ticket_id")
     result = "ticket_id string, event_id long, action string, previous string, allowed boolean"
+    return keyed.groupBy("ticket_id").transformWithStateInPandas(processor, result, "append", "None" if ttl_hours is None else "processingTime", begun)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else start
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, action, reviewer, rationale in rows[["event_id", "action", "reviewer", "rationale"]].itertuples(index=False):
-            filled = all(isinstance(x, str) and x.strip() for x in (reviewer, rationale))
-            fits = filled and action in allowed.get(now, [])
-            out.append((key[0], event, action, now, fits))
-            now = action if fits else now
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["ticket_id", "event_id", "action", "previous", "allowed"])
-
-    keyed = stream.select(F.col("ticket_id").cast("string").alias("ticket_id"), "event_id", "action", "reviewer", "rationale")
-    return keyed.groupBy("ticket_id").applyInPandasWithState(step, result, "state string", "append", GroupStateTimeout.NoTimeout)
 
+def append(stream: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Append a stream to a Parquet table, each row once: all there is now, or with ``once`` one batch.
 
-def append(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to a Parquet table, each row once."""
-    return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    State that expires asks for batches without end, so such a stream takes ``once``.
+    """
+    writer = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(once=True) if once else writer.trigger(availableNow=True)).start()
 
 
 def validation_verdicts(events: DataFrame) -> DataFrame:
