@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +9,12 @@ from pyspark.sql import functions as F
 
 from isoframe.operators.censored import pair_sums, with_refusals
 from isoframe.operators.joins import null_safe
-from isoframe.operators.resampling import SEED
+from isoframe.operators.resampling import BLOCK, SEED, block_rng, in_blocks
 
 STRATUM = ["background", "lineage", "site_id"]
 #: Fixed: refusals and budgets of the resampling.
 MIN_CARRIERS, MIN_PER_SIDE, MIN_DECISIVE = 10, 5, 0.3
-PAIR_BUDGET, PERMUTATION_BUDGET, MAX_PAIRS = 8_000_000, 2_000_000, 100_000
+PAIR_BUDGET, PERMUTATION_BUDGET = 8_000_000, 2_000_000
 
 
 def candidates(entries: DataFrame, carriage: DataFrame, min_carriers: int, call: str = "indeterminate") -> DataFrame:
@@ -90,60 +88,79 @@ def estimates(strata: DataFrame, bins: DataFrame, cooccurrence: DataFrame, min_c
     )
 
 
-def _order_matrix(bound: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign of each pair of values that can be ordered, and which pairs those are."""
-    a, b, sa, sb = bound[:, None], bound[None, :], side[:, None], side[None, :]
-    is_ = lambda x, s: x == s
-    exact = is_(sa, "none") & is_(sb, "none")
-    below = is_(sa, "left") & is_(sb, "right") & (a <= b) | is_(sa, "left") & is_(sb, "none") & (a < b) | is_(sa, "none") & is_(sb, "right") & (a <= b)
-    above = (is_(sb, "left") & is_(sa, "right") & (b <= a)) | (is_(sb, "left") & is_(sa, "none") & (b < a)) | (is_(sb, "none") & is_(sa, "right") & (b <= a))
-    return np.where(exact, np.sign(a - b), 0) - below.astype(int) + above, exact | below | above
+def _ordered(x: np.ndarray, y: np.ndarray, side: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Net and decisive pairs of many draws at once (one a row), by running counts as in ``censored.pair_sums``.
+
+    Columns are bins; ``place`` numbers their distinct values in order.
+    """
+    n = int(place.max()) + 1
+    spread = lambda c, s: np.stack([np.bincount(place[side == s], row[side == s], n) for row in c])
+    (xn, xl, xr), (yn, yl, yr) = ([spread(c, s) for s in ("none", "left", "right")] for c in (x, y))
+    upto = lambda c: np.cumsum(c, axis=1)
+    low = upto(yn) - yn + upto(yl) - yl
+    high = yn.sum(1, keepdims=True) - upto(yn) + yr.sum(1, keepdims=True) - upto(yr) + yr
+    up, down = (xn * low + xr * (low + yn + yl)).sum(1), ((xn + xl) * high).sum(1)
+    return up - down, up + down + (xn * yn).sum(1)
 
 
-def resampled(bins: DataFrame, min_per_side: int = MIN_PER_SIDE, max_pairs: int = MAX_PAIRS, seed: int = SEED) -> DataFrame:
+def resampled(bins: DataFrame, min_per_side: int = MIN_PER_SIDE, seed: int = SEED, per_task: int = 2) -> DataFrame:
     """Per (label, drug): bootstrap ends low and high of the pooled delta, and its permutation p.
 
     Both resample within strata: carriers and others each by a multinomial over their
-    values, labels by a hypergeometric draw. Work is over distinct values, so a pair's
-    group is its bins. The p is null beyond ``max_pairs`` pairs, as is all without a
-    stratum of enough values on both sides.
+    values, labels by a hypergeometric draw. Sums over pairs add up over strata, so every
+    stratum and every few blocks of draws (``per_task``) are a group of their own, and a
+    second aggregation puts draw k of all strata together; a draw costs its distinct
+    values. Strata with fewer than ``min_per_side`` values on a side are left out;
+    without others all is null, as is an interval (a p) of which too few draws are decisive.
+    Numbers of draws follow the pairs of a (label, drug) down to a floor, whatever its size.
     """
-
-    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        strata = []
-        for _, s in table.groupby(STRATUM, dropna=False, sort=True):
-            a, b = s["n_a"].to_numpy(np.int64), s["n_b"].to_numpy(np.int64)
-            if min(a.sum(), b.sum()) >= min_per_side:
-                sign, known = _order_matrix(s["log2_bound"].to_numpy(float), s["censoring"].to_numpy(str))
-                strata.append((a, b, sign.astype(float), known.astype(float)))
-        low = high = p = None
-        pairs = sum(int(a.sum()) * int(b.sum()) for a, b, *_ in strata)
-        if strata:
-            rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-            net = lambda x, y, m: np.einsum("ki,ij,kj->k", x, m, y, optimize=True)
-            rounds = max(200, min(1000, PAIR_BUDGET // pairs))
-            up = down = np.zeros(rounds)
-            for a, b, sign, known in strata:
-                x, y = rng.multinomial(a.sum(), a / a.sum(), rounds), rng.multinomial(b.sum(), b / b.sum(), rounds)
-                up, down = up + net(x, y, sign), down + net(x, y, known)
-            draws = np.sort(up[down > 0] / down[down > 0])
-            if len(draws) >= max(1, rounds // 4):
-                low, high = draws[int(0.025 * len(draws))], draws[min(len(draws) - 1, int(0.975 * len(draws)))]
-            seen = sum(float(net(a[None], b[None], m)[0]) for a, b, m, _ in strata), sum(float(net(a[None], b[None], m)[0]) for a, b, _, m in strata)
-            large = any((a.sum() + b.sum()) ** 2 > 10 * max_pairs for a, b, *_ in strata)
-            if pairs <= max_pairs and not large and seen[1] > 0:
-                rounds = max(199, min(1999, PERMUTATION_BUDGET // pairs))
-                up = down = np.zeros(rounds)
-                for a, b, sign, known in strata:
-                    x = rng.multivariate_hypergeometric(a + b, a.sum(), rounds, method="marginals")
-                    up, down = up + net(x, (a + b) - x, sign), down + net(x, (a + b) - x, known)
-                valid = down > 0
-                if valid.sum() >= rounds // 2:
-                    p = float((1 + (np.abs(up[valid] / down[valid]) >= abs(seen[0] / seen[1]) - 1e-12).sum()) / (1 + valid.sum()))
-        return pd.DataFrame([[*key, low, high, p]], columns=["label", "drug", "low", "high", "p"])
-
+    keys, pair = ["label", "drug", *STRATUM], ["label", "drug"]
+    sizes = bins.groupBy(*keys).agg(F.sum("n_a").alias("_a"), F.sum("n_b").alias("_b")).where((F.col("_a") >= min_per_side) & (F.col("_b") >= min_per_side))
+    budget = sizes.groupBy(*pair).agg(F.sum(F.col("_a") * F.col("_b")).alias("_pairs"))
+    rounds = lambda least, most, work: F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(work) / F.col("_pairs")))).cast("long")
+    budget = budget.select(*pair, rounds(200, 1000, PAIR_BUDGET).alias("_boots"), rounds(199, 1999, PERMUTATION_BUDGET).alias("_perms"))
+    usable = null_safe(null_safe(bins, sizes.select(*keys), keys, "left_semi"), budget, pair, "inner")
     kinds = dict(bins.dtypes)
-    return bins.groupBy("label", "drug").applyInPandas(run, f"label {kinds['label']}, drug {kinds['drug']}, low double, high double, p double")
+
+    def draw(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        plain = tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in key[:-1])
+        first, last = int(key[-1]), int(table["_to"].iloc[0])
+        a, b = table["n_a"].to_numpy(np.int64), table["n_b"].to_numpy(np.int64)
+        order = np.lexsort((table["censoring"].to_numpy(str), table["log2_bound"].to_numpy(float)))
+        a, b, side = a[order], b[order], table["censoring"].to_numpy(str)[order]
+        place = np.unique(table["log2_bound"].to_numpy(float)[order], return_inverse=True)[1]
+        out = []
+        for block in range(first, last + 1):
+            rng = block_rng(seed, plain, block)
+            for kind, total in (("boot", int(table["_boots"].iloc[0])), ("perm", int(table["_perms"].iloc[0]))):
+                n = min(BLOCK, total - block * BLOCK)
+                if n <= 0:
+                    continue
+                if kind == "boot":
+                    x, y = rng.multinomial(a.sum(), a / a.sum(), n), rng.multinomial(b.sum(), b / b.sum(), n)
+                else:
+                    x = rng.multivariate_hypergeometric(a + b, a.sum(), n, method="marginals")
+                    y = (a + b) - x
+                net, known = _ordered(x, y, side, place)
+                out.append(pd.DataFrame({"label": plain[0], "drug": plain[1], "kind": kind, "k": np.arange(n) + block * BLOCK, "net": net, "known": known}))
+        return pd.concat(out)
+
+    blocks = in_blocks(usable, F.greatest("_boots", "_perms"), per_task)
+    drawn = blocks.groupBy(*keys, "_from").applyInPandas(draw, f"label {kinds['label']}, drug {kinds['drug']}, kind string, k long, net double, known double")
+    sums = drawn.groupBy(*pair, "kind", "k").agg(F.sum("net").alias("net"), F.sum("known").alias("known"))
+    seen = pair_sums(usable.select(*bins.columns), keys).groupBy(*pair).agg(F.sum("net").alias("_net"), F.sum("n_decisive").alias("_known"))
+    told = null_safe(null_safe(sums, seen, pair), budget, pair)
+    delta = F.when(F.col("known") > 0, F.col("net") / F.col("known"))
+    boots = F.array_sort(F.collect_list(F.when(F.col("kind") == "boot", delta))).alias("_d")
+    perm = (F.col("kind") == "perm") & delta.isNotNull()
+    extreme = F.abs(delta) >= F.abs(F.col("_net") / F.col("_known")) - 1e-12
+    out = told.groupBy(*pair, "_boots", "_perms", "_known").agg(boots, F.count(F.when(perm, 1)).alias("_valid"), F.count(F.when(perm & extreme, 1)).alias("_extreme"))
+    n = F.size("_d")
+    enough = n >= F.greatest(F.lit(1), F.floor(F.col("_boots") / 4))
+    end = lambda share: F.when(enough, F.get("_d", F.least(n - 1, F.floor(F.lit(share) * n)).cast("int")))
+    p = F.when((F.col("_known") > 0) & (F.col("_valid") >= F.floor(F.col("_perms") / 2)), (F.col("_extreme") + 1) / (F.col("_valid") + 1))
+    found = out.select(*pair, end(0.025).alias("low"), end(0.975).alias("high"), p.alias("p"))
+    return null_safe(bins.select(*pair).distinct(), found, pair)
 
 
 def verdicts(found: DataFrame, draws: DataFrame, min_carriers: int = MIN_CARRIERS, warn_cooccurrence: float = 0.8, warn_lineages: float = 1.5) -> DataFrame:

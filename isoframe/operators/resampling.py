@@ -1,7 +1,9 @@
 """Quantiles, resampled intervals and permutation tests per group.
 
 Resampling works on counts of distinct values, so a group costs its distinct values and
-not its rows. Draws depend on the seed and the group's key alone.
+not its rows. Draws are made in blocks whose seeds depend on the key and the block's
+number alone; the blocks of a key are dealt to tasks and their draws put together again,
+so a heavy key is shared out and the result is the same however blocks are dealt.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.operators.joins import null_safe
@@ -60,13 +62,27 @@ def mean_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts @ values / counts.sum(1)
 
 
-def _rng(seed: int, key: tuple) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+BLOCK = 250
 
 
-def _ends(draws: np.ndarray, level: float) -> tuple[float, float]:
-    draws, tail = np.sort(draws), (1 - level) / 2
-    return float(draws[int(tail * len(draws))]), float(draws[min(len(draws) - 1, int((1 - tail) * len(draws)))])
+def block_rng(seed: int, key: tuple, block: int) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), block])
+
+
+def in_blocks(rows: DataFrame, iterations: int | Column, per_task: int) -> DataFrame:
+    """The rows once for each group of ``per_task`` blocks, with the group's first and last block as _from and _to."""
+    last = F.ceil((F.lit(iterations) if isinstance(iterations, int) else iterations) / BLOCK) - 1
+    firsts = F.sequence(F.lit(0).cast("long"), last, F.lit(per_task).cast("long"))
+    return rows.withColumn("_from", F.explode(firsts)).withColumn("_to", F.least(F.col("_from") + per_task - 1, last))
+
+
+def _interval(draws: DataFrame, by: list[str], facts: list[str], level: float) -> DataFrame:
+    """The percentile ends of each key's draws (column draws, an array for each group of blocks); null without draws."""
+    tail = (1 - level) / 2
+    out = draws.groupBy(*by, *facts).agg(F.array_sort(F.flatten(F.collect_list("draws"))).alias("_d"))
+    n = F.size("_d")
+    at = lambda share: F.get("_d", F.least(n - 1, F.floor(F.lit(share) * n)).cast("int"))
+    return out.select(*by, *facts, at(tail).alias("low"), at(1 - tail).alias("high"))
 
 
 def _counted(df: DataFrame, by: list[str], value: str, side: str | None = None) -> DataFrame:
@@ -74,28 +90,34 @@ def _counted(df: DataFrame, by: list[str], value: str, side: str | None = None)
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
 
 
-def _per_group(df: DataFrame, by: list[str], result: str, run: Callable[[tuple, pd.DataFrame], tuple]) -> DataFrame:
-    kinds = dict(df.dtypes)
+def _per_block(bins: DataFrame, by: list[str], iterations: int, per_task: int, result: str, run: Callable[[tuple, int, int, pd.DataFrame], list]) -> DataFrame:
+    """One row of ``by`` and ``result`` for each key and group of blocks: what ``run`` makes of the key's bins, each block in turn."""
+    kinds = dict(bins.dtypes)
     names = [x.split()[0] for x in result.split(", ")]
 
-    def one(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-        plain = tuple(k.item() if hasattr(k, "item") else k for k in key)
-        return pd.DataFrame([[*plain, *run(plain, bins.sort_values("_v"))]], columns=[*by, *names])
+    def one(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        plain = tuple(k.item() if hasattr(k, "item") else k for k in key[:-1])
+        return pd.DataFrame([[*plain, *run(plain, int(key[-1]), int(table["_to"].iloc[0]), table.sort_values("_v"))]], columns=[*by, *names])
 
-    return df.groupBy(*by).applyInPandas(one, ", ".join([f"{c} {kinds[c]}" for c in by] + [result]))
+    return in_blocks(bins, iterations, per_task).groupBy(*by, "_from").applyInPandas(one, ", ".join([f"{c} {kinds[c]}" for c in by] + [result]))
 
 
-def bootstrap_interval(df: DataFrame, by: list[str], value: str, statistic: Statistic = median_of, iterations: int = 2000, level: float = 0.95, min_n: int = 8, seed: int = SEED) -> DataFrame:
+def _sizes(iterations: int, first: int, last: int) -> list[tuple[int, int]]:
+    """The blocks first..last and how many draws each makes."""
+    return [(k, min(BLOCK, iterations - k * BLOCK)) for k in range(first, last + 1)]
+
+
+def bootstrap_interval(df: DataFrame, by: list[str], value: str, statistic: Statistic = median_of, iterations: int = 2000, level: float = 0.95, min_n: int = 8, seed: int = SEED, per_task: int = 2) -> DataFrame:
     """n, low and high of a percentile bootstrap per key; null below ``min_n`` values."""
 
-    def run(key: tuple, bins: pd.DataFrame) -> tuple:
+    def run(key: tuple, first: int, last: int, bins: pd.DataFrame) -> list:
         values, counts = bins["_v"].to_numpy(), bins["_n"].to_numpy()
         n = int(counts.sum())
         if n < min_n:
-            return n, None, None
-        return n, *_ends(statistic(values, _rng(seed, key).multinomial(n, counts / n, iterations)), level)
+            return [n, []]
+        return [n, np.concatenate([statistic(values, block_rng(seed, key, k).multinomial(n, counts / n, m)) for k, m in _sizes(iterations, first, last)])]
 
-    return _per_group(_counted(df, by, value), by, "n long, low double, high double", run)
+    return _interval(_per_block(_counted(df, by, value), by, iterations, per_task, "n long, draws array<double>", run), by, ["n"], level)
 
 
 def _sides(bins: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,34 +127,41 @@ def _sides(bins: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def difference_interval(
-    df: DataFrame, by: list[str], value: str, in_a: str, statistic: Statistic = median_of, iterations: int = 2000, level: float = 0.95, min_n: int = 5, seed: int = SEED
+    df: DataFrame, by: list[str], value: str, in_a: str, statistic: Statistic = median_of, iterations: int = 2000, level: float = 0.95, min_n: int = 5, seed: int = SEED, per_task: int = 2
 ) -> DataFrame:
     """n_a, n_b, low and high of the statistic of rows where ``in_a`` less that of the others; null where a side is small."""
 
-    def run(key: tuple, bins: pd.DataFrame) -> tuple:
+    def run(key: tuple, first: int, last: int, bins: pd.DataFrame) -> list:
         values, a, b = _sides(bins)
         n_a, n_b = int(a.sum()), int(b.sum())
         if min(n_a, n_b) < min_n:
-            return n_a, n_b, None, None
-        rng = _rng(seed, key)
-        draws = [statistic(values, rng.multinomial(n, x / n, iterations)) for x, n in ((a, n_a), (b, n_b))]
-        return n_a, n_b, *_ends(draws[0] - draws[1], level)
+            return [n_a, n_b, []]
+        draws = []
+        for k, m in _sizes(iterations, first, last):
+            rng = block_rng(seed, key, k)
+            one, two = (statistic(values, rng.multinomial(n, x / n, m)) for x, n in ((a, n_a), (b, n_b)))
+            draws.append(one - two)
+        return [n_a, n_b, np.concatenate(draws)]
 
-    return _per_group(_counted(df, by, value, in_a), by, "n_a long, n_b long, low double, high double", run)
+    return _interval(_per_block(_counted(df, by, value, in_a), by, iterations, per_task, "n_a long, n_b long, draws array<double>", run), by, ["n_a", "n_b"], level)
 
 
 def permutation_pvalue(
-    df: DataFrame, by: list[str], value: str, in_a: str, statistic: Statistic = median_of, iterations: int = 10_000, min_n: int = 5, seed: int = SEED
+    df: DataFrame, by: list[str], value: str, in_a: str, statistic: Statistic = median_of, iterations: int = 10_000, min_n: int = 5, seed: int = SEED, per_task: int = 10
 ) -> DataFrame:
     """n_a, n_b and the two-sided p of the difference under shuffled labels (add-one); null where a side is small."""
 
-    def run(key: tuple, bins: pd.DataFrame) -> tuple:
+    def run(key: tuple, first: int, last: int, bins: pd.DataFrame) -> list:
         values, a, b = _sides(bins)
         n_a, n_b = int(a.sum()), int(b.sum())
         if min(n_a, n_b) < min_n:
-            return n_a, n_b, None
+            return [n_a, n_b, None]
         gap = lambda x, y: np.abs(statistic(values, x) - statistic(values, y))
-        drawn = _rng(seed, key).multivariate_hypergeometric(a + b, n_a, iterations, method="marginals")
-        return n_a, n_b, float((1 + (gap(drawn, (a + b) - drawn) >= gap(a[None], b[None]) - 1e-12).sum()) / (1 + iterations))
-
-    return _per_group(_counted(df, by, value, in_a), by, "n_a long, n_b long, p double", run)
+        seen, n = gap(a[None], b[None]) - 1e-12, 0
+        for k, m in _sizes(iterations, first, last):
+            drawn = block_rng(seed, key, k).multivariate_hypergeometric(a + b, n_a, m, method="marginals")
+            n += int((gap(drawn, (a + b) - drawn) >= seen).sum())
+        return [n_a, n_b, n]
+
+    found = _per_block(_counted(df, by, value, in_a), by, iterations, per_task, "n_a long, n_b long, _n long", run)
+    return found.groupBy(*by, "n_a", "n_b").agg(((F.sum("_n") + 1) / (iterations + 1)).alias("p"))

@@ -37,7 +37,7 @@ def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, dete
     carried = carriage.join(candidates, "label", "left_semi").select("isolate_id", "label").distinct()
     own = determinants.select("drug", "label").distinct()
     rest = carriage.join(own, "label").select("isolate_id", "drug", F.col("label").alias("_other"))
-    themselves = carried.join(own, "label").join(rest, ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
+    themselves = carried.join(own.hint("merge"), "label").join(rest.hint("merge"), ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("_other") != F.col("label"), F.col("_other")))), "+").alias("_without")
     )
     held = placed.join(carried.hint("merge"), "isolate_id").join(themselves.hint("merge"), ["isolate_id", "drug", "label"], "left")
@@ -50,7 +50,7 @@ def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, dete
     if unassessed is None:
         return out
     missing = unassessed.select("isolate_id", "label").distinct().join(carried, ["isolate_id", "label"], "left_anti").join(candidates, "label", "left_semi")
-    missing = placed.join(missing, "isolate_id").groupBy("label", *keys).agg(F.count("*").alias("_missing"))
+    missing = placed.join(missing.hint("merge"), "isolate_id").groupBy("label", *keys).agg(F.count("*").alias("_missing"))
     left = (F.col("n_others") - F.coalesce("_missing", F.lit(0))).alias("n_others")
     return null_safe(out, missing, ["label", *keys]).select("label", *keys, "n_carriers", left)
 

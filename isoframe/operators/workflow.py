@@ -20,7 +20,7 @@ def paired_change(df: DataFrame, measures: list[str], split: dict[str, str] | No
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), unit(m).alias("unit"), (F.col(f"intervention_{m}") - F.col(f"baseline_{m}")).cast("double").alias("change")) for m in measures])
     long = df.select(F.explode(cells).alias("c")).select("c.*").where("change IS NOT NULL")
     means = long.groupBy("measure", "unit").agg(F.count("*").alias("n_pairs"), F.avg("change").alias("mean_change"))
-    return means.join(quantiles(long, ["measure", "unit"], "change", 0.5).withColumnRenamed("quantile", "median_change").drop("n"), ["measure", "unit"])
+    return means.join(quantiles(long, ["measure", "unit"], "change", 0.5).withColumnRenamed("quantile", "median_change").drop("n").hint("merge"), ["measure", "unit"])
 
 
 def checked_submissions(df: DataFrame, max_age_hours: int = 24, future_hours: int = 1) -> DataFrame:

@@ -44,6 +44,9 @@ def test_draws_follow_their_laws(spark):
     ci = {x.k: (x.low, x.high) for x in resampling.difference_interval(df, ["k"], "v", "a", resampling.mean_of).collect()}
     assert ci["few"] == (None, None) and ci["far"][0] > 40
     assert math.isclose(resampling.median_of(np.array([1.0, 2.0, 9.0]), np.array([[1, 1, 2]]))[0], 5.5)
+    for per_task in (1, 100):  # the same draws however blocks are dealt
+        assert sorted(map(str, resampling.bootstrap_interval(df, ["k"], "v", resampling.mean_of, 3000, per_task=per_task).collect())) == sorted(map(str, one))
+        assert resampling.permutation_pvalue(small, ["k"], "v", "a", resampling.mean_of, 20_000, per_task=per_task).first().p == p
 
 
 def test_effects_are_found_within_strata(spark):
@@ -52,6 +55,9 @@ def test_effects_are_found_within_strata(spark):
     df = spark.createDataFrame(bins, "label string, drug string, background string, lineage string, site_id int, log2_bound double, censoring string, n_a long, n_b long")
     got = {r.label: r for r in effects.resampled(df).collect()}
     assert got["v"].low == got["v"].high == 1.0 and got["v"].p < 0.01
+    assert sorted(map(str, effects.resampled(df.repartition(5), per_task=100).collect())) == sorted(map(str, got.values()))
+    large = effects.resampled(df.withColumns({"n_a": F.col("n_a") * 1000, "n_b": F.col("n_b") * 1000}).where("label = 'v'")).first()
+    assert large.p == 1 / 200 and large.low == 1.0
     assert got["w"].low < 0 < got["w"].high and got["w"].p > 0.5 and (got["few"].low, got["few"].p) == (None, None)
     shifts = {(r.label, r.site_id): r for r in effects.stratum_shifts(df).collect()}
     assert shifts["v", 1].delta == 1 and shifts["w", 1].delta == 0 and shifts["few", 1].refused == "too few observations"
