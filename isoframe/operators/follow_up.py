@@ -68,6 +68,66 @@ def context_errors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("row", "reason")
 
 
+#: Fixed: categories, how sure they are, their priority and what may be done.
+FINDINGS = {
+    "mic_prediction_disagreement": ("observed", 1, "review_phenotype,confirm_phenotype"),
+    "analytical_failure": ("observed", 0, "review_sample_and_qc"),
+    "mic_category_mismatch": ("observed", 0, "review_phenotype"),
+    "phenotype_discordance": ("observed", 0, "review_phenotype,confirm_phenotype"),
+    "engine_discordance": ("observed", 0, "review_engine_evidence"),
+    "catalogue_drift": ("possible", 1, "replay_catalogues"),
+    "coverage_gap": ("observed", 1, "review_coverage,repeat_sequencing"),
+    "historical_association": ("observed", 2, "review_association,confirm_phenotype"),
+    "uncertain_interpretation": ("observed", 2, "review_variant,confirm_phenotype"),
+    "validation_gap": ("observed", 2, "review_validation_scope"),
+    "ntm_induction_context": ("observed", 1, "review_ntm_context,assess_inducible_resistance"),
+}
+
+
+def investigated(results: DataFrame, evidence: DataFrame, qc: DataFrame, predictions: DataFrame, induction: tuple[str, str]) -> DataFrame:
+    """What is unresolved about each sample and drug: sample_id, finding (id), drug, category, certainty, priority, actions, detail and n_evidence.
+
+    ``results`` has sample_id, drug, call, genomic_call, phenotypic_call, discordant, assay_status
+    and organism; ``evidence`` sample_id, drug, tier, call, scope, comparison (what a measured
+    value says), result (what the laboratory says) and version; ``qc`` sample_id, qc_check and
+    status; ``predictions`` sample_id, drug and conflict. ``induction`` names the organism and
+    drug whose early susceptible results settle nothing.
+
+    Evidence is aggregated per (sample, drug) before it meets the results; each rule is
+    one condition on a row, and a row gives as many findings as conditions hold. Failed
+    checks of a sample are one finding of drug ``*``. Null flags count as false.
+    """
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    measured, old = F.col("tier") == "phenotypic", F.coalesce(F.col("scope"), F.lit("")) == "historical"
+    open_ = (F.col("call") == "indeterminate") & ~old & ~is_(measured)
+    version = F.nullif(F.col("version"), F.lit("unknown"))
+    facts = evidence.groupBy("sample_id", "drug").agg(
+        F.count("*").alias("_n"), count(measured).alias("_measured"), count(measured & F.col("comparison").isNotNull() & ~F.col("comparison").eqNullSafe(F.col("result"))).alias("_apart"),
+        F.count_distinct(version).alias("_versions"), count(old).alias("_old"), count(open_).alias("_open"),
+    )
+    rows = results.join(facts.hint("merge"), ["sample_id", "drug"], "left").na.fill(0, ["_n", "_measured", "_apart", "_versions", "_old", "_open"])
+    discordant, measured_too = is_(F.col("discordant")), F.col("_measured") > 0
+    conditions = {
+        "mic_category_mismatch": F.col("_apart") > 0, "phenotype_discordance": discordant & measured_too, "engine_discordance": discordant & ~measured_too, "catalogue_drift": discordant & ~measured_too & (F.col("_versions") > 1),
+        "coverage_gap": is_(F.col("assay_status") == "insufficient") & F.col("phenotypic_call").isNull(), "historical_association": F.col("_old") > 0, "uncertain_interpretation": F.col("_open") > 0,
+        "validation_gap": is_(F.col("genomic_call") == "indeterminate") & (F.col("_open") == 0) & ~discordant,
+        "ntm_induction_context": is_(F.col("organism") == induction[0]) & (F.col("drug") == induction[1]) & ~is_(F.col("call").isin("resistant", "susceptible")),
+    }
+    held = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))
+    found = rows.select("sample_id", "drug", "_n", "_open", F.explode(held).alias("category"))
+    n = F.when(F.col("category") == "uncertain_interpretation", F.col("_open")).otherwise(F.col("_n"))
+    found = found.select("sample_id", "drug", "category", F.lit(None).cast("string").alias("detail"), n.alias("n_evidence"))
+    none = F.lit(0).cast("long").alias("n_evidence")
+    failed = qc.where("status = 'fail' AND qc_check <> 'callable_mask'").groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_set("qc_check")), "; ").alias("detail"))
+    found = found.unionByName(failed.select("sample_id", F.lit("*").alias("drug"), F.lit("analytical_failure").alias("category"), "detail", none))
+    apart = predictions.where("conflict").select("sample_id", "drug").distinct()
+    found = found.unionByName(apart.select("sample_id", "drug", F.lit("mic_prediction_disagreement").alias("category"), F.lit(None).cast("string").alias("detail"), none))
+    told = F.create_map(*[x for name, (sure, priority, actions) in FINDINGS.items() for x in (F.lit(name), F.struct(F.lit(sure).alias("certainty"), F.lit(priority).alias("priority"), F.lit(actions).alias("actions")))])
+    own = F.substring(F.sha2(F.concat_ws("|", F.col("sample_id").cast("string"), "drug", "category"), 256), 1, 24)
+    return found.withColumn("_t", told[F.col("category")]).select("sample_id", own.alias("finding"), "drug", "category", "_t.*", "detail", "n_evidence")
+
+
 def plans(findings: DataFrame, menu: DataFrame, budget: float | None = None) -> DataFrame:
     """One option per finding of a sample, by priority, within the sample's budget: option, status and charged.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.operators import accuracy, catalogue, fingerprints, reports, views
+from isoframe.operators import accuracy, catalogue, fingerprints, follow_up, reports, views
 from isoframe.plans import report_views
 from isoframe.plans.bindings import BINDINGS, bound, rounded, with_bindings
 from isoframe.sources import documents, tables, variant_text, vcf
@@ -109,8 +109,25 @@ def registry_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.registry_readiness(report_views.external_benchmark(spark, sf_dir), rates))
 
 
+def investigation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("isolate_id")
+    evidence = bound(spark, sf_dir, "evidence").select(
+        i.alias("sample_id"), "drug", "call", "tier", F.when(i % 10 == 3, "historical").otherwise(F.col("scope")).alias("scope"), F.when(i % 3 > 0, "resistant").alias("comparison"), F.col("call").alias("result"),
+        F.when(F.col("engine") == "e2", "unknown").otherwise(F.col("engine")).alias("version"),
+    )
+    results = evidence.select("sample_id", "drug").distinct()
+    i = F.col("sample_id")
+    results = results.select(
+        "sample_id", "drug", F.when(i % 3 == 0, "indeterminate").otherwise("susceptible").alias("genomic_call"), F.when(i % 4 == 0, "resistant").alias("phenotypic_call"), F.when(i % 2 == 0, "resistant").otherwise("no_call").alias("call"),
+        F.when(i % 8 > 0, i % 5 == 0).alias("discordant"), F.when(i % 7 == 0, "insufficient").alias("assay_status"), F.when(i % 6 == 1, "mabscessus").otherwise("mtbc").alias("organism"),
+    )
+    qc = bound(spark, sf_dir, "qc").withColumnRenamed("isolate_id", "sample_id")
+    predictions = results.select("sample_id", "drug", (i % 9 == 2).alias("conflict"))
+    return follow_up.investigated(results, evidence, qc, predictions, ("mabscessus", "PROMO"))
+
+
 QUERIES = {f.__name__: f for f in (
-    scanned_genotypes, lock_violations, context_document_errors, typed_observations, observation_errors, catalogue_coordinates, drug_tiers, wide_truths, prevalence_by_period, registry_readiness,
+    investigation_findings, scanned_genotypes, lock_violations, context_document_errors, typed_observations, observation_errors, catalogue_coordinates, drug_tiers, wide_truths, prevalence_by_period, registry_readiness,
 )}
 
 _QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
@@ -124,7 +141,17 @@ oe AS (SELECT DISTINCT file, '$' AS path, 'not JSON' AS reason FROM ob WHERE kin
 
 def sql(alleles: str, benchmark: str) -> dict[str, str]:
     """SQL of these queries; ``alleles`` states the alleles of the bound records, ``benchmark`` the external benchmark."""
+    told = ", ".join(f"('{name}', '{sure}', {priority}, '{actions}')" for name, (sure, priority, actions) in follow_up.FINDINGS.items())
     return {
+        "investigation_findings": with_bindings("evidence qc", f""", ev AS (SELECT isolate_id AS i, drug, call, tier, CASE WHEN isolate_id % 10 = 3 THEN 'historical' ELSE scope END AS scope, CASE WHEN isolate_id % 3 > 0 THEN 'resistant' END AS comparison, nullif(engine, 'e2') AS version FROM evidence),
+fa AS (SELECT i, drug, COUNT(*) AS n, COUNT(CASE WHEN tier = 'phenotypic' THEN 1 END) AS m, COUNT(CASE WHEN tier = 'phenotypic' AND comparison <> call THEN 1 END) AS ap, COUNT(DISTINCT version) AS vs, COUNT(CASE WHEN scope = 'historical' THEN 1 END) AS old,
+  COUNT(CASE WHEN call = 'indeterminate' AND scope <> 'historical' AND tier <> 'phenotypic' THEN 1 END) AS op, i % 8 > 0 AND i % 5 = 0 AS dc FROM ev GROUP BY i, drug),
+fo AS (SELECT i, drug, 'mic_category_mismatch' AS category, n FROM fa WHERE ap > 0 UNION ALL SELECT i, drug, 'phenotype_discordance', n FROM fa WHERE dc AND m > 0 UNION ALL SELECT i, drug, 'engine_discordance', n FROM fa WHERE dc AND m = 0 UNION ALL SELECT i, drug, 'catalogue_drift', n FROM fa WHERE dc AND m = 0 AND vs > 1
+  UNION ALL SELECT i, drug, 'coverage_gap', n FROM fa WHERE i % 7 = 0 AND i % 4 <> 0 UNION ALL SELECT i, drug, 'historical_association', n FROM fa WHERE old > 0 UNION ALL SELECT i, drug, 'uncertain_interpretation', op FROM fa WHERE op > 0 UNION ALL SELECT i, drug, 'validation_gap', n FROM fa WHERE i % 3 = 0 AND op = 0 AND NOT dc
+  UNION ALL SELECT i, drug, 'ntm_induction_context', n FROM fa WHERE i % 6 = 1 AND drug = 'PROMO' AND i % 2 <> 0 UNION ALL SELECT i, drug, 'mic_prediction_disagreement', 0 FROM fa WHERE i % 9 = 2 UNION ALL SELECT DISTINCT isolate_id, '*', 'analytical_failure', 0 FROM qc WHERE status = 'fail' AND qc_check <> 'callable_mask'),
+qf AS (SELECT isolate_id, string_agg(DISTINCT qc_check, '; ' ORDER BY qc_check) AS detail FROM qc WHERE status = 'fail' AND qc_check <> 'callable_mask' GROUP BY isolate_id)
+SELECT i AS sample_id, substr(sha256(CAST(i AS VARCHAR) || '|' || drug || '|' || fo.category), 1, 24) AS finding, drug, fo.category AS category, certainty, priority, actions, CASE WHEN fo.category = 'analytical_failure' THEN detail END AS detail, n AS n_evidence
+FROM fo JOIN (VALUES {told}) AS t(category, certainty, priority, actions) ON t.category = fo.category LEFT JOIN qf ON qf.isolate_id = i"""),
         "scanned_genotypes": with_bindings("vcf coordinates", alleles + "SELECT CAST(CAST(file AS BIGINT) % 8 AS VARCHAR) AS sample, label, max(carried) AS carried FROM gm GROUP BY 1, 2"),
         "lock_violations": with_bindings("cohort", """ SELECT 'evidence' AS kind, CAST(sample_id AS VARCHAR) AS item, 'no run' AS detail FROM cohort WHERE sample_id % 211 = 7
 UNION ALL SELECT 'row', CAST(sample_id AS VARCHAR), 'removed' FROM cohort WHERE sample_id % 97 = 5 UNION ALL SELECT 'row', CAST(sample_id AS VARCHAR), 'changed' FROM cohort WHERE sample_id % 97 <> 5 AND sample_id % 101 = 3

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoframe.operators import catalogue, censored, fingerprints, ledger, linked, running, selection
+from isoframe.operators import catalogue, censored, fingerprints, follow_up, ledger, linked, reports, running, selection
 from isoframe.operators.components import connected
 from isoframe.sources import documents, tables, variant_text, vcf
 from isoframe.sources.scratch import shared_path, stored
@@ -262,3 +262,30 @@ def test_observations_of_another_site(spark):
     rows = [('[{"site_id": "a"}]', "a"), ('[{"site_id": "a"}, {"site_id": "b"}]', "a"), ('[{"x": 1}]', "a"), ("[]", "a"), ("no", "a"), (None, "a"), ('[{"site_id": "b"}]', None)]
     df = spark.createDataFrame(rows, "payload string, site string")
     assert [r.m for r in df.select(intake.of_other_site(F.col("payload"), F.col("site")).alias("m")).collect()] == [False, True, True, False, False, False, True]
+
+
+def test_findings_follow_their_conditions(spark):
+    results = [(1, "d", "no_call", "indeterminate", None, None, None, None), (2, "d", "no_call", "susceptible", None, True, "insufficient", "o"), (2, "e", "resistant", "susceptible", "resistant", True, "insufficient", "o"), (3, "clar", "indeterminate", "indeterminate", None, False, "ok", "o")]
+    evidence = [(2, "d", "catalogued", "indeterminate", "isolate", None, None, "v1"), (2, "d", "catalogued", "resistant", None, None, None, "v2"), (2, "d", None, "indeterminate", "historical", None, None, "unknown"), (2, "e", "phenotypic", "susceptible", "isolate", "resistant", None, None), (9, "d", "phenotypic", "resistant", None, "susceptible", "resistant", None)]
+    got = follow_up.investigated(
+        spark.createDataFrame(results, "sample_id long, drug string, call string, genomic_call string, phenotypic_call string, discordant boolean, assay_status string, organism string"),
+        spark.createDataFrame(evidence, "sample_id long, drug string, tier string, call string, scope string, comparison string, result string, version string"),
+        spark.createDataFrame([(1, "depth", "fail"), (1, "a", "fail"), (1, "callable_mask", "fail"), (2, "a", "pass")], "sample_id long, qc_check string, status string"),
+        spark.createDataFrame([(3, "x", True), (3, "x", True), (1, "x", None)], "sample_id long, drug string, conflict boolean"), ("o", "clar"),
+    ).collect()
+    assert sorted((r.sample_id, r.drug, r.category, r.priority, r.n_evidence) for r in got) == [
+        (1, "*", "analytical_failure", 0, 0), (1, "d", "validation_gap", 2, 0),
+        (2, "d", "catalogue_drift", 1, 3), (2, "d", "coverage_gap", 1, 3), (2, "d", "engine_discordance", 0, 3), (2, "d", "historical_association", 2, 3), (2, "d", "uncertain_interpretation", 2, 1),
+        (2, "e", "mic_category_mismatch", 0, 1), (2, "e", "phenotype_discordance", 0, 1),
+        (3, "clar", "ntm_induction_context", 1, 0), (3, "clar", "validation_gap", 2, 0), (3, "x", "mic_prediction_disagreement", 1, 0),
+    ]
+    assert {r.detail for r in got} == {None, "a; depth"} and len({r.finding for r in got}) == len(got) and all(len(r.finding) == 24 for r in got)
+
+
+def test_readiness_of_a_scope(spark):
+    benchmark = spark.createDataFrame([("a", 0.5, 0.1, "beats-baseline", 0.9, 0.2), ("b", None, None, "cannot-match-coverage", 0.4, None), ("c", 0.5, 0.1, "underpowered", 0.9, 0.2), ("d", 0.5, None, None, 0.9, 0.3)], "drug string, matched_coverage double, matched_risk double, verdict string, coverage double, error_rate double")
+    rates = spark.createDataFrame([("a", 0.9, 0.8), ("b", 0.9, 0.8), ("c", None, 0.8)], "drug string, sensitivity double, specificity double")
+    got = {r.drug: (r.call_rate, r.error_rate, r.exclusion, r.ready) for r in reports.registry_readiness(benchmark, rates).collect()}
+    assert got == {
+        "a": (0.5, 0.1, None, True), "b": (0.4, None, "no risk at the baseline's coverage: cannot-match-coverage", False), "c": (0.5, 0.1, "sensitivity not estimable", False), "d": (0.9, 0.3, "no risk at the baseline's coverage: no baseline", False),
+    }
