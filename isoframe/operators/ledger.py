@@ -17,8 +17,8 @@ GENESIS = "0" * 64
 
 
 def _body(seq: Column, payload: Column, before: Column) -> Column:
-    """The hash of an entry; a payload is marked, so that a missing one is not an empty one."""
-    return F.sha2(F.concat_ws("|", seq.cast("string"), F.coalesce(F.concat(F.lit("="), payload), F.lit("")), before), 256)
+    """The hash of an entry. A missing payload has no part of its own, so it is not an empty one."""
+    return F.sha2(F.concat_ws("|", seq.cast("string"), payload, before), 256)
 
 
 def append_entries(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
@@ -41,7 +41,7 @@ def append_entries(rows: DataFrame, chain: str, order: str, payload: str) -> Dat
                     seq, before = 0, GENESIS
                 numbers.append(seq)
                 prev.append(before)
-                before = hashlib.sha256(f"{seq}|{'' if text is None else '=' + text}|{before}".encode()).hexdigest()
+                before = hashlib.sha256("|".join(x for x in (str(seq), text, before) if x is not None).encode()).hexdigest()
                 own.append(before)
                 seq += 1
             yield pa.RecordBatch.from_arrays([batch.column(chain), pa.array(numbers, pa.int64()), batch.column("_payload"), pa.array(prev), pa.array(own)], [chain, "seq", "payload", "prev_hash", "entry_hash"])

@@ -196,8 +196,8 @@ SQL = {
 gone AS (SELECT DISTINCT user_id % 20 AS variant, event_id % 50 AS i FROM events WHERE event_type = 'error'), lf AS (SELECT rc.* FROM rc LEFT JOIN gone AS g ON g.variant = rc.variant AND g.i = rc.i WHERE g.i IS NULL)
 SELECT variant, 'd' AS drug, CASE WHEN COUNT(DISTINCT r) > 1 THEN 'indeterminate' WHEN bool_and(r) THEN 'resistant' ELSE 'susceptible' END AS call, COUNT(*) AS n_records, COUNT(DISTINCT user_id) AS n_isolates, COUNT(DISTINCT site) AS n_sites, string_agg(DISTINCT lineage, ',' ORDER BY lineage) AS lineages FROM lf GROUP BY variant""",
     "appended_ledger": """WITH RECURSIVE ev AS (SELECT user_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
-lc AS (SELECT user_id, seq, payload, sha256('0|' || coalesce('=' || payload, '') || '|' || repeat('0', 64)) AS entry_hash FROM ev WHERE seq = 0
-  UNION ALL SELECT ev.user_id, ev.seq, ev.payload, sha256(CAST(ev.seq AS VARCHAR) || '|' || coalesce('=' || ev.payload, '') || '|' || lc.entry_hash) FROM lc JOIN ev ON ev.user_id = lc.user_id AND ev.seq = lc.seq + 1)
+lc AS (SELECT user_id, seq, payload, sha256('0|' || payload || '|' || repeat('0', 64)) AS entry_hash FROM ev WHERE seq = 0
+  UNION ALL SELECT ev.user_id, ev.seq, ev.payload, sha256(CAST(ev.seq AS VARCHAR) || '|' || ev.payload || '|' || lc.entry_hash) FROM lc JOIN ev ON ev.user_id = lc.user_id AND ev.seq = lc.seq + 1)
 SELECT user_id, seq, payload, entry_hash, CAST(NULL AS VARCHAR) AS reason FROM lc""",
     "delimited_table": with_bindings("labs", " SELECT CAST(observation_id AS VARCHAR) AS observation_id, CAST(isolate_id AS VARCHAR) AS isolate_id, drug, result, quality FROM labs"),
     "renamed_entries": with_bindings("entries", " SELECT label, drug, call FROM entries"),

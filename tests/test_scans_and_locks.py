@@ -129,7 +129,7 @@ def test_chains_tell_a_missing_payload_from_an_empty_one(spark):
     for chain, own in itertools.groupby(sorted(rows, key=lambda x: (x[0] or "", x[1])), lambda x: x[0] or ""):
         before = "0" * 64
         for seq, (_, _, p) in enumerate(own):
-            now = hashlib.sha256(f"{seq}|{'' if p is None else '=' + p}|{before}".encode()).hexdigest()
+            now = hashlib.sha256((f"{seq}|{before}" if p is None else f"{seq}|{p}|{before}").encode()).hexdigest()
             want.append((chain, seq, p, before, now))
             before = now
     assert got == want
