@@ -277,3 +277,8 @@ SELECT kind, "group", COUNT(DISTINCT partition) AS n_partitions FROM gr GROUP BY
 SELECT label, other, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, other) AS k FROM pq) WHERE k <= 5"""),
     "eligible_prefix": with_bindings("wide", " SELECT sample_id, run FROM wide WHERE run <> 'NONE' ORDER BY sample_id LIMIT 50"),
 }
+SQL["independent_isolates"] = with_bindings("metadata", """, ro AS (SELECT isolate_id, CAST(cluster_id AS VARCHAR) AS c, CAST(site_id AS VARCHAR) || '|' || CAST(patient_id AS VARCHAR) AS p, row_number() OVER (ORDER BY isolate_id) AS k FROM metadata),
+fo AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS isolate_id, CAST([] AS VARCHAR[]) AS cs, CAST([] AS VARCHAR[]) AS ps, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL SELECT ro.k, ro.isolate_id, CASE WHEN list_contains(cs, c) OR list_contains(ps, p) THEN cs ELSE list_append(cs, c) END, CASE WHEN list_contains(cs, c) OR list_contains(ps, p) THEN ps ELSE list_append(ps, p) END,
+    CASE WHEN list_contains(cs, c) THEN 'cluster_id' WHEN list_contains(ps, p) THEN 'patient' END FROM fo JOIN ro ON ro.k = fo.k + 1)
+SELECT isolate_id, reason FROM fo WHERE k > 0""").replace("WITH ", "WITH RECURSIVE ", 1)
