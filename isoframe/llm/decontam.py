@@ -61,7 +61,9 @@ def window_hits(
     Every occurrence of every window is in ``hits``; ``start`` counts words from 0. Null
     and wordless texts have 0 words and no hits; items without words have no windows;
     an empty benchmark gives no hits. Repeated rows are judged one by one, rows with a
-    null id as well. Other columns of either table play no part.
+    null id as well. A text of any length is compared whole; its words are one array. Windows
+    of an item without an id hit like others, but name no item. Other columns of either
+    table play no part.
 
     The benchmark's words and windows are broadcast while they have at most
     ``broadcast_rows`` windows (counted first); beyond that they are joined by shuffle,

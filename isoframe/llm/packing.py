@@ -252,7 +252,8 @@ def pack(pieces: DataFrame, window: int = 1024, block_rows: int = 20_000) -> Dat
 def packed(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, keep_ids: bool = True, block_rows: int = 20_000) -> DataFrame:
     """Tokenize, cut and pack all rows; see ``token_pieces`` and ``pack``.
 
-    Pieces are written once, so texts are tokenized once. Null ids, repeated rows and
+    Pieces are written once, so texts are tokenized once. A text of any length is encoded
+    whole, chunk by chunk. Null ids, repeated rows and
     empty tables are packed as they are; columns beside doc_id and text are not read.
     """
     pieces = token_pieces(docs, tokenizer, window, end_id, keep_ids)

@@ -69,7 +69,8 @@ def assign_shards(
 
     Size is the UTF-8 length of the text (null: 0) plus ``header_bytes``. Null ids and
     texts, empty tables and repeated rows are kept: each row gets a slot of its own.
-    Columns beside id and text are not read, so their names cannot clash. Only ids,
+    A text of any length is read whole for its size and checksum. Columns beside id and
+    text are not read, so their names cannot clash. Only ids,
     sizes and checksums are shuffled, never texts.
     """
     rows = docs.select(

@@ -65,7 +65,8 @@ def match_rules(
     wins, then the longer host, then allow, then the larger verdict. Without a rule the rule is
     null and the verdict ``default``. Null urls and urls without :// have empty host
     and path. Rows with equal urls, null ids and empty tables are kept as they are;
-    columns beside id and url are not read.
+    columns beside id and url are not read. A url of any length is judged whole; only its
+    host and path are carried on.
 
     Hosts with more than one of ``parts`` of all rows are dealt to several sorted
     blocks, each with a copy of their rules; there are fewer than ``parts`` such hosts,

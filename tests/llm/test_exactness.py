@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from isoframe.llm import clustering, common, filter_audit, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, warc
+from isoframe.llm import clustering, common, decontam, filter_audit, ngram_join, packing, quality_model, quality_rules, queries, sharding, suffix_dedup, token_counts, url_rules, warc
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -262,3 +262,19 @@ def test_very_long_texts_are_scored_whole(spark):
     assert quality_model.score(df, model).count() == 3
     pieces = packing.token_pieces(df, P.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
     assert all(r.n == r.t for r in pieces) and zlib.crc32(b"\0\0\0\0") in {r.ids_crc32 for r in packing.token_pieces(df, P.path("byte_bpe_50k.json")).where("doc_id IS NULL").collect()}
+
+
+def test_long_urls_identical_rows_and_items_without_ids(spark):
+    long = "http://a.example.org/es/" + "x/" * 100_000 + "?" + "q" * 100_000
+    got = url_rules.match_rules(spark.createDataFrame([(1, long), (2, "http://" + "s." * 50_000 + "com/de/")], "page_id long, url string"), spark.createDataFrame(queries.URL_RULES, url_rules.RULES)).collect()
+    assert {r.page_id: (r.rule, r.verdict, len(r.path)) for r in got} == {1: ("example.org/es/", "block", 200_004), 2: ("com/de/", "block", 4)}
+
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    placed = sharding.assign_shards(same, shards=7).collect()
+    assert sorted(r.position for r in placed) == list(range(3000)) and {r.slot for r in placed if r.shard == 3} == set(range(sum(r.shard == 3 for r in placed)))
+
+    words = [f"w{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:18])), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words[5:18])), (4, " ".join(words[:14])), (4, None)], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontam.contamination(decontam.window_hits(docs, items)).collect()}
+    assert hits == {1: (30, 18, ["4"], True), 2: (13, 13, [], True), 3: (0, 0, [], False)}
