@@ -14,7 +14,11 @@ from isoframe.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier scores 0.5 or more.
+
+    Null, empty and very long texts are scored like others; null ids and repeated rows are
+    judged row by row, an empty table stays empty, further columns are carried along.
+    """
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.scored_rows(docs, model).where("score >= 0.5").select("row.*")
 
@@ -40,19 +44,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings that occur more than once in the corpus."""
+    """Documents without the bytes of strings that occur more than once in the corpus.
+
+    Every row stays, with what is left of its text (null becomes empty) and its length in
+    n_chars; null ids, repeated rows and further columns are kept, an empty table stays empty.
+    """
     cut = suffix_dedup.remove_repeats(docs, as_text=True).select("row.*", F.col("kept").alias("text"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items.
+
+    Texts without words, null ones too, are kept; null ids and repeated rows are judged row
+    by row, further columns are carried along, an empty table or benchmark removes nothing.
+    """
     hits = decontam.window_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontam.contamination(hits).where("NOT contaminated").select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in windows of 1024, with their ids."""
+    """Token pieces in windows of 1024, with their ids.
+
+    Null and empty texts are one piece, the end id; null ids and repeated rows are packed as
+    they are, an empty table gives no piece, further columns are not read.
+    """
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
