@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ORDER = ("resistant", "indeterminate", "no_call")
 #: Fixed: the basis of a call and its rank.
 TIERS = {"phenotypic": 4, "catalogued": 3, "inferred": 2, "predicted": 1, "none": 0}
+#: Fixed: per organism and drug, what must be known (None) or found before silence may speak for susceptibility.
+ORGANISM_RULES = {("mabscessus", "clarithromycin"): {"subspecies": None, "erm41_status": "nonfunctional", "rrl_status": "wild_type"}}
 
 
 def permits(scopes: DataFrame, contexts: DataFrame, qc: DataFrame, required: tuple[str, ...] = ("species_confirmation", "contamination")) -> DataFrame:
@@ -22,13 +24,38 @@ def permits(scopes: DataFrame, contexts: DataFrame, qc: DataFrame, required: tup
     return contexts.join(sound.hint("merge"), "isolate_id").join(scopes.distinct().hint(hint), "organism").select("isolate_id", "drug", "engine").distinct()
 
 
-def reconcile(evidence: DataFrame, gate: DataFrame, allowed: DataFrame, catalogue_engine: str = "catalogue") -> DataFrame:
+def organism_refusals(pairs: DataFrame, states: DataFrame, rules: dict[tuple[str, str], dict[str, str | None]] = ORGANISM_RULES) -> DataFrame:
+    """(isolate_id, drug, unmet) of the pairs whose organism's rule forbids to read silence as susceptibility.
+
+    ``states`` has isolate_id, organism and a column for every field that a rule names.
+    Null and blank fields are unmet. An isolate without a row, or whose organism is null or
+    blank, falls under every rule of its drug. Isolates with several rows must meet the rule
+    in each; ``unmet`` lists the fields in the rule's order. Without rules nothing is refused.
+    """
+    known = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    fields = sorted({f for rule in rules.values() for f in rule})
+    under = pairs.where(F.col("drug").isin(*sorted({d for _, d in rules}))).select("isolate_id", "drug").distinct()
+    told = under.join(states.select("isolate_id", known("organism").alias("_organism"), *[known(f).alias(f"_{f}") for f in fields]).hint("merge"), "isolate_id", "left")
+    unmet = []
+    for (organism, drug), rule in rules.items():
+        applies = (F.col("drug") == drug) & F.coalesce(F.col("_organism") == organism, F.lit(True))
+        unmet += [F.when(applies & ~F.coalesce(F.col(f"_{f}").isNotNull() if needed is None else F.col(f"_{f}") == needed, F.lit(False)), f) for f, needed in rule.items()]
+    order = list(dict.fromkeys(f for rule in rules.values() for f in rule))
+    if not unmet:
+        return under.withColumn("unmet", F.lit(""))
+    missing = told.select("isolate_id", "drug", F.array_compact(F.array(*unmet)).alias("_unmet")).where("size(_unmet) > 0")
+    some = missing.groupBy("isolate_id", "drug").agg(*[F.bool_or(F.array_contains("_unmet", f)).alias(f"_{f}") for f in order])
+    return some.select("isolate_id", "drug", F.concat_ws(",", *[F.when(F.col(f"_{f}"), f) for f in order]).alias("unmet"))
+
+
+def reconcile(evidence: DataFrame, gate: DataFrame, allowed: DataFrame, catalogue_engine: str = "catalogue", refused: DataFrame | None = None) -> DataFrame:
     """One call per (isolate, drug) of ``gate``, with tier and reason.
 
     ``evidence`` has isolate_id, drug, call, tier, scope (isolate or variant),
     asserts_coverage and engine; ``gate`` says whether the loci are adequate, ``allowed``
     names what validated scopes permit (see ``permits``). Resistant and isolate-wide
-    susceptible evidence conflict; else resistant, indeterminate, no call, then an
+    susceptible evidence conflict; else resistant, indeterminate, no call, then what
+    ``refused`` names (see ``organism_refusals``) as indeterminate, then an
     engine's own susceptibility if a scope permits it, then loci that are not callable,
     then the catalogue's silence if a scope permits that. One established phenotype
     decides, several that differ do not; any conflict leaves the pair indeterminate.
@@ -47,8 +74,11 @@ def reconcile(evidence: DataFrame, gate: DataFrame, allowed: DataFrame, catalogu
     )
     catalogued = allowed.where(F.col("engine") == catalogue_engine).select("isolate_id", "drug", F.lit(True).alias("_catalogued"))
     joined = gate.select("isolate_id", "drug", "adequate").join(facts.hint("merge"), ["isolate_id", "drug"], "left").join(catalogued.hint("merge"), ["isolate_id", "drug"], "left")
+    if refused is not None:
+        joined = joined.join(refused.select("isolate_id", "drug", F.lit(True).alias("_refused")).distinct().hint("merge"), ["isolate_id", "drug"], "left")
     rules = [(F.col("_resistant").isNotNull() & F.col("_wide").isNotNull(), "indeterminate", F.col("_all"), "conflict")]
     rules += [(F.col(f"_{c}").isNotNull(), c, F.col(f"_{c}"), "evidence") for c in ORDER]
+    rules += [] if refused is None else [(F.col("_refused").isNotNull(), "indeterminate", F.lit(0), "organism")]
     rules += [
         (F.col("_permitted").isNotNull(), "susceptible", F.col("_permitted"), "asserted"), (~F.col("adequate") & F.col("_asserted").isNull(), "not_assessed", F.lit(0), "loci"),
         (F.col("adequate") & F.col("_catalogued"), "susceptible", F.lit(TIERS["catalogued"]), "catalogue"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoframe.functions.display import given, readable, shown, variant_name
 from isoframe.operators import accuracy, selective
 
 
@@ -163,8 +164,41 @@ def mutation_index(positions: DataFrame, queue: DataFrame) -> DataFrame:
     return both.distinct().orderBy("gene", F.col("pos").asc_nulls_last(), "ref", "alt")
 
 
+def sample_pages(results: DataFrame, coverage: DataFrame, evidence: DataFrame, contexts: DataFrame, page: int = 1000) -> DataFrame:
+    """What is known about each sample: site, lineage, organism and assay, and its calls, variants and loci as arrays of structs.
+
+    ``results`` has sample_id, drug, call and, optionally, tier and reason; ``coverage``
+    sample_id, locus, callable_fraction, mean_depth; ``evidence`` sample_id, label, gene,
+    drug, call, tier and, optionally, consequence; ``contexts`` sample_id and, optionally,
+    site_id, lineage, organism, assay. A sample of any table has a row. Repeated rows are
+    one item; a variant is its smallest row, a locus its most callable one; rows without
+    sample, drug, label (or gene) or locus give no item. A context given twice is its smallest row.
+
+    An array holds about ``page`` items: where a sample has more of a kind, its items are
+    dealt to several rows (``page`` 0, 1, ...) by their hash, so none is lost and none grows with the data.
+    """
+    text = lambda df, default, *names: F.coalesce(given(df, *names), F.lit(default))
+    call = F.struct(readable(F.col("drug")).alias("drug"), readable(F.col("call")).alias("call"), text(results, "none", "tier").alias("tier"), text(results, "", "reason").alias("reason"))
+    calls = results.where("drug IS NOT NULL").select("sample_id", call.alias("call")).distinct()
+    told = evidence.select("sample_id", F.coalesce("label", "gene").alias("_key"), F.struct(F.coalesce("gene", F.lit("Not supplied")).alias("gene"), variant_name(F.coalesce("label", "gene")).alias("variant"), shown(evidence, "Not supplied", "consequence").alias("consequence"), readable(F.col("drug")).alias("drug"), readable(F.col("call")).alias("call"), F.col("tier").alias("tier")).alias("variant"))
+    variants = told.where("_key IS NOT NULL").groupBy("sample_id", "_key").agg(F.min("variant").alias("variant")).drop("_key")
+    best = F.max(F.struct(F.col("callable_fraction").cast("double").alias("callable_fraction"), F.col("mean_depth").cast("double").alias("mean_depth")))
+    loci = coverage.where("locus IS NOT NULL").groupBy("sample_id", "locus").agg(best.alias("_b")).select("sample_id", F.struct("locus", "_b.callable_fraction", "_b.mean_depth").alias("locus"))
+    items = calls.unionByName(variants, allowMissingColumns=True).unionByName(loci, allowMissingColumns=True).where("sample_id IS NOT NULL")
+    most = F.greatest(*[F.count(c) for c in ("call", "variant", "locus")])
+    sizes = items.groupBy("sample_id").agg(F.ceil(most / page).alias("n_pages"))
+    paged = items.join(sizes.hint("merge"), "sample_id").withColumn("page", F.pmod(F.xxhash64("call", "variant", "locus"), F.greatest(F.col("n_pages"), F.lit(1))))
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    arrays = paged.groupBy("sample_id", "page").agg(listed("call").alias("calls"), listed("variant").alias("variants"), listed("locus").alias("loci"))
+    fields = {"site": ("Not recorded", "site_id"), "lineage": ("Untyped", "lineage"), "organism": ("Not recorded", "organism"), "assay": ("Unknown", "assay")}
+    one = contexts.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.min(F.struct(*[given(contexts, name).alias(field) for field, (_, name) in fields.items()])).alias("_c"))
+    out = arrays.join(one.hint("merge"), "sample_id", "outer")
+    empty = lambda c: F.coalesce(c, F.array().cast(arrays.schema[c].dataType)).alias(c)
+    return out.select("sample_id", F.coalesce("page", F.lit(0)).alias("page"), *[F.coalesce(F.col(f"_c.{field}"), F.lit(default)).alias(field) for field, (default, _) in fields.items()], *[empty(c) for c in ("calls", "variants", "loci")])
+
+
 def sample_details(results: DataFrame, coverage: DataFrame) -> DataFrame:
-    """One row per sample: its calls and its loci as sorted text lists."""
+    """One row per sample: its calls as a sorted text and counts of its loci (``sample_pages`` has the rows themselves)."""
     calls = results.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "drug", "call"))), ";").alias("calls"))
     loci = coverage.groupBy("sample_id").agg(F.count("*").alias("n_loci"), F.count(F.when(F.col("callable_fraction") >= 0.95, 1)).alias("n_callable"))
     return calls.join(loci.hint("merge"), "sample_id", "left")

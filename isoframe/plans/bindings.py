@@ -166,6 +166,23 @@ SELECT p_partkey AS line, CASE WHEN p_partkey % 31 = 4 THEN '' ELSE CONCAT('w',
     "dated_calls": """
 SELECT CAST(YEAR(o_orderdate) AS VARCHAR(9)) AS period, o_orderpriority AS drug, NULLIF(c_mktsegment, 'HOUSEHOLD') AS lineage, CAST(n_regionkey AS VARCHAR(9)) AS site, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'S' END AS phenotype
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "states": """
+SELECT c_custkey AS isolate_id, CASE c_custkey % 4 WHEN 0 THEN 'abscessus' WHEN 1 THEN ' ' WHEN 2 THEN 'massiliense' END AS subspecies, CASE WHEN c_custkey % 17 = 5 THEN NULL WHEN c_mktsegment < 'F' THEN 'mabscessus' ELSE 'mtbc' END AS organism,
+  CASE c_nationkey % 3 WHEN 0 THEN 'nonfunctional' WHEN 1 THEN 'functional' END AS erm41_status, CASE WHEN c_custkey % 5 < 4 THEN 'wild_type' ELSE 'mutated' END AS rrl_status FROM customer WHERE c_custkey % 23 > 0""",
+    "supplied_models": """
+SELECT CASE WHEN l_linenumber % 4 = 1 THEN ' ' WHEN l_linenumber % 4 > 1 THEN CONCAT('m', CAST(l_suppkey AS VARCHAR(9))) END AS model, CONCAT('model ', CAST(l_suppkey AS VARCHAR(9))) AS model_id, CASE l_linenumber % 3 WHEN 0 THEN 'v2' WHEN 1 THEN '' END AS version,
+  CASE WHEN l_partkey % 9 > 0 THEN LOWER(p_type) END AS drug, CASE l_partkey % 4 WHEN 0 THEN 'lineage_4' WHEN 1 THEN 'mtbc.L2' WHEN 2 THEN ' ' END AS lineage, CASE l_suppkey % 4 WHEN 0 THEN 'errsMore' WHEN 1 THEN 'model_better' WHEN 2 THEN ' ' END AS verdict,
+  CASE l_partkey % 6 WHEN 0 THEN '0.95' WHEN 1 THEN '96.5' WHEN 2 THEN 'n/a' WHEN 3 THEN '' WHEN 4 THEN '1' END AS call_rate, l_quantity / 64 AS error_rate, CASE l_linenumber % 3 WHEN 0 THEN CAST(l_partkey AS VARCHAR(9)) WHEN 1 THEN 'many' END AS n_called,
+  CASE l_suppkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'true' WHEN 2 THEN '0' WHEN 3 THEN '1' END AS registry_ready, CASE WHEN l_tax > 0.05 THEN CONCAT('r', CAST(l_linenumber AS VARCHAR(9))) END AS reason FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "supplied_targets": """
+SELECT CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE p_name END AS target, CASE WHEN p_partkey % 10 < 6 THEN CONCAT('g', CAST(p_size % 40 AS VARCHAR(9))) END AS gene, CASE p_size % 3 WHEN 0 THEN 'in_vitro-essential' WHEN 1 THEN 'NON' END AS essentiality,
+  CASE p_size % 4 WHEN 0 THEN 'knownPocket' WHEN 1 THEN ' ' END AS druggability, CASE p_size % 2 WHEN 0 THEN 'DNA gyrase MIC' END AS human_homology, CASE WHEN p_partkey % 3 = 0 THEN CONCAT('e', CAST(p_partkey AS VARCHAR(9))) END AS rationale FROM part""",
+    "audit": """
+SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CONCAT(event_type, '_Recorded') END AS action, CASE WHEN event_id % 3 = 0 THEN UPPER(event_type) END AS event, CASE WHEN event_id % 4 > 0 THEN CONCAT('u', CAST(user_id AS VARCHAR(9))) ELSE ' ' END AS actor,
+  CASE WHEN event_id % 8 = 0 THEN 'r1' END AS reviewer, CASE WHEN event_id % 5 > 0 THEN CONCAT('isolate ', CAST(user_id AS VARCHAR(9))) END AS summary, CASE WHEN event_id % 7 > 0 THEN CONCAT('00', CAST(event_id * 7919 AS VARCHAR(18))) END AS entry_hash FROM events""",
+    "structures": """
+SELECT CASE WHEN l_linenumber < 7 THEN CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9)), '_c', CAST(l_partkey % 700 AS VARCHAR(9)), '_x') END AS variant, CASE WHEN l_suppkey % 6 > 0 THEN CONCAT('g', CAST(l_partkey % 40 AS VARCHAR(9))) END AS gene, CASE l_suppkey % 3 WHEN 0 THEN 'active_site' WHEN 1 THEN 'drugBinding pocket' END AS location,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 30 END AS ligand_distance, CASE WHEN l_linenumber % 4 = 0 THEN 'A' END AS distance_unit, CASE l_returnflag WHEN 'R' THEN 'validated' WHEN 'A' THEN ' ' END AS status FROM lineitem""",
     "paired": """
 SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS baseline_minutes, l_quantity - l_linenumber AS intervention_minutes,
   l_extendedprice AS baseline_cost, CASE WHEN l_tax = 0.02 THEN NULL ELSE ROUND(l_extendedprice * (1 - l_discount), 2) END AS intervention_cost, CASE l_returnflag WHEN 'R' THEN 'USD' WHEN 'A' THEN 'EUR' END AS currency FROM lineitem""",

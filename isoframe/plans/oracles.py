@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isoframe.plans import effect_scan, follow_ups, loads, report_views, streams, tool_outputs, variant_lanes
+from isoframe.plans import effect_scan, follow_ups, loads, report_views, shown_views, streams, tool_outputs, variant_lanes
 from isoframe.plans.bindings import with_bindings
 
 _COUNTS = """COUNT(*) AS n_evaluable,
@@ -261,3 +261,4 @@ rh AS (SELECT pair_id, p, rank() OVER (ORDER BY p) - 1 AS less, row_number() OVE
 hh AS (SELECT pair_id, max(least(1.0, p * (m - less))) OVER (ORDER BY p) AS holm, (SELECT max(p) FROM rh AS z WHERE z.p <= CAST(0.1 AS DOUBLE) * z.k / z.m) AS t FROM rh)
 SELECT verdict, survives, COUNT(*) AS n FROM (SELECT CASE WHEN v = 'evidence-of-effect' AND holm > CAST(0.1 AS DOUBLE) THEN 'no-evidence' ELSE v END AS verdict, coalesce(p <= t, false) AS survives FROM rp LEFT JOIN hh ON rp.pair_id = hh.pair_id) GROUP BY verdict, survives"""),
 } | effect_scan.SQL | tool_outputs.SQL | variant_lanes.SQL | report_views.SQL | streams.SQL | follow_ups.SQL | loads.sql(_ALLELES, report_views.SQL["external_benchmark"])
+SQL |= shown_views.sql(_RECONCILED, SQL["concentration_calls"])

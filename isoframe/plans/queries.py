@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import alleles, measures
 from isoframe.operators import accuracy, catalogue, censored, coverage, effects, evidence, federated, fingerprints, ledger, selective, strata, testing, views, workflow
-from isoframe.plans import effect_scan, follow_ups, loads, report_views, streams, tool_outputs, variant_lanes
+from isoframe.plans import effect_scan, follow_ups, loads, report_views, streams, tool_outputs, variant_lanes, shown_views
 from isoframe.plans.bindings import BINDINGS, bound, rounded
 from isoframe.sources import phenotypes, vcf
 from isoframe.sources.scratch import shared_path
@@ -378,4 +378,4 @@ QUERIES = {f.__name__: f for f in (
     monitoring_totals, event_trend, catalogue_entries, catalogue_skipped, generalizability, population_prevalence, tier_composition, isolate_sample,
     validation_queue, predictions_with_truth, cohort_fingerprint, concentration_calls, minority_posteriors, paired_change, submission_checks,
     scan_finalised,
-)} | effect_scan.QUERIES | tool_outputs.QUERIES | variant_lanes.QUERIES | report_views.QUERIES | streams.QUERIES | follow_ups.QUERIES | loads.QUERIES
+)} | effect_scan.QUERIES | tool_outputs.QUERIES | variant_lanes.QUERIES | report_views.QUERIES | streams.QUERIES | follow_ups.QUERIES | loads.QUERIES | shown_views.QUERIES
