@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import gram_hash, mix, prefix_hash, release, slices, span_hash, text_bytes, written
+from isoframe.llm.common import gram_order, mix, prefix_hash, release, slices, span_hash, text_bytes, written
 
 GRAM = 33
 _PLACE = np.uint64((1 << 22) - 1)
@@ -36,7 +36,7 @@ def _runs(data: np.ndarray, ends: np.ndarray, count: int, length: int) -> tuple[
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     grams = np.full(-(-(n + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    grams[: n - GRAM + 1] = (gram_hash(prefix_hash(data), GRAM) & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
+    grams[: n - GRAM + 1] = (gram_order(data, GRAM) & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
     blocks = grams.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -58,8 +58,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, segment: int = _
     reach, n, parts = length - GRAM, len(data), []
     for at in range(0, n, segment):
         end = min(at + segment, n)
-        row = np.searchsorted(offsets, np.arange(at, end), "right") - 1
-        p, s0, s1 = (x + at for x in _runs(data[at : end + length - 1], offsets[row + 1] - at, end - at, length))
+        one, last = np.searchsorted(offsets, (at, end - 1), "right") - 1
+        low, high = offsets[one : last + 1], offsets[one + 1 : last + 2]
+        ends = np.repeat(high - at, np.minimum(high, end) - np.maximum(low, at))
+        p, s0, s1 = (x + at for x in _runs(data[at : end + length - 1], ends, end - at, length))
         low = max(at - reach, 0)
         sums = prefix_hash(data[low : end + 2 * length])
         row = np.searchsorted(offsets, p, "right") - 1

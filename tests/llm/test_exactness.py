@@ -31,8 +31,10 @@ def test_hashes_are_those_of_a_polynomial_over_the_field():
         want = sum(int(common._BYTE_CODE[v]) * pow(common._BASE, k, prime) for k, v in enumerate(raw[s:e])) % prime
         got = common._product(common._reduced(sums[[e]] + (common._PRIME - sums[[s]])), common._powers["down"][[s]])
         assert int(got[0]) == want
-    at = np.arange(len(raw) - 32)
-    assert (common.gram_hash(sums, 33) == common.span_hash(sums, at, at + 33)).all()
+    order, by_gram, whole = common.gram_order(raw, 33), {}, bytes(raw)
+    assert len(order) == len(raw) - 32 and all(by_gram.setdefault(whole[k : k + 33], v) == v for k, v in enumerate(order.tolist()))
+    assert len(set(by_gram.values())) == len(by_gram) and (common.gram_order(raw[7:], 33) == order[7:]).all()
+    assert len(common.gram_order(raw[:32], 33)) == 0 and len(common.gram_order(raw[:33], 33)) == 1
     one, two = (np.frombuffer(w.encode(), np.uint8) for w in mirrored(4096))
     both = np.concatenate([one, two, one])
     ends = np.array([4096, 8192, 12288])
