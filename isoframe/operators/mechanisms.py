@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions.display import readable, variant_name
 from isoframe.functions.variants import TRUNCATING
+from isoframe.operators.joins import sized
 from isoframe.operators.lanes import SILENT
 
 _EXPRESSION = ("pump expression against the wild type is not measured", "Measure pump expression of a {gene} mutant and of the wild type")
@@ -34,7 +35,7 @@ def mechanism_queue(variants: DataFrame, regulators: DataFrame, promoters: DataF
     """
     heard = variants.where(f"NOT ({SILENT})")
     lost = F.coalesce(F.col("consequence").isin(*TRUNCATING), F.lit(False))
-    met = lambda rows, targets: rows.join(targets.select("gene", "drug").distinct().hint("merge"), "gene")
+    met = lambda rows, targets: rows.join(sized(targets.select("gene", "drug").distinct()), "gene")
     pumps = met(heard, regulators).withColumn("_k", F.when(lost, 0).otherwise(1))
     upstream = met(heard.where("region IN ('promoter', 'intergenic')"), promoters).withColumn("_k", F.lit(2))
     first = pumps.unionByName(upstream).groupBy("sample_id", "variant_key", "drug").agg(F.min(F.struct("_k", "label", "gene")).alias("_f"))
