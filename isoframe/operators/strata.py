@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.operators.joins import null_safe
+from isoframe.operators.joins import null_safe, sized
 
 
 def background(isolates: DataFrame, carriage: DataFrame, determinants: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def background(isolates: DataFrame, carriage: DataFrame, determinants: DataFrame
 
     ``determinants`` (drug, label) is the catalogue's resistant part.
     """
-    carried = carriage.join(determinants, "label").groupBy("isolate_id", "drug").agg(F.array_join(F.sort_array(F.collect_set("label")), "+").alias("background"))
+    carried = carriage.join(sized(determinants), "label").groupBy("isolate_id", "drug").agg(F.array_join(F.sort_array(F.collect_set("label")), "+").alias("background"))
     drugs = [r.drug for r in determinants.select("drug").distinct().limit(10_001).collect()]
     if len(drugs) > 10_000:
         raise ValueError("determinants of more than 10,000 drugs are not expected")
@@ -32,15 +32,15 @@ def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, dete
     so the cost follows those and not candidates times isolates.
     """
     keys = ["drug", "background", "lineage", "site_id"]
-    candidates = candidates.select("label").distinct()
+    candidates = sized(candidates.select("label").distinct())
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
     carried = carriage.join(candidates, "label", "left_semi").select("isolate_id", "label").distinct()
-    own = determinants.select("drug", "label").distinct()
+    own = sized(determinants.select("drug", "label").distinct())
     rest = carriage.join(own, "label").select("isolate_id", "drug", F.col("label").alias("_other"))
-    themselves = carried.join(own.hint("merge"), "label").join(rest.hint("merge"), ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
+    themselves = carried.join(own, "label").join(rest.hint("merge"), ["isolate_id", "drug"]).groupBy("isolate_id", "drug", "label").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("_other") != F.col("label"), F.col("_other")))), "+").alias("_without")
     )
-    held = placed.join(carried.hint("merge"), "isolate_id").join(themselves.hint("merge"), ["isolate_id", "drug", "label"], "left")
+    held = placed.join(carried.hint("merge"), "isolate_id").join(sized(themselves), ["isolate_id", "drug", "label"], "left")
     held = held.withColumn("_own", F.col("_without").isNotNull()).withColumn("background", F.coalesce("_without", "background"))
     held = held.groupBy("label", *keys).agg(F.count("*").alias("n_carriers"), F.bool_or("_own").alias("_own"))
 
@@ -57,7 +57,7 @@ def carriers(placed: DataFrame, carriage: DataFrame, candidates: DataFrame, dete
 
 def cooccurrence(carriage: DataFrame, candidates: DataFrame, determinants: DataFrame) -> DataFrame:
     """Share of a candidate's carriers that also carry each determinant."""
-    mine = carriage.join(candidates, "label", "left_semi").select("isolate_id", F.col("label").alias("candidate"))
+    mine = carriage.join(sized(candidates.select("label").distinct()), "label", "left_semi").select("isolate_id", F.col("label").alias("candidate"))
     total = mine.groupBy("candidate").agg(F.count("*").alias("_n"))
-    both = mine.join(carriage.join(determinants.select("label").distinct(), "label"), "isolate_id").where("candidate <> label")
+    both = mine.join(carriage.join(sized(determinants.select("label").distinct()), "label", "left_semi").hint("merge"), "isolate_id").where("candidate <> label")
     return both.groupBy("candidate", "label").agg(F.count("*").alias("n_both")).join(total, "candidate").withColumn("fraction", F.col("n_both") / F.col("_n")).drop("_n")

@@ -22,10 +22,10 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str, *wanted: str) -> list[DataFrame]:
     """Stored tables of the scan: pairs (candidates), strata (their sizes) and bins (their values)."""
-    carriage, determinants = bound(spark, sf_dir, "carriage"), bound(spark, sf_dir, "determinants")
-    pairs = stored(candidate_selection(spark, sf_dir).select("label", "drug"), "pairs")
+    carriage, determinants = stored(bound(spark, sf_dir, "carriage"), "carriage"), stored(bound(spark, sf_dir, "determinants"), "determinants")
+    pairs = stored(effects.candidates(bound(spark, sf_dir, "graded"), carriage, MIN_CARRIERS).select("label", "drug"), "pairs")
     placed = stored(strata.background(bound(spark, sf_dir, "isolates"), carriage, determinants), "placed")
-    made = {"pairs": pairs}
+    made = {"pairs": pairs, "carriage": carriage, "determinants": determinants}
     if "strata" in wanted:
         made["strata"] = stored(strata.carriers(placed, carriage, pairs, determinants).join(pairs.hint("broadcast"), ["label", "drug"], "left_semi"), "strata")
     if "bins" in wanted:
@@ -42,8 +42,8 @@ def lineage_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs, groups, bins = _parts(spark, sf_dir, "pairs", "strata", "bins")
-    shared = strata.cooccurrence(bound(spark, sf_dir, "carriage"), pairs.select("label").distinct(), bound(spark, sf_dir, "determinants"))
+    pairs, carriage, determinants, groups, bins = _parts(spark, sf_dir, "pairs", "carriage", "determinants", "strata", "bins")
+    shared = strata.cooccurrence(carriage, pairs.select("label").distinct(), determinants)
     return effects.estimates(groups, bins, shared), bins
 
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from isoframe.operators import lanes, linked, mechanisms, shown
+from isoframe.operators import effects, lanes, linked, mechanisms, shown
 
 
 def _shuffled(df):
@@ -85,3 +85,14 @@ def test_few_genes_do_not_gather_all_variants(spark, variants):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\((gene|label)#\d+, \d+\)", plan) and "SortMergeJoin" not in plan
         assert df.count() == 400 * 50
+
+
+def test_carriers_are_not_shuffled_for_each_drug(spark):
+    drugs = spark.range(10).selectExpr("concat('d', id) AS drug")
+    placed = spark.range(100).selectExpr("id AS isolate_id", "'' AS background", "'' AS lineage", "id % 2 AS site_id").crossJoin(drugs)
+    mic = placed.selectExpr("isolate_id", "drug", "CAST(isolate_id % 4 AS DOUBLE) AS log2_bound", "'none' AS censoring")
+    carriage = spark.range(4000).selectExpr("id DIV 40 AS isolate_id", "concat('v', id % 40) AS label").where("label <> concat('v', isolate_id)")
+    pairs = carriage.select("label").distinct().crossJoin(drugs).where("label <> 'v0' OR drug = 'd0'")
+    rows, moved = _shuffled(effects.stratum_bins(placed, mic, carriage, pairs))
+    assert sum(r.n_a for r in rows) == 39 * 99 * 10 + 99 and len({(r.label, r.drug) for r in rows}) == 39 * 10 + 1
+    assert moved < 20_000
