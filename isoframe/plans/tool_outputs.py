@@ -45,13 +45,7 @@ def graded_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by status and reason: ok, failed (not readable), skipped (nothing in them)."""
-    texts = _graded_texts(spark, sf_dir)
-    rows, failed = tools.load_graded(texts)
-    fine = rows.select("file").distinct().select("file", F.lit("ok").alias("status"), F.lit("").alias("reason"))
-    bad = failed.select("file", F.lit("failed").alias("status"), "reason")
-    told = fine.unionByName(bad)
-    rest = texts.select("file").join(told.select("file").hint("merge"), "file", "left_anti").select("file", F.lit("skipped").alias("status"), F.lit("no rows").alias("reason"))
-    return told.unionByName(rest).groupBy("status", "reason").agg(F.count("*").alias("n"))
+    return tools.graded_status(_graded_texts(spark, sf_dir)).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
 def _coded(spark: SparkSession, sf_dir: str, codes: str) -> DataFrame:

@@ -30,6 +30,11 @@ def _code(value: Column, codes: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), value)
 
 
+def _once(parsed: Column) -> Column:
+    """The value of a parsed text as a generated column, so that filters on it do not parse the text again."""
+    return F.explode(F.array(parsed))
+
+
 def _parted(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files without an error, and failures (file, reason)."""
     return parsed.where("error IS NULL").drop("error"), parsed.where("error IS NOT NULL").select("file", F.col("error").alias("reason"))
@@ -44,7 +49,7 @@ _GRADED_FILE = f"_corrupt_record string, id string, sample_name string, main_lin
 
 
 def _graded_files(texts: DataFrame) -> DataFrame:
-    parsed = texts.withColumn("_d", F.from_json("value", _GRADED_FILE))
+    parsed = texts.select("*", _once(F.from_json("value", _GRADED_FILE)).alias("_d"))
     found = F.coalesce("_d.dr_variants", "_d.drug_resistance_variants")
     error = F.when(F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull(), "not JSON").when(found.isNull(), "no list of resistance variants")
     return parsed.select("file", F.coalesce("_d.id", "_d.sample_name").alias("sample_id"), F.coalesce("_d.sublin", "_d.main_lin").alias("lineage"), found.alias("_found"), F.col("_d.qc").alias("_qc"), error.alias("error"))
@@ -66,6 +71,17 @@ def load_graded(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("file", "sample_id", "lineage", "gene", "change", "vaf", "depth", F.lower(F.trim("a.drug")).alias("drug"), grade.alias("grade"), call.alias("call"), F.when(grade.isNotNull(), "catalogued").otherwise("none").alias("tier")), failed
 
 
+def graded_status(texts: DataFrame) -> DataFrame:
+    """file, status and reason of graded results files: failed (not readable), ok (``load_graded`` finds rows) or skipped; each file is parsed once."""
+    first = lambda v, *names: F.coalesce(*[F.nullif(v[n], F.lit("")) for n in names])
+    named = lambda v: first(v, "gene", "gene_name", "locus_tag").isNotNull() & first(v, "change", "protein_change", "nucleotide_change").isNotNull()
+    told = lambda v: F.coalesce(F.exists(v["drugs"], lambda a: F.coalesce(F.trim(a["drug"]) != "", F.lit(False))), F.lit(False))
+    found = F.coalesce(F.exists("_found", lambda v: named(v) & told(v)), F.lit(False))
+    failed = F.col("error").isNotNull()
+    status = F.when(failed, "failed").when(found, "ok").otherwise("skipped")
+    return _graded_files(texts).select("file", status.alias("status"), F.when(failed, F.col("error")).when(found, "").otherwise("no rows").alias("reason"))
+
+
 def graded_coverage(texts: DataFrame) -> DataFrame:
     """Locus coverage that graded results carry: sample_id, locus, mean_depth, callable_fraction (values above 1 are per cent)."""
     files, _ = _parted(_graded_files(texts))
@@ -79,7 +95,7 @@ def load_probes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     One sample a file; an unknown code fails the file. Only S asserts coverage.
     """
-    parsed = texts.withColumn("_d", F.from_json("value", "map<string, struct<susceptibility: map<string, struct<predict: string, called_by: map<string, string>>>>>"))
+    parsed = texts.select("*", _once(F.from_json("value", "map<string, struct<susceptibility: map<string, struct<predict: string, called_by: map<string, string>>>>>")).alias("_d"))
     sample = F.get(F.map_keys("_d"), F.lit(0))
     entries = F.get(F.map_values("_d"), F.lit(0))["susceptibility"]
     unknown = F.exists(F.map_values(entries), lambda e: _code(F.trim(F.coalesce(e["predict"], F.lit(""))), PROBE_CODES).isNull())
@@ -98,7 +114,7 @@ def load_antibiograms(texts: DataFrame, bindings: DataFrame) -> tuple[DataFrame,
     names another sample, another workflow or reference, and an unknown code fail.
     """
     kind = "meta struct<workflow_name: string, status: string, sample_id: string, guid: string, reference: string, catalogue_type: string>, data struct<antibiogram: map<string, string>>"
-    parsed = texts.withColumn("_d", F.from_json("value", kind)).join(bindings.hint("merge"), "file", "left")
+    parsed = texts.select("*", _once(F.from_json("value", kind)).alias("_d")).join(bindings.hint("merge"), "file", "left")
     meta, codes = F.col("_d.meta"), F.col("_d.data.antibiogram")
     other = lambda c: (F.coalesce(meta[c], F.lit("")) != "") & (meta[c] != F.col("sample_id"))
     error = (
@@ -123,7 +139,7 @@ def load_species_profiles(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         f"id string, dr_variants {item}, other_variants {item}, dr_genes array<struct<gene_name: string, type: string, filter: string>>, "
         "species struct<species: array<struct<species: string>>>, barcode array<struct<id: string, frequency: double>>"
     )
-    parsed = texts.withColumn("_d", F.from_json("value", kind))
+    parsed = texts.select("*", _once(F.from_json("value", kind)).alias("_d"))
     names = F.col("_d.species.species")
     error = (
         F.when(F.col("_d.id").isNull(), "no id").when(F.col("_d.dr_variants").isNull() | F.col("_d.dr_genes").isNull() | F.col("_d.other_variants").isNull(), "missing list")
