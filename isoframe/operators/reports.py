@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions.display import given, readable, shown, variant_name
 from isoframe.operators import accuracy, selective
+from isoframe.operators.joins import rewritten
 
 
 def phenotype_summary(rows: DataFrame) -> DataFrame:
@@ -178,17 +179,19 @@ def sample_pages(results: DataFrame, coverage: DataFrame, evidence: DataFrame, c
     dealt to several rows (``page`` 0, 1, ...) by their hash, so none is lost and none grows with the data.
     """
     text = lambda df, default, *names: F.coalesce(given(df, *names), F.lit(default))
-    call = F.struct(readable(F.col("drug")).alias("drug"), readable(F.col("call")).alias("call"), text(results, "none", "tier").alias("tier"), text(results, "", "reason").alias("reason"))
-    calls = results.where("drug IS NOT NULL").select("sample_id", call.alias("call")).distinct()
-    told = evidence.select("sample_id", F.coalesce("label", "gene").alias("_key"), F.struct(F.coalesce("gene", F.lit("Not supplied")).alias("gene"), variant_name(F.coalesce("label", "gene")).alias("variant"), shown(evidence, "Not supplied", "consequence").alias("consequence"), readable(F.col("drug")).alias("drug"), readable(F.col("call")).alias("call"), F.col("tier").alias("tier")).alias("variant"))
-    variants = told.where("_key IS NOT NULL").groupBy("sample_id", "_key").agg(F.min("variant").alias("variant")).drop("_key")
+    held = lambda df, *names: rewritten(df.select(*[c for c in df.columns if c in ("sample_id", "drug", "call", *names)]), ["drug", "call"], readable)
+    results, evidence = held(results.where("drug IS NOT NULL"), "tier", "reason"), held(evidence.where("label IS NOT NULL OR gene IS NOT NULL"), "label", "gene", "tier", "consequence")
+    call = F.struct("drug", "call", text(results, "none", "tier").alias("tier"), text(results, "", "reason").alias("reason"))
+    calls = results.select("sample_id", call.alias("call")).distinct()
+    told = evidence.select("sample_id", F.coalesce("label", "gene").alias("_key"), F.struct(F.coalesce("gene", F.lit("Not supplied")).alias("gene"), variant_name(F.coalesce("label", "gene")).alias("variant"), shown(evidence, "Not supplied", "consequence").alias("consequence"), "drug", "call", "tier").alias("variant"))
+    variants = told.groupBy("sample_id", "_key").agg(F.min("variant").alias("variant")).drop("_key")
     best = F.max(F.struct(F.col("callable_fraction").cast("double").alias("callable_fraction"), F.col("mean_depth").cast("double").alias("mean_depth")))
     loci = coverage.where("locus IS NOT NULL").groupBy("sample_id", "locus").agg(best.alias("_b")).select("sample_id", F.struct("locus", "_b.callable_fraction", "_b.mean_depth").alias("locus"))
     items = calls.unionByName(variants, allowMissingColumns=True).unionByName(loci, allowMissingColumns=True).where("sample_id IS NOT NULL")
     most = F.greatest(*[F.count(c) for c in ("call", "variant", "locus")])
     sizes = items.groupBy("sample_id").agg(F.ceil(most / page).alias("n_pages"))
     paged = items.join(sizes.hint("merge"), "sample_id").withColumn("page", F.pmod(F.xxhash64("call", "variant", "locus"), F.greatest(F.col("n_pages"), F.lit(1))))
-    listed = lambda c: F.array_sort(F.collect_list(c))
+    listed = lambda c: F.sort_array(F.collect_list(c))
     arrays = paged.groupBy("sample_id", "page").agg(listed("call").alias("calls"), listed("variant").alias("variants"), listed("locus").alias("loci"))
     fields = {"site": ("Not recorded", "site_id"), "lineage": ("Untyped", "lineage"), "organism": ("Not recorded", "organism"), "assay": ("Unknown", "assay")}
     one = contexts.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.min(F.struct(*[given(contexts, name).alias(field) for field, (_, name) in fields.items()])).alias("_c"))

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from isoframe.operators import effects, lanes, linked, mechanisms, shown
+from isoframe.functions.display import readable
+from isoframe.operators import effects, joins, lanes, linked, mechanisms, shown
 
 
 def _shuffled(df):
@@ -96,3 +98,18 @@ def test_carriers_are_not_shuffled_for_each_drug(spark):
     rows, moved = _shuffled(effects.stratum_bins(placed, mic, carriage, pairs))
     assert sum(r.n_a for r in rows) == 39 * 99 * 10 + 99 and len({(r.label, r.drug) for r in rows}) == 39 * 10 + 1
     assert moved < 20_000
+
+
+def test_each_match_hands_on_its_smallest_drug(spark, variants, entries):
+    order = [F.upper("drug"), F.col("call")]
+    whole, first = lanes.catalogue_evidence(variants, entries, "v1"), lanes.catalogue_evidence(variants, entries, "v1", order).collect()
+    least = whole.groupBy("sample_id", "variant_key").agg(F.min_by(F.struct(*whole.columns), F.struct(*order)).alias("r")).select("r.*")
+    assert sorted(first) == sorted(least.collect()) and len(first) == 200 and whole.count() > 10_000
+
+
+def test_texts_are_written_once(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, NULL, concat('a_', id % 3)) AS a", "concat('b_', id % 2) AS b")
+    for limit in (100, 1):
+        out = joins.rewritten(rows, ["a", "b"], readable, limit)
+        assert out.columns == rows.columns and sorted(out.collect(), key=lambda r: r.id) == rows.select("id", readable(F.col("a")).alias("a"), readable(F.col("b")).alias("b")).orderBy("id").collect()
+        assert ("split(" in out._jdf.queryExecution().optimizedPlan().toString()) == (limit == 1)
