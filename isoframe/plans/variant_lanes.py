@@ -25,7 +25,7 @@ def _annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = rows.select("file").distinct()
     last = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"), F.when(F.col("file") % 19 == 4, "1\tS2").otherwise("1"))
     heads = files.select("file", F.explode(F.array(F.concat(F.lit("##sampleID=P"), text("file")), F.lit("##platform=illumina"), F.when(F.col("file") % 23 != 6, last).otherwise("##end"))).alias("value"))
-    return heads.unionByName(rows.select("file", line.alias("value"))).select(F.col("file").cast("string").alias("file"), "value")
+    return stored(heads.unionByName(rows.select("file", line.alias("value"))).select(F.col("file").cast("string").alias("file"), "value"), "lines")  # as files are: written once, read for heads and records
 
 
 def annotated_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

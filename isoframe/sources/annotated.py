@@ -15,7 +15,8 @@ ACCEPTED = ("PASS", ".")
 
 
 def _numbers(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
+    numbers = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
+    return F.when(text.isNull(), F.array().cast("array<double>")).otherwise(numbers)
 
 
 def file_facts(lines: DataFrame) -> DataFrame:
@@ -48,42 +49,44 @@ def load(lines: DataFrame, sample: str | None = None, default_assembly: str = "N
         .when(F.lit(sample is not None) & (F.size("samples") > 0) & ~F.array_contains("samples", F.lit(sample or "")), "sample absent")
     )
     facts = facts.withColumn("refused", refused)
-    files = lines.select("file").distinct().join(facts.hint("merge"), "file", "left").withColumn("refused", F.when(F.col("samples").isNull(), "no header").otherwise(F.col("refused")))
+    files = lines.select("file").distinct().join(facts.hint("merge"), "file", "left").withColumn("refused", F.when(F.col("samples").isNull(), "no header").otherwise(F.col("refused")))  # for rejects only: a file without header lines has no facts
     place = F.when(F.lit(sample is not None), F.array_position("samples", F.lit(sample or ""))).otherwise(1)
-    body = lines.where("NOT startswith(value, '#') AND trim(value) <> ''").join(files.where("refused IS NULL").hint("merge"), "file")
+    body = lines.where("NOT startswith(value, '#') AND trim(value) <> ''").join(facts.where("samples IS NOT NULL AND refused IS NULL").hint("merge"), "file")
     f = lambda k: F.get("_f", F.lit(k))
     body = body.withColumn("_f", F.split("value", "\t"))
     info = F.map_from_entries(F.transform(F.array_distinct(F.filter(F.split(f(7), ";"), lambda x: x.contains("="))), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring_index(x, "=", -1).alias("v"))))
-    body = body.withColumn("_i", F.when(F.size("_f") >= 8, info))
+    # Each split is a column of its own, made before it is used: a generator computes what stands inside it as often as it is named.
+    body = body.withColumns({
+        "_i": F.when(F.size("_f") >= 8, info), "_alts": F.filter(F.transform(F.split(f(4), ","), lambda x: F.trim(x)), lambda x: x != ""),
+        "_keys": F.when(F.size("_f") >= 10, F.split(f(8), ":")), "_values": F.when(F.size("_f") >= 10, F.split(F.get("_f", (8 + place).cast("int")), ":")),
+    })
     i = lambda k: F.nullif(F.try_element_at("_i", F.lit(k)), F.lit(""))
     kind = F.upper(F.coalesce(i("SVTYPE"), F.lit("")))
     structural = (kind != "") | (F.map_contains_key("_i", "END") & (F.trim(f(4)) == ""))
-    alts = F.filter(F.transform(F.split(f(4), ","), F.trim), lambda x: x != "")
+    alts = F.col("_alts")
     reason = (
         F.when(F.size("_f") < 8, "fewer than 8 columns").when(structural & (i("GENE").isNull() | ~kind.isin(*DISRUPTING)), "structural without gene")
         .when(~structural & (F.size(alts) == 0), "no alternate allele")
     )
-    keys, values = F.split(f(8), ":"), F.split(F.get("_f", (8 + place).cast("int")), ":")
-    fmt = lambda k: F.when(F.size("_f") >= 10, F.nullif(F.get(values, F.nullif(F.array_position(keys, k), F.lit(0)).cast("int") - 1), F.lit("")))
-    parts = F.struct(
-        F.when(structural, F.array(F.lit("."))).otherwise(alts).alias("alts"), _numbers(F.coalesce(fmt("AF"), i("AF"))).alias("af"), _numbers(fmt("AD")).alias("ad"),
-        F.coalesce(fmt("DP"), i("DP")).try_cast("long").alias("dp"), structural.alias("structural"), kind.alias("kind"), reason.alias("reason"),
-    )
-    parsed = body.withColumn("_p", F.explode(F.array(parts)))
+    fmt = lambda k: F.nullif(F.get("_values", F.nullif(F.array_position("_keys", k), F.lit(0)).cast("int") - 1), F.lit(""))
+    body = body.withColumns({"_structural": structural, "_kind": kind, "_af": F.coalesce(fmt("AF"), i("AF")), "_ad": fmt("AD"), "_dp": F.coalesce(fmt("DP"), i("DP")).try_cast("long"), "_reason": reason})
+    body = body.withColumns({"_af": _numbers(F.col("_af")), "_ad": _numbers(F.col("_ad")), "_alts": F.when(F.col("_structural"), F.array(F.lit("."))).otherwise(alts)})
+    parts = F.struct(*[F.col(f"_{c}").alias(c) for c in ("alts", "af", "ad", "dp", "structural", "kind", "reason")])
+    parsed = body.withColumn("_p", F.explode(F.array(parts)))  # no filter is moved below this, where it would parse again
     named = F.coalesce(wanted, "named", F.get("samples", F.lit(0)), F.lit("sample"))
     head = parsed.select(
         "file", "value", named.alias("sample_id"), "platform", F.coalesce("assembly", F.lit(default_assembly)).alias("assembly"), f(0).alias("chrom"), f(1).try_cast("long").alias("pos"), f(3).alias("ref"),
         F.coalesce(i("GENE"), f(0)).alias("gene"), i("AACHANGE").alias("aa"), i("HGVS_P").alias("hgvs_p"), i("HGVS_C").alias("hgvs_c"), i("REGION").alias("said_region"), i("EFFECT").alias("effect"),
         F.filter(F.split(F.coalesce(f(6), F.lit("")), ";"), lambda x: x != "").alias("filters"), "_p.*",
     )
-    rows = head.where("reason IS NULL").select("*", F.posexplode("alts").alias("_k", "alt"))
-    symbolic = F.when(~F.col("structural") & F.col("alt").rlike(SYMBOLIC), "symbolic allele")
-    marked = rows.withColumn("reason", symbolic)
+    symbolic = lambda x: ~F.col("structural") & x.rlike(SYMBOLIC)
+    reasons = F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(F.transform(F.filter("alts", symbolic), lambda x: F.lit("symbolic allele")))
     rejects = (
         files.where("refused IS NOT NULL").select("file", F.lit(None).cast("string").alias("value"), F.col("refused").alias("reason"))
-        .unionByName(head.where("reason IS NOT NULL").select("file", "value", "reason")).unionByName(marked.where("reason IS NOT NULL").select("file", "value", "reason"))
+        .unionByName(head.select("file", "value", F.explode(reasons).alias("reason")))
     )
-    kept = marked.where("reason IS NULL").withColumn("_t", F.when(F.col("pos").isNotNull() & ~F.col("structural"), trimmed(F.col("pos"), F.col("ref"), F.col("alt"))))
+    rows = head.where("reason IS NULL").select("*", F.posexplode("alts").alias("_k", "alt"))
+    kept = rows.where(~F.coalesce(symbolic(F.col("alt")), F.lit(False))).withColumn("_t", F.when(F.col("pos").isNotNull() & ~F.col("structural"), trimmed(F.col("pos"), F.col("ref"), F.col("alt"))))
     alleles = kept.withColumns({
         "pos": F.coalesce("_t.pos", "pos"), "ref": F.when(~F.col("structural"), F.coalesce("_t.ref", "ref")), "alt": F.when(~F.col("structural"), F.coalesce("_t.alt", "alt")),
     })

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import alleles
 from isoframe.operators import coverage
-from isoframe.sources import vcf
+from isoframe.sources import annotated, vcf
 
 
 def _trim(pos, ref, alt):
@@ -66,3 +66,14 @@ def test_interval_join_equals_all_pairs(spark):
 def test_unknown_coverage_is_not_callable(spark):
     df = spark.createDataFrame([(None, 50), (0.99, None), (0.99, 5), (0.5, 50)], "callable_fraction double, mean_depth int")
     assert [r.ok for r in df.select(coverage.is_callable().alias("ok")).collect()] == [False, True, False, False]
+
+
+def test_annotated_records_are_parsed_once(spark):
+    head, record = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS", lambda alt, info="GENE=g;AF=0.2,0.4": f"c\t5\t.\tA\t{alt}\t50\tPASS\t{info}"
+    lines = [("f", head), ("f", record("T,<DUP>,*")), ("f", record("T, G")), ("f", record("")), ("f", record("T", "SVTYPE=DEL")), ("f", "c\t5"), ("bare", record("T")), ("bare", record("G")), ("open", "##x=1"), ("open", record("T"))]
+    found, rejects = annotated.load(spark.createDataFrame(lines, "file string, value string"))
+    assert sorted((r.file, r.reason) for r in rejects.collect()) == [("bare", "no header"), *[("f", x) for x in ("fewer than 8 columns", "no alternate allele", "structural without gene", "symbolic allele", "symbolic allele")], ("open", "no header")]
+    assert sorted((r.alt, r.vaf) for r in found.collect()) == [("G", 0.4), ("T", 0.2), ("T", 0.2)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, rejects)]
+    assert [p.count("map_from_entries") for p in plans] == [1, 1]
+    assert not any("split(" in line for p in plans for line in p.split("\n") if "Generate explode" in line)
