@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoframe.functions.display import readable
-from isoframe.operators import effects, joins, lanes, linked, mechanisms, shown
+from isoframe.operators import coverage, effects, joins, lanes, linked, mechanisms, shown
 
 
 def _shuffled(df):
@@ -113,3 +113,13 @@ def test_texts_are_written_once(spark):
         out = joins.rewritten(rows, ["a", "b"], readable, limit)
         assert out.columns == rows.columns and sorted(out.collect(), key=lambda r: r.id) == rows.select("id", readable(F.col("a")).alias("a"), readable(F.col("b")).alias("b")).orderBy("id").collect()
         assert ("split(" in out._jdf.queryExecution().optimizedPlan().toString()) == (limit == 1)
+
+
+def test_gate_makes_no_row_for_each_locus_of_each_drug(spark):
+    samples = spark.range(200).selectExpr("id AS isolate_id")
+    profile = spark.range(1500).selectExpr("concat('d', id DIV 50) AS drug", "concat('l', id % 50) AS locus").unionByName(spark.createDataFrame([("none", None)], "drug string, locus string"))
+    seen = spark.range(200 * 50).selectExpr("id DIV 50 AS isolate_id", "concat('l', id % 50) AS locus", "if(id % 50 = 7 AND id DIV 50 % 2 = 0, 0.5D, 1.0D) AS callable_fraction", "if(id % 50 = 9 AND id DIV 50 = 1, 3.0D, NULL) AS mean_depth").where("isolate_id <> 5 OR locus <> 'l3'")
+    rows, moved = _shuffled(coverage.required_loci(samples, profile, seen))
+    told = {(r.isolate_id, r.drug): (r.adequate, r.n_required, r.missing) for r in rows}
+    assert len(rows) == len(told) == 200 * 31 and moved < 30_000  # 300,000 loci of samples and drugs
+    assert told[0, "d3"] == (False, 50, "l7") and told[1, "d3"] == (False, 50, "l9") and told[3, "d3"] == (True, 50, "") and told[5, "d0"] == (False, 50, "l3") and told[3, "none"] == (False, 0, "")
