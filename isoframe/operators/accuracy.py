@@ -140,12 +140,14 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def engine_agreement(df: DataFrame) -> DataFrame:
-    """Per (sample, drug) over any number of engines: agreed, disagreed, single source or unassessed."""
+    """Per (sample, drug) over any number of engines: agreed, disagreed, single source or unassessed.
+
+    The two calls are counted, as a smallest and a largest text would be sorted for.
+    """
     call = normal_call("call")
-    called = F.when(call.isin(*CALLED), call)
-    out = df.groupBy("sample_id", "drug").agg(F.count(called).alias("n_called"), F.min(called).alias("_low"), F.max(called).alias("_high"))
-    state = F.when(F.col("n_called") == 0, "unassessed").when(F.col("n_called") == 1, "single_source").when(F.col("_low") == F.col("_high"), "agreed").otherwise("disagreed")
-    return out.withColumn("state", state).drop("_low", "_high")
+    out = df.groupBy("sample_id", "drug").agg(_count(call.isin(*CALLED)).alias("n_called"), _count(call == CALLED[0]).alias("_first"))
+    state = F.when(F.col("n_called") == 0, "unassessed").when(F.col("n_called") == 1, "single_source").when(F.col("_first").isin(F.lit(0), F.col("n_called")), "agreed").otherwise("disagreed")
+    return out.withColumn("state", state).drop("_first")
 
 
 def species_control(df: DataFrame, call: str = "call_a") -> DataFrame:

@@ -2,11 +2,16 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from isoframe.functions.display import readable
-from isoframe.operators import coverage, effects, joins, lanes, linked, mechanisms, shown
+from isoframe.operators import accuracy, coverage, effects, joins, lanes, linked, mechanisms, shown
+from isoframe.plans import oracles, queries
+from isoframe.plans.bindings import TABLES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _shuffled(df):
@@ -123,3 +128,40 @@ def test_gate_makes_no_row_for_each_locus_of_each_drug(spark):
     told = {(r.isolate_id, r.drug): (r.adequate, r.n_required, r.missing) for r in rows}
     assert len(rows) == len(told) == 200 * 31 and moved < 30_000  # 300,000 loci of samples and drugs
     assert told[0, "d3"] == (False, 50, "l7") and told[1, "d3"] == (False, 50, "l9") and told[3, "d3"] == (True, 50, "") and told[5, "d0"] == (False, 50, "l3") and told[3, "none"] == (False, 0, "")
+
+
+@pytest.fixture
+def few_rows_a_task(spark, monkeypatch):
+    """Tasks of 500 rows, and no join that broadcasts unasked; sf0.001 has 6,000 order lines."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _dealt_to(df):
+    """{key: partitions} of the shuffles by several keys or by one."""
+    return {key: int(n) for key, n in re.findall(r"hashpartitioning\((\w+)#\d+L?(?:, \w+#\d+L?)*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_spread_follows_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)
+    rows = spark.range(4000)
+    assert joins.spread(rows, 2000, "id") is rows and joins.spread(rows, 2001, "id").rdd.getNumPartitions() == 5
+    assert joins.spread(rows, 0, "id") is rows and joins.spread(rows, 4000, "id").count() == 4000
+
+
+def test_engines_are_compared_in_tasks_of_bounded_rows(spark, few_rows_a_task):
+    df = queries.engine_agreement(spark, SMALL)
+    dealt, plan = _dealt_to(df), df._jdf.queryExecution().executedPlan().toString()
+    assert {dealt[k] for k in ("l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "sample_id")} == {12}
+    assert "SortAggregate" not in plan and len(re.findall(r"FileScan parquet .*l_orderkey", plan)) == 1
+    said = duckdb.connect().execute("".join(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet';" for t in TABLES) + oracles.SQL["engine_agreement"]).fetchall()
+    assert sorted(tuple(r) for r in df.select("drug", "state", "n").collect()) == sorted(said)
+
+
+def test_engine_states(spark):
+    rows = [(s, "d", c) for s, calls in enumerate((["Resistant ", "resistant", None], ["resistant", "susceptible"], [None, "susceptible"], [None, "x"], ["susceptible", " SUSCEPTIBLE"])) for c in calls]
+    found = accuracy.engine_agreement(spark.createDataFrame(rows, "sample_id long, drug string, call string"))
+    assert found.columns == ["sample_id", "drug", "n_called", "state"]
+    assert {r.sample_id: (r.n_called, r.state) for r in found.collect()} == {0: (2, "agreed"), 1: (2, "disagreed"), 2: (1, "single_source"), 3: (0, "unassessed"), 4: (2, "agreed")}
