@@ -1,6 +1,7 @@
 """Rows that queries list in great number (drugs of a label, areas of a gene, rules of a pair) are listed last: what is shuffled stays near the input."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -165,3 +166,13 @@ def test_engine_states(spark):
     found = accuracy.engine_agreement(spark.createDataFrame(rows, "sample_id long, drug string, call string"))
     assert found.columns == ["sample_id", "drug", "n_called", "state"]
     assert {r.sample_id: (r.n_called, r.state) for r in found.collect()} == {0: (2, "agreed"), 1: (2, "disagreed"), 2: (1, "single_source"), 3: (0, "unassessed"), 4: (2, "agreed")}
+
+
+def test_results_are_written_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)
+    df = queries.QUERIES["stored_results"](spark, SMALL)
+    parts = Counter(re.search(r"drug=([^/]*)/", f)[1] for f in df.inputFiles() if "/calls/" in f)
+    assert len(parts) == 5 and set(parts.values()) == {12}
+    said = duckdb.connect().execute("".join(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet';" for t in TABLES) + oracles.SQL["stored_results"])
+    columns = [d[0] for d in said.description]
+    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, said.fetchall()))
