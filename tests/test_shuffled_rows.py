@@ -71,6 +71,30 @@ def test_areas_are_listed_after_the_shuffle(spark, variants):
     assert sorted(told) == sorted(shown.regulatory_rows(lanes.regulatory_matches(variants, areas), areas).select(told[0].__fields__).collect()) and moved < 10_000
 
 
+@pytest.mark.parametrize("told", [False])
+def test_listed_areas_make_small_files(spark, tmp_path, told):
+    """Many areas of one gene: a file keeps runs of variants and a cycle of areas, not a value for each of 2 million rows."""
+    variants = spark.range(400).selectExpr("id AS sample_id", "concat('k', id) AS variant_key", "CAST(NULL AS string) AS label", "'g' AS gene", "'promoter' AS region", "'c' AS chrom", "CAST(NULL AS long) AS pos")
+    areas = spark.range(5000).selectExpr("id AS area", "CAST(NULL AS string) AS label", "'c' AS chrom", "CAST(NULL AS long) AS start", "CAST(NULL AS long) AS stop", "'g' AS gene")
+    rows = shown.regulatory_classes(lanes.regulatory_classes(variants, areas), areas) if told else lanes.regulatory_matches(variants, areas)
+    rows.write.parquet(f"{tmp_path}/rows")
+    back = spark.read.parquet(f"{tmp_path}/rows")
+    assert back.count() == back.distinct().count() == 400 * 5000
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").iterdir()) < 400 * 5000
+
+
+def test_variants_with_several_labels_of_a_class_come_once(spark):
+    """An area of two labels is a class of two keys, which a variant may meet by both; rows without a sample or key stay."""
+    variants = spark.createDataFrame([(1, "k", "a"), (1, "k", "b"), (2, "k", "a"), (2, "k", "a"), (None, "k", "a"), (3, None, "b")], "sample_id long, variant_key string, label string")
+    variants = variants.selectExpr("*", "CAST(NULL AS string) AS gene", "'coding' AS region", "CAST(NULL AS string) AS chrom", "CAST(NULL AS long) AS pos")
+    areas = spark.createDataFrame([(n, x) for n in range(600) for x in "ab"], "area long, label string").selectExpr("*", "CAST(NULL AS string) AS chrom", "CAST(NULL AS long) AS start", "CAST(NULL AS long) AS stop", "CAST(NULL AS string) AS gene")
+    rows = lanes.regulatory_matches(variants, areas).collect()
+    assert len(rows) == len(set(rows)) == 4 * 600 and {(r.sample_id, r.variant_key) for r in rows} == {(1, "k"), (2, "k"), (None, "k"), (3, None)}
+    # beyond the limit of a broadcast the same rows come from a merge
+    found, members = lanes.regulatory_classes(variants, areas)[0]
+    assert sorted(map(str, joins.listed(found, members, 0).select("sample_id", "variant_key", "area", "matched_by").collect())) == sorted(map(str, rows))
+
+
 def test_catalogued_drugs_are_listed_after_the_shuffle(spark, variants, entries):
     rows, moved = _shuffled(lanes.catalogue_evidence(variants, entries, "v"))
     # k6 has an entry of its own, for one drug
