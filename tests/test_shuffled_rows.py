@@ -71,7 +71,7 @@ def test_areas_are_listed_after_the_shuffle(spark, variants):
     assert sorted(told) == sorted(shown.regulatory_rows(lanes.regulatory_matches(variants, areas), areas).select(told[0].__fields__).collect()) and moved < 10_000
 
 
-@pytest.mark.parametrize("told", [False])
+@pytest.mark.parametrize("told", [False, True])
 def test_listed_areas_make_small_files(spark, tmp_path, told):
     """Many areas of one gene: a file keeps runs of variants and a cycle of areas, not a value for each of 2 million rows."""
     variants = spark.range(400).selectExpr("id AS sample_id", "concat('k', id) AS variant_key", "CAST(NULL AS string) AS label", "'g' AS gene", "'promoter' AS region", "'c' AS chrom", "CAST(NULL AS long) AS pos")
