@@ -57,7 +57,7 @@ def confounded_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, bins = _estimates(spark, sf_dir)
-    return rounded(workflow.finalised(stored(effects.verdicts(found, effects.resampled(bins)), "verdicts")))
+    return rounded(workflow.finalised(stored(effects.verdicts(found, effects.resampled(bins, per_task=8, draws=effects.DRAWS)), "verdicts")))
 
 
 def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

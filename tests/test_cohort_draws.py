@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoframe.operators import effects, follow_up, resampling, selection, targets
+from isoframe.plans import effect_scan
 from isoframe.sources import annotated, tables, tools
 from isoframe.sources.scratch import shared_path, stored
 from isoframe.streaming import intake, monitoring
@@ -67,6 +68,16 @@ def test_effects_are_found_within_strata(spark):
     assert said == {"v": ("evidence-of-effect", "co-occurs with x"), "w": ("no-evidence", "lineage unknown"), "few": ("underpowered", "")}
 
 
+def test_draws_of_verdicts_do_not_follow_the_size(spark, monkeypatch):
+    """However many pairs an effect has, its verdict rests on the same numbers of draws: 1,999 permutations here, of which none is as extreme."""
+    bins = [("v", "d", "b", "L", 1, float(x), "none", 9000 if x > 3 else 0, 0 if x > 3 else 9000) for x in range(8)]
+    df = spark.createDataFrame(bins, "label string, drug string, background string, lineage string, site_id int, log2_bound double, censoring string, n_a long, n_b long")
+    found = spark.createDataFrame([("v", "d", 36000, "estimable", 1, 1.0, 10, 3.0, None, None)],
+        "label string, drug string, n_carriers long, state string, n_strata long, delta double, n_decisive long, lineage_diversity double, top_determinant string, top_fraction double")
+    monkeypatch.setattr(effect_scan, "_estimates", lambda *_: (found, df))
+    assert effect_scan.effect_verdicts(spark, "").first().p == 1 / 2000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_capped_selection_equals_a_loop(spark, seed):
     r = np.random.default_rng(seed)
