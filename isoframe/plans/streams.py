@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoframe.operators import federated, ledger
@@ -131,7 +131,8 @@ def loaded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loaded_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bound(spark, sf_dir, "performance").groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.upper("drug").alias("k"), F.struct(F.col("call_rate").cast("string").alias("coverage"), F.when(F.col("error_rate") > 0.04, "none").otherwise(F.col("error_rate").cast("string")).alias("error_rate")).alias("v"))))).alias("m"))
     texts = rows.select("model", F.when(F.col("model") < "m5", F.to_json(F.struct(F.col("m").alias("baselines")))).otherwise(F.to_json("m")).alias("value"))
-    return tables.baselines(texts)
+    alike = Window.partitionBy("drug", "base_coverage", "base_risk")
+    return tables.baselines(texts).withColumn("n", F.count("*").over(alike))
 
 
 def json_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +204,7 @@ SELECT user_id, seq, payload, entry_hash, CAST(NULL AS VARCHAR) AS reason FROM l
     "renamed_entries": with_bindings("entries", " SELECT label, drug, call FROM entries"),
     "loaded_truths": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS isolate_id, lower(drug) AS drug, arg_max(result, observation_id) AS truth FROM labs WHERE result <> 'indeterminate' AND quality = 'pass' GROUP BY isolate_id, drug"),
     "loaded_predictions": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS isolate_id, lower(drug) AS drug, CASE WHEN result <> 'indeterminate' THEN result END AS predicted, round(observation_id % 10 / CAST(10 AS DOUBLE), 6) + 0.0 AS confidence FROM labs"),
-    "loaded_baselines": with_bindings("performance", " SELECT lower(drug) AS drug, call_rate AS base_coverage, error_rate AS base_risk FROM performance WHERE error_rate <= 0.04"),
+    "loaded_baselines": with_bindings("performance", " SELECT lower(drug) AS drug, call_rate AS base_coverage, error_rate AS base_risk, COUNT(*) OVER (PARTITION BY lower(drug), call_rate, error_rate) AS n FROM performance WHERE error_rate <= 0.04"),
     "json_observations": with_bindings("labs", " SELECT CAST(isolate_id AS VARCHAR) AS file, observation_id, drug, result, CAST(floor(mic * 1000) AS BIGINT) AS mic, NULL AS reason FROM labs WHERE isolate_id % 9 <> 2 UNION ALL SELECT CAST(isolate_id AS VARCHAR), NULL, NULL, NULL, NULL, 'no JSON rows' FROM labs WHERE isolate_id % 9 = 2 GROUP BY isolate_id"),
     "stored_results": with_bindings("results", " SELECT *, 'c1' AS cohort, CAST((SELECT COUNT(*) FROM results) AS VARCHAR) AS n_calls FROM results"),
     "promotion_gates": with_bindings("observations", _PROMOTED + " SELECT variant, drug, n, n_r, n_s, n_sites, n_lineages, cohort_s, round(f, 6) + 0.0 AS r_fraction, failed = '' AS eligible, failed FROM pm"),

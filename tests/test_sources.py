@@ -77,3 +77,14 @@ def test_annotated_records_are_parsed_once(spark):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, rejects)]
     assert [p.count("map_from_entries") for p in plans] == [1, 1]
     assert not any("split(" in line for p in plans for line in p.split("\n") if "Generate explode" in line)
+
+
+def test_loaded_baselines_are_listed_and_counted(spark):
+    """Every baseline with the number of those equal to it, from which the counts of distinct ones follow."""
+    from collections import Counter
+
+    from isoframe.plans import streams
+
+    rows = streams.loaded_baselines(spark, "/root/testdata/sf0.001").collect()
+    alike = Counter((r.drug, r.base_coverage, r.base_risk) for r in rows)
+    assert rows and all(r.n == alike[r.drug, r.base_coverage, r.base_risk] for r in rows) and max(alike.values()) > 1
